@@ -3,9 +3,11 @@
 Every document has an expected number of copies, target / size of its source. The whole part is taken at once; the
 fractional part is an inclusion probability. Flight phase: probabilities move along the null space of two balancing
 constraints (number of documents, number of words), three units at a time, until two at most are fractional; each move
-has mean zero, so inclusion probabilities hold. A flight runs in blocks of ``block`` units of one source; the units that
-a block leaves open (two at most) go on to the next level, where blocks hold ``block`` open units again, until one block
-per source is left. Its landing gives up the document constraint first, then the word constraint.
+has mean zero, so inclusion probabilities hold. A flight runs in blocks of ``block`` units of one source; what a block
+leaves open (two units, and ``RESERVE`` that it does not touch) goes on to the next level, where blocks hold ``block``
+open units again, until one block per source is left. Its landing gives up the document constraint first, then rounds;
+the words that rounding one long document adds or takes are then made good by exchanging a taken with an untaken unit of
+that block whose sizes differ by as much.
 
 No block ever holds more than about ``block`` rows, whatever the share of a source, and texts are never shuffled.
 
@@ -30,6 +32,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
 BLOCK = 2048
+RESERVE = 32
 #: Sources up to this number are broadcast (each a row of about 100 bytes); beyond it they are joined by a shuffle.
 BROADCAST_SOURCES = 20_000
 
@@ -91,9 +94,10 @@ def _move(p: list[float], u: list[float], r: float) -> None:
 def fly(p: np.ndarray, size: np.ndarray, seed: int, land: bool) -> np.ndarray:
     """The flight of one block: all but two entries at most become 0 or 1, sums of p and of p * size stay as they are.
     With ``land`` the last two are rounded too, keeping the words as long as they can be kept."""
-    p, sizes, turn = p.astype(float).tolist(), size.astype(float).tolist(), 0
+    start = p.astype(float)
+    p, sizes, turn = start.tolist(), size.astype(float).tolist(), 0
     held: list[int] = []
-    for i, x in enumerate(p):
+    for i, x in enumerate(p if land else p[: max(0, len(p) - RESERVE)]):
         if not 0.0 < x < 1.0:
             continue
         held.append(i)
@@ -120,12 +124,32 @@ def fly(p: np.ndarray, size: np.ndarray, seed: int, land: bool) -> np.ndarray:
     if land:
         for j in held:
             p[j] = float(_draw(seed, 1 << 41, j) < p[j])
+        return _exchange(start, np.array(p), size.astype(float))
     return np.array(p)
 
 
+def _exchange(start: np.ndarray, p: np.ndarray, size: np.ndarray, rounds: int = 3) -> np.ndarray:
+    """Swaps a taken with an untaken unit, ``rounds`` times at most, each time the pair that brings sum(p * size) nearest
+    to sum(start * size)."""
+    free = (start > 0) & (start < 1)
+    for _ in range(rounds):
+        over = float(((p - start) * size).sum())
+        taken, other = np.flatnonzero(free & (p == 1)), np.flatnonzero(free & (p == 0))
+        if abs(over) < 0.5 or not len(taken) or not len(other):
+            break
+        other = other[np.argsort(size[other], kind="stable")]
+        at = np.searchsorted(size[other], size[taken] - over)
+        pairs = [(abs(over - size[i] + size[other[k]]), int(i), int(other[k])) for i, x in zip(taken, at, strict=True) for k in (x - 1, x) if 0 <= k < len(other)]
+        gap, i, j = min(pairs)
+        if gap >= abs(over):
+            break
+        p[i], p[j] = 0.0, 1.0
+    return p
+
+
 def _flight(land: bool, seed: int):
     def run(table: pa.Table) -> pa.Table:
-        order = pa.compute.sort_indices(table, [("size", "descending"), ("doc_id", "ascending"), ("copies", "ascending"), ("p", "ascending")])  # large units first: small ones are open at the end
+        order = pa.compute.sort_indices(table, [("doc_id", "ascending"), ("size", "ascending"), ("copies", "ascending"), ("p", "ascending")])
         table = table.take(order)
         block = table.column("block")[0].as_py() or 0
         size = table.column("size").to_numpy()
@@ -173,7 +197,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
         done = closed if done is None else done.unionByName(closed)
         if last:
             break
-        left = F.ceil(F.col("n") / F.lit(block)) * 2  # a block leaves two open units at most
+        left = F.ceil(F.col("n") / F.lit(block)) * (2 + RESERVE)  # the most that blocks leave open
         units = flown.where("p > 0").withColumn("n", left).withColumn("block", F.pmod(F.xxhash64(F.lit(level), F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("size")), F.ceil(F.col("n") / F.lit(block))))
-        units, most_n, level = units.select(*keep), 2 * math.ceil(most_n / block), level + 1
+        units, most_n, level = units.select(*keep), (2 + RESERVE) * math.ceil(most_n / block), level + 1
     return done.select("doc_id", "source", "size", "source_size", F.col("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
