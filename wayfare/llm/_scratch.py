@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a folder of our own only where it is unset (tests, single machine)."""
@@ -21,6 +22,7 @@ class Scratch:
     """Tables of one operator run. ``keep`` writes and rereads a table; ``drop`` removes one that is no longer read."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark, self.root = spark, f"{shared_folder(spark)}/wayfare-{name}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:

@@ -19,8 +19,30 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the near-duplicate component that circulant MinHash and exact verification give them."""
+    from .minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with base statistics and the verdict of risk-controlled rules."""
+    from .quality import apply_rules
+
+    return apply_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as WARC records, found through the two-level capture index and read back."""
+    from .warc import archive_and_read
+
+    found = archive_and_read(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix_sources": op1_mix_sources}
+    return {"op1_mix_sources": op1_mix_sources, "op3_quality_rules": op3_quality_rules, "op7_warc": op7_warc, "op10_near_duplicates": op10_near_duplicates}
 
 
 def oracle_sql() -> dict[str, str]:
