@@ -66,6 +66,13 @@ def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(turns.unionByName(more)))
 
 
+def op6_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the summed log-probability of each word given both sides."""
+    from .scoring import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     from .extraction import extract
@@ -74,7 +81,7 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix_sources": op1_mix_sources, "op2_decontaminate": op2_decontaminate, "op5_chat_windows": op5_chat_windows, "op8_main_text": op8_main_text, "op3_quality_rules": op3_quality_rules, "op7_warc": op7_warc, "op9_toxicity": op9_toxicity, "op10_near_duplicates": op10_near_duplicates}
+    return {"op1_mix_sources": op1_mix_sources, "op2_decontaminate": op2_decontaminate, "op5_chat_windows": op5_chat_windows, "op6_pseudo_likelihood": op6_pseudo_likelihood, "op8_main_text": op8_main_text, "op3_quality_rules": op3_quality_rules, "op7_warc": op7_warc, "op9_toxicity": op9_toxicity, "op10_near_duplicates": op10_near_duplicates}
 
 
 def oracle_sql() -> dict[str, str]:
