@@ -56,6 +56,13 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the bytes that a run-length index finds in documents before them."""
+    from .suffix_dedup import repeated_bytes
+
+    return repeated_bytes(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations, and one that speaks in control strings, formatted in windows and read back."""
     from .chat import format_chats, read_back
@@ -81,7 +88,7 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix_sources": op1_mix_sources, "op2_decontaminate": op2_decontaminate, "op5_chat_windows": op5_chat_windows, "op6_pseudo_likelihood": op6_pseudo_likelihood, "op8_main_text": op8_main_text, "op3_quality_rules": op3_quality_rules, "op7_warc": op7_warc, "op9_toxicity": op9_toxicity, "op10_near_duplicates": op10_near_duplicates}
+    return {"op1_mix_sources": op1_mix_sources, "op2_decontaminate": op2_decontaminate, "op4_repeated_passages": op4_repeated_passages, "op5_chat_windows": op5_chat_windows, "op6_pseudo_likelihood": op6_pseudo_likelihood, "op8_main_text": op8_main_text, "op3_quality_rules": op3_quality_rules, "op7_warc": op7_warc, "op9_toxicity": op9_toxicity, "op10_near_duplicates": op10_near_duplicates}
 
 
 def oracle_sql() -> dict[str, str]:
