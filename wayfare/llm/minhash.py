@@ -10,9 +10,11 @@ Candidates are confirmed on full sets, without all pairs of a group:
 
 1. documents with equal sets become one node;
 2. in each bucket every node is compared with one node, the smallest of the bucket; links give components;
-3. where a bucket still holds several components, nodes of different components are compared too, unless sizes or the
-   triangle inequality of the Jaccard distance to the bucket's smallest node exclude a link. Nodes of one component need
-   no further comparison: the result would be the same.
+3. where a bucket still holds several components, nodes of different components are compared too. In buckets of up to
+   ``SMALL`` nodes, pairs are listed, unless sizes or the triangle inequality of the Jaccard distance to the bucket's
+   smallest node exclude a link. Nodes of larger buckets form clusters, dealt in blocks of ``BLOCK`` nodes; a task
+   compares two blocks through an inverted index of their shingles and returns only links between components, at most
+   one for each node. Nodes of one component need no further comparison: the result would be the same.
 
 So after step 3 every pair that shares a bucket is in one component or was excluded exactly.
 
@@ -37,6 +39,7 @@ from .components import components
 SHINGLE, SLOTS, BANDS, ROWS, PERCENT = 5, 1 << 20, 32, 4, 75
 #: Members of a group that are compared with its first node by one task.
 GROUP = 256
+SMALL, BLOCK = 16, 512
 _state: dict[str, np.ndarray] = {}
 
 
@@ -84,8 +87,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.cumsum([0] + [len(x) for x in keys])
         flat = np.concatenate([none, *keys]).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))],
-            ["doc_id", "n_shingles", "node", "bands"],
+            [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))],
+            ["doc_id", "text_hash", "n_shingles", "node", "bands"],
         )
 
 
@@ -124,11 +127,64 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 _LINKED = f"100 * shared >= {PERCENT} * (n_a + n_b - shared)"
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Documents (doc_id, text) to (doc_id, n_shingles, component_id, kept), one row each."""
+def _between_blocks(many: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between components among the nodes (node, pivot, comp) of large buckets: every two nodes of a cluster
+    of such buckets meet in one task. A node is sent once for each block of its cluster."""
+    cluster = components(many.select(F.col("pivot").alias("a"), F.col("node").alias("b")), scratch, "cluster")
+    nodes = many.select("node", "comp").distinct().join(cluster.withColumnRenamed("comp", "cluster"), "node")
+    sizes = nodes.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    dealt = nodes.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(F.col("own"), k).alias("i"), F.greatest(F.col("own"), k).alias("j"))))
+    rows = dealt.select("cluster", "node", "comp", "own", meets.alias("m")).select("cluster", "m.i", "m.j", "own", "node", "comp").join(texts, "node")
+    return rows.groupBy("cluster", "i", "j").applyInArrow(_links_of_blocks, "a long, b long")
+
+
+def _links_of_blocks(table: pa.Table) -> pa.Table:
+    """Links between components of two blocks (or within one), a spanning forest of them."""
+    node, comp, own = (table.column(c).to_numpy() for c in ("node", "comp", "own"))
+    _, keep = np.unique(node, return_index=True)
+    sets = list(_sets(table.column("text").take(pa.array(keep)).combine_chunks()))
+    node, comp, own = node[keep], comp[keep], own[keep]
+    size = np.array([len(x) for x in sets])
+    _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    holder = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(shingle, kind="stable")
+    at, postings = np.searchsorted(shingle[order], np.arange(shingle.max() + 2)), holder[order]
+    cuts = np.concatenate([[0], np.cumsum(size)])
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.get(c, c) != c:
+            root[c] = c = root.get(root[c], root[c])
+        return c
+
+    out = []
+    for x in np.flatnonzero(own == table.column("i")[0].as_py()):
+        own_shingles = shingle[cuts[x] : cuts[x + 1]]
+        shared = np.bincount(np.concatenate([postings[at[k] : at[k + 1]] for k in own_shingles]), minlength=len(sets))
+        for y in np.flatnonzero((100 * shared >= PERCENT * (size[x] + size - shared)) & (comp != comp[x])):
+            p, q = find(int(comp[x])), find(int(comp[y]))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                out.append((int(node[x]), int(node[y])))
+    return pa.table([pa.array([r[k] for r in out], pa.int64()) for k in range(2)], names=["a", "b"])
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, one for each component, with all their columns; repeated rows stay once."""
+    marked = docs.select("*", F.xxhash64(F.col("text").cast("string")).alias("near_text"), F.col("doc_id").cast("long").alias("near_id"))
+    first = near_duplicates(docs, with_text_hash=True).where("kept").select(F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_text")).distinct()
+    rows = marked.join(first, F.col("near_text").eqNullSafe(F.col("first_text")) & F.col("near_id").eqNullSafe(F.col("first_id")), "left_semi")
+    return rows.dropDuplicates(["near_text", "near_id"]).drop("near_text", "near_id")
+
+
+def near_duplicates(docs: DataFrame, with_text_hash: bool = False) -> DataFrame:
+    """Documents (doc_id, text) to (doc_id, n_shingles, component_id, kept), one row each; ``with_text_hash`` adds
+    text_hash, xxhash64 of the text."""
     scratch = Scratch(docs.sparkSession, "minhash")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sigs = scratch.keep(texts.mapInArrow(_signatures, "doc_id long, n_shingles long, node long, bands array<long>"), "signatures")
+    hashed = texts.withColumn("text_hash", F.xxhash64("text"))
+    sigs = scratch.keep(hashed.mapInArrow(_signatures, "doc_id long, text_hash long, n_shingles long, node long, bands array<long>"), "signatures")
     nodes = sigs.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
     rows = scratch.keep(nodes.select("node", "n", F.explode("bands").alias("bucket")), "rows")
     pivots = rows.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
@@ -141,23 +197,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = scratch.keep(_verified(pairs, held), "known1")
     comp = components(known.where(_LINKED).select("a", "b"), scratch, "star")
     at = met.join(comp, "node", "left").select("bucket", "node", "n", "pivot", F.coalesce("comp", "node").alias("comp"))
-    open_ = at.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("bucket")
+    open_ = at.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("c")).where("c1 <> c2").select("bucket", "c")
     near = known.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("d"))
-    at = at.join(open_, "bucket", "left_semi").where("node <> pivot").join(near, ["pivot", "node"])
-    at = scratch.keep(at, "open")
-    x, y = (at.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp", "d")]) for s in "xy")
+    at = scratch.keep(at.join(open_, "bucket"), "open")
+    few = at.where(f"c <= {SMALL} and node <> pivot").join(near, ["pivot", "node"])
+    x, y = (few.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp", "d")]) for s in "xy")
     cross = x.join(y, "bucket").where("node_x < node_y and comp_x <> comp_y").where(f"100 * least(n_x, n_y) >= {PERCENT} * greatest(n_x, n_y) and abs(d_x - d_y) <= {1 - PERCENT / 100} + 1e-9")
     cross = scratch.keep(cross.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct(), "pairs2")
-    links = known.where(_LINKED).select("a", "b")
+    many = at.where(f"c > {SMALL}").select("node", "pivot", "comp").distinct()
+    links, more = known.where(_LINKED).select("a", "b"), False
     if not cross.isEmpty():
-        more = scratch.keep(_verified(cross, held), "known2")
-        links = links.unionByName(more.where(_LINKED).select("a", "b"))
+        links, more = links.unionByName(scratch.keep(_verified(cross, held).where(_LINKED).select("a", "b"), "known2")), True
+    if not many.isEmpty():
+        links, more = links.unionByName(scratch.keep(_between_blocks(many, held, scratch), "known3")), True
+    if more:
         comp = components(links, scratch, "all")
     least = nodes.select("node", "doc_id").join(comp, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     least = least.join(least.groupBy("comp").agg(F.min("doc_id").alias("least")), "comp").select("node", "least")
-    out = sigs.select("doc_id", "n_shingles", "node").join(least, "node", "left")
+    out = sigs.select("doc_id", "text_hash", "n_shingles", "node").join(least, "node", "left")
     comp_id = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", comp_id.alias("component_id"), F.col("doc_id").eqNullSafe(comp_id).alias("kept"))
+    return out.select("doc_id", *(["text_hash"] if with_text_hash else []), "n_shingles", comp_id.alias("component_id"), F.col("doc_id").eqNullSafe(comp_id).alias("kept"))
 
 
 def _only_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
