@@ -168,9 +168,23 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
 
     ``taken`` is ``copies * size``; a source's taken words come near its target, and ``copies`` is at most ``most``.
     """
-    spark = docs.sparkSession
+    return mix_units(docs.select("doc_id", "source", word_count(F.col("text").cast("string")).alias("size")), weights, most, block, seed)
+
+
+def with_copies(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with all their columns and ``copies``; rows that share doc_id and source
+    are one unit and get the same number."""
+    units = docs.select("doc_id", "source", word_count(F.col("text").cast("string")).alias("size")).groupBy("doc_id", "source").agg(F.sum("size").alias("size"))
+    taken = mix_units(units, **options).where("copies > 0").select(F.col("doc_id").alias("taken_id"), F.col("source").alias("taken_source"), F.col("copies").alias("taken_copies"))
+    rows = docs.join(taken, docs.doc_id.cast("long").eqNullSafe(taken.taken_id) & docs.source.cast("string").eqNullSafe(taken.taken_source))
+    return rows.select(*[docs[c] for c in docs.columns if c != "copies"], F.col("taken_copies").alias("copies"))
+
+
+def mix_units(units: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, block: int = BLOCK, seed: int = 17) -> DataFrame:
+    """The mix of units (doc_id, source, size)."""
+    spark = units.sparkSession
     scratch = Scratch(spark, "mix")
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
+    narrow = units.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("size").cast("long").alias("size"))
     narrow = scratch.keep(narrow, "sizes")
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     sizes = scratch.keep(sizes, "sources")
