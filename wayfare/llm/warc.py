@@ -158,7 +158,7 @@ class CaptureIndex:
 
     def __init__(self, lines: DataFrame, root: str, range_lines: int = RANGE):
         self.root, scratch = root, Scratch(lines.sparkSession, "warc-index")
-        n = lines.count()
+        n, self.files = lines.agg(F.count(F.lit(1)), F.greatest(F.count_distinct("file"), F.lit(1))).first()
         self.ranges = max(1, -(-n // range_lines))
         # An empty string and a missing id have places of their own: first and last.
         dealt = lines.withColumn("id", F.coalesce("page_id", F.lit(NO_ID))).repartitionByRange(self.ranges, "key", "id").withColumn("range", F.spark_partition_id()).sortWithinPartitions("key", "id", "file", "offset")
@@ -233,7 +233,7 @@ class CaptureIndex:
             if source is not None:
                 source.close()
 
-        asked = captures.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+        asked = captures.select("file", "offset", "length").repartition(self.files, "file").sortWithinPartitions("file", "offset")
         return asked.mapInArrow(read, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload string")
 
 
