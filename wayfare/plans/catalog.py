@@ -1,15 +1,437 @@
-"""Registered queries of the mobility engine."""
+"""Registered queries of the mobility engine, each with DuckDB SQL that gives the same rows where SQL can say it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import clock, geo, text
+from ..operators import behavior, clustering, departure, destination, homes, intervals, reports, residents, routes, trip_chain
+from ..operators import zones as zoning
+from ..sources import readers
+from . import fixtures as fx
+from . import oracle as sql
+
+RULES = trip_chain.TripChainConfig(home_radius_m=3000.0, merge_distance_m=2500.0, merge_gap_s=400_000.0)
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def r6(value: Column | str, name: str | None = None, digits: int = 6) -> Column:
+    column = F.col(value) if isinstance(value, str) else value
+    return F.round(column, digits).alias(name or value)
+
+
+def at(name: str, alias: str | None = None) -> Column:
+    """A wall-clock time as text."""
+    return F.date_format(name, "yyyy-MM-dd HH:mm:ss").alias(alias or name)
+
+
+# Scalars
+
+
+@query
+def haversine(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.pings(spark, sf).join(fx.homes(spark, sf), "ID")
+    d = geo.haversine_m(F.col("home_lat_4326"), F.col("home_lon_4326"), F.col("latitude"), F.col("longitude"))
+    return rows.select("event_id", r6(d, "meters", 3))
+
+
+@query
+def mercator(spark: SparkSession, sf: str) -> DataFrame:
+    x, y = geo.mercator_x(F.col("home_lon_4326")), geo.mercator_y(F.col("home_lat_4326"))
+    return fx.homes(spark, sf).select("ID", r6(x, "x", 3), r6(y, "y", 3), r6(geo.mercator_lat(y), "lat", 7), r6(geo.mercator_lon(x), "lon", 7))
+
+
+@query
+def utm_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    utm = geo.Utm()
+    e, n = utm.forward(F.col("home_lat_4326"), F.col("home_lon_4326"))
+    lat, lon = utm.inverse(e, n)
+    return fx.homes(spark, sf).select("ID", r6(e, "east", 3), r6(n, "north", 3), r6(lat, "lat", 7), r6(lon, "lon", 7))
+
+
+@query
+def bing_tile(spark: SparkSession, sf: str) -> DataFrame:
+    x, y = geo.bing_tile(F.col("latitude"), F.col("longitude"))
+    north, west = geo.bing_corner(x, y)
+    return fx.pings(spark, sf).groupBy(x.alias("tile_x"), y.alias("tile_y")).agg(F.count(F.lit(1)).alias("n")).select("tile_x", "tile_y", "n", r6(geo.bing_corner(F.col("tile_x"), F.col("tile_y"))[0], "lat"), r6(geo.bing_corner(F.col("tile_x"), F.col("tile_y"))[1], "lon"))
+
+
+@query
+def night_window(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.pings(spark, sf).select("event_id", clock.in_window(F.hour("datetime"), 20, 7).alias("is_night"))
+
+
+@query
+def standardize_type(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.records(spark, sf).select("ID", text.standardize_type(F.col("UseType")).alias("dest_type"))
+
+
+@query
+def title_case(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.table(spark, sf, "part").select("p_partkey", text.title_case(F.col("p_name")).alias("title"))
+
+
+@query
+def bbox_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.bbox(fx.pings(spark, sf), -118.4, 34.1, -118.2, 34.3).select("event_id", "ID")
+
+
+@query
+def dedup_latest_zone(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("zoneId"), F.col("event_type").alias("most_extreme_status"), F.col("event_id").cast("string").alias("incident_name"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"))
+    return readers.latest_zones(rows)
+
+
+# Clusters and chains
+
+
+@query
+def cluster_points(spark: SparkSession, sf: str) -> DataFrame:
+    found = clustering.cluster_points(fx.pings(spark, sf), config=fx.CLUSTERS, tie="event_id")
+    return found.select(F.col("user_id").alias("ID"), "cluster_id", r6("centroid_lat"), r6("centroid_lon"), at("start_time"), at("end_time"), "n_points", r6("dwell_s"))
+
+
+@query
+def cluster_events(spark: SparkSession, sf: str) -> DataFrame:
+    found = clustering.cluster_events(fx.pings(spark, sf), config=fx.CLUSTERS, tie="event_id")
+    return found.groupBy(F.col("user_id").alias("ID"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("cluster_id").alias("ids"), F.min("event_time").alias("t")).select("ID", "event_type", "n", "ids", at("t", "first_time"))
+
+
+@query
+def incremental_cluster(spark: SparkSession, sf: str) -> DataFrame:
+    found = clustering.incremental_cluster(fx.pings(spark, sf), 200.0, "5min", tie="event_id")
+    return found.groupBy(F.col("user_id").alias("ID")).agg(F.count(F.lit(1)).alias("clusters"), F.sum("n").alias("pings"), F.round(F.sum("centroid_lat"), 5).alias("lat_sum"))
+
+
+def chain(spark: SparkSession, sf: str) -> DataFrame:
+    return trip_chain.build_trip_chain(fx.pings(spark, sf), fx.homes(spark, sf), clustering=fx.CLUSTERS, rules=RULES, tie="event_id")
+
+
+@query
+def trip_chain_stops(spark: SparkSession, sf: str) -> DataFrame:
+    return chain(spark, sf).select(
+        F.col("user_id").alias("ID"), "seq_idx", "stop_id", at("start_ts"), at("end_ts"), r6("dwell_s"), r6("lat"), r6("lon"), r6("distance_from_home_m", digits=2), r6("distance_from_prev_m", digits=2), "is_overnight", "stop_role",
+    )
+
+
+_QUERIES["trip_chain"] = _QUERIES.pop("trip_chain_stops")
+
+
+@query
+def trip_legs(spark: SparkSession, sf: str) -> DataFrame:
+    return routes.build_trip_legs(chain(spark, sf)).select(F.col("user_id").alias("ID"), "from_seq", "to_seq", at("depart_ts"), at("arrive_ts"), r6("displacement_m", digits=2))
+
+
+@query
+def route_default(spark: SparkSession, sf: str) -> DataFrame:
+    return routes.infer_route_candidates(routes.build_trip_legs(chain(spark, sf))).select(F.col("user_id").alias("ID"), "from_seq", "to_seq", "strategy", "route_status", "route_length_m")
+
+
+@query
+def destinations_chain(spark: SparkSession, sf: str) -> DataFrame:
+    found = destination.infer_destinations(chain(spark, sf), fx.homes(spark, sf))
+    return found.select("ID", r6("dest_lat"), r6("dest_lon"), "dest_date", r6("eu_distance_km", digits=2), "dest_order", "source_role")
+
+
+def nightly(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.pings(spark, sf)
+    return rows.select("ID", F.col("latitude").alias("stop_lat_4326"), F.col("longitude").alias("stop_lon_4326"), F.to_date("datetime").cast("string").alias("stop_date"), (F.col("event_id") % 1009).alias("duration"))
+
+
+@query
+def destinations_nightly(spark: SparkSession, sf: str) -> DataFrame:
+    found = destination.infer_destinations(nightly(spark, sf), fx.homes(spark, sf), merge_distance_km=0.1)
+    return found.select("ID", r6("dest_lat"), r6("dest_lon"), "dest_date", r6("eu_distance_km", digits=2), "dest_order", "source_role")
+
+
+@query
+def destination_land_use(spark: SparkSession, sf: str) -> DataFrame:
+    """Destinations against rectangles as parcels; no road is near."""
+    names = F.create_map(*[F.lit(x) for x in ("z1", "Single Family", "z2", "City Park", "z3", "Motel", "z4", "Warehouse")])
+    parcels = fx.zones(spark, sf).select("geometry", F.element_at(names, F.col("zoneId")).alias("UseType"), F.col("zoneId").alias("parcel_id"))
+    found = destination.infer_destinations(nightly(spark, sf), fx.homes(spark, sf), merge_distance_km=0.1)
+    return destination.classify_destinations(found, parcels, buffer_m=500.0).select("ID", "dest_order", "dest_type")
+
+
+# Departures
+
+
+@query
+def away_islands(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.pings(spark, sf).join(fx.homes(spark, sf), "ID")
+    far = geo.haversine_m(F.col("home_lat_4326"), F.col("home_lon_4326"), F.col("latitude"), F.col("longitude")) > 1000
+    runs = intervals.islands(rows.where(far).select("ID", F.to_date("datetime").alias("day")), ["ID"])
+    return runs.select("ID", F.col("first_day").cast("string").alias("first_day"), F.col("last_day").cast("string").alias("last_day"), "n_days")
+
+
+def orders(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.homes(spark, sf).select("ID", F.expr("CASE WHEN ID % 3 = 0 THEN NULL ELSE TIMESTAMP_NTZ'2024-01-08 00:00:00' END").alias("order_start"))
+
+
+@query
+def departure_home(spark: SparkSession, sf: str) -> DataFrame:
+    found = departure.infer_departures(fx.pings(spark, sf), fx.homes(spark, sf), orders(spark, sf))
+    return found.select("ID", at("departure"), at("return", "return_time"), "origin_type")
+
+
+@query
+def departure_chain(spark: SparkSession, sf: str) -> DataFrame:
+    found = departure.infer_departures(fx.pings(spark, sf), orders=orders(spark, sf), trip_chain=chain(spark, sf))
+    return found.select("ID", at("departure"), at("return", "return_time"), "origin_type")
+
+
+@query
+def origin(spark: SparkSession, sf: str) -> DataFrame:
+    timed = fx.homes(spark, sf).withColumn("fire", F.lit("2024-01-09 12:00:00").cast("timestamp_ntz"))
+    found = departure.find_origin(fx.pings(spark, sf), timed, F.col("fire"), R_a=2000.0, home_radius=1000.0, tie="event_id")
+    return found.select("ID", r6("origin_lat"), r6("origin_lon"), "origin_type")
+
+
+@query
+def delay_hours(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.records(spark, sf).select("ID", r6(clock.delay_hours(F.col("DepartureDate"), F.col("OrderStart")), "hours"))
+
+
+# Zones and residents
+
+
+@query
+def home_inference(spark: SparkSession, sf: str) -> DataFrame:
+    found = homes.infer_homes(fx.pings(spark, sf), min_nights=2, user="ID")
+    return found.select("ID", r6("utm_x", digits=1), r6("utm_y", digits=1), "num_nights", r6("stay_time", digits=1), r6("home_lon_4326"), r6("home_lat_4326"))
+
+
+def zoned(spark: SparkSession, sf: str) -> DataFrame:
+    return zoning.classify_zones(fx.homes(spark, sf), fx.zones(spark, sf), buffer_distance=5000.0)
+
+
+@query
+def zone_classify(spark: SparkSession, sf: str) -> DataFrame:
+    return zoned(spark, sf).select("ID", "ZoneType", "OrderStart", "zoneId", "FireEvent", "most_extreme_status")
+
+
+@query
+def region_assign(spark: SparkSession, sf: str) -> DataFrame:
+    shapes = fx.zones(spark, sf).select("geometry", F.col("zoneId").alias("region"))
+    return zoning.assign_regions(fx.homes(spark, sf), shapes, "region").select("ID", "region")
+
+
+def stops(spark: SparkSession, sf: str) -> DataFrame:
+    return residents.compute_stops(fx.pings(spark, sf), zoned(spark, sf), fx.zones(spark, sf), buffer_meters=1000.0)
+
+
+@query
+def stops_distance(spark: SparkSession, sf: str) -> DataFrame:
+    return stops(spark, sf).select("ID", at("stop_date"), r6("dist_meters", digits=2), r6("eu_distance"), "is_outside_zone", "ZoneType")
+
+
+@query
+def impute_ffill(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.table(spark, sf, "events").select("event_id", F.col("user_id").alias("ID"), "ts", F.expr("CASE WHEN event_id % 5 < 2 OR user_id % 7 = 0 THEN NULL ELSE value END").alias("d"))
+    return residents.impute_distance(rows, "ID", ["ts", "event_id"], "d").select("event_id", r6("d"))
+
+
+@query
+def resident_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    found = residents.infer_metrics(stops(spark, sf), fx.FIRES, fire_end="2024-01-12")
+    return found.select("ID", "Category", at("DepartureDate"), at("ReturnDate"), r6("DelayHours"), "ZoneType", at("OrderStart"), at("OrderEnd"), "FireEvent", at("fire_start"), "is_evacuee")
+
+
+# Records and reports
+
+
+def classified(spark: SparkSession, sf: str) -> DataFrame:
+    return behavior.classify(fx.records(spark, sf), fire_start="FireStart")
+
+
+@query
+def classify_records(spark: SparkSession, sf: str) -> DataFrame:
+    return classified(spark, sf).select("ID", "Category")
+
+
+@query
+def behavior_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return behavior.summary(classified(spark, sf)).select("Category", "Count", "Percentage", "Description")
+
+
+@query
+def compliance_rate(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.compliance_rate(classified(spark, sf)).select("ZoneType", "Total_Residents", "Evacuated", r6("Compliance_Rate"))
+
+
+@query
+def dedi(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.dedi(classified(spark, sf), "segment").select("segment", "Total_Residents", "Evacuated", r6("Compliance_Rate"), r6("DEDI_Deviation"), r6("DEDI"))
+
+
+@query
+def departure_curve(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.departure_curve(classified(spark, sf), "1995-01-01", "1995-03-01", "6h").select(at("Datetime"), "Cumulative_Count", r6("Cumulative_Pct"))
+
+
+@query
+def departure_hours_curve(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.departure_hours_curve(classified(spark, sf), "1995-01-01", "segment", 720.0).select("ID", "segment", r6("hours"), r6("pct"))
+
+
+@query
+def departures_by_hour(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.departures_by_hour(classified(spark, sf)).select(at("hour"), "n", "cumulative")
+
+
+@query
+def composition(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.composition_panels(classified(spark, sf), "segment").select("panel", "segment", "Category", "count", "total", r6("pct"))
+
+
+@query
+def composition_table(spark: SparkSession, sf: str) -> DataFrame:
+    out = reports.composition_table(classified(spark, sf), "segment")
+    return out.select("segment", *[r6(c) for c in reports.COMPOSITION_ORDER])
+
+
+@query
+def delay_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.homes(spark, sf).withColumn("DelayHours", F.expr("ID % 9 - 3").cast("double"))
+    return reports.delay_tiles(rows).select("grid_x", "grid_y", r6("total_delay"), "user_count", r6("lat_min"), r6("lon_min"), r6("lat_max"), r6("lon_max"))
+
+
+@query
+def delay_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.delay_distribution(classified(spark, sf), "segment").select("segment", "n", r6("mean"), "min", r6("q1"), r6("median"), r6("q3"), r6("p95"), "max")
+
+
+@query
+def delay_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.delay_summary(fx.records(spark, sf)).select(r6("mean"), r6("median"), "n_negative")
+
+
+@query
+def compliance_by_region(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.compliance_by_region(classified(spark, sf), "segment", "priority").select("segment", "priority", "Total", "Evacuated", r6("Rate"))
+
+
+@query
+def temporal_heatmap(spark: SparkSession, sf: str) -> DataFrame:
+    out = reports.temporal_heatmap(fx.pings(spark, sf), "datetime")
+    return out.select(F.col("date").cast("string").alias("date"), *[F.col(str(h)).alias(f"h{h}") for h in range(24)])
+
+
+@query
+def return_timeline(spark: SparkSession, sf: str) -> DataFrame:
+    rows = classified(spark, sf).withColumnRenamed("FireStart", "fire_start")
+    return reports.return_timeline(rows).select("Category", "n", r6("mean"), r6("min"), r6("q1"), r6("median"), r6("q3"), r6("p95"), r6("max"))
+
+
+@query
+def distance_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.distance_histogram(fx.records(spark, sf), group="segment").select("segment", "bin", "n", "from_km", "to_km")
+
+
+@query
+def distance_ecdf(spark: SparkSession, sf: str) -> DataFrame:
+    out = reports.distance_ecdf(fx.records(spark, sf), "segment")
+    return out.groupBy("segment", "distance").agg(F.round(F.max("ecdf"), 6).alias("ecdf"))
+
+
+@query
+def distance_decay(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.distance_decay(fx.records(spark, sf), group="segment").select("segment", "threshold_km", r6("share"))
+
+
+def typed(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.records(spark, sf).withColumn("dest_type", text.standardize_type(F.col("UseType")))
+
+
+@query
+def destination_types(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.destination_types(typed(spark, sf), 30.0, "gt").select("dest_type", "count", "pct")
+
+
+@query
+def near_far_types(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.near_far_types(typed(spark, sf)).select("dest_type", r6("near_pct"), r6("far_pct"))
+
+
+@query
+def group_type_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.group_type_matrix(typed(spark, sf), "segment")
+
+
+@query
+def group_type_distance(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.group_type_matrix(typed(spark, sf), "segment", "distance")
+
+
+def evacuee_trips(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.records(spark, sf).withColumn("ID", F.expr("ID % 4001"))
+
+
+@query
+def evacuee_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.evacuee_groups(evacuee_trips(spark, sf), "segment").select("segment", "residents", r6("pct"), r6("mean_destinations"), r6("median_destinations"))
+
+
+@query
+def destination_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.destination_counts(evacuee_trips(spark, sf))
+
+
+@query
+def daily_distances(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.records(spark, sf).withColumn("dest_date", F.to_date("DepartureDate").cast("string")).where("dest_date is not null")
+    return reports.daily_distances(rows, "segment").select("dest_date", "segment", r6("median_km"), "n", r6("mean_km"))
+
+
+@query
+def trip_duration_by_type(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.trip_duration_by_type(typed(spark, sf), fx.records(spark, sf)).select("dest_type", "n", r6("mean"), r6("median"), r6("max"))
+
+
+@query
+def crosstab_margins(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.crosstab(classified(spark, sf), "ZoneType", "Category")
+
+
+@query
+def od_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """A fixed number of lines by hash: no SQL of another engine has that hash."""
+    return reports.od_pairs(destination.infer_destinations(nightly(spark, sf), fx.homes(spark, sf)), fx.homes(spark, sf))
+
+
+@query
+def od_extent(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.pings(spark, sf).join(fx.homes(spark, sf), "ID").select("home_lat_4326", "home_lon_4326", F.col("latitude").alias("dest_lat"), F.col("longitude").alias("dest_lon"))
+    return reports.od_extent(rows).select(*[r6(c) for c in ("lat_min", "lat_max", "lon_min", "lon_max")])
+
+
+@query
+def ks_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.ks_statistics(fx.records(spark, sf), "segment").select("group_a", "group_b", "n_a", "n_b", r6("d"))
+
+
+@query
+def ks_test(spark: SparkSession, sf: str) -> DataFrame:
+    """With p-values, which SQL has no function for."""
+    return reports.ks_test(fx.records(spark, sf), "segment")
+
+
+@query
+def unique_devices(spark: SparkSession, sf: str) -> DataFrame:
+    return residents.unique_devices(fx.pings(spark, sf))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in sql.oracles().items() if k in _QUERIES}
