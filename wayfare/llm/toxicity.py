@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ._scratch import Scratch
 from ._words import small_batches
 
-EXAMPLES, TERMS, LEAST_G, LEAST_DF, LANE, NEIGHBOURS = 20_000, 4096, 25.0, 5, 64, 15
+EXAMPLES, TERMS, LEAST_G, LEAST_DF, LANE, NEIGHBOURS, FIRST_BLOCKS = 20_000, 4096, 36.0, 5, 64, 15, 4
 STRIP = ".,;:!?\"'()[]{}<>*#$%&|-_"
 CACHE = 200_000
 
@@ -105,27 +105,28 @@ class Index:
 
     def nearest(self, query: tuple[np.ndarray, np.ndarray], k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples, cosine above 0, exact."""
-        bound = np.zeros(self.blocks)
-        lanes = []
-        for t, q in zip(*query, strict=True):
-            a, b = self.lane_at[t], self.lane_at[t + 1]
-            lanes.append((q, a, self.pair_block[a:b]))
-            bound[self.pair_block[a:b]] += q * self.pair_max[a:b]
+        spans = [(self.lane_at[t], self.lane_at[t + 1]) for t in query[0]]
+        pairs = np.concatenate([np.arange(a, b) for a, b in spans])
+        weight = np.repeat(query[1], [b - a for a, b in spans])
+        block = self.pair_block[pairs]
+        bound = np.bincount(block, weight * self.pair_max[pairs], self.blocks)
         best, scores = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or len(best) == k and bound[block] < scores[-1] - 1e-12:
-                break
-            lane = np.zeros(LANE)
-            for q, a, held in lanes:
-                j = int(np.searchsorted(held, block))
-                if j < len(held) and held[j] == block:
-                    p = slice(self.pair_at[a + j], self.pair_end[a + j])
-                    lane[self.example[p] - block * LANE] += q * self.weight[p]
-            at = np.flatnonzero(lane > 0)
-            at = at[at + block * LANE != without]
-            best, scores = np.concatenate([best, at + block * LANE]), np.concatenate([scores, lane[at]])
+        order = np.argsort(-bound, kind="stable")
+        order = order[: int((bound > 0).sum())]
+        # Blocks by falling bound, a few at a time and more each time, until no bound reaches the k-th best cosine.
+        a, step = 0, FIRST_BLOCKS
+        while a < len(order) and not (len(best) == k and bound[order[a]] < scores[-1] - 1e-12):
+            wanted = np.zeros(self.blocks, bool)
+            wanted[order[a : a + step]] = True
+            here = np.flatnonzero(wanted[block])
+            first, n = self.pair_at[pairs[here]], self.pair_end[pairs[here]] - self.pair_at[pairs[here]]
+            at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            found, place = np.unique(self.example[at], return_inverse=True)
+            cosine = np.bincount(place, np.repeat(weight[here], n) * self.weight[at])
+            keep = found != without
+            best, scores = np.concatenate([best, found[keep]]), np.concatenate([scores, cosine[keep]])
             keep = np.lexsort((best, -scores))[:k]
-            best, scores = best[keep], scores[keep]
+            best, scores, a, step = best[keep], scores[keep], a + step, 4 * step
         return best, scores
 
     def vote(self, best: np.ndarray, scores: np.ndarray) -> float:
