@@ -170,8 +170,6 @@ class Page:
         """A row for each node, and the length of the text below it."""
         n = len(self.tag)
         sums = np.zeros((n, 6))  # text length, link text, words, sentence marks, nodes, capitals
-        start = np.full(n, -1.0)
-        total = 0.0
         for node, text, link in self.pieces:
             size = len(text)
             if size == 1 or not (words := text.count(" ") + 1 if not text.isspace() else 0):
@@ -183,16 +181,11 @@ class Page:
             row[2] += words
             row[3] += marks
             row[5] += text[:1].isupper()
-            if start[node] < 0:
-                start[node] = total
-            total += size
         sums[:, 4] = 1
         parent = self.parent
         for i in range(n - 1, 0, -1):
             p = parent[i]
             sums[p] += sums[i]
-            if start[i] >= 0 and (start[p] < 0 or start[i] < start[p]):
-                start[p] = start[i]
         own = np.zeros((n, len(GROUPS)))
         for i, attrs in enumerate(self.attrs):
             if attrs:
@@ -216,13 +209,14 @@ class Page:
             count[p] += 1
         up = np.maximum(np.array(parent), 0)
         length, link, words, marks, nodes, capitals = sums.T
+        size = lambda v, most: np.log1p(np.minimum(v, most))  # noqa: E731  pages may be far longer than any invented one
+        place, count, total = np.minimum(place, 8), np.minimum(count, 40), np.minimum(count[up], 40)
         some = np.maximum(length, 1)
         linked = link / some
         around = (sums[up, 1] - link) / np.maximum(sums[up, 0] - length, 1)
         columns = [
-            np.log1p(length), linked, np.log1p(words), marks / np.maximum(words, 1), length / nodes, np.log1p(nodes), capitals / nodes,
-            np.array(self.depth), place, count[up], place / np.maximum(count[up], 1), length / np.maximum(length[up], 1), length / max(length[0], 1),
-            np.maximum(start, 0) / max(total, 1), around, linked[up], np.log1p(length[up]), words / np.maximum(capitals, 1), above, inside, shady, good, count,
+            size(length, 2000), linked, size(words, 400), marks / np.maximum(words, 1), np.minimum(length / nodes, 500), size(nodes, 40), capitals / nodes, np.minimum(np.array(self.depth), 8),
+            place, total, np.maximum(length / np.maximum(length[up], 1), 0.02), around, linked[up], size(length[up], 2000), np.minimum(words / np.maximum(capitals, 1), 60), above, inside, shady, good, count,
         ]
         return np.column_stack([*columns, own, tags]), length
 
@@ -367,6 +361,10 @@ def invented_page(r: random.Random) -> str:
         body = f"<div{named('wrapper container layout page wrap site')}>{body}{after.pop() if after else ''}</div>"
     if r.random() < 0.06:
         body = ""
+    elif r.random() < 0.12:
+        before, after = [], []
+        if r.random() < 0.5:
+            return body
     return f"<html><head><title>{words(1, 5)}</title><script>var a='<p>';</script></head><body>{''.join(before)}{body}{''.join(after)}</body></html>"
 
 
