@@ -43,7 +43,8 @@ from ._words import _BYTES, _powers, mix
 
 LENGTH, GRAM, HOT, SIDE = 50, 20, 20_000, 13
 PLACES = LENGTH - GRAM + 1
-CHUNK, BUCKET = 8 << 20, 8 << 20  # bytes of text for each chunk and for each bucket of anchors
+CHUNK, BUCKET = 4 << 20, 4 << 20  # bytes of text for each chunk and for each bucket of anchors
+FINER = 3  # the index has 2**FINER times as many buckets: few anchors get there, but their stretches in many forms
 PIECE, INDEX = 1 << 20, 2 << 20  # bytes hashed, and bytes indexed, at a time
 LAST = (1 << 63) - 1
 _STEPS = [np.uint64(x) for x in np.random.default_rng(11).integers(1, 1 << 62, 6) * 2 + 1]
@@ -223,9 +224,9 @@ def _mark(bits: int):
             cold = np.flatnonzero(~hot)
             key = np.concatenate([key[cold], mix(key[left] + salt(left, 0)), mix(key[right] + salt(right, SIDE + GRAM) + np.uint64(1))])
             lo, hi, of = np.concatenate([lo[cold], lo[left], np.maximum(lo[right], at[right] + 1)]), np.concatenate([hi[cold], np.minimum(hi[left], at[left]), hi[right]]), np.concatenate([cold, left, right])
-        to = (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
+        to = (key >> np.uint64(64 - bits - FINER)).astype(np.int64)
         order = np.argsort(to, kind="stable")
-        cuts = np.searchsorted(to[order], np.arange((1 << bits) + 1))
+        cuts = np.searchsorted(to[order], np.arange((1 << (bits + FINER)) + 1))
         for b in np.flatnonzero(np.diff(cuts)):
             at = order[cuts[b] : cuts[b + 1]]
             u = of[at]
@@ -393,10 +394,10 @@ def _removed_spans(texts: DataFrame, size: int, scratch: Scratch) -> DataFrame:
     """(chunk, data): packed removed spans, from the bucketed table of texts (chunk, doc_id, text)."""
     bits = max(0, int(np.ceil(np.log2(max(1.0, size / BUCKET)))))
     sent = texts.groupBy("chunk").applyInArrow(_send(bits), "bucket long, chunk long, data binary")
-    answers = sent.groupBy("bucket").applyInArrow(_judge, "chunk long, bucket long, codes binary")
+    answers = sent.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(_judge, "chunk long, bucket long, codes binary")
     marked = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_mark(bits), "kind int, key long, data binary")
     marked = scratch.keep(marked, "marked")
-    deeper = marked.where("kind = 1").groupBy("key").applyInArrow(_index, "chunk long, data binary")
+    deeper = marked.where("kind = 1").repartition(1 << (bits + 1), "key").groupBy("key").applyInArrow(_index, "chunk long, data binary")
     return marked.where("kind = 0").select(F.col("key").alias("chunk"), "data").unionByName(deeper)
 
 
