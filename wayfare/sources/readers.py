@@ -83,12 +83,6 @@ def latest_zones(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(latest)).where("_r = 1").drop("_r")
 
 
-def read_parcels(spark: SparkSession, path: str | list[str], type_col: str = "UseType") -> DataFrame:
-    """Parcels with their land use from GeoJSON."""
-    rows = read_geojson(spark, path, [type_col])
-    return rows
-
-
 def read_roads(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return read_geojson(spark, path, [], lines=True)
 
