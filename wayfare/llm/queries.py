@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +31,8 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with base statistics and the verdict of risk-controlled rules."""
     from .quality import apply_rules
 
-    return apply_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    found = apply_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.withColumn("rejected_by", F.concat_ws(",", "rejected_by"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,4 +94,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracle import oracles
+
+    return oracles()
