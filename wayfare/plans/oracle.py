@@ -180,6 +180,7 @@ def oracles() -> dict[str, str]:
         "bing_tile": f"SELECT tile_x, tile_y, count(*) AS n, round({_corner('tile_y')}, 6) AS lat, round({_west('tile_x')}, 6) AS lon FROM (SELECT {TILE} FROM (SELECT latitude AS y, longitude AS x FROM ({P}))) GROUP BY tile_x, tile_y",
         "night_window": f"SELECT event_id, hour(datetime) >= 20 OR hour(datetime) < 7 AS is_night FROM ({P})",
         "standardize_type": f"SELECT ID, dest_type FROM ({typed})",
+        "title_case": "SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') AS title FROM part",
         "bbox_filter": f"SELECT event_id, ID FROM ({P}) WHERE longitude BETWEEN -118.4e0 AND -118.2e0 AND latitude BETWEEN 34.1e0 AND 34.3e0",
         "dedup_latest_zone": "SELECT zoneId, most_extreme_status, incident_name, datetime FROM (SELECT *, row_number() OVER (PARTITION BY zoneId, most_extreme_status ORDER BY datetime DESC, incident_name) AS q FROM (SELECT CAST(user_id AS VARCHAR) AS zoneId, event_type AS most_extreme_status, CAST(event_id AS VARCHAR) AS incident_name, strftime(ts, '%Y-%m-%d %H:%M:%S') AS datetime FROM events)) WHERE q = 1",
         "cluster_points": f"WITH RECURSIVE {CLUSTERS} SELECT ID, CAST(cid AS BIGINT) AS cluster_id, round(cy, 6) AS centroid_lat, round(cx, 6) AS centroid_lon, {_t(_us('s'), 'start_time')}, {_t(_us('e'), 'end_time')}, n AS n_points, round((e - s) / 1e6, 6) AS dwell_s FROM c",
@@ -191,6 +192,10 @@ def oracles() -> dict[str, str]:
         "route_default": f"{CHAIN}, lg AS (SELECT ID, g, lead(g) OVER (PARTITION BY ID ORDER BY g) AS g2 FROM chain) SELECT ID, CAST(g AS BIGINT) AS from_seq, CAST(g2 AS BIGINT) AS to_seq, 'unspecified' AS strategy, 'unresolved_strategy' AS route_status, CAST(NULL AS DOUBLE) AS route_length_m FROM lg WHERE g2 IS NOT NULL",
         "destinations_chain": f"{CHAIN}, {DAILY_CHAIN} {DEST.replace('__S__', 'trip_chain')}",
         "destinations_nightly": f"WITH RECURSIVE {NIGHTLY} {DEST.replace('__S__', 'intermediate_or_overnight')}",
+        "destination_land_use": f"""WITH RECURSIVE {NIGHTLY}, z AS ({fx.ZONES}), inz AS (SELECT dest.ID, o, min(zoneId) AS w FROM dest, z WHERE x > xmin AND x < xmax AND y > ymin AND y < ymax GROUP BY dest.ID, o),
+          nr AS (SELECT dest.ID, o, min(zoneId) AS w FROM dest, z WHERE {_rect(_x('x'), _y('y'))} <= 500 GROUP BY dest.ID, o)
+          SELECT dest.ID, CAST(dest.o AS BIGINT) AS dest_order, CASE coalesce(inz.w, nr.w) WHEN 'z1' THEN 'residential' WHEN 'z2' THEN 'open space' WHEN 'z3' THEN 'hotel/motel' WHEN 'z4' THEN 'industrial' ELSE 'unknown' END AS dest_type
+          FROM dest LEFT JOIN inz ON inz.ID = dest.ID AND inz.o = dest.o LEFT JOIN nr ON nr.ID = dest.ID AND nr.o = dest.o""",
         "away_islands": f"WITH {FAR} SELECT ID, CAST(f AS VARCHAR) AS first_day, CAST(l AS VARCHAR) AS last_day, n AS n_days FROM ({_islands('far')})",
         "departure_home": f"WITH {FAR}, {_departures(_islands('far'), 'far', 'datetime', 'datetime')} SELECT hm.ID, {_t('departure')}, {_t('ret', 'return_time')}, 'home' AS origin_type FROM hm LEFT JOIN dep ON dep.ID = hm.ID",
         "departure_chain": f"{CHAIN}, far AS (SELECT ID, ts, te, CAST(ts AS DATE) AS d FROM chain WHERE role IN ('intermediate', 'overnight', 'destination') AND dh > 1000), {_departures(_islands('far'), 'far', 'ts', 'te')} SELECT u.ID, {_t('departure')}, {_t('ret', 'return_time')}, CASE WHEN departure IS NULL THEN 'home' ELSE 'activity' END AS origin_type FROM (SELECT DISTINCT ID FROM chain) u LEFT JOIN dep ON dep.ID = u.ID",
