@@ -12,8 +12,6 @@ from .intervals import islands, selected_island, stay_bounds
 from .zones import BROADCAST_ZONES, with_bounds
 
 MILES = 0.000621371
-#: Residents up to this number are broadcast to the pings (about 200 bytes each).
-BROADCAST_HOMES = 200_000
 
 
 def outside_zones(x: Column, y: Column, zones: DataFrame, buffer_m: float) -> Column:
@@ -22,16 +20,22 @@ def outside_zones(x: Column, y: Column, zones: DataFrame, buffer_m: float) -> Co
     rows = zones.select(geo.project(F.col("geometry")).alias("g")).limit(BROADCAST_ZONES + 1).collect()
     if len(rows) > BROADCAST_ZONES:
         raise ValueError(f"more than {BROADCAST_ZONES} zones: dissolve them first")
-    near = F.lit(False)
+    shapes = []
     for row in rows:
         points = [p for polygon in row.g for ring in polygon for p in ring]
-        if not points:
-            continue
-        shape = F.array(*[F.array(*[F.array(*[F.struct(F.lit(p.x).alias("x"), F.lit(p.y).alias("y")) for p in ring]) for ring in polygon]) for polygon in row.g])
-        x1, x2, y1, y2 = min(p.x for p in points), max(p.x for p in points), min(p.y for p in points), max(p.y for p in points)
-        box = (x >= x1 - buffer_m) & (x <= x2 + buffer_m) & (y >= y1 - buffer_m) & (y <= y2 + buffer_m)
-        near = near | F.when(box, geo.distance(x, y, shape) < buffer_m).otherwise(False)
-    return F.coalesce(~near, F.lit(True))
+        if points:
+            shape = F.array(*[F.array(*[F.array(*[F.struct(F.lit(p.x).alias("x"), F.lit(p.y).alias("y")) for p in ring]) for ring in polygon]) for polygon in row.g])
+            shapes.append((shape, min(p.x for p in points), max(p.x for p in points), min(p.y for p in points), max(p.y for p in points)))
+
+    def near(p: Column) -> Column:
+        found = F.lit(False)
+        for shape, x1, x2, y1, y2 in shapes:
+            box = (p["x"] >= x1 - buffer_m) & (p["x"] <= x2 + buffer_m) & (p["y"] >= y1 - buffer_m) & (p["y"] <= y2 + buffer_m)
+            found = found | F.when(box, geo.distance(p["x"], p["y"], shape) < buffer_m).otherwise(False)
+        return found
+
+    # The point is computed once for each row, not once for each segment that it is compared with.
+    return F.coalesce(~geo.let(F.struct(x.alias("x"), y.alias("y")), near), F.lit(True))
 
 
 def impute_distance(rows: DataFrame, user: str, time: list[str], distance: str) -> DataFrame:
@@ -49,8 +53,7 @@ def compute_stops(pings: DataFrame, zoned_homes: DataFrame, zones: DataFrame, bu
     homes = zoned_homes.where(~F.col("ZoneType").eqNullSafe("Outside"))
     homes = homes.withColumn("_r", F.row_number().over(Window.partitionBy("ID").orderBy("home_lat_4326", "home_lon_4326"))).where("_r = 1")
     homes = homes.select("ID", geo.mercator_x(F.col("home_lon_4326")).alias("home_lon"), geo.mercator_y(F.col("home_lat_4326")).alias("home_lat"), *wanted)
-    if zoned_homes.count() <= BROADCAST_HOMES:
-        homes = F.broadcast(homes)
+    # No hint: joined by a shuffle on ID, the pings are already dealt for the windows that follow; Spark may still broadcast.
     kind = dict(pings.dtypes)["datetime"]
     zone = resolve_tz(pings, "datetime", local_tz)
     clock = local_clock(F.col("datetime"), kind, zone) if local_tz else (F.try_to_timestamp("datetime") if kind == "string" else F.col("datetime"))

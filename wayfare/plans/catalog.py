@@ -424,6 +424,30 @@ def ks_test(spark: SparkSession, sf: str) -> DataFrame:
     return reports.ks_test(fx.records(spark, sf), "segment")
 
 
+@query
+def alert_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.alert_offsets(fx.zones(spark, sf), "2024-01-07 12:00:00")
+
+
+@query
+def night_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.night_intervals("2024-01-08 03:00:00", "2024-01-11 00:00:00", spark, hours=72.0).select(r6("from_hour"), r6("to_hour"))
+
+
+@query
+def heatmap_week(spark: SparkSession, sf: str) -> DataFrame:
+    out = reports.temporal_heatmap_long(fx.pings(spark, sf), "2024-01-08 00:00:00", 7, "datetime")
+    return out.select(F.col("date").cast("string").alias("date"), F.col("hour").cast("long").alias("hour"), "n")
+
+
+@query
+def ping_normalization(spark: SparkSession, sf: str) -> DataFrame:
+    """Vendor names and epoch milliseconds to the usual columns; bad numbers become null."""
+    raw = fx.table(spark, sf, "events").select(F.col("user_id").alias("GRID"), "event_id", F.expr("CASE WHEN event_id % 7 = 0 THEN 'bad' ELSE CAST(user_id % 90 AS STRING) END").alias("GEOHASHLAT"), F.lit("-118").alias("GEOHASHLONG"), (F.col("event_id") * 60_000).alias("TIMESTAMP"))
+    rows = readers.normalize_pings(raw)
+    return rows.select("ID", "event_id", "latitude", "longitude", at("datetime"))
+
+
 @query
 def unique_devices(spark: SparkSession, sf: str) -> DataFrame:
     return residents.unique_devices(fx.pings(spark, sf))

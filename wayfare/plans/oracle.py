@@ -237,5 +237,9 @@ def oracles() -> dict[str, str]:
         "crosstab_margins": f"SELECT coalesce(ZoneType, 'All') AS ZoneType, coalesce(Category, 'All') AS Category, count(*) AS n FROM ({C}) GROUP BY CUBE (ZoneType, Category)",
         "od_extent": f"WITH pv AS ({P}), hm AS ({HOMES}), q AS (SELECT home_lat_4326 AS a, home_lon_4326 AS o FROM pv JOIN hm USING (ID) UNION ALL SELECT latitude, longitude FROM pv JOIN hm USING (ID)), b AS (SELECT quantile_cont(a, 0.005) AS a0, quantile_cont(a, 0.995) AS a1, quantile_cont(o, 0.005) AS o0, quantile_cont(o, 0.995) AS o1 FROM q) SELECT round(a0 - greatest(0.2, (a1 - a0) * 0.12), 6) AS lat_min, round(a1 + greatest(0.2, (a1 - a0) * 0.12), 6) AS lat_max, round(o0 - greatest(0.2, (o1 - o0) * 0.12), 6) AS lon_min, round(o1 + greatest(0.2, (o1 - o0) * 0.12), 6) AS lon_max FROM b",
         "ks_statistics": f"{gap} SELECT a.g AS group_a, b.g AS group_b, CAST(a.n AS BIGINT) AS n_a, CAST(b.n AS BIGINT) AS n_b, round(max(abs(a.cum / CAST(a.n AS DOUBLE) - b.cum / CAST(b.n AS DOUBLE))), 6) AS d FROM f a JOIN f b ON a.v = b.v AND a.g < b.g GROUP BY 1, 2, 3, 4",
+        "alert_offsets": f"SELECT epoch(min(CASE WHEN contains(most_extreme_status, 'Evacuation Warning') THEN CAST(datetime AS TIMESTAMP) END) - TIMESTAMP '2024-01-07 12:00:00') / 3600 AS warning_hours, epoch(min(CASE WHEN contains(most_extreme_status, 'Evacuation Order') THEN CAST(datetime AS TIMESTAMP) END) - TIMESTAMP '2024-01-07 12:00:00') / 3600 AS order_hours FROM ({fx.ZONES})",
+        "night_intervals": "SELECT from_hour, to_hour FROM (SELECT greatest(24e0 * i - 7, 0e0) AS from_hour, least(24e0 * i + 4, 72e0) AS to_hour FROM range(0, 5) r(i)) WHERE from_hour < to_hour",
+        "heatmap_week": f"SELECT CAST(CAST(datetime AS DATE) AS VARCHAR) AS date, hour(datetime) AS hour, count(*) AS n FROM ({P}) WHERE datetime BETWEEN TIMESTAMP '2024-01-08' AND TIMESTAMP '2024-01-15' GROUP BY 1, 2",
+        "ping_normalization": "SELECT user_id AS ID, event_id, CASE WHEN event_id % 7 <> 0 THEN CAST(user_id % 90 AS DOUBLE) END AS latitude, -118e0 AS longitude, strftime(make_timestamp(event_id * 60000000), '%Y-%m-%d %H:%M:%S') AS datetime FROM events",
         "unique_devices": "SELECT count(DISTINCT user_id) AS n_devices FROM events",
     }
