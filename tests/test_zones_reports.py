@@ -160,3 +160,10 @@ def test_stream_equals_batch(spark, tmp_path):
         warnings.simplefilter("ignore")
         batch = clustering.cluster_events(spark.createDataFrame(rows, schema), user="user_id").collect()
     assert sorted(got, key=str) == sorted([(r.event_type, r.cluster_id, r.n_points) for r in batch], key=str)
+
+
+def test_ecdf_is_positional(spark):
+    values = [3.0, 1.0, 1.0, 250.0, 0.05, 0.04, 7.7]
+    df = spark.createDataFrame([(i, 1, v) for i, v in enumerate(values)], "ID long, dest_order int, eu_distance_km double")
+    found = sorted((r.distance, r.ecdf) for r in reports.distance_ecdf(df).collect())
+    assert found == [(v, pytest.approx((k + 1) / 7)) for k, v in enumerate(sorted(values))]

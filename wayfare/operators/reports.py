@@ -56,13 +56,30 @@ def departure_curve(records: DataFrame, start: str, end: str, freq: str = "1h",
     return joined.join(F.broadcast(total)).select("Datetime", "Cumulative_Count", share.alias("Cumulative_Pct"))
 
 
+def positional_share(rows: DataFrame, value: str, width: float, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Adds the share of rows of each key up to and with each row, in the order of ``value``, then ``order``.
+
+    Rows are ranked within bins of ``width``; the rows in bins before come from the bins' counts. So no task sorts more
+    than a bin, and only the counts (a row for each bin) meet in one."""
+    binned = rows.withColumn("_bin", F.floor(F.col(value) / width))
+    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    counts = binned.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    before = part.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_bin").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(part).alias("_all"))
+    same = F.col("_bin") == F.col("_b")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "_bin").orderBy(value, *order))
+    out = binned.join(counts, same).withColumn(name, (F.col("_before") + rank) / F.col("_all"))
+    return out.drop("_bin", "_b", "_before", "_all", *[f"_key_{k}" for k in keys])
+
+
 def departure_hours_curve(metrics: DataFrame, reference: str, group: str | None = None, hours: float = 72.0) -> DataFrame:
     """Running share of residents who left, by hours since the reference, within 0 to ``hours``; Category NER is left out."""
     h = seconds_between(F.lit(reference).cast("timestamp_ntz"), F.col("DepartureDate").cast("timestamp_ntz")) / 3600.0
     keys = [group] if group else []
     rows = metrics.where("Category <> 'NER'").select("ID", *keys, h.alias("hours")).where(F.col("hours").between(0, hours))
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    return rows.withColumn("pct", F.row_number().over(part.orderBy("hours", "ID")) / F.count(F.lit(1)).over(part) * 100)
+    return positional_share(rows, "hours", 1 / 60, keys, ["ID"], "pct").withColumn("pct", F.col("pct") * 100)
 
 
 def departures_by_hour(metrics: DataFrame) -> DataFrame:
@@ -174,10 +191,9 @@ def distance_histogram(destinations: DataFrame, max_km: float = 300.0, bin_width
 
 def distance_ecdf(destinations: DataFrame, group: str | None = None, distance: str = "eu_distance_km") -> DataFrame:
     """Positional empirical distribution: the k-th smallest of n distances has k / n."""
-    part = Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))
     keys = [group] if group else []
     rows = destinations.where(F.col(distance).isNotNull()).select(*keys, F.col(distance).alias("distance"), "ID", "dest_order")
-    return rows.withColumn("ecdf", F.row_number().over(part.orderBy("distance", "ID", "dest_order")) / F.count(F.lit(1)).over(part)).drop("ID", "dest_order")
+    return positional_share(rows, "distance", 0.1, keys, ["ID", "dest_order"], "ecdf").drop("ID", "dest_order")
 
 
 def distance_decay(destinations: DataFrame, max_km: float = 300.0, step: float = 5.0, group: str | None = None, distance: str = "eu_distance_km") -> DataFrame:
