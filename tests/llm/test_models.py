@@ -264,6 +264,15 @@ def test_pseudo_likelihood_learns_both_sides(spark):
     assert ordered > shuffled + 0.5 and ordered > -2.2
 
 
+def test_every_word_trains_once(spark):
+    """The rounds together train on all words of the corpus, whatever its size and its texts' lengths."""
+    rows = documents()
+    scratch = Scratch(spark, "t")
+    scoring.train(table(spark, rows), scratch)
+    seen = [sum(x.n for x in spark.read.parquet(scratch.path(f"round{k}-0")).where("part = 0").collect()) for k in range(scoring.ROUNDS)]
+    assert sum(seen) == sum(len((x[1] or "").split()) for x in rows) and min(seen) > 0.4 * sum(seen)
+
+
 def test_probabilities_sum_to_one():
     net = scoring.Network.start(np.arange(scoring.PAD, dtype=float))
     context = np.tile([[5, 9, 100, scoring.PAD]], (scoring.PAD, 1))

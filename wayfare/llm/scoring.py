@@ -7,10 +7,10 @@ log P(word | both sides). A document's score is the sum over its words. The netw
 Word ids: the ``WORDS`` most frequent words of the whole corpus (A-Z folded; counted over all documents) have their own,
 all others share ``BUCKETS`` ids by hash.
 
-Training covers the corpus: each task trains a copy of one starting network on every ``STRIDE``-th word of all texts it
-reads (chosen by a hash, so the amount grows with the input), and the copies are averaged, weighted by their words, in
-levels of ``FAN`` copies, block by block of parameters: no task or driver ever holds more than ``FAN`` blocks. The average
-is the next round's start.
+Training covers the corpus: a hash of a word and its place in the text deals all words into rounds, so each word of the
+corpus is the target of exactly one step. In a round each task trains a copy of one starting network on the round's words
+of all texts it reads, and the copies are averaged, weighted by their words, in levels of ``FAN`` copies, block by block
+of parameters: no task or driver ever holds more than ``FAN`` blocks. The average is the next round's start.
 
 Defined results: null and empty texts have 0 words, score 0 and no mean; a null doc_id stays null; repeated rows get
 equal scores; without any word the network stays as it started. Extra columns are ignored; an empty table gives an empty
@@ -32,7 +32,7 @@ from ._words import hashed_words, mix, small_batches
 WORDS, BUCKETS, CLASSES, DIM = 2048, 2048, 64, 16
 MEMBERS = (WORDS + BUCKETS) // CLASSES
 PLACES = (-2, -1, 1, 2)
-STRIDE, BATCH, RATE, ROUNDS, FAN, PARTS = 16, 512, 0.35, 2, 32, 8
+BATCH, RATE, ROUNDS, FAN, PARTS = 512, 0.35, 2, 32, 8
 PAD = WORDS + BUCKETS
 
 
@@ -89,18 +89,25 @@ class Network:
         self.classes -= rate / n * (h.T @ p)
         self.class_bias -= rate / n * p.sum(0)
         order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in np.flatnonzero(np.diff(cuts)):
-            at = order[cuts[c] : cuts[c + 1]]
-            q = np.exp(_log_softmax(h[at] @ self.members[c] + self.member_bias[c]))
-            q[np.arange(len(at)), member[at]] -= 1
-            back[at] += q @ self.members[c].T
-            # A member table sees few rows of a batch: its step is per row, as that of the embeddings.
-            self.members[c] -= rate / np.sqrt(n) * (h[at].T @ q)
-            self.member_bias[c] -= rate / np.sqrt(n) * q.sum(0)
+        sorted_h, cuts = h[order], np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        present = np.flatnonzero(np.diff(cuts))
+        q, down = np.empty((n, MEMBERS), np.float32), np.empty_like(h)
+        for c in present:
+            np.matmul(sorted_h[cuts[c] : cuts[c + 1]], self.members[c], out=q[cuts[c] : cuts[c + 1]])
+        q += self.member_bias[cls[order]]
+        q = np.exp(_log_softmax(q))
+        q[np.arange(n), member[order]] -= 1
+        # A member table sees few rows of a batch: its step is per row, as that of the embeddings.
+        each = float(rate / np.sqrt(n))
+        for c in present:
+            here = slice(cuts[c], cuts[c + 1])
+            np.matmul(q[here], self.members[c].T, out=down[here])
+            self.members[c] -= each * (sorted_h[here].T @ q[here])
+        self.member_bias[present] -= each * np.add.reduceat(q, cuts[present])
+        back[order] += down
         back *= 1 - h * h
         self.hidden -= rate / n * back.sum(0)
-        back *= rate / np.sqrt(n)
+        back *= each
         for k in range(len(PLACES)):
             np.subtract.at(self.embed[k], context[:, k], back)
 
@@ -200,7 +207,8 @@ def train(docs: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> tuple[Voca
             for batch in small_batches(batches):
                 for ids, found, parts in _lines(batch, words):
                     at = _places(parts)
-                    at = at[mix(found[at] + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(turn)) % np.uint64(STRIDE) == 0]
+                    place = np.concatenate([np.arange(n, dtype=np.uint64) for _, _, n in parts])
+                    at = at[mix(found[at] + place * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(rounds) == turn]
                     waiting.append((_context(ids, at), ids[at]))
                     ready += len(at)
                     while ready >= BATCH:
