@@ -273,6 +273,28 @@ def test_every_word_trains_once(spark):
     assert sum(seen) == sum(len((x[1] or "").split()) for x in rows) and min(seen) > 0.4 * sum(seen)
 
 
+def test_words_of_a_shared_id_have_their_own_probability(spark):
+    """The network's probability of an id is divided among its words by their counts, with a rest for unseen words."""
+    own = " ".join(f"top{k} top{k} top{k} top{k} top{k}" for k in range(scoring.WORDS))
+    rare = [f"r{k}" for k in range(2 * scoring.BUCKETS) for _ in range(1 + k % 3)]
+    docs = table(spark, [(1, own, None, None, None, None), (2, " ".join(rare), None, None, None, None)])
+    scratch = Scratch(spark, "t")
+    vocabulary, net, counts, mass = scoring.train(docs, scratch)
+    texts = ["top1 r5 top2", "top1 r4 top2", "top1 never top2", "r3 r3 r3 r7"]
+    n = collections.Counter(rare)
+    found = {x.doc_id: x for x in scoring.score(table(spark, [(i, t, None, None, None, None) for i, t in enumerate(texts)] + [(None, None, None, None, None, None)]), vocabulary, net, counts, mass, scratch).collect()}
+    assert len(found) == len(texts) + 1 and found[None].n_tokens == 0
+    batch = __import__("pyarrow").RecordBatch.from_pydict({"text": texts})
+    ((ids, _, parts),) = list(scoring._lines(batch, vocabulary))
+    for i, a, k in parts:
+        at = np.arange(a, a + k)
+        expected = net.log_probability(scoring._context(ids, at), ids[at]).sum()
+        for w, d in zip(texts[i].split(), ids[at], strict=True):
+            assert (d >= scoring.WORDS) == (not w.startswith("top"))
+            expected += np.log(max(n[w], 1) / (mass[d] + 1)) if d >= scoring.WORDS else 0
+        assert found[i].pseudo_log_likelihood == pytest.approx(expected, abs=1e-3)
+
+
 def test_probabilities_sum_to_one():
     net = scoring.Network.start(np.arange(scoring.PAD, dtype=float))
     context = np.tile([[5, 9, 100, scoring.PAD]], (scoring.PAD, 1))

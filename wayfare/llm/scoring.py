@@ -5,7 +5,9 @@ Every word of a text is predicted from the two words before and the two after it
 log P(word | both sides). A document's score is the sum over its words. The network is trained in numpy.
 
 Word ids: the ``WORDS`` most frequent words of the whole corpus (A-Z folded; counted over all documents) have their own,
-all others share ``BUCKETS`` ids by hash.
+all others share ``BUCKETS`` ids by hash. The network gives the probability of an id; a word within a shared id has the
+share n / (N + 1) of it, n and N being the corpus counts of the word and of the id, and the remaining 1 / (N + 1) stands for
+words never counted. Counts of these words meet the documents' words by a join.
 
 Training covers the corpus: a hash of a word and its place in the text deals all words into rounds, so each word of the
 corpus is the target of exactly one step. In a round each task trains a copy of one starting network on the round's words
@@ -176,8 +178,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(held[i : i + 50_000].view(np.int64)), pa.array(counts[i : i + 50_000])], ["word", "n"])
 
 
-def train(docs: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> tuple[Vocabulary, Network]:
-    """Vocabulary and network from all documents (text)."""
+def train(docs: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> tuple[Vocabulary, Network, DataFrame, np.ndarray]:
+    """From all documents (text): vocabulary, network, counts (word, n) of all words, and the counts of all ids."""
     spark = docs.sparkSession
     texts = docs.select(F.col("text").cast("string").alias("text"))
     counts = scratch.keep(texts.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
@@ -192,7 +194,7 @@ def train(docs: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> tuple[Voca
         mass[WORDS + r.b] = r.n
     net = Network.start(mass)
     if not top:
-        return vocabulary, net
+        return vocabulary, net, counts, mass
     size = -(-Network.SIZE // PARTS)
     for turn in range(rounds):
         held = spark.sparkContext.broadcast((vocabulary, net.flat))
@@ -235,7 +237,7 @@ def train(docs: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> tuple[Voca
             parts = scratch.keep(merged, f"round{turn}-{level}")
         flat = np.concatenate([np.frombuffer(r.data, np.float32) for r in parts.orderBy("part").collect()])  # one network
         net = Network(flat.copy())
-    return vocabulary, net
+    return vocabulary, net, counts, mass
 
 
 def _average(table: pa.Table) -> pa.Table:
@@ -248,31 +250,46 @@ def _average(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([table.column("part")[0].as_py()], pa.int32()), pa.array([table.column("up")[0].as_py()], pa.int64()), pa.array([total], pa.int64()), pa.array([out.astype(np.float32).tobytes()], pa.binary())], names=["part", "shard", "n", "data"])
 
 
-def score(docs: DataFrame, vocabulary: Vocabulary, net: Network) -> DataFrame:
+def score(docs: DataFrame, vocabulary: Vocabulary, net: Network, counts: DataFrame, mass: np.ndarray, scratch: Scratch) -> DataFrame:
     """Documents (doc_id, text) to (doc_id, n_tokens, pseudo_log_likelihood, mean_log_probability), one row each."""
-    held = docs.sparkSession.sparkContext.broadcast((vocabulary, net.flat))  # a fixed number of parameters
+    held = docs.sparkSession.sparkContext.broadcast((vocabulary, net.flat, np.log(mass + 1.0)))  # a fixed number of parameters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, flat = held.value
-        own = Network(flat)
+        from pyspark import TaskContext
+
+        words, flat, whole = held.value
+        own, row = Network(flat), TaskContext.get().partitionId() << 40
         for batch in small_batches(batches):
             total, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            for ids, _, parts in _lines(batch, words):
+            shared: list[np.ndarray] = [np.zeros(0, np.uint64)]
+            sizes = np.zeros(batch.num_rows, np.int64)
+            for ids, found, parts in _lines(batch, words):
                 at = _places(parts)
                 rows = np.repeat([r for r, _, _ in parts], [k for _, _, k in parts])
                 for i in range(0, len(at), 8192):
                     here = at[i : i + 8192]
                     logs = own.log_probability(_context(ids, here), ids[here])
+                    logs -= np.where(ids[here] >= WORDS, whole[ids[here]], 0.0)
                     total += np.bincount(rows[i : i + 8192], logs, batch.num_rows)
                 n += np.bincount(rows, minlength=batch.num_rows)
-            mean = np.divide(total, n, out=np.zeros_like(total), where=n > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(total), pa.array(mean, mask=n == 0)], ["doc_id", "n_tokens", "pseudo_log_likelihood", "mean_log_probability"])
+                out = ids[at] >= WORDS
+                shared.append(found[at[out]])
+                sizes += np.bincount(rows[out], minlength=batch.num_rows)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(shared).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + batch.num_rows)), batch.column("doc_id"), pa.array(n), pa.array(total), lists], ["row", "doc_id", "n", "total", "shared"])
+            row += batch.num_rows
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, pseudo_log_likelihood double, mean_log_probability double")
+    scored = scratch.keep(rows.mapInArrow(run, "row long, doc_id long, n long, total double, shared array<long>"), "scored")
+    # Logarithms are added as whole numbers of 2**-30, so that a sum does not depend on the order of its terms.
+    log = F.round(F.log("n") * float(1 << 30)).cast("long")
+    added = scored.select("row", F.explode("shared").alias("word")).join(counts.select("word", log.alias("log")), "word").groupBy("row").agg(F.sum("log").alias("log"))
+    total = F.col("total") + F.coalesce(F.col("log") / float(1 << 30), F.lit(0.0))
+    both = scored.drop("shared").join(added, "row", "left").select("doc_id", F.col("n").alias("n_tokens"), total.alias("pseudo_log_likelihood"))
+    return both.withColumn("mean_log_probability", F.when(F.col("n_tokens") > 0, F.col("pseudo_log_likelihood") / F.col("n_tokens")))
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """Trains on all documents and scores all of them."""
-    vocabulary, net = train(docs, Scratch(docs.sparkSession, "scoring"))
-    return score(docs, vocabulary, net)
+    scratch = Scratch(docs.sparkSession, "scoring")
+    return score(docs, *train(docs, scratch), scratch)
