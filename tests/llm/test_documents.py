@@ -171,6 +171,33 @@ def test_decontamination(spark):
     assert decontamination.overlaps(table(spark), benchmark.where("false")).count() == 0
 
 
+def test_decontamination_of_short_items(spark):
+    """Items below a window overlap with all but one word equal (6 to 11 words) or all words (1 to 5)."""
+    r = random.Random(12)
+    items = [(n, words(r, n, "klmnopqrst")) for n in range(1, 15)]
+    rows = []
+    for n, item in items:
+        for changes in range(4):
+            for k in range(n):
+                w = item.split()
+                for at in [k, *r.sample(range(n), n)][: min(changes, n)]:
+                    w[at] = "other"
+                rows.append((len(rows), " ".join([words(r, k % 4), *w, words(r, (k + n) % 3)]), None, None, None, None))
+
+    def overlap(text, item):
+        a, b = folded(text), folded(item)
+        width = min(12, len(b))
+        need = math.ceil(10 * width / 12)
+        return any(sum(x == y for x, y in zip(a[i : i + width], b[j : j + width], strict=True)) >= need for i in range(len(a) - width + 1) for j in range(len(b) - width + 1))
+
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {(x.doc_id, x.item_id) for x in decontamination.overlaps(table(spark, rows), benchmark, short=True).collect()}
+    expected = {(x[0], k) for x in rows for k, item in items if overlap(x[1], item)}
+    assert found == expected and {k for _, k in found} == set(range(1, 15))
+    kept = decontamination.keep_uncontaminated(table(spark, rows), benchmark, short=True)
+    assert {x.doc_id for x in kept.collect()} == {x[0] for x in rows} - {i for i, _ in expected}
+
+
 def test_decontamination_blocks(spark):
     r = random.Random(9)
     items = [(k, words(r, 20)) for k in range(9)]

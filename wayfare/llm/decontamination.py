@@ -4,15 +4,18 @@ Words (A-Z folded) of benchmark items and documents are hashed. A mask ignores s
 other words' hashes form a seed. The three masks find, by design, every stretch of ``WINDOW`` words that agrees with an
 item in all but two words at most: for each way to place two differences, some mask hits (all 79 ways are tested). Each
 hit names a diagonal of a document and an item. On it, words are compared one by one; a document overlaps an item if
-``LEAST`` of ``WINDOW`` aligned words agree (an item of 6 to 11 words: all words). Spans of overlapping stretches are
-returned.
+``LEAST`` of ``WINDOW`` aligned words agree. Spans of overlapping stretches are returned.
+
+With ``short``, as in the query and the pipeline, an item of fewer than ``WINDOW`` words overlaps if the same share of its
+words agrees, rounded up: all but one of 6 to 11, all of 1 to 5. Its seeds are its first and its last half, of which one
+difference leaves one whole, or all of its words. Without ``short``, all words of 6 to 11 have to agree, and shorter items
+are ignored.
 
 Test hashes are joined to training hashes in blocks of ``SEEDS`` seeds, each a sorted table of that bounded size that is
 broadcast: the documents are read once for each block, texts are never shuffled, and no hit is dropped, however often a
 seed occurs.
 
-Defined results: null and empty texts overlap with nothing; an item of fewer than 6 words is no evidence and is ignored;
-a null doc_id or item_id stays null; repeated rows give repeated results. Extra columns are ignored; empty tables give
+Defined results: null and empty texts overlap with nothing; a null doc_id or item_id stays null; repeated rows give repeated results. Extra columns are ignored; empty tables give
 an empty result.
 """
 
@@ -39,7 +42,7 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
     n = len(words) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.full(n, MASKS.index(mask) + 1, np.uint64)
+    out = np.full(n, MASKS.index(mask) + 1 if mask in MASKS else len(MASKS) + len(mask), np.uint64)
     for j, c in enumerate(mask):
         if c == "1":
             out = out * np.uint64(0x9E3779B97F4A7C15) + words[j : j + n]
@@ -49,9 +52,18 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
 class Seeds:
     """The seeds of some items: sorted hashes with item and place, a sieve before them, and the items' word hashes."""
 
-    def __init__(self, items: list[tuple[int | None, np.ndarray]]):
-        self.ids, self.items = [i for i, _ in items], [w for _, w in items]
-        parts = [(s, np.full(len(s), k), np.arange(len(s))) for k, w in enumerate(self.items) for m in MASKS if len(s := seeds(w, m))]
+    def __init__(self, items: list[tuple[int | None, np.ndarray]], short: bool = False):
+        self.ids, self.items, self.short = [i for i, _ in items], [w for _, w in items], short
+        brief = [short and len(w) < WINDOW for w in self.items]
+        parts = [(s, np.full(len(s), k), np.arange(len(s))) for k, w in enumerate(self.items) for m in MASKS if not brief[k] and len(s := seeds(w, m))]
+        self.masks = list(MASKS)
+        for k in np.flatnonzero(brief):
+            n = len(self.items[k])
+            size = n if n < 6 else n // 2
+            if "1" * size not in self.masks[len(MASKS) :]:
+                self.masks.append("1" * size)
+            at = np.unique([0, n - size])
+            parts.append((seeds(self.items[k], "1" * size)[at], np.full(len(at), k), at))
         found, item, place = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
         order = np.argsort(found, kind="stable")
         self.hash, self.item, self.place = found[order], item[order].astype(np.int64), place[order].astype(np.int64)
@@ -61,7 +73,7 @@ class Seeds:
     def overlaps(self, words: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item number, first word, end word, equal words) of each overlapping span of a document."""
         diagonals = []
-        for mask in MASKS:
+        for mask in self.masks:
             found = seeds(words, mask)
             at = np.flatnonzero(self.sieve[(found >> np.uint64(64 - SIEVE)).astype(np.int64)])
             if not len(at):
@@ -83,7 +95,7 @@ class Seeds:
             if b - a < width:
                 continue
             total = np.concatenate([[0], np.cumsum(equal)])
-            good = np.flatnonzero(total[width:] - total[:-width] >= (LEAST if width == WINDOW else width))
+            good = np.flatnonzero(total[width:] - total[:-width] >= (-(-LEAST * width // WINDOW) if self.short or width == WINDOW else width))
             if len(good):
                 for run in np.split(good, np.flatnonzero(np.diff(good) > width) + 1):
                     lo, hi = int(run[0]), int(run[-1]) + width
@@ -91,32 +103,32 @@ class Seeds:
         return out
 
 
-def blocks(benchmark: DataFrame, most: int = SEEDS) -> Iterator[Seeds]:
+def blocks(benchmark: DataFrame, most: int = SEEDS, short: bool = False) -> Iterator[Seeds]:
     """The items in blocks of at most about ``most`` seeds, one item at least; one block is held at a time."""
     held, n = [], 0
     for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator():
         words = next(hashed_words(pa.array([row.text or ""])))[1]
-        if len(words) < 6:
+        if len(words) < (1 if short else 6):
             continue
         held.append((row.item_id, words))
         n += len(MASKS) * len(words)
         if n >= most:
-            yield Seeds(held)
+            yield Seeds(held, short)
             held, n = [], 0
     if held:
-        yield Seeds(held)
+        yield Seeds(held, short)
 
 
 SPAN = "doc_id long, item_id long, first_word long, end_word long, equal_words long"
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, short: bool = False) -> DataFrame:
     """Spans (doc_id, item_id, first_word, end_word, equal_words) of documents (doc_id, text) that overlap items."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for block in blocks(benchmark):
+    for block in blocks(benchmark, short=short):
         held = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -134,11 +146,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out if out is not None else spark.createDataFrame([], SPAN)
 
 
-def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", short: bool = False) -> DataFrame:
     """The rows of ``docs`` without any overlap, with all their columns."""
     spark = docs.sparkSession
     ship(spark)
-    for block in blocks(benchmark):
+    for block in blocks(benchmark, short=short):
         held = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:

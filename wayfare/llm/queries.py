@@ -55,7 +55,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of documents that overlap a benchmark item."""
     from .decontamination import overlaps
 
-    return overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), short=True)
 
 
 def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
