@@ -128,6 +128,13 @@ def test_index_is_sorted_and_sparse(spark):
     assert index.locate(nobody).count() == 0
 
 
+def test_urls_with_raw_spaces_are_found(spark):
+    """A raw space sorts before a percent sign, its encoded form does not: neighbours that change places."""
+    urls = ["http://e.org/?q=a b", "http://e.org/?q=a%20a", "http://e.org/?q=a\tc", "http://e.org/?q=a!"]
+    found = warc.archive_and_read(spark.createDataFrame([(i, u, f"page {i}", None) for i, u in enumerate(urls)], PAGES)).collect()
+    assert sorted((x.page_id, x.payload) for x in found) == [(i, f"page {i}") for i in range(len(urls))]
+
+
 def test_url_keys():
     assert warc.url_key("http://www.A.org:80/x?y#z") == "org,a,www:80)/x?y"
     assert warc.url_key("https://u:p@b.net") == "net,b)/" and warc.url_key(None) == "" and warc.url_key(" x ") == "x"

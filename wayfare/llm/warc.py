@@ -109,7 +109,7 @@ def _write(root: str, most: int):
                     out = files.open_output_stream(f"{base}/{name}", compression=None)
                 data = record(page_id, url, (html or "").encode(), digest, first, first is not None and first != page_id)
                 out.write(data)
-                rows.append((url_key(url), page_id, name, at, len(data)))
+                rows.append((_header(url_key(url)), page_id, name, at, len(data)))
                 at += len(data)
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["key", "page_id", "file", "offset", "length"])
         if out is not None:
@@ -139,8 +139,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, current, number = [], None, 0
 
     def block():
-        lines = "\n".join(f"{_header(k)}\t{i}\t{f}\t{o}\t{n}" for k, i, f, o, n in held)
-        return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([number], pa.int32()), pa.array([_header(held[0][0])]), pa.array([held[0][1]], pa.int64()), pa.array([zlib.compress(lines.encode(), 6)], pa.binary())], ["range", "block", "first_key", "first_id", "data"])
+        lines = "\n".join(f"{k}\t{i}\t{f}\t{o}\t{n}" for k, i, f, o, n in held)
+        return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([number], pa.int32()), pa.array([held[0][0]]), pa.array([held[0][1]], pa.int64()), pa.array([zlib.compress(lines.encode(), 6)], pa.binary())], ["range", "block", "first_key", "first_id", "data"])
 
     for batch in batches:
         for part, *line in zip(*(batch.column(c).to_pylist() for c in ("range", "key", "id", "file", "offset", "length")), strict=True):
