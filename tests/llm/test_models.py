@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import html
+import math
 import random
 import re
 import zlib
@@ -223,27 +224,85 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == docs.columns and kept.count() == sum(1 - x.predicted for x in found)
 
 
-def test_nearest_is_exact():
-    r = np.random.default_rng(3)
-    terms = [f"t{k}" for k in range(40)]
-    examples = []
-    for d in range(500):
-        ids = np.sort(r.choice(40, r.integers(0, 6), replace=False)).tolist()
-        examples.append((d, int(r.random() < 0.3), ids, r.integers(1, 5, len(ids)).tolist()))
-    index = toxicity.Index(terms, r.uniform(1, 4, 40), examples)
-    full = np.zeros((len(index.ids), 40))
-    for t in range(40):
-        at = slice(index.term_at[t], index.term_at[t + 1])
-        full[index.example[at], t] = index.weight[at]
-    for _ in range(200):
-        ids = np.sort(r.choice(40, r.integers(1, 6), replace=False))
-        q = index.weights(ids, r.integers(1, 5, len(ids)))
-        dense = np.zeros(40)
-        dense[q[0]] = q[1]
-        cosine = full @ dense
-        best, scores = index.nearest(q)
-        assert np.allclose(scores, np.sort(cosine[cosine > 0])[::-1][: toxicity.NEIGHBOURS])
-        assert np.allclose(cosine[best], scores)
+def labelled(n=600, seed=3):
+    """(doc_id, toxic, counts) of random texts: frequent and rare words, some that toxic texts have more often."""
+    r = np.random.default_rng(seed)
+    out = []
+    for d in range(n):
+        toxic = int(r.random() < 0.25)
+        picked = np.minimum(r.zipf(1.3, r.integers(0, 60)), 900).tolist() + r.integers(2000, 2010, 3 * toxic).tolist()
+        out.append((d, toxic, dict(collections.Counter(f"w{k}" for k in picked))))
+    return out + [(n, 1, out[0][2]), (n + 1, 0, out[0][2])]
+
+
+def brute_weights(examples):
+    """Terms of two or more examples with idf times the association factor, written out term by term."""
+    n1 = sum(y for _, y, _ in examples)
+    n0, out = len(examples) - n1, {}
+    for term in {t for _, _, c in examples for t in c}:
+        a, b = (sum(term in c for _, y, c in examples if y == side) for side in (1, 0))
+        if a + b >= 2:
+            g = 0.0
+            for seen, among in ((a, n1), (b, n0)):
+                for k, rate in ((seen, (a + b) / (n1 + n0)), (among - seen, 1 - (a + b) / (n1 + n0))):
+                    g += 2 * k * math.log(k / (among * rate)) if k else 0.0
+            out[term] = (math.log((1 + n1 + n0) / (1 + a + b)) + 1) * (math.sqrt(max(g, 0.0)) + toxicity.FLOOR)
+    return out
+
+
+def brute_vector(counts, weights):
+    found = {t: (1 + math.log(n)) * weights[t] for t, n in counts.items() if t in weights}
+    length = math.sqrt(sum(x * x for x in found.values()))
+    return {t: x / length for t, x in found.items()}
+
+
+@pytest.mark.parametrize("frequent", [0, 16])
+def test_scores_against_brute_force(monkeypatch, frequent):
+    monkeypatch.setattr(toxicity, "FREQUENT", frequent)
+    monkeypatch.setattr(toxicity, "LANE", 16)
+    examples, fold = labelled(), [(d + 5000, y, c) for d, y, c in labelled(200, 4)]
+    index = toxicity.Index(examples, fold)
+    weights = brute_weights(examples)
+    assert set(index.terms) == set(weights) and all(abs(index.scale[i] - weights[t]) < 1e-9 for t, i in index.terms.items())
+    vectors = {d: (brute_vector(c, weights), y) for d, y, c in examples}
+
+    def nearest(counts, apart=False):
+        q = brute_vector(counts, weights)
+        found = [(round(sum(x * v.get(t, 0.0) for t, x in q.items()), 10), y) for v, y in vectors.values()]
+        return sorted(((c, y) for c, y in found if c > 0 and not (apart and c > 1 - 1e-9)), reverse=True)[: toxicity.NEIGHBOURS]
+
+    def votes(found):
+        """The votes that equal cosines at the end allow."""
+        last = found[-1][0] if found else 0
+        sure = [(c, y) for c, y in found if c > last + 1e-9]
+        return sum(c * c * y for c, y in sure), sum(c * c for c, _ in found), last * last * (len(found) - len(sure))
+
+    visited = 0
+    for _, _, counts in labelled(150, 8):
+        query = index.vector(counts)
+        if query is None:
+            assert not brute_vector(counts, weights)
+            continue
+        best, scores, blocks = next(index.nearest([query]))
+        visited += blocks < index.blocks
+        wanted = nearest(counts)
+        assert np.allclose(scores, [c for c, _ in wanted], atol=2e-10)
+        low, whole, open_ = votes(wanted)
+        if wanted:
+            assert low / whole - 1e-6 <= index.vote(best, scores) <= (low + open_) / whole + 1e-6
+    assert visited  # bounds do exclude blocks
+    # Calibration: rates rise, and the pools hold the mean of the fold's labels.
+    assert (np.diff(index.rates) >= 0).all() and (np.diff(index.votes) > 0).all()
+    text = " ".join(t for t, n in examples[3][2].items() for _ in range(n))
+    assert index.query(text + " ?! unknownword", {})[1].tolist() == index.vector(examples[3][2])[1].tolist()
+
+
+def test_bounds_of_the_examples(spark):
+    rows, labels = marked(300)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert len(toxicity.train(table(spark, rows), marks, examples=40).ids) <= 40
+    assert len(toxicity.train(table(spark, rows), marks, postings=500).ids) < len(toxicity.train(table(spark, rows), marks).ids)
+    assert toxicity.train(table(spark, rows), marks, postings=1).score(["a b"], {})[0][0] < 0.5
 
 
 def test_toxicity_without_labels(spark):
