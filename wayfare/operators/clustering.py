@@ -31,14 +31,21 @@ def as_time(value: Column, kind: str) -> Column:
     return F.convert_timezone(F.current_timezone(), F.lit("UTC"), found.cast("timestamp_ntz")) if kind == "timestamp_ntz" else found
 
 
-def sorted_pings(df: DataFrame, user: str, time: str, lat: str, lon: str, tie: str | None = None) -> DataFrame:
-    """A row for each user with all its pings in order: ``pings`` of (t, tie, lat, lon). One shuffle on the user."""
+def epoch_micros(df: DataFrame, time: str) -> Column:
+    """Microseconds of a time column. A naive time is a wall clock: its distance from the epoch is taken as if it were UTC,
+    whatever the session's zone."""
     kind = dict(df.dtypes)[time]
     at = F.try_to_timestamp(F.col(time)) if kind == "string" else F.col(time)
-    # A naive time is a wall clock: its distance from the epoch is taken as if it were UTC, whatever the session's zone.
-    us = F.unix_micros(F.convert_timezone(F.lit("UTC"), F.current_timezone(), at).cast("timestamp")) if kind == "timestamp_ntz" else micros(at)
+    if kind == "timestamp_ntz":
+        return F.unix_micros(F.convert_timezone(F.lit("UTC"), F.current_timezone(), at).cast("timestamp"))
+    return micros(at)
+
+
+def sorted_pings(df: DataFrame, user: str, time: str, lat: str, lon: str, tie: str | None = None) -> DataFrame:
+    """A row for each user with all its pings in order: ``pings`` of (t, tie, lat, lon). One shuffle on the user."""
     y, x = F.col(lat).cast("double"), F.col(lon).cast("double")
-    rows = df.select(F.col(user).alias("user_id"), us.alias("t"), (F.col(tie).cast("string") if tie else F.lit("")).alias("tie"), y.alias("lat"), x.alias("lon"))
+    mark = F.col(tie).cast("string") if tie else F.lit("")
+    rows = df.select(F.col(user).alias("user_id"), epoch_micros(df, time).alias("t"), mark.alias("tie"), y.alias("lat"), x.alias("lon"))
     rows = rows.where("user_id is not null and t is not null and lat is not null and lon is not null and not isnan(lat) and not isnan(lon)")
     return rows.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("t", "tie", "lat", "lon"))).alias("pings"))
 

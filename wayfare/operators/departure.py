@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import delay_hours, local_clock, micros, resolve_tz
 from ..functions.geo import haversine_m
-from .clustering import ClusterConfig, cluster_array, duration_s, merge_array, sorted_pings
+from .clustering import ClusterConfig, cluster_array, duration_s, epoch_micros, merge_array, sorted_pings
 from .intervals import islands, selected_island, stay_bounds
 
 __all__ = ["delay_hours", "find_origin", "infer_departures", "infer_from_trip_chain"]
@@ -57,12 +57,19 @@ def find_origin(pings: DataFrame, homes: DataFrame, fire_start: Column, R_a: flo
     A ping within ``home_radius`` of home from 2 hours before to 1 hour after means home. Otherwise the stop of the 12
     hours before that holds the time, else the last one that ended by then, if it lies beyond ``home_radius`` and within
     ``max_origin_distance_m`` of home; else home. ``fire_start`` is a column of ``homes``."""
-    kind = "timestamp_ntz" if dict(pings.dtypes)[time] == "timestamp_ntz" else "timestamp"
-    start = homes.groupBy(F.col("ID").alias("user_id")).agg(F.min_by(F.struct("home_lat_4326", "home_lon_4326"), F.struct("home_lat_4326", "home_lon_4326")).alias("h"), F.min(fire_start).alias("fire"))
-    fire_us = F.unix_micros(F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("fire").cast("timestamp_ntz")).cast("timestamp")) if kind == "timestamp_ntz" else micros(F.col("fire"))
+    place = F.struct("home_lat_4326", "home_lon_4326")
+    start = homes.groupBy(F.col("ID").alias("user_id")).agg(F.min_by(place, place).alias("h"), F.min(fire_start).alias("fire"))
+    if dict(pings.dtypes)[time] == "timestamp_ntz":
+        fire_us = F.unix_micros(F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("fire").cast("timestamp_ntz")).cast("timestamp"))
+    else:
+        fire_us = micros(F.col("fire"))
     start = start.select("user_id", F.col("h.home_lat_4326").alias("home_lat"), F.col("h.home_lon_4326").alias("home_lon"), fire_us.alias("fire_us"))
-    rows = start.join(sorted_pings(pings, user, time, lat, lon, tie), "user_id", "left")
     hours = lambda h: F.lit(int(h * 3_600_000_000))
+    # Only the 13 hours that count are gathered by user.
+    fires = start.select(F.col("user_id").alias("_user"), F.col("fire_us").alias("_fire"))
+    since = epoch_micros(pings, time) - F.col("_fire")
+    wanted = pings.join(fires, F.col(user) == F.col("_user")).where((since >= -hours(12)) & (since <= hours(1))).drop("_user", "_fire")
+    rows = start.join(sorted_pings(wanted, user, time, lat, lon, tie), "user_id", "left")
     near = F.exists("pings", lambda p: (p["t"] >= F.col("fire_us") - hours(2)) & (p["t"] <= F.col("fire_us") + hours(1)) & (haversine_m(F.col("home_lat"), F.col("home_lon"), p["lat"], p["lon"]) <= home_radius))
     before = F.filter("pings", lambda p: (p["t"] >= F.col("fire_us") - hours(12)) & (p["t"] <= F.col("fire_us")))
     rows = rows.withColumn("near", F.coalesce(near, F.lit(False))).withColumn("before", before)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -275,7 +276,8 @@ def od_pairs(destinations: DataFrame, homes: DataFrame, max_trips: int = 500, se
     """Home-destination lines: at most ``max_trips``, chosen by a hash, the same in every run."""
     known = homes.select("ID", "home_lat_4326", "home_lon_4326").dropDuplicates(["ID"])
     rows = destinations.join(known, "ID").select("ID", "dest_order", "home_lat_4326", "home_lon_4326", "dest_lat", "dest_lon").na.drop()
-    return rows.orderBy(F.xxhash64("ID", "dest_order", F.lit(seed)), "ID", "dest_order").limit(max_trips)
+    mixed = F.md5(F.concat_ws("/", F.col("ID").cast("string"), F.col("dest_order").cast("string"), F.lit(str(seed))))
+    return rows.orderBy(mixed, "ID", "dest_order").limit(max_trips)
 
 
 def od_extent(pairs: DataFrame, zoom_percentile: float = 99.5) -> DataFrame:
@@ -303,40 +305,51 @@ def ks_statistics(rows: DataFrame, group: str, value: str = "eu_distance_km") ->
     return both.withColumn("gap", gap).groupBy("group_a", "group_b", "n_a", "n_b").agg(F.max("gap").alias("d"))
 
 
-def ks_p_value(d: float, n: int, m: int) -> float:
-    """Two-sided p-value: exact by counting lattice paths for n * m up to 10,000, else the asymptotic series."""
-    if n * m <= 10_000:
+#: The larger group's rows up to which p-values are exact.
+EXACT_KS = 10_000
+
+
+def _share_of_paths(limit: int, n: int, m: int) -> float:
+    """The share of lattice paths from (0, 0) to (n, m) that stay inside |i * m - j * n| < limit, one diagonal after
+    another: cells of a diagonal do not depend on each other."""
+    share, low = np.ones(1), 0  # cells (i, s - i) of diagonal s, from i = low
+    for s in range(1, n + m + 1):
+        first, last = max(0, s - m), min(n, s)
+        i = np.arange(first, last + 1)
+        padded = np.concatenate([[0.0], share, [0.0]])  # at place i - low + 1
+        from_left = padded[np.clip(i - 1 - low + 1, 0, len(share) + 1)]
+        from_below = padded[np.clip(i - low + 1, 0, len(share) + 1)]
+        share = np.where(np.abs(i * m - (s - i) * n) < limit, (from_left * i + from_below * (s - i)) / s, 0.0)
+        low = first
+    return float(share[-1])
+
+
+def ks_p_value(d: float, n: int, m: int, method: str = "auto") -> float:
+    """Two-sided p-value: exact by counting lattice paths while the larger group has at most ``EXACT_KS`` rows, else (or
+    with 'asymptotic') by the limiting series."""
+    if method != "asymptotic" and max(n, m) <= EXACT_KS:
         limit = round(d * n * m)
-        row = [0.0] * (m + 1)
-        for i in range(n + 1):
-            for j in range(m + 1):
-                if abs(i * m - j * n) >= limit and limit > 0:
-                    row[j] = 0.0
-                elif i == 0 and j == 0:
-                    row[j] = 1.0
-                else:
-                    # Shares of paths instead of numbers of paths: each step divides by the ways into the cell.
-                    up, left = (row[j] if i else 0.0), (row[j - 1] if j else 0.0)
-                    row[j] = (up * i + left * j) / (i + j)
-        return 1.0 if limit == 0 else min(1.0, max(0.0, 1.0 - row[m]))
+        return 1.0 if limit == 0 else min(1.0, max(0.0, 1.0 - _share_of_paths(limit, n, m)))
     z = d * math.sqrt(n * m / (n + m))
     total = 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * z * z) for k in range(1, 101))
     return min(1.0, max(0.0, total)) if z > 0.2 else 1.0
 
 
-def ks_test(rows: DataFrame, group: str, value: str = "eu_distance_km") -> DataFrame:
+def ks_test(rows: DataFrame, group: str, value: str = "eu_distance_km", method: str = "auto") -> DataFrame:
     """``ks_statistics`` with p-values, a flag below 0.05 and stars; a row for each pair of groups."""
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            p = [ks_p_value(d, int(n), int(m)) for d, n, m in zip(b["d"], b["n_a"], b["n_b"], strict=True)]
+            p = [ks_p_value(d, int(n), int(m), method) for d, n, m in zip(b["d"], b["n_a"], b["n_b"], strict=True)]
             stars = ["***" if x < 0.001 else "**" if x < 0.01 else "*" if x < 0.05 else "" for x in p]
-            yield pd.DataFrame({"group_a": b["group_a"], "group_b": b["group_b"], "statistic": b["d"].round(4), "p_value": [round(x, 6) for x in p], "significant": [x < 0.05 for x in p], "stars": stars, "n_a": b["n_a"], "n_b": b["n_b"]})
+            found = {"statistic": b["d"].round(4), "p_value": [round(x, 6) for x in p], "significant": [x < 0.05 for x in p], "stars": stars}
+            yield pd.DataFrame({"group_a": b["group_a"], "group_b": b["group_b"], **found, "n_a": b["n_a"], "n_b": b["n_b"]})
 
     from ..shipping import ship
 
     ship(rows.sparkSession)
-    return ks_statistics(rows, group, value).mapInPandas(add, "group_a string, group_b string, statistic double, p_value double, significant boolean, stars string, n_a long, n_b long")
+    schema = "group_a string, group_b string, statistic double, p_value double, significant boolean, stars string, n_a long, n_b long"
+    return ks_statistics(rows, group, value).mapInPandas(add, schema)
 
 
 def hours_between(a: Column, b: Column) -> Column:

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import clock, geo, text
+from ..functions import clock, contracts, geo, text
 from ..operators import behavior, clustering, departure, destination, homes, intervals, reports, residents, routes, trip_chain
 from ..operators import zones as zoning
-from ..sources import readers
+from ..sources import readers, vector
+from ..streaming import clusters
+from ..storage import new_folder, write_file
 from . import fixtures as fx
 from . import oracle as sql
 
@@ -403,8 +405,9 @@ def crosstab_margins(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def od_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """A fixed number of lines by hash: no SQL of another engine has that hash."""
-    return reports.od_pairs(destination.infer_destinations(nightly(spark, sf), fx.homes(spark, sf)), fx.homes(spark, sf))
+    """A fixed number of lines, chosen by a hash."""
+    found = reports.od_pairs(destination.infer_destinations(nightly(spark, sf), fx.homes(spark, sf), merge_distance_km=0.1), fx.homes(spark, sf), max_trips=100)
+    return found.select("ID", "dest_order", *[r6(c) for c in ("home_lat_4326", "home_lon_4326", "dest_lat", "dest_lon")])
 
 
 @query
@@ -420,10 +423,17 @@ def ks_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def ks_test(spark: SparkSession, sf: str) -> DataFrame:
-    """With p-values, which SQL has no function for."""
+    """With p-values, exact up to 10,000 rows in the larger group: SQL has no function for them."""
     return reports.ks_test(fx.records(spark, sf), "segment")
 
 
+@query
+def ks_asymptotic(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with the p-values of the limiting distribution."""
+    found = reports.ks_test(fx.records(spark, sf), "segment", method="asymptotic")
+    return found.select("group_a", "group_b", "n_a", "n_b", "statistic", r6("p_value", digits=5), "significant", "stars")
+
+
 @query
 def alert_offsets(spark: SparkSession, sf: str) -> DataFrame:
     return reports.alert_offsets(fx.zones(spark, sf), "2024-01-07 12:00:00")
@@ -453,6 +463,206 @@ def unique_devices(spark: SparkSession, sf: str) -> DataFrame:
     return residents.unique_devices(fx.pings(spark, sf))
 
 
+# Roads, clocks, contracts
+
+
+@query
+def destination_roads(spark: SparkSession, sf: str) -> DataFrame:
+    """Destinations against one parcel and roads along two parallels and a meridian."""
+    point = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
+    lines = [F.array(point(x1, y1), point(x2, y2)) for x1, y1, x2, y2 in fx.ROADS]
+    roads = spark.range(1).select(F.array(*lines).alias("lines"))
+    parcels = fx.zones(spark, sf).where("zoneId = 'z2'").select("geometry", F.lit("City Park").alias("UseType"), F.col("zoneId").alias("parcel_id"))
+    found = destination.infer_destinations(nightly(spark, sf), fx.homes(spark, sf), merge_distance_km=0.1)
+    return destination.classify_destinations(found, parcels, roads, buffer_m=50.0, road_buffer_m=300.0).select("ID", "dest_order", "dest_type")
+
+
+@query
+def local_night(spark: SparkSession, sf: str) -> DataFrame:
+    """Instants on the clock of a zone: its day, hour and night window."""
+    rows = fx.table(spark, sf, "events").select("event_id", F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts").cast("timestamp_ntz")).cast("timestamp").alias("at"))
+    zone = clock.resolve_tz(rows, "at", "America/Phoenix")
+    rows = rows.withColumn("local", clock.local_clock(F.col("at"), "timestamp", zone))
+    return rows.select("event_id", at("local"), clock.in_window(F.hour("local"), 20, 7).alias("is_night"))
+
+
+@query
+def contract_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """What the contracts say of renamed, complete and incomplete tables."""
+    pings = fx.pings(spark, sf)
+    cases = {
+        "pings": (pings, contracts.PINGS), "pings by aliases": (pings.withColumnsRenamed({"latitude": "LAT", "longitude": "LONG"}), contracts.PINGS), "pings without time": (pings.drop("datetime"), contracts.PINGS),
+        "homes": (fx.homes(spark, sf), contracts.HOMES), "homes without place": (fx.homes(spark, sf).select("ID"), contracts.HOMES), "trip chain": (chain(spark, sf), contracts.TRIP_CHAIN),
+        "destinations": (destinations_nightly(spark, sf), contracts.DESTINATIONS),
+    }
+    out = []
+    for name, (df, contract) in cases.items():
+        try:
+            contracts.validate(df, contract)
+            message = None
+        except contracts.InputError as e:
+            message = str(e)
+        own = contracts.canonicalize(df, contract)
+        out.append((name, message, ",".join(contracts.optional_missing(own, ["latitude", "longitude", "stop_id", "dest_type"]))))
+    return spark.createDataFrame(out, "table_name string, problem string, absent string")
+
+
+@query
+def canonical_pings(spark: SparkSession, sf: str) -> DataFrame:
+    renamed = fx.pings(spark, sf).withColumnsRenamed({"latitude": "LAT", "longitude": "LONG"})
+    return contracts.canonicalize(renamed, contracts.PINGS).select("event_id", "ID", r6("latitude"), r6("longitude"))
+
+
+@query
+def vendor_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Trip chains of a table with a vendor's names, by the default rules."""
+    raw = fx.pings(spark, sf).select(F.col("ID").alias("GRID"), F.col("latitude").alias("LAT"), F.col("longitude").alias("LONG"), "datetime")
+    found = trip_chain.compute_trip_chain(raw, fx.homes(spark, sf))
+    return found.select(F.col("user_id").alias("ID"), "seq_idx", at("start_ts"), at("end_ts"), r6("lat"), r6("lon"), r6("distance_from_home_m", digits=2), "stop_role")
+
+
+@query
+def metrics_without_event(spark: SparkSession, sf: str) -> DataFrame:
+    """Stops without FireEvent: the event is unknown, and the earliest fire counts."""
+    found = residents.infer_metrics(stops(spark, sf).drop("FireEvent"), fx.FIRES, fire_end="2024-01-12")
+    return found.select("ID", "FireEvent", at("fire_start"), at("OrderEnd"))
+
+
+# Sources: tables written as files of each format, and read back
+
+
+@query
+def source_gps_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Pings from two CSV folders with a vendor's names, numbers as text, some of them bad."""
+    path = new_folder(spark, "gps")
+    rows = fx.pings(spark, sf).select(F.col("ID").alias("GRID"), "event_id", F.expr("CASE WHEN event_id % 11 = 0 THEN 'n/a' ELSE CAST(latitude AS STRING) END").alias("LAT"), F.col("longitude").cast("string").alias("LONG"), at("datetime"))
+    for k in range(2):
+        rows.where(f"event_id % 2 = {k}").write.csv(f"{path}/{k}", header=True)
+    found = readers.read_gps_csv(spark, [f"{path}/0", f"{path}/1"])
+    return found.select(F.col("ID").cast("long").alias("ID"), F.col("event_id").cast("long").alias("event_id"), r6("latitude"), r6("longitude"), "datetime")
+
+
+@query
+def source_homes_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Homes from CSV under their short names."""
+    path = new_folder(spark, "homes")
+    fx.homes(spark, sf).withColumnsRenamed({"home_lat_4326": "home_lat", "home_lon_4326": "home_lon"}).write.csv(path, header=True)
+    return readers.read_homes(spark, path).select(F.col("ID").cast("long").alias("ID"), r6("home_lat_4326"), r6("home_lon_4326"))
+
+
+@query
+def source_metrics_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Records from CSV; bad times become null."""
+    path = new_folder(spark, "metrics")
+    rows = fx.records(spark, sf).select("ID", "ZoneType", F.expr("CASE WHEN ID % 17 = 0 THEN 'unknown' ELSE date_format(DepartureDate, 'yyyy-MM-dd HH:mm:ss') END").alias("DepartureDate"), at("OrderStart"))
+    rows.write.csv(path, header=True)
+    return readers.read_metrics(spark, path).select(F.col("ID").cast("long").alias("ID"), "ZoneType", at("DepartureDate"), at("OrderStart"))
+
+
+@query
+def source_homes_mercator(spark: SparkSession, sf: str) -> DataFrame:
+    """Homes in metres, the two columns under each other's names, turned into degrees."""
+    rows = fx.homes(spark, sf).select("ID", geo.mercator_x(F.col("home_lon_4326")).alias("home_lat_3857"), geo.mercator_y(F.col("home_lat_4326")).alias("home_lon_3857"))
+    return readers.reproject_homes(rows).select("ID", r6("home_lat_4326"), r6("home_lon_4326"))
+
+
+def zone_files(spark: SparkSession, folder: str) -> None:
+    """The zones as GeoJSON: all, and an older snapshot of the orders."""
+    import json
+
+    features = []
+    for z in spark.sql(fx.ZONES).collect():  # four constant rows
+        ring = [[z.xmin, z.ymin], [z.xmax, z.ymin], [z.xmax, z.ymax], [z.xmin, z.ymax], [z.xmin, z.ymin]]
+        properties = {"zoneId": z.zoneId, "most_extreme_status": z.most_extreme_status, "incident_name": z.incident_name, "datetime": z.datetime, "UseType": f"type {z.zoneId}"}
+        features.append({"type": "Feature", "properties": properties, "geometry": {"type": "Polygon", "coordinates": [ring]}})
+    older = [{**f, "properties": {**f["properties"], "datetime": "2024-01-01 00:00:00", "incident_name": "older"}} for f in features if "Order" in f["properties"]["most_extreme_status"]]
+    for name, some in (("new", features), ("old", older)):
+        write_file(spark, f"{folder}/{name}.geojson", json.dumps({"type": "FeatureCollection", "features": some}).encode())
+    write_file(spark, f"{folder}/bad.geojson", b"{not json")
+
+
+def _box(geometry: str = "geometry") -> list[Column]:
+    return [F.round(c, 6).alias(n) for n, c in zip(("xmin", "ymin", "xmax", "ymax"), geo.bounds(F.col(geometry)), strict=True)]
+
+
+@query
+def source_fire_timeline(spark: SparkSession, sf: str) -> DataFrame:
+    """Zones from GeoJSON snapshots, one of them broken: the latest state of each zone and status."""
+    path = new_folder(spark, "timeline")
+    zone_files(spark, path)
+    return readers.read_fire_timeline(spark, path).select("zoneId", "most_extreme_status", "incident_name", "datetime", *_box())
+
+
+@query
+def source_parcels(spark: SparkSession, sf: str) -> DataFrame:
+    path = new_folder(spark, "parcels")
+    zone_files(spark, path)
+    return vector.read_parcels(spark, f"{path}/new.geojson").select("UseType", *_box())
+
+
+@query
+def source_roads(spark: SparkSession, sf: str) -> DataFrame:
+    """Roads from GeoJSON lines, one single and one of several parts."""
+    import json
+
+    path = new_folder(spark, "roads")
+    lines = [[[x1, y1], [x2, y2]] for x1, y1, x2, y2 in fx.ROADS]
+    shapes = [{"type": "LineString", "coordinates": lines[0]}, {"type": "MultiLineString", "coordinates": lines[1:]}]
+    write_file(spark, f"{path}/roads.geojson", json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {}, "geometry": g} for g in shapes]}).encode())
+    points = readers.read_roads(spark, path).select(F.explode("lines").alias("line")).select(F.col("line")[0].alias("a"), F.col("line")[1].alias("b"))
+    return points.select(*[r6(c, n) for c, n in (("a.x", "x1"), ("a.y", "y1"), ("b.x", "x2"), ("b.y", "y2"))])
+
+
+@query
+def source_shards(spark: SparkSession, sf: str) -> DataFrame:
+    """Pings of pickled shards, made of the 25 nations; one shard holds an object and drops out."""
+    import datetime
+    import pickle
+
+    path = new_folder(spark, "shards")
+    rows = [{"GRID": f"n{r.n_nationkey}", "LAT": 30.0 + r.n_nationkey, "LONG": -118.0 + r.n_regionkey, "TIMESTAMP": 1_700_000_000_000 + r.n_nationkey} for r in fx.table(spark, sf, "nation").collect()]
+    for k in range(2):
+        write_file(spark, f"{path}/shard_{k}.pkl", pickle.dumps(({x["GRID"] for x in rows[k::2]}, rows[k::2])))
+    write_file(spark, f"{path}/shard_bad.pkl", pickle.dumps((set(), [{"GRID": datetime.date(2024, 1, 1)}])))
+    found = readers.read_shards(spark, path, (-118.0, 30.0, -115.0, 50.0), allow_pickle=True)
+    return found.select("user_id", "latitude", "longitude", "timestamp_ms")
+
+
+# The stream
+
+
+def stream_out(spark: SparkSession, sf: str) -> DataFrame:
+    """Cluster events of the pings, read as a stream in one micro-batch and written to files."""
+    path = new_folder(spark, "stream")
+    rows = fx.pings(spark, sf).select(F.col("ID").cast("string").alias("user_id"), F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("datetime").cast("timestamp_ntz")).cast("timestamp").alias("datetime"), "latitude", "longitude")
+    rows.write.parquet(f"{path}/in")
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        events = clusters.stream_cluster_events(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), fx.CLUSTERS)
+        events.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(store, before)
+    return spark.read.schema(clusters.EVENTS).parquet(f"{path}/out")
+
+
+@query
+def stream_cluster_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Starts and updates of the streamed clusters, by user."""
+    found = stream_out(spark, sf).where("event_type <> 'cluster_closed'")
+    time = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.min("event_time").cast("timestamp_ntz"))
+    found = found.groupBy(F.col("user_id").cast("long").alias("ID"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("cluster_id").alias("ids"), time.alias("first_time"))
+    return found.select("ID", "event_type", "n", "ids", at("first_time"))
+
+
+@query
+def stream_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters that a later ping closed, from the stream: the last one of a user is still open."""
+    found = stream_out(spark, sf).where("event_type = 'cluster_closed'")
+    return found.select(F.col("user_id").cast("long").alias("ID"), "cluster_id", r6("centroid_lat"), r6("centroid_lon"), "n_points", r6("dwell_s"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

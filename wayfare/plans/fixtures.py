@@ -36,6 +36,9 @@ RECORDS = """SELECT o_orderkey AS ID, c_mktsegment AS segment, o_orderpriority A
   CASE o_orderkey % 9 WHEN 0 THEN 'Single Family Home' WHEN 1 THEN 'Motel' WHEN 2 THEN 'Public Park' WHEN 3 THEN 'Parking Lot' WHEN 4 THEN 'City Park' WHEN 5 THEN 'WAREHOUSE' WHEN 6 THEN NULL WHEN 7 THEN 'zoo' ELSE 'Highway 5' END AS UseType
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey"""
 
+#: Roads as segments (x1, y1, x2, y2): two parallels and a meridian.
+ROADS = [(-118.6, 34.1402, -118.0, 34.1402), (-118.6, 34.2601, -118.0, 34.2601), (-118.3003, 33.9, -118.3003, 34.6)]
+
 #: Clusters of these sparse pings: a wide radius, and breaks after two days.
 CLUSTERS = ClusterConfig(radius_m=2000.0, min_dwell_s=300.0, max_gap_s=172_800.0)
 FIRES = {"East Fire": "2024-01-07 12:00:00", "West Fire": "2024-01-07 18:00:00"}

@@ -51,10 +51,10 @@ C = _category()
 EVACUATED = "('SELE', 'PERE', 'FEUO', 'FEUW', 'SEFN')"
 
 
-def _clusters(radius: float, dwell: float, gap: float | None) -> str:
+def _clusters(radius: float, dwell: float, gap: float | None, source: str = P) -> str:
     """CTEs pv, p, r and c: pings in order, the running cluster, clusters that count."""
     far = _h("r.sy / r.n", "r.sx / r.n", "p.y", "p.x") + f" > {radius}e0" + (f" OR (p.t - r.t) / 1e6 > {gap}" if gap else "")
-    return f"""pv AS ({P}), p AS (SELECT ID, epoch_us(datetime) AS t, latitude AS y, longitude AS x, row_number() OVER (PARTITION BY ID ORDER BY datetime, CAST(event_id AS VARCHAR)) AS rn FROM pv),
+    return f"""pv AS ({source}), p AS (SELECT ID, epoch_us(datetime) AS t, latitude AS y, longitude AS x, row_number() OVER (PARTITION BY ID ORDER BY datetime, CAST(event_id AS VARCHAR)) AS rn FROM pv),
     r AS (SELECT ID, rn, t, 1 AS cid, 1 AS n, y AS sy, x AS sx, y, x FROM p WHERE rn = 1
       UNION ALL SELECT p.ID, p.rn, p.t, CASE WHEN {far} THEN r.cid + 1 ELSE r.cid END, CASE WHEN {far} THEN 1 ELSE r.n + 1 END, CASE WHEN {far} THEN p.y ELSE r.sy + p.y END, CASE WHEN {far} THEN p.x ELSE r.sx + p.x END, p.y, p.x
       FROM r JOIN p ON p.ID = r.ID AND p.rn = r.rn + 1),
@@ -166,7 +166,79 @@ met AS (SELECT res2.*, dep, ret, CASE WHEN dep IS NULL THEN 'NER' WHEN s IS NULL
 BOX = "count({v}) AS n, round(avg({v}), 6) AS mean, {m}, round(quantile_cont({v}, 0.25), 6) AS q1, round(quantile_cont({v}, 0.5), 6) AS median, round(quantile_cont({v}, 0.75), 6) AS q3, round(quantile_cont({v}, 0.95), 6) AS p95, {x}"
 
 
+FIRE = "TIMESTAMP '2024-01-09 12:00:00'"
+ORIGIN = f"""WITH RECURSIVE {_clusters(2000.0, 300.0, None, f"SELECT * FROM ({P}) WHERE datetime BETWEEN {FIRE} - INTERVAL '12' HOUR AND {FIRE}")}, hm AS ({HOMES}),
+near AS (SELECT DISTINCT ID FROM ({P}) JOIN hm USING (ID) WHERE datetime BETWEEN {FIRE} - INTERVAL '2' HOUR AND {FIRE} + INTERVAL '1' HOUR
+  AND {_h('home_lat_4326', 'home_lon_4326', 'latitude', 'longitude')} <= 1000),
+stop AS (SELECT ID, cy, cx FROM (SELECT *, row_number() OVER (PARTITION BY ID ORDER BY cid DESC) AS q FROM c) WHERE q = 1),
+org AS (SELECT hm.*, cy, cx, near.ID IS NULL AND coalesce({_h('home_lat_4326', 'home_lon_4326', 'cy', 'cx')} BETWEEN 1000.0000001 AND 50000, false) AS away
+  FROM hm LEFT JOIN near ON near.ID = hm.ID LEFT JOIN stop ON stop.ID = hm.ID)
+SELECT ID, round(CASE WHEN away THEN cy ELSE home_lat_4326 END, 6) AS origin_lat, round(CASE WHEN away THEN cx ELSE home_lon_4326 END, 6) AS origin_lon,
+  CASE WHEN away THEN 'activity' ELSE 'home' END AS origin_type FROM org"""
+
+_ROADS = "SELECT * FROM (VALUES " + ", ".join(f"({x1!r}e0, {y1!r}e0, {x2!r}e0, {y2!r}e0)" for x1, y1, x2, y2 in fx.ROADS) + ") AS t(xmin, ymin, xmax, ymax)"
+ROADS = f"""WITH RECURSIVE {NIGHTLY}, z AS (SELECT * FROM ({fx.ZONES}) WHERE zoneId = 'z2'), rd AS ({_ROADS}),
+held AS (SELECT dest.ID, o, min({_rect(_x('x'), _y('y'))}) AS dz FROM dest, z GROUP BY dest.ID, o), beside AS (SELECT dest.ID, o, min({_rect(_x('x'), _y('y'))}) AS dr FROM dest, rd GROUP BY dest.ID, o)
+SELECT dest.ID, CAST(dest.o AS BIGINT) AS dest_order, CASE WHEN dz <= 50 THEN {_type("'City Park'")} WHEN dr < 300 THEN {_type("'road'")} ELSE {_type("'unknown'")} END AS dest_type
+FROM dest JOIN held ON held.ID = dest.ID AND held.o = dest.o JOIN beside ON beside.ID = dest.ID AND beside.o = dest.o"""
+
+#: The default rules: clusters of 200 m and 300 s, stops merged within 120 m and an hour, home within 400 m.
+DEFAULT_CHAIN = CHAIN.replace(CLUSTERS, _clusters(200.0, 300.0, None)).replace("<= 400000 AND", "<= 3600 AND").replace("<= 2500)", "<= 120)").replace("dh <= 3000", "dh <= 400")
+
+_CONTRACTS = [
+    ("pings", None, "stop_id,dest_type"), ("pings by aliases", None, "stop_id,dest_type"), ("pings without time", "pings: missing columns ['datetime']", "stop_id,dest_type"),
+    ("homes", None, "latitude,longitude,stop_id,dest_type"), ("homes without place", "homes: missing columns ['home_lat_4326', 'home_lon_4326']", "latitude,longitude,stop_id,dest_type"),
+    ("trip chain", None, "latitude,longitude,dest_type"), ("destinations", None, "latitude,longitude,stop_id,dest_type"),
+]
+
+
+def _quoted(value: str | None) -> str:
+    return "CAST(NULL AS VARCHAR)" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+def _sources() -> dict[str, str]:
+    """Files hold what the tables hold."""
+    box = "round(xmin, 6) AS xmin, round(ymin, 6) AS ymin, round(xmax, 6) AS xmax, round(ymax, 6) AS ymax"
+    homes = f"SELECT ID, round(home_lat_4326, 6) AS home_lat_4326, round(home_lon_4326, 6) AS home_lon_4326 FROM ({HOMES})"
+    return {
+        "source_gps_csv": f"SELECT ID, event_id, CASE WHEN event_id % 11 <> 0 THEN round(latitude, 6) END AS latitude, round(longitude, 6) AS longitude, {_t('datetime')} FROM ({P})",
+        "source_homes_csv": homes,
+        "source_homes_mercator": homes,
+        "source_metrics_csv": f"SELECT ID, ZoneType, CASE WHEN ID % 17 <> 0 THEN strftime(DepartureDate, '%Y-%m-%d %H:%M:%S') END AS DepartureDate, {_t('OrderStart')} FROM ({RECORDS})",
+        "source_fire_timeline": f"SELECT zoneId, most_extreme_status, incident_name, datetime, {box} FROM ({fx.ZONES})",
+        "source_parcels": f"SELECT 'type ' || zoneId AS UseType, {box} FROM ({fx.ZONES})",
+        "source_roads": f"SELECT round(xmin, 6) AS x1, round(ymin, 6) AS y1, round(xmax, 6) AS x2, round(ymax, 6) AS y2 FROM ({_ROADS})",
+        "source_shards": """SELECT 'n' || n_nationkey AS user_id, 30e0 + n_nationkey AS latitude, -118e0 + n_regionkey AS longitude, CAST(1700000000000 + n_nationkey AS BIGINT) AS timestamp_ms
+          FROM nation WHERE n_nationkey <= 20 AND n_regionkey <= 3""",
+    }
+
+
 def oracles() -> dict[str, str]:
+    return _reports() | _sources() | {
+        "origin": ORIGIN,
+        "od_pairs": f"""WITH RECURSIVE {NIGHTLY} SELECT dest.ID, CAST(o AS BIGINT) AS dest_order, round(home_lat_4326, 6) AS home_lat_4326, round(home_lon_4326, 6) AS home_lon_4326, round(y, 6) AS dest_lat,
+          round(x, 6) AS dest_lon FROM dest JOIN hm USING (ID) ORDER BY md5(concat_ws('/', CAST(dest.ID AS VARCHAR), CAST(o AS VARCHAR), '42')), dest.ID, o LIMIT 100""",
+        "destination_roads": ROADS,
+        "local_night": """SELECT event_id, strftime(l, '%Y-%m-%d %H:%M:%S') AS local, hour(l) >= 20 OR hour(l) < 7 AS is_night FROM (SELECT event_id, CAST(ts AS TIMESTAMP) - INTERVAL '7' HOUR AS l FROM events)""",
+        "contract_checks": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_quoted, row)) + ")" for row in _CONTRACTS) + ") AS t(table_name, problem, absent)",
+        "canonical_pings": f"SELECT event_id, ID, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude FROM ({P})",
+        "vendor_chain": f"""{DEFAULT_CHAIN} SELECT ID, CAST(g AS BIGINT) AS seq_idx, {_t('ts', 'start_ts')}, {_t('te', 'end_ts')}, round(cy, 6) AS lat, round(cx, 6) AS lon,
+          round(dh, 2) AS distance_from_home_m, role AS stop_role FROM chain""",
+        "metrics_without_event": f"WITH {STOPS} SELECT DISTINCT ID, 'Unknown' AS FireEvent, '2024-01-07 12:00:00' AS fire_start, '2024-01-12 23:00:00' AS OrderEnd FROM stops",
+        "ks_asymptotic": f"""WITH d AS ({_reports()['ks_statistics'].replace('round(max(', '(max(').replace('), 6) AS d', ')) AS d')}), z AS (SELECT *, d * sqrt(n_a * CAST(n_b AS DOUBLE) / (n_a + n_b)) AS z FROM d),
+          p AS (SELECT *, round(CASE WHEN z > 0.2 THEN least(1e0, greatest(0e0, 2 * list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2e0 * k * k * z * z)))))
+            ELSE 1e0 END, 6) AS p FROM z)
+          SELECT group_a, group_b, n_a, n_b, round(d, 4) AS statistic, round(p, 5) AS p_value, p < 0.05 AS significant,
+            CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS stars FROM p""",
+        "stream_cluster_events": f"""WITH RECURSIVE {CLUSTERS} SELECT ID, CASE WHEN n = 1 THEN 'cluster_started' ELSE 'cluster_updated' END AS event_type, count(*) AS n, CAST(sum(cid) AS BIGINT) AS ids,
+          {_t(_us('min(t)'), 'first_time')} FROM r GROUP BY 1, 2""",
+        "stream_clusters": f"""WITH RECURSIVE {CLUSTERS}, last AS (SELECT ID, max(cid) AS top FROM r GROUP BY ID), mark AS (SELECT max(t) // 1000 - 600000 AS ms FROM r)
+          SELECT c.ID, CAST(cid AS BIGINT) AS cluster_id, round(cy, 6) AS centroid_lat, round(cx, 6) AS centroid_lon, n AS n_points, round((e - s) / 1e6, 6) AS dwell_s
+          FROM c JOIN last USING (ID), mark WHERE cid < top OR e // 1000 + 172800001 <= ms""",
+    }
+
+
+def _reports() -> dict[str, str]:
     typed = f"SELECT *, {_type('UseType')} AS dest_type FROM ({RECORDS})"
     trips = f"SELECT ID % 4001 AS ID, segment, dest_order FROM ({RECORDS})"
     hours = "epoch(DepartureDate - TIMESTAMP '1995-01-01') / 3600"

@@ -7,9 +7,11 @@ watermark passes its end by ``max_gap_s``, so a stream that falls silent still c
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -112,6 +114,9 @@ def stream_cluster_events(pings: DataFrame, config: ClusterConfig | None = None,
     (``spark.sql.streaming.stateStore.providerClass``)."""
     config = config or ClusterConfig()
     ship(pings.sparkSession)
+    # The stream's own driver process does not see shipped files: the state machine travels by value.
+    for module in (__name__, ClusterConfig.__module__):
+        cloudpickle.register_pickle_by_value(sys.modules[module])
     rows = pings.select("user_id", "datetime", "latitude", "longitude").withWatermark("datetime", watermark)
     mode = "EventTime" if config.max_gap_s is not None else "None"
     return rows.groupBy("user_id").transformWithStateInPandas(ClusterProcessor(config), outputStructType=EVENTS, outputMode="Append", timeMode=mode)
