@@ -3,23 +3,24 @@
 Texts are UTF-8 bytes; strings never cross documents and are judged on the input. Three steps, none of which compares
 document with document:
 
-1. Windows by minimizer. Each ``LENGTH``-byte window is named by the least hash among its ``GRAM``-byte strings (its
-   anchor). A run of windows with one anchor is a stretch of at most 80 bytes; equal windows have equal anchors, so only
-   stretches of one anchor can share a window. Each chunk of documents sends, for each different stretch, the anchor, a
-   hash of the stretch and the smallest doc_id; equal stretches are one class, and all but the class's first document
-   lose the whole stretch.
-2. Where an anchor has several classes (ends of a passage, near copies, chance), each class's first stretch goes, as
-   bytes, to the index of its anchor's bucket.
-3. Index. The stretches of a bucket, each with an end mark of its own, are sorted into a Burrows-Wheeler transform and
+1. Routing. Each ``LENGTH``-byte window is named by the least hash among its ``GRAM``-byte strings (its anchor). A run of
+   windows with one anchor is a stretch of at most 80 bytes; equal windows have equal anchors, so only stretches of one
+   anchor can share a window. Chunks of documents send their different anchors, and learn which ones another document
+   has too. All other stretches are left out: none of their windows can occur twice.
+2. Every stretch of a shared anchor goes, as bytes, to the index of its anchor's bucket, with the documents and places of
+   its chunk that have it. Hashes only choose what is compared: stretches are one class if their bytes are equal.
+3. Index. The classes of a bucket, each with an end mark of its own, are sorted into a Burrows-Wheeler transform and
    run-length compressed. Match lengths with the row above are measured at the sampled heads of runs only; inside a run
    the preceding byte repeats, so the length at the next text position is one less, and matching statistics are streamed
-   along the text from the samples. Rows that match for ``LENGTH`` bytes or more form intervals; the smallest document of
-   a position's interval decides whether its window is removed.
+   along the text from the samples. Rows that match for ``LENGTH`` bytes or more form intervals. The smallest document of
+   a position's interval decides, for every place of the class, whether its window is removed: no span comes from
+   anywhere else.
 
-An anchor with more than ``HOT`` classes (a very frequent line in ever other surroundings) is split: its windows reach 13
-bytes to the left or 13 bytes to the right of it, so they are dealt by the anchor with these bytes instead.
+An anchor with more than ``HOT`` stretches (a very frequent line in ever other surroundings) is split: its windows reach
+13 bytes to the left or 13 bytes to the right of it, so they are dealt by the anchor with these bytes instead.
 
-Texts are written once, bucketed by chunk, and read where they lie in every later step.
+Texts are written once, bucketed by chunk, and read where they lie in every later step. A chunk sends a row for each
+bucket of anchors that it has, so rows never outnumber its stretches.
 
 Defined results: a null text is empty; a text under ``LENGTH`` bytes loses nothing; a null doc_id counts as larger than
 all others; rows with the same doc_id take nothing from each other; an empty table gives an empty result; extra columns
@@ -43,8 +44,9 @@ from ._words import _BYTES, _powers, mix
 
 LENGTH, GRAM, HOT, SIDE = 50, 20, 20_000, 13
 PLACES = LENGTH - GRAM + 1
-CHUNK, BUCKET = 4 << 20, 4 << 20  # bytes of text for each chunk and for each bucket of anchors
-FINER = 3  # the index has 2**FINER times as many buckets: few anchors get there, but their stretches in many forms
+CHUNK, BUCKET = 8 << 20, 32 << 20  # bytes of text for each chunk and for each bucket of anchors
+FINER = 2  # the index has 2**FINER times as many buckets
+FILES = 1 << 16  # buckets of the table of texts, at most: beyond, a bucket holds several chunks
 PIECE, INDEX = 1 << 20, 2 << 20  # bytes hashed, and bytes indexed, at a time
 LAST = (1 << 63) - 1
 _STEPS = [np.uint64(x) for x in np.random.default_rng(11).integers(1, 1 << 62, 6) * 2 + 1]
@@ -139,55 +141,89 @@ def _ordered(table: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     return ids[order], [texts[i] for i in order], np.array(order, np.int64)
 
 
-def _classes(ids: np.ndarray, texts: list[bytes], bits: int) -> tuple:
-    """Stretches of a chunk with their class: entries are the different (anchor, stretch hash), in order; documents come
-    in order of ids, so an entry's first stretch has its smallest id."""
-    number, first, last, place, anchor, whole = stretches(texts)
-    whole = whole & np.uint64((1 << 40) - 1)
-    order = np.lexsort((np.arange(len(anchor)), whole, anchor))
-    a, w = anchor[order], whole[order]
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (w[1:] != w[:-1])]) if len(a) else np.zeros(0, bool)
-    entry = np.empty(len(a), np.int64)
-    entry[order] = np.cumsum(new) - 1
-    head = order[new]
-    bucket = (anchor[head] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(head), np.int64)
-    return number, first, last, place, anchor, whole, entry, head, bucket
+def _runs(first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers first[i] to end[i] - 1 of all i, one after another."""
+    n = end - first
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
+def _equal(flat: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether flat[a : a + size] and flat[b : b + size] agree, for each row; sizes are above 0."""
+    out, sums, i = np.ones(len(a), bool), np.cumsum(size), 0
+    while i < len(a):
+        j = max(i + 1, int(np.searchsorted(sums, (sums[i - 1] if i else 0) + PIECE, "right")))
+        left, right = _runs(a[i:j], a[i:j] + size[i:j]), _runs(b[i:j], b[i:j] + size[i:j])
+        starts = np.concatenate([[0], np.cumsum(size[i:j])[:-1]])
+        out[i:j] = np.logical_and.reduceat(flat[left] == flat[right], starts)
+        i = j
+    return out
+
+
+def _same(flat: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each stretch and the first stretch of each class. One class: one key and equal bytes."""
+    order = np.lexsort((whole, key))
+    k, w, n = key[order], whole[order], size[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (k[1:] != k[:-1]) | (w[1:] != w[:-1]) | (n[1:] != n[:-1])
+    number, head = np.cumsum(new) - 1, order[new]
+    rest = np.flatnonzero(~new)
+    bad = rest[~_equal(flat, start[order[rest]], start[head[number[rest]]], n[rest])]
+    number[bad] = len(head) + np.arange(len(bad))  # equal hashes of different bytes: classes of their own
+    out = np.empty(len(order), np.int64)
+    out[order] = number
+    return out, np.concatenate([head, order[bad]])
+
+
+def _cuts(anchor: np.ndarray, bits: int) -> np.ndarray:
+    """Where each bucket begins among sorted anchors."""
+    bucket = (anchor >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(anchor), np.int64)
+    return np.searchsorted(bucket, np.arange((1 << bits) + 1))
 
 
 def _send(bits: int):
     def run(table: pa.Table) -> pa.Table:
+        """The different anchors of a chunk, with their stretches' number of forms and whether two documents have them."""
         chunk = table.column("chunk")[0].as_py()
         ids, texts, _ = _ordered(table)
-        number, _, _, _, anchor, whole, _, head, bucket = _classes(ids, texts, bits)
-        cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-        rows = []
-        for b in np.flatnonzero(np.diff(cuts)):
-            here = head[cuts[b] : cuts[b + 1]]
-            a = anchor[here]
-            rows.append((int(b), chunk, pack(np.diff(a, prepend=np.uint64(0)), whole[here], ids[number[here]])))
-        return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "chunk", "data"])
+        number, _, _, _, anchor, whole = stretches(texts)
+        order = np.lexsort((whole, anchor))
+        a, w, d = anchor[order], whole[order], ids[number[order]]
+        new = np.ones(len(a), bool)
+        new[1:] = a[1:] != a[:-1]
+        form = new.copy()
+        form[1:] |= w[1:] != w[:-1]
+        rows, first = [], np.flatnonzero(new)
+        if len(first):
+            names, forms = a[first], np.add.reduceat(form.astype(np.int64), first)
+            two = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
+            cuts = _cuts(names, bits)
+            for b in np.flatnonzero(np.diff(cuts)):
+                here = slice(cuts[b], cuts[b + 1])
+                rows.append((int(b), chunk, pack(np.diff(names[here], prepend=np.uint64(0)), forms[here].astype(np.int32), two[here].astype(np.uint8))))
+        return pa.table([pa.array([r[k] for r in rows], (pa.int64(), pa.int64(), pa.binary())[k]) for k in range(3)], names=["bucket", "chunk", "data"])
 
     return run
 
 
 def _judge(table: pa.Table) -> pa.Table:
-    """For each chunk's entries of a bucket: 0 nothing, 1 another document comes first, 2 first of one of several
-    classes, 3 the same of a hot anchor."""
-    bucket, chunks, parts = table.column("bucket")[0].as_py(), table.column("chunk").to_pylist(), [unpack(x.as_py()) for x in table.column("data")]
-    sizes = [len(p[0]) for p in parts]
-    anchor = np.concatenate([np.cumsum(p[0]) for p in parts])
-    whole, ids = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
-    order = np.lexsort((ids, whole, anchor))
-    a, w, d = anchor[order], whole[order], ids[order]
-    of_anchor = np.concatenate([[True], a[1:] != a[:-1]])
-    of_class = of_anchor | np.concatenate([[True], w[1:] != w[:-1]])
-    classes = np.add.reduceat(of_class.astype(np.int64), np.flatnonzero(of_anchor))[np.cumsum(of_anchor) - 1]
-    least = d[np.flatnonzero(of_class)][np.cumsum(of_class) - 1]
-    code = np.where(d > least, 1, np.where(classes > HOT, 3, np.where(classes > 1, 2, 0))).astype(np.uint8)
-    back = np.empty(len(code), np.uint8)
-    back[order] = code
-    cuts = np.concatenate([[0], np.cumsum(sizes)])
-    return pa.table([pa.array(chunks, pa.int64()), pa.array([bucket] * len(chunks), pa.int64()), pa.array([pack(back[cuts[i] : cuts[i + 1]]) for i in range(len(chunks))], pa.binary())], names=["chunk", "bucket", "codes"])
+    """For each chunk's anchors of a bucket: 0 no other document has it, 1 one has, 2 the same of a hot anchor."""
+    bucket, chunks = table.column("bucket")[0].as_py(), table.column("chunk").to_pylist()
+    parts = [unpack(x.as_py()) for x in table.column("data")]
+    anchor = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
+    forms, two = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
+    order = np.argsort(anchor, kind="stable")
+    a = anchor[order]
+    new = np.ones(len(a), bool)
+    new[1:] = a[1:] != a[:-1]
+    first = np.flatnonzero(new)
+    chunks_of = np.diff(np.append(first, len(a)))
+    shared = (chunks_of > 1) | (np.maximum.reduceat(two[order], first) > 0)
+    hot = np.add.reduceat(forms[order].astype(np.int64), first) > HOT
+    code = np.empty(len(a), np.uint8)
+    code[order] = np.repeat(shared * (1 + hot), chunks_of)
+    cuts = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
+    data = [pack(code[cuts[i] : cuts[i + 1]]) for i in range(len(chunks))]
+    return pa.table([pa.array(chunks, pa.int64()), pa.array([bucket] * len(chunks), pa.int64()), pa.array(data, pa.binary())], names=["chunk", "bucket", "codes"])
 
 
 def _side(text: bytes, at: int) -> int:
@@ -196,45 +232,53 @@ def _side(text: bytes, at: int) -> int:
 
 def _mark(bits: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        """kind 0: removed spans of a chunk; kind 1: stretches for the index of a bucket."""
-        kinds = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("data", pa.binary())])
+        """The stretches of a chunk whose anchor is shared, for the index: each different one once, with all its places."""
+        kinds = pa.schema([("key", pa.int64()), ("data", pa.binary())])
         if not table.num_rows or not answers.num_rows:
             return kinds.empty_table()
         chunk = table.column("chunk")[0].as_py()
         ids, texts, _ = _ordered(table)
-        number, first, last, place, anchor, _, entry, head, bucket = _classes(ids, texts, bits)
-        code = np.zeros(len(head), np.uint8)
-        cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1))
+        number, first, last, place, anchor, whole = stretches(texts)
+        names = np.unique(anchor)
+        code, cuts = np.zeros(len(names), np.uint8), _cuts(names, bits)
         for b, data in zip(answers.column("bucket").to_pylist(), answers.column("codes"), strict=True):
             code[cuts[b] : cuts[b + 1]] = unpack(data.as_py())[0]
-        own = code[entry]
-        later = ids[number] > ids[number[head]][entry]  # another document of this chunk comes first
-        gone = later | (own == 1)
-        rows = [(0, chunk, pack(number[gone].astype(np.int32), first[gone], last[gone] + LENGTH))]
-        # A class's first document may hold its stretch several times: the bytes go once, with all places.
-        places = np.flatnonzero(~later & (own >= 2))
-        places = places[np.argsort(entry[places], kind="stable")]
-        lone, from_, count = np.unique(entry[places], return_index=True, return_counts=True)
-        open_ = head[lone]
-        key, lo, hi, hot, of = anchor[open_], first[open_], last[open_], own[open_] == 3, np.arange(len(open_))
+        own = code[np.searchsorted(names, anchor)]
+        held = np.flatnonzero(own)
+        if not len(held):
+            return kinds.empty_table()
+        number, first, last, place, anchor, whole, own = (x[held] for x in (number, first, last, place, anchor, whole, own))
+        flat = np.frombuffer(b"".join(texts), np.uint8)
+        at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])[number] + first
+        of, head = _same(flat, at, last - first + LENGTH, anchor, whole)
+        places = np.argsort(of, kind="stable")  # by class
+        from_ = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(head)))])
+        key, lo, hi, hot, cls = anchor[head], first[head], last[head], own[head] == 2, np.arange(len(head))
         if hot.any():
-            at = place[open_] - SIDE
-            left, right = np.flatnonzero(hot & (lo <= at)), np.flatnonzero(hot & (hi > at))
-            salt = lambda some, shift: np.array([_side(texts[number[open_[i]]], int(at[i]) + shift) for i in some], np.uint64)
+            mid = place[head] - SIDE
+            left, right = np.flatnonzero(hot & (lo <= mid)), np.flatnonzero(hot & (hi > mid))
+
+            def salt(some: np.ndarray, shift: int) -> np.ndarray:
+                return np.array([_side(texts[number[head[i]]], int(mid[i]) + shift) for i in some], np.uint64)
+
             cold = np.flatnonzero(~hot)
             key = np.concatenate([key[cold], mix(key[left] + salt(left, 0)), mix(key[right] + salt(right, SIDE + GRAM) + np.uint64(1))])
-            lo, hi, of = np.concatenate([lo[cold], lo[left], np.maximum(lo[right], at[right] + 1)]), np.concatenate([hi[cold], np.minimum(hi[left], at[left]), hi[right]]), np.concatenate([cold, left, right])
-        to = (key >> np.uint64(64 - bits - FINER)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        cuts = np.searchsorted(to[order], np.arange((1 << (bits + FINER)) + 1))
+            lo = np.concatenate([lo[cold], lo[left], np.maximum(lo[right], mid[right] + 1)])
+            hi = np.concatenate([hi[cold], np.minimum(hi[left], mid[left]), hi[right]])
+            cls = np.concatenate([cold, left, right])
+        order = np.argsort(key)
+        cuts = _cuts(key[order], bits + FINER)
+        rows = []
         for b in np.flatnonzero(np.diff(cuts)):
-            at = order[cuts[b] : cuts[b + 1]]
-            u = of[at]
-            where = places[np.repeat(from_[u] - np.concatenate([[0], np.cumsum(count[u])[:-1]]), count[u]) + np.arange(count[u].sum())]
-            text = b"".join(texts[number[open_[k]]][lo[i] : hi[i] + LENGTH] for i, k in zip(at, u, strict=True))
-            shift = np.repeat(lo[at] - first[open_[u]], count[u])
-            rows.append((1, int(b), pack(key[at], ids[number[open_[u]]], np.full(len(at), chunk), (hi[at] + LENGTH - lo[at]).astype(np.int32), count[u].astype(np.int32), number[where].astype(np.int32), first[where] + shift, np.frombuffer(text, np.uint8))))
-        return pa.table([pa.array([r[k] for r in rows], kinds.field(k).type) for k in range(3)], schema=kinds)
+            here = order[cuts[b] : cuts[b + 1]]
+            c, size = cls[here], hi[here] - lo[here] + LENGTH
+            count = from_[c + 1] - from_[c]
+            where = places[_runs(from_[c], from_[c + 1])]
+            begin = at[head[c]] + lo[here] - first[head[c]]
+            shift = np.repeat(lo[here] - first[head[c]], count)
+            data = pack(key[here], whole[head[c]], size.astype(np.int32), count.astype(np.int32), ids[number[where]], number[where].astype(np.int32), first[where] + shift, flat[_runs(begin, begin + size)])
+            rows.append((int(b), chunk.to_bytes(8, "little") + data))
+        return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], schema=kinds)
 
     return run
 
@@ -271,12 +315,12 @@ class RunLengthIndex:
         self.levels = []
         width = 8
         while True:
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             ordered = key[order]
             rank = np.empty(n, np.uint32)
             rank[order] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]]))
             self.levels.append((width, rank))
-            if width >= 128:
+            if width >= 128 or n == 0 or int(rank[order[-1]]) == n - 1:  # every suffix has a rank of its own
                 break
             shifted = np.zeros(n, np.uint64)
             shifted[: max(n - width, 0)] = rank[width:].astype(np.uint64) + np.uint64(1)
@@ -324,46 +368,65 @@ class RunLengthIndex:
         return out
 
 
-def repeated_windows(text: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(stretch, place) of each window of the stretches that also starts in a stretch of smaller id."""
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-    index = RunLengthIndex(text, starts, sizes.astype(np.int64))
-    stretch = np.repeat(np.arange(len(sizes)), sizes + 5)
-    place = np.arange(len(stretch)) - index.starts[stretch]
-    hit = (place <= sizes[stretch] - LENGTH) & (index.smallest(ids) < ids[stretch])
-    return stretch[hit], place[hit]
+def least_holders(text: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (stretch, first window, last window, least id) of the stretches' windows: the least id of a stretch that has
+    the same ``LENGTH`` bytes, from the index over all of them."""
+    sizes = sizes.astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    index = RunLengthIndex(text, starts, sizes)
+    least = index.smallest(ids)
+    at = _runs(index.starts, index.starts + sizes - LENGTH + 1)
+    stretch = np.repeat(np.arange(len(sizes)), sizes - LENGTH + 1)
+    least, place = least[at], at - index.starts[stretch]
+    new = np.ones(len(at), bool)
+    new[1:] = (stretch[1:] != stretch[:-1]) | (least[1:] != least[:-1])
+    end = np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)
+    return stretch[new], place[new], place[end], least[new]
 
 
 def _index(table: pa.Table) -> pa.Table:
     """Removed spans of all chunks, from the stretches of one bucket."""
-    parts = [unpack(x.as_py()) for x in table.column("data")]
-    key, ids, chunk, size, count, number, first, text = (np.concatenate([p[k] for p in parts]) for k in range(8))
-    start, held = np.concatenate([[0], np.cumsum(size.astype(np.int64))]), np.concatenate([[0], np.cumsum(count.astype(np.int64))])
-    order = np.argsort(key, kind="stable")
-    sums = np.cumsum(size[order].astype(np.int64))
-    found, a = [], 0
+    raw = [x.as_py() for x in table.column("data")]
+    parts = [unpack(x[8:]) for x in raw]
+    chunk = np.repeat([int.from_bytes(x[:8], "little") for x in raw], [len(p[0]) for p in parts])
+    key, whole, size, count, ids, number, first, text = (np.concatenate([p[k] for p in parts]) for k in range(8))
+    del raw, parts
+    size, count = size.astype(np.int64), count.astype(np.int64)
+    start, held = np.cumsum(size) - size, np.cumsum(count) - count
+    cls, head = _same(text, start, size, key, whole)
+    owner = np.full(len(head), LAST)
+    np.minimum.at(owner, cls, np.minimum.reduceat(ids, held))
+    order = np.argsort(key[head], kind="stable")
+    sums, a, found = np.cumsum(size[head[order]]), 0, []
+    keys = key[head[order]]
     while a < len(order):  # whole keys, about INDEX bytes at a time
         b = max(a + 1, int(np.searchsorted(sums, (sums[a - 1] if a else 0) + INDEX, "right")))
-        if b < len(order):
-            b = int(np.searchsorted(key[order], key[order[b - 1]], "right"))
+        b = int(np.searchsorted(keys, keys[b - 1], "right"))
         here = order[a:b]
-        body = np.concatenate([text[start[i] : start[i + 1]] for i in here])
-        stretch, place = repeated_windows(body, size[here].astype(np.int64), ids[here])
-        if len(stretch):
-            new = np.concatenate([[True], (stretch[1:] != stretch[:-1]) | (place[1:] != place[:-1] + 1)])
-            end = np.concatenate([new[1:], [True]])
-            s, lo, hi = here[stretch[new]], place[new], place[end] + LENGTH
-            n = count[s]
-            at = np.repeat(held[s] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            found.append((np.repeat(chunk[s], n), number[at], first[at] + np.repeat(lo, n), first[at] + np.repeat(hi, n)))
+        body = text[_runs(start[head[here]], start[head[here]] + size[head[here]])]
+        s, lo, hi, least = least_holders(body, size[head[here]], owner[here])
+        found.append((here[s], lo, hi + LENGTH, least))
         a = b
+    run_cls, lo, hi, least = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(run_cls, kind="stable")
+    run_cls, lo, hi, least = run_cls[order], lo[order], hi[order], least[order]
+    from_ = np.searchsorted(run_cls, np.arange(len(head) + 1))
+    # Every place of every run of its class loses the run if a smaller document has it.
+    place_row = np.repeat(np.arange(len(cls)), count)
+    place_cls = cls[place_row]
+    lowest = np.minimum.reduceat(least, from_[:-1])
+    place = np.flatnonzero(ids > lowest[place_cls])
+    n = from_[place_cls[place] + 1] - from_[place_cls[place]]
+    run, place = _runs(from_[place_cls[place]], from_[place_cls[place] + 1]), np.repeat(place, n)
+    gone = least[run] < ids[place]
+    run, place = run[gone], place[gone]
+    to = chunk[place_row[place]]
+    order = np.argsort(to, kind="stable")
+    names, cuts = np.unique(to[order], return_index=True)
     rows = []
-    if found:
-        chunk, number, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(chunk, kind="stable")
-        names, cuts = np.unique(chunk[order], return_index=True)
-        for c, at in zip(names, np.split(order, cuts[1:]), strict=True):
-            rows.append((int(c), pack(number[at].astype(np.int32), lo[at], hi[at])))
+    for c, at in zip(names, np.split(order, cuts[1:]) if len(cuts) else [], strict=True):
+        p, r = place[at], run[at]
+        rows.append((int(c), pack(number[p], first[p] + lo[r], first[p] + hi[r])))
     return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["chunk", "data"])
 
 
@@ -390,15 +453,13 @@ def _rest(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def _removed_spans(texts: DataFrame, size: int, scratch: Scratch) -> DataFrame:
+def _removed_spans(texts: DataFrame, size: int) -> DataFrame:
     """(chunk, data): packed removed spans, from the bucketed table of texts (chunk, doc_id, text)."""
     bits = max(0, int(np.ceil(np.log2(max(1.0, size / BUCKET)))))
     sent = texts.groupBy("chunk").applyInArrow(_send(bits), "bucket long, chunk long, data binary")
     answers = sent.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(_judge, "chunk long, bucket long, codes binary")
-    marked = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_mark(bits), "kind int, key long, data binary")
-    marked = scratch.keep(marked, "marked")
-    deeper = marked.where("kind = 1").repartition(1 << (bits + 1), "key").groupBy("key").applyInArrow(_index, "chunk long, data binary")
-    return marked.where("kind = 0").select(F.col("key").alias("chunk"), "data").unionByName(deeper)
+    shared = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_mark(bits), "key long, data binary")
+    return shared.repartition(1 << (bits + FINER), "key").groupBy("key").applyInArrow(_index, "chunk long, data binary")
 
 
 def _chunked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
@@ -406,10 +467,15 @@ def _chunked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-size // CHUNK))
-    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk")
-    table = f"wayfare_texts_{uuid.uuid4().hex[:12]}"
-    docs.select(chunk, "*").repartition(chunks, "chunk").write.option("path", scratch.path("texts")).option("compression", "zstd").bucketBy(chunks, "chunk").sortBy("chunk").saveAsTable(table)
-    return spark.table(table), size
+    # The place of a row salts the hash: repeated rows are dealt over all chunks.
+    chunk = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(chunks)).alias("chunk")
+    table, files = f"wayfare_texts_{uuid.uuid4().hex[:12]}", min(chunks, FILES)
+    rows = docs.select(chunk, "*").repartition(files, "chunk")
+    rows.write.option("path", scratch.path("texts")).option("compression", "zstd").bucketBy(files, "chunk").sortBy("chunk").saveAsTable(table)
+    texts = spark.table(table)
+    texts.schema  # resolved: the entry in the catalog is no longer needed, its files stay
+    spark.sql(f"DROP TABLE {table}")
+    return texts, size
 
 
 def repeated_bytes(docs: DataFrame) -> DataFrame:
@@ -426,7 +492,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
         pairs = pa.array([[{"start": a, "end": b} for a, b in s] for s in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
         return pa.table([table.column("doc_id").take(pa.array(order)).combine_chunks(), pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array(digest, pa.string()), pairs], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    spans = _removed_spans(texts, size, scratch)
+    spans = _removed_spans(texts, size)
     return texts.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
 
 
@@ -439,7 +505,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     plain = docs.toDF(*names)
     rows = plain.select(F.col(at_id).cast("long").alias("doc_id"), F.coalesce(F.col(at_text).cast("string"), F.lit("")).alias("text"), *names)
     texts, size = _chunked(rows, scratch)
-    spans = _removed_spans(texts.select("chunk", "doc_id", "text"), size, scratch)
+    spans = _removed_spans(texts.select("chunk", "doc_id", "text"), size)
     kept = [f for f in plain.schema.fields]
 
     def finish(table: pa.Table, spans: pa.Table) -> pa.Table:
