@@ -1,16 +1,26 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Each rule rejects documents whose statistic reaches a cutoff. Cutoffs are not set by hand: documents with a quality
-label are the holdout, and a cutoff may be used in a stratum (a language) only if an exact binomial test shows that it
-rejects few good documents. For a stratum with n good documents of which k reach the cutoff, the hypothesis "more than
-``ALPHA / rules`` of the good documents are rejected" is dropped if P(Binomial(n, ALPHA / rules) <= k) is at most
-``DELTA / (strata * rules)`` (Bonferroni over strata and rules; this is the Clopper-Pearson upper bound). Along the
-cutoffs of one rule the tests run from the mildest to the strictest and stop at the first failure, which needs no
-further correction. With probability 1 - DELTA, no stratum then loses more than ALPHA of its good documents.
+Each rule rejects documents whose statistic reaches a cutoff. Cutoffs are not set by hand: documents with a quality label
+are the holdout, and in each stratum (a language) an exact binomial test certifies which rules may be used together.
+
+1. Path. A notch is a rule with one of its cutoffs. Documents labelled bad and documents without a label choose the
+   notches that are worth it (they catch a share of the bad ones ``ENRICH`` times their share of the unlabelled, or more)
+   and put them in order, the one that rejects the fewest unlabelled documents first, then the milder one. Documents labelled good have no
+   part in this, so the path is fixed before any test.
+2. Test. After each step of the path, the hypothesis "the rules so far together reject more than ``ALPHA`` of the good
+   documents" is dropped if P(Binomial(n, ALPHA) <= k) is at most the stratum's share of ``DELTA`` (the exact
+   Clopper-Pearson bound); n counts the stratum's good documents, k those that some rule so far rejects. The test is on
+   the union, so the risk is not divided among rules, and along the path it stops at the first failure (fixed
+   sequence), which needs no further correction.
+3. Strata share ``DELTA`` (Bonferroni) among the largest number of them that have enough good documents to pass any test
+   at that share; numbers of labels alone decide this, before any test. The other strata have no cutoffs.
+
+With probability 1 - DELTA, no stratum then loses more than ALPHA of its good documents to the rules.
 
 Defined results: a null text has no words and fails the base rule; a null language is a stratum of its own; a stratum
-without labels has no cutoffs and rejects by the base rule only; of several labels of a document the largest counts; a
-null label is none. Repeated rows get equal results; extra columns are ignored; an empty table gives an empty result.
+with too few good labels has no cutoffs and rejects by the base rule only; of several labels of a document the largest
+counts; a null label is none. Repeated rows get equal results; extra columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -23,7 +33,7 @@ from ._scratch import Scratch
 SPACES = r"\x20\x09-\x0D"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-ALPHA, DELTA = 0.05, 0.05
+ALPHA, DELTA, ENRICH = 0.05, 0.05, 3
 #: Cutoffs of each rule from the strictest to the mildest.
 CUTOFFS = {
     "symbols_per_word": [0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0],
@@ -100,32 +110,81 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k >= n * F.lit(p), F.lit(1.0)).when(k <= 0, F.exp(first)).otherwise(F.least(more, F.lit(1.0)))
 
 
-def thresholds(features: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """Rows (stratum, rule, cutoff, n_good, n_rejected, tail) with the strictest certified cutoff of each rule."""
-    rules = len(CUTOFFS)
-    good = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
-    held = features.where("not base_failed").join(good, "doc_id", "left_semi")
+def _patterns(features: DataFrame, labels: DataFrame) -> DataFrame:
+    """Documents that pass the base rule, counted by stratum, label (1, 0 or none) and number of cutoffs that each rule's
+    statistic reaches: at most 11 ** 5 rows for each stratum and label, whatever the number of documents."""
+    marks = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    marked = features.where("not base_failed").join(marks.agg(F.max("quality").cast("int").alias("quality")), "doc_id", "left")
     values = _rule_values()
-    passed = [F.struct(F.lit(r).alias("rule"), sum((F.when(values[r] >= c, 1).otherwise(0) for c in cuts), F.lit(0)).alias("at")) for r, cuts in CUTOFFS.items()]
-    counts = held.select("stratum", F.explode(F.array(*passed)).alias("x")).groupBy("stratum", "x.rule", "x.at").agg(F.count(F.lit(1)).alias("c"))
-    by_rule = counts.groupBy("stratum", "rule").agg(F.sum("c").alias("n_good"), F.map_from_entries(F.collect_list(F.struct("at", "c"))).alias("m"))
-    by_rule = by_rule.withColumn("strata", F.size(F.collect_set(F.struct("stratum")).over(Window.partitionBy(F.lit(0)))))
+    reached = [sum((F.when(values[r] >= c, 1).otherwise(0) for c in cuts), F.lit(0)).alias(r) for r, cuts in CUTOFFS.items()]
+    return marked.select("stratum", "quality", *reached).groupBy("stratum", "quality", *CUTOFFS).agg(F.count(F.lit(1)).alias("c"))
+
+
+def path(patterns: DataFrame, enrich: int = ENRICH) -> DataFrame:
+    """Rows (stratum, rule, pos, step): the notches of each stratum in order, chosen without documents labelled good."""
+    rules = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("at")) for r in CUTOFFS]))
+    other = patterns.where("quality is null or quality <> 1").withColumn("bad", F.col("quality").isNotNull())
+    by_at = other.select("stratum", "bad", rules.alias("x"), "c").groupBy("stratum", "bad", "x.rule", "x.at").agg(F.sum("c").alias("c"))
+    totals = by_at.groupBy("stratum", "rule").agg(*_by_label("all_bad", "all_none"))
+    caught = by_at.where("at > 0").select("stratum", "bad", "rule", F.explode(F.expr("sequence(0, at - 1)")).alias("pos"), "c")
+    caught = caught.groupBy("stratum", "rule", "pos").agg(*_by_label("bad", "none"))
+    both = caught.join(totals.withColumnsRenamed({"stratum": "s", "rule": "r"}), F.col("stratum").eqNullSafe(F.col("s")) & (F.col("rule") == F.col("r")))
+    worth = both.where((F.col("bad") > 0) & (F.col("bad") * F.col("all_none") >= F.lit(enrich) * F.col("none") * F.col("all_bad")))
+    order = Window.partitionBy("stratum").orderBy("none", F.desc("pos"), F.desc("bad"), "rule")
+    return worth.select("stratum", "rule", "pos", F.row_number().over(order).alias("step"))
+
+
+def _by_label(bad: str, none: str) -> list[Column]:
+    return [F.sum(F.when(F.col("bad"), F.col("c")).otherwise(0)).alias(bad), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("c"))).alias(none)]
+
+
+def tests(patterns: DataFrame, steps: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """Rows (stratum, step, rule, pos, n_good, n_rejected, tail, certified) of the strata that are tested."""
+    good = patterns.where("quality = 1")
+    sizes = good.groupBy("stratum").agg(F.sum("c").alias("n_good"))
+    # One row a stratum: the largest number of strata that can pass a test at that share of delta.
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n_good"), "stratum"))
+    enough = F.col("n_good") * F.lit(_log1p(-alpha)) <= F.log(F.lit(delta) / F.col("rank"))
+    sizes = sizes.withColumn("rank", rank).withColumn("strata", F.max(F.when(enough, F.col("rank"))).over(Window.partitionBy(F.lit(0))))
+    sizes = sizes.where("rank <= strata").select("stratum", "n_good", "strata")
+    lists = steps.groupBy(F.col("stratum").alias("s")).agg(F.sort_array(F.collect_list(F.struct("step", "rule", "pos"))).alias("steps"))  # 50 at most
+    tested = sizes.join(lists, F.col("stratum").eqNullSafe(F.col("s"))).drop("s")
+    at = F.create_map(*[x for r in CUTOFFS for x in (F.lit(r), F.col(r))])
+    first = F.array_min(F.transform(F.filter("steps", lambda x: F.element_at(at, x["rule"]) > x["pos"]), lambda x: x["step"]))
+    hits = good.join(tested.select(F.col("stratum").alias("s"), "steps"), F.col("stratum").eqNullSafe(F.col("s")))
+    hits = hits.select("stratum", first.alias("first"), "c").where("first is not null").groupBy(F.col("stratum").alias("s"), "first").agg(F.sum("c").alias("c"))
+    rows = tested.select("stratum", "n_good", "strata", F.explode("steps").alias("x")).select("stratum", "n_good", "strata", "x.*")
+    rows = rows.join(hits, F.col("stratum").eqNullSafe(F.col("s")) & (F.col("step") == F.col("first")), "left")
+    so_far = Window.partitionBy("stratum").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("n_rejected", F.sum(F.coalesce("c", F.lit(0))).over(so_far))
+    rows = rows.withColumn("tail", binomial_tail(F.col("n_good"), F.col("n_rejected"), alpha))
+    rows = rows.withColumn("certified", F.min(F.col("tail") <= F.lit(delta) / F.col("strata")).over(so_far))
+    return rows.select("stratum", "step", "rule", "pos", "n_good", "n_rejected", "tail", "certified")
+
+
+def _log1p(x: float) -> float:
+    import math
+
+    return math.log1p(x)
+
+
+def thresholds(features: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """Rows (stratum, rule, cutoff, n_good, n_rejected, tail) with the strictest certified cutoff of each rule; the last
+    three are those of the step that brought it."""
+    patterns = _patterns(features, labels)
+    certified = tests(patterns, path(patterns), alpha, delta).where("certified")
+    last = certified.groupBy("stratum", "rule").agg(F.max(F.struct("step", "pos", "n_good", "n_rejected", "tail")).alias("x"))
     grid = F.create_map(*[x for r, cuts in CUTOFFS.items() for x in (F.lit(r), F.array(*[F.lit(c) for c in cuts]))])
-    cuts = by_rule.select("*", F.posexplode(F.element_at(grid, F.col("rule"))).alias("pos", "cutoff"))
-    reached = F.aggregate(F.map_entries("m"), F.lit(0).cast("long"), lambda a, e: a + F.when(e["key"] > F.col("pos"), e["value"]).otherwise(F.lit(0)))
-    tested = cuts.withColumn("n_rejected", reached).withColumn("tail", binomial_tail(F.col("n_good"), F.col("n_rejected"), alpha / rules))
-    tested = tested.withColumn("ok", F.col("tail") <= F.lit(delta / rules) / F.col("strata"))
-    milder = Window.partitionBy("stratum", "rule").orderBy(F.col("pos").desc())
-    certified = tested.withColumn("all_ok", F.min("ok").over(milder)).where("all_ok")
-    best = F.row_number().over(Window.partitionBy("stratum", "rule").orderBy("pos"))
-    return certified.withColumn("r", best).where("r = 1").select("stratum", "rule", "cutoff", "n_good", "n_rejected", "tail")
+    cutoff = F.get(F.element_at(grid, F.col("rule")), F.col("x.pos"))
+    return last.select("stratum", "rule", cutoff.alias("cutoff"), "x.n_good", "x.n_rejected", "x.tail")
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """Documents (doc_id, text, lang) with their statistics, base_failed, kept and the rules that reject them."""
     scratch = Scratch(docs.sparkSession, "quality")
     features = scratch.keep(base_features(docs), "features")
-    cuts = thresholds(features, labels, alpha, delta).groupBy(F.col("stratum").alias("s")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cuts"))
+    cuts = thresholds(features, labels, alpha, delta).groupBy(F.col("stratum").alias("s"))
+    cuts = cuts.agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cuts"))
     cuts = scratch.keep(cuts, "cutoffs")
     if cuts.count() <= BROADCAST_STRATA:
         cuts = F.broadcast(cuts)
