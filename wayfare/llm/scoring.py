@@ -5,14 +5,16 @@ Every word of a text is predicted from the two words before and the two after it
 log P(word | both sides). A document's score is the sum over its words. The network is trained in numpy.
 
 Word ids: the ``WORDS`` most frequent words of the whole corpus (A-Z folded; counted over all documents) have their own,
-all others share ``BUCKETS`` ids by hash. The network gives the probability of an id; a word within a shared id has the
-share n / (N + 1) of it, n and N being the corpus counts of the word and of the id, and the remaining 1 / (N + 1) stands for
-words never counted. Counts of these words meet the documents' words by a join.
+all others share ``BUCKETS`` ids by hash. The network gives the probability of an id; it is divided among the words of a
+shared id by their corpus counts, the document's own occurrences left out: a word that occurs n times in the corpus and k
+times in the document has the share (n - k) / (N + 1) of its id, N being the id's count, and a word that no other
+document has 1 / ((N + 1) * ``UNSEEN``). These counts grow with the corpus and meet the documents' words by a join.
 
-Training covers the corpus: a hash of a word and its place in the text deals all words into rounds, so each word of the
-corpus is the target of exactly one step. In a round each task trains a copy of one starting network on the round's words
-of all texts it reads, and the copies are averaged, weighted by their words, in levels of ``FAN`` copies, block by block
-of parameters: no task or driver ever holds more than ``FAN`` blocks. The average is the next round's start.
+Training covers the corpus and does not depend on how the input is split: texts are dealt, by a hash of their ids and one
+further for each copy, into shards of about ``SHARD`` words. A shard trains a copy of one starting network on its texts,
+in the order of their hashes; the copies are averaged, weighted by their words, in levels of ``FAN``, block by block of
+parameters: no task or driver ever holds more than ``FAN`` blocks. The average is the next round's start. A hash of a
+text and a place in it deals all words into rounds: each word of the corpus is the target of exactly one step.
 
 Defined results: null and empty texts have 0 words, score 0 and no mean; a null doc_id stays null; repeated rows get
 equal scores; without any word the network stays as it started. Extra columns are ignored; an empty table gives an empty
@@ -29,19 +31,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._scratch import Scratch
-from ._words import hashed_words, mix, small_batches
+from ._words import hashed_words, mix, offsets_and_bytes, small_batches
 
-WORDS, BUCKETS, CLASSES, DIM = 2048, 2048, 64, 16
+WORDS, BUCKETS, CLASSES, DIM = 4096, 4096, 64, 16
 MEMBERS = (WORDS + BUCKETS) // CLASSES
 PLACES = (-2, -1, 1, 2)
-BATCH, RATE, ROUNDS, FAN, PARTS = 512, 0.35, 2, 32, 8
+BATCH, RATE, ROUNDS, FAN, PARTS = 1024, 0.1, 2, 32, 8
+SHARD = 2_000_000
+UNSEEN = 16
 PAD = WORDS + BUCKETS
 
 
 class Network:
     """Parameters as one flat float32 vector with named views."""
 
-    SHAPES = {"embed": (len(PLACES), PAD + 1, DIM), "hidden": (DIM,), "classes": (DIM, CLASSES), "class_bias": (CLASSES,), "members": (CLASSES, DIM, MEMBERS), "member_bias": (CLASSES, MEMBERS)}
+    SHAPES = {
+        "embed": (len(PLACES) * (PAD + 1), DIM),
+        "hidden": (DIM,),
+        "classes": (DIM, CLASSES),
+        "class_bias": (CLASSES,),
+        "members": (CLASSES, DIM, MEMBERS),
+        "member_bias": (CLASSES, MEMBERS),
+    }
     SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 
     def __init__(self, flat: np.ndarray):
@@ -54,7 +65,7 @@ class Network:
     @classmethod
     def start(cls, counts: np.ndarray, seed: int = 3) -> Network:
         """Small random weights; biases from the corpus counts of the ids."""
-        net = cls((np.random.default_rng(seed).standard_normal(cls.SIZE) * 0.05).astype(np.float32))
+        net = cls((np.random.default_rng(seed).standard_normal(cls.SIZE) * 0.1).astype(np.float32))
         by = (counts + 1.0).reshape(CLASSES, MEMBERS)
         net.hidden[:] = 0
         net.class_bias[:] = np.log(by.sum(1) / by.sum())
@@ -62,61 +73,77 @@ class Network:
         return net
 
     def forward(self, context: np.ndarray) -> np.ndarray:
-        h = np.tile(self.hidden, (len(context), 1))
-        for k in range(len(PLACES)):
-            h += self.embed[k][context[:, k]]
+        h = self.embed[context[:, 0]] + self.hidden
+        for k in range(1, len(PLACES)):
+            h += self.embed[context[:, k] + k * (PAD + 1)]
         return np.tanh(h, out=h)
 
+    def _members(self, h: np.ndarray, cls: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """Scores of the members of each row's class; rows are sorted by class, ``cuts`` are the classes' first rows."""
+        out = np.empty((len(h), MEMBERS), np.float32)
+        for c in np.flatnonzero(np.diff(cuts)):
+            np.matmul(h[cuts[c] : cuts[c + 1]], self.members[c], out=out[cuts[c] : cuts[c + 1]])
+        out += self.member_bias[cls]
+        return out
+
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log P(target | context) for each row."""
-        h = self.forward(context)
-        cls, member = target // MEMBERS, target % MEMBERS
-        out = _log_softmax(h @ self.classes + self.class_bias)[np.arange(len(h)), cls]
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            at = order[cuts[c] : cuts[c + 1]]
-            if len(at):
-                out[at] += _log_softmax(h[at] @ self.members[c] + self.member_bias[c])[np.arange(len(at)), member[at]]
+        order = np.argsort(target, kind="stable")
+        h, cls, rows = self.forward(context[order]), target[order] // MEMBERS, np.arange(len(order))
+        cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
+        first = h @ self.classes + self.class_bias
+        logs = first[rows, cls] - _log_sum(first)
+        second = self._members(h, cls, cuts)
+        logs += second[rows, target[order] % MEMBERS] - _log_sum(second)
+        out = np.empty(len(order))
+        out[order] = logs
         return out
 
     def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
-        """One step of stochastic gradient descent on the mean negative log-probability."""
-        n = len(target)
-        h = self.forward(context)
-        cls, member = target // MEMBERS, target % MEMBERS
-        p = np.exp(_log_softmax(h @ self.classes + self.class_bias))
-        p[np.arange(n), cls] -= 1
-        back = p @ self.classes.T
-        self.classes -= rate / n * (h.T @ p)
-        self.class_bias -= rate / n * p.sum(0)
-        order = np.argsort(cls, kind="stable")
-        sorted_h, cuts = h[order], np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        """One step of stochastic gradient descent on the negative log-probability. A row of a table that n words of the
+        batch use moves by their summed gradient over the square root of n."""
+        order = np.argsort(target, kind="stable")
+        context, target = context[order], target[order]
+        n, rows = len(target), np.arange(len(target))
+        h, cls = self.forward(context), target // MEMBERS
+        cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
         present = np.flatnonzero(np.diff(cuts))
-        q, down = np.empty((n, MEMBERS), np.float32), np.empty_like(h)
-        for c in present:
-            np.matmul(sorted_h[cuts[c] : cuts[c + 1]], self.members[c], out=q[cuts[c] : cuts[c + 1]])
-        q += self.member_bias[cls[order]]
-        q = np.exp(_log_softmax(q))
-        q[np.arange(n), member[order]] -= 1
-        # A member table sees few rows of a batch: its step is per row, as that of the embeddings.
-        each = float(rate / np.sqrt(n))
-        for c in present:
+        p = _softmax(h @ self.classes + self.class_bias)
+        p[rows, cls] -= 1
+        back = p @ self.classes.T
+        q = _softmax(self._members(h, cls, cuts))
+        q[rows, target % MEMBERS] -= 1
+        each = np.float32(rate) / np.sqrt(np.diff(cuts)[present]).astype(np.float32)
+        for c, step in zip(present, each, strict=True):
             here = slice(cuts[c], cuts[c + 1])
-            np.matmul(q[here], self.members[c].T, out=down[here])
-            self.members[c] -= each * (sorted_h[here].T @ q[here])
-        self.member_bias[present] -= each * np.add.reduceat(q, cuts[present])
-        back[order] += down
+            back[here] += q[here] @ self.members[c].T
+            self.members[c] -= step * (h[here].T @ q[here])
+        self.member_bias[present] -= each[:, None] * np.add.reduceat(q, cuts[present])
+        whole = np.float32(rate / np.sqrt(n))
+        self.classes -= whole * (h.T @ p)
+        self.class_bias -= whole * p.sum(0)
         back *= 1 - h * h
-        self.hidden -= rate / n * back.sum(0)
-        back *= each
-        for k in range(len(PLACES)):
-            np.subtract.at(self.embed[k], context[:, k], back)
+        self.hidden -= whole * back.sum(0)
+        used = (context + np.arange(len(PLACES)) * (PAD + 1)).ravel()
+        order = np.argsort(used, kind="stable")
+        used = used[order]
+        first = np.flatnonzero(np.concatenate([[True], used[1:] != used[:-1]]))
+        times = np.diff(np.append(first, len(used)))
+        moved = np.add.reduceat(back[order // len(PLACES)], first)
+        moved *= (np.float32(rate) / np.sqrt(times).astype(np.float32))[:, None]
+        self.embed[used[first]] -= moved
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    top = x.max(1)
+    return top + np.log(np.exp(x - top[:, None]).sum(1))
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
     x -= x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
 
 
 class Vocabulary:
@@ -136,30 +163,23 @@ class Vocabulary:
         return out
 
 
-def _lines(batch: pa.RecordBatch, vocabulary: Vocabulary, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]]:
-    """Ids and word hashes of a batch's texts, two pads around each, in pieces of about ``most`` words; a piece holds
-    whole texts, or part of a long one with the neighbours of its ends. Third: (row, first place, words) of each
-    part of a text."""
-    ids, words, parts, n = [np.full(2, PAD)], [np.zeros(2, np.uint64)], [], 2
-    for row, found in hashed_words(batch.column("text")):
-        known = vocabulary.ids(found)
-        for a in range(0, max(len(found), 1), most):
-            b = min(len(found), a + most)
-            before, after = known[max(0, a - 2) : a], known[b : b + 2]
-            edge = np.full(2 - len(before), PAD), np.full(2 - len(after), PAD)
-            ids += [edge[0], before, known[a:b], after, edge[1]]
-            words += [np.zeros(2, np.uint64), found[a:b], np.zeros(2, np.uint64)]
-            parts.append((row, n + 2, b - a))
-            n += b - a + 4
-            if n >= most:
-                yield np.concatenate(ids), np.concatenate(words), parts
-                ids, words, parts, n = [np.full(2, PAD)], [np.zeros(2, np.uint64)], [], 2
-    if parts:
-        yield np.concatenate(ids), np.concatenate(words), parts
-
-
-def _places(parts: list[tuple[int, int, int]]) -> np.ndarray:
-    return np.concatenate([np.arange(a, a + n) for _, a, n in parts])
+def _runs(first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers first[i] to end[i] - 1 of all i, one after another."""
+    n = end - first
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
+def padded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts of ids (binary, two bytes each) in one line, two pads before and after each: the line, the places of all
+    words in it, and the number of words of each text."""
+    off, data = offsets_and_bytes(column)
+    ids = np.frombuffer(data[int(off[0]) : int(off[-1])].tobytes(), np.uint16).astype(np.int64)
+    n = np.diff(off) // 2
+    first = np.cumsum(n + 2) - n
+    line = np.full(int((n + 2).sum()) + 2, PAD, np.int64)
+    at = _runs(first, first + n)
+    line[at] = ids
+    return line, at, n
 
 
 def _context(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -174,70 +194,133 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new, n = np.unique(np.concatenate(found), return_counts=True)
         both, at = np.unique(np.concatenate([held, new]), return_inverse=True)
         held, counts = both, np.bincount(at, np.concatenate([counts, n]), len(both)).astype(np.int64)
+        if len(held) > HELD:
+            yield from _emitted(held, counts)
+            held, counts = held[:0], counts[:0]
+    yield from _emitted(held, counts)
+
+
+#: Different words that a task counts before it sends them on.
+HELD = 2_000_000
+
+
+def _emitted(held: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(held), 50_000):
         yield pa.RecordBatch.from_arrays([pa.array(held[i : i + 50_000].view(np.int64)), pa.array(counts[i : i + 50_000])], ["word", "n"])
 
 
-def train(docs: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> tuple[Vocabulary, Network, DataFrame, np.ndarray]:
-    """From all documents (text): vocabulary, network, counts (word, n) of all words, and the counts of all ids."""
+def vocabulary(docs: DataFrame, scratch: Scratch) -> tuple[Vocabulary, DataFrame, np.ndarray]:
+    """From all documents (text): the vocabulary, counts (word, n) of all words, and the counts of all ids."""
     spark = docs.sparkSession
     texts = docs.select(F.col("text").cast("string").alias("text"))
     counts = scratch.keep(texts.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     top = counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()
-    vocabulary = Vocabulary([r.word for r in top])
     mass = np.zeros(PAD)
     mass[: len(top)] = [r.n for r in top]
     known = spark.createDataFrame([(r.word,) for r in top], "word long")
     # The hash of a word is used unsigned; its residue for a power of two is that of the signed number's low bits.
-    rest = counts.join(F.broadcast(known), "word", "left_anti").groupBy(F.col("word").bitwiseAND(BUCKETS - 1).alias("b")).agg(F.sum("n").alias("n")).collect()
-    for r in rest:
+    rest = counts.join(F.broadcast(known), "word", "left_anti").groupBy(F.col("word").bitwiseAND(BUCKETS - 1).alias("b")).agg(F.sum("n").alias("n"))
+    for r in rest.collect():  # ``BUCKETS`` rows at most
         mass[WORDS + r.b] = r.n
+    return Vocabulary([r.word for r in top]), counts, mass
+
+
+def tokens(docs: DataFrame, words: Vocabulary) -> DataFrame:
+    """Documents (doc_id, text) to (row, doc_id, n, ids, words, times): ids as two bytes each, and the different words of
+    shared ids with their numbers of times."""
+    held = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 40
+        for batch in small_batches(batches):
+            texts = [found for _, found in hashed_words(batch.column("text"))]
+            n = np.array([len(x) for x in texts], np.int64)
+            flat = np.concatenate(texts)
+            ids = held.value.ids(flat)
+            line = ids.astype(np.uint16).tobytes()
+            cuts = 2 * np.concatenate([[0], np.cumsum(n)])
+            # The different (text, word) of shared ids, in order of texts.
+            out = np.flatnonzero(ids >= WORDS)
+            owner, word = np.repeat(np.arange(len(n)), n)[out], flat[out]
+            order = np.lexsort((word, owner))
+            owner, word = owner[order], word[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (owner[1:] != owner[:-1]) | (word[1:] != word[:-1])
+            first = np.flatnonzero(new)
+            times = np.diff(np.append(first, len(order)))
+            lists = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[first], minlength=len(n)))]), pa.int32())
+            columns = [
+                pa.array(np.arange(row, row + len(n))),
+                batch.column("doc_id"),
+                pa.array(n),
+                pa.array([line[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary()),
+                pa.ListArray.from_arrays(lists, pa.array(word[first].view(np.int64))),
+                pa.ListArray.from_arrays(lists, pa.array(times.astype(np.int32))),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n", "ids", "words", "times"])
+            row += len(n)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "row long, doc_id long, n long, ids binary, words array<long>, times array<int>")
+
+
+def _learn(flat: np.ndarray, shard: pa.Table, turn: int, rounds: int) -> tuple[np.ndarray, int]:
+    """The network after a shard's words of a round, and their number. Rows (key, copy, ids) in order of keys."""
+    keys = shard.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys, kind="stable")  # rows of one key have one text
+    line, at, n = padded(shard.column("ids").combine_chunks().take(pa.array(order)))
+    place = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+    dealt = mix(np.repeat(keys[order], n) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(rounds)
+    at = at[dealt == turn]
+    at = at[np.random.default_rng(turn).permutation(len(at))]
+    net = Network(flat.copy())
+    steps = -(-len(at) // BATCH)
+    for k in range(steps):
+        here = at[k * BATCH : (k + 1) * BATCH]
+        # The rate falls to a quarter along the rounds.
+        net.step(_context(line, here), line[here], RATE * (1 - 0.75 * (turn + k / steps) / rounds))
+    return net.flat, len(at)
+
+
+def train(rows: DataFrame, mass: np.ndarray, scratch: Scratch, rounds: int = ROUNDS) -> Network:
+    """The network, from all tokenised texts (n, ids) and the counts of ids."""
+    spark = rows.sparkSession
     net = Network.start(mass)
-    if not top:
-        return vocabulary, net, counts, mass
+    # Copies of a text are dealt over the shards, each trains on its own.
+    texts = rows.where("n > 0").groupBy("ids").agg(F.count(F.lit(1)).alias("c"))
+    texts = texts.select("ids", F.xxhash64("ids").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("copy"))
+    shards = max(1, int(-(-mass.sum() // SHARD)))
+    dealt = scratch.keep(texts.withColumn("shard", F.pmod(F.col("key") + F.col("copy"), F.lit(shards))).repartition(shards, "shard"), "dealt")
+    if not mass.sum():
+        return net
     size = -(-Network.SIZE // PARTS)
     for turn in range(rounds):
-        held = spark.sparkContext.broadcast((vocabulary, net.flat))
-
-        def learn(batches: Iterator[pa.RecordBatch], held=held, turn=turn) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
-            words, flat = held.value
-            own, seen = Network(flat.copy()), 0
-            waiting: list[tuple[np.ndarray, np.ndarray]] = []
-            ready = 0
-            for batch in small_batches(batches):
-                for ids, found, parts in _lines(batch, words):
-                    at = _places(parts)
-                    place = np.concatenate([np.arange(n, dtype=np.uint64) for _, _, n in parts])
-                    at = at[mix(found[at] + place * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(rounds) == turn]
-                    waiting.append((_context(ids, at), ids[at]))
-                    ready += len(at)
-                    while ready >= BATCH:
-                        c, t = (np.concatenate(x) for x in zip(*waiting, strict=True))
-                        for i in range(0, ready - BATCH + 1, BATCH):
-                            own.step(c[i : i + BATCH], t[i : i + BATCH], RATE / (1 + turn))
-                            seen += BATCH
-                        used = ready // BATCH * BATCH
-                        waiting, ready = [(c[used:], t[used:])], ready - used
-            if ready:
-                c, t = (np.concatenate(x) for x in zip(*waiting, strict=True))
-                own.step(c, t, RATE / (1 + turn) * ready / BATCH)
-                seen += ready
-            shard = TaskContext.get().partitionId()
-            for k in range(PARTS):
-                piece = own.flat[k * size : (k + 1) * size]
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([shard], pa.int64()), pa.array([seen], pa.int64()), pa.array([piece.tobytes()], pa.binary())], ["part", "shard", "n", "data"])
-
-        parts = scratch.keep(texts.mapInArrow(learn, "part int, shard long, n long, data binary").where("n > 0"), f"round{turn}-0")
-        level, most = 0, parts.agg(F.max("shard")).first()[0]
+        held = spark.sparkContext.broadcast(net.flat)
+
+        def learn(table: pa.Table, held=held, turn=turn) -> pa.Table:
+            flat, seen = _learn(held.value, table, turn, rounds)
+            shard = table.column("shard")[0].as_py()
+            columns = [
+                pa.array(np.arange(PARTS), pa.int32()),
+                pa.array([shard] * PARTS, pa.int64()),
+                pa.array([seen] * PARTS, pa.int64()),
+                pa.array([flat[k * size : (k + 1) * size].tobytes() for k in range(PARTS)], pa.binary()),
+            ]
+            return pa.table(columns, names=["part", "shard", "n", "data"])
+
+        learned = dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(learn, "part int, shard long, n long, data binary")
+        parts = scratch.keep(learned.where("n > 0"), f"round{turn}-0")
+        level, most = 0, shards - 1
         while most:
             merged = parts.withColumn("up", F.expr(f"shard div {FAN}")).groupBy("part", "up").applyInArrow(_average, "part int, shard long, n long, data binary")
             level, most = level + 1, most // FAN
             parts = scratch.keep(merged, f"round{turn}-{level}")
-        flat = np.concatenate([np.frombuffer(r.data, np.float32) for r in parts.orderBy("part").collect()])  # one network
-        net = Network(flat.copy())
-    return vocabulary, net, counts, mass
+        blocks = parts.orderBy("part").collect()  # one network
+        if blocks:
+            net = Network(np.concatenate([np.frombuffer(r.data, np.float32) for r in blocks]).copy())
+    return net
 
 
 def _average(table: pa.Table) -> pa.Table:
@@ -247,49 +330,43 @@ def _average(table: pa.Table) -> pa.Table:
     for _, n, i in rows:
         piece = np.frombuffer(table.column("data")[i].as_py(), np.float32).astype(np.float64) * (n / total)
         out = piece if out is None else out + piece
-    return pa.table([pa.array([table.column("part")[0].as_py()], pa.int32()), pa.array([table.column("up")[0].as_py()], pa.int64()), pa.array([total], pa.int64()), pa.array([out.astype(np.float32).tobytes()], pa.binary())], names=["part", "shard", "n", "data"])
+    part, up = table.column("part")[0].as_py(), table.column("up")[0].as_py()
+    columns = [pa.array([part], pa.int32()), pa.array([up], pa.int64()), pa.array([total], pa.int64()), pa.array([out.astype(np.float32).tobytes()], pa.binary())]
+    return pa.table(columns, names=["part", "shard", "n", "data"])
 
 
-def score(docs: DataFrame, vocabulary: Vocabulary, net: Network, counts: DataFrame, mass: np.ndarray, scratch: Scratch) -> DataFrame:
-    """Documents (doc_id, text) to (doc_id, n_tokens, pseudo_log_likelihood, mean_log_probability), one row each."""
-    held = docs.sparkSession.sparkContext.broadcast((vocabulary, net.flat, np.log(mass + 1.0)))  # a fixed number of parameters
+#: Logarithms are added as whole numbers of 2**-30, so that a sum does not depend on the order of its terms.
+UNIT = float(1 << 30)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        words, flat, whole = held.value
-        own, row = Network(flat), TaskContext.get().partitionId() << 40
-        for batch in small_batches(batches):
-            total, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            shared: list[np.ndarray] = [np.zeros(0, np.uint64)]
-            sizes = np.zeros(batch.num_rows, np.int64)
-            for ids, found, parts in _lines(batch, words):
-                at = _places(parts)
-                rows = np.repeat([r for r, _, _ in parts], [k for _, _, k in parts])
-                for i in range(0, len(at), 8192):
-                    here = at[i : i + 8192]
-                    logs = own.log_probability(_context(ids, here), ids[here])
-                    logs -= np.where(ids[here] >= WORDS, whole[ids[here]], 0.0)
-                    total += np.bincount(rows[i : i + 8192], logs, batch.num_rows)
-                n += np.bincount(rows, minlength=batch.num_rows)
-                out = ids[at] >= WORDS
-                shared.append(found[at[out]])
-                sizes += np.bincount(rows[out], minlength=batch.num_rows)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(shared).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + batch.num_rows)), batch.column("doc_id"), pa.array(n), pa.array(total), lists], ["row", "doc_id", "n", "total", "shared"])
-            row += batch.num_rows
+def score(rows: DataFrame, net: Network, counts: DataFrame, mass: np.ndarray, scratch: Scratch) -> DataFrame:
+    """Tokenised documents to (doc_id, n_tokens, pseudo_log_likelihood, mean_log_probability), one row each."""
+    held = rows.sparkSession.sparkContext.broadcast((net.flat, np.log(mass + 1.0)))  # a fixed number of parameters
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = scratch.keep(rows.mapInArrow(run, "row long, doc_id long, n long, total double, shared array<long>"), "scored")
-    # Logarithms are added as whole numbers of 2**-30, so that a sum does not depend on the order of its terms.
-    log = F.round(F.log("n") * float(1 << 30)).cast("long")
-    added = scored.select("row", F.explode("shared").alias("word")).join(counts.select("word", log.alias("log")), "word").groupBy("row").agg(F.sum("log").alias("log"))
-    total = F.col("total") + F.coalesce(F.col("log") / float(1 << 30), F.lit(0.0))
-    both = scored.drop("shared").join(added, "row", "left").select("doc_id", F.col("n").alias("n_tokens"), total.alias("pseudo_log_likelihood"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, whole = held.value
+        own = Network(flat)
+        for batch in small_batches(batches, "ids", 1 << 20):
+            line, at, n = padded(batch.column("ids"))
+            owner, total = np.repeat(np.arange(len(n)), n), np.zeros(len(n))
+            for i in range(0, len(at), 8192):
+                here = at[i : i + 8192]
+                logs = own.log_probability(_context(line, here), line[here]) - np.where(line[here] >= WORDS, whole[np.minimum(line[here], PAD - 1)], 0.0)
+                total += np.bincount(owner[i : i + 8192], np.rint(logs * UNIT), len(n))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("n"), pa.array(total.astype(np.int64))], ["row", "doc_id", "n", "total"])
+
+    scored = rows.select("row", "doc_id", "n", "ids").mapInArrow(run, "row long, doc_id long, n long, total long")
+    each = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("k"))
+    share = F.when(F.col("n") > F.col("k"), F.log(F.col("n") - F.col("k"))).otherwise(F.lit(-float(np.log(UNSEEN))))
+    known = each.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    added = known.groupBy("row").agg(F.sum(F.col("k") * F.round(share * UNIT).cast("long")).alias("log"))
+    both = scored.join(added, "row", "left").select("doc_id", F.col("n").alias("n_tokens"), ((F.col("total") + F.coalesce("log", F.lit(0))) / UNIT).alias("pseudo_log_likelihood"))
     return both.withColumn("mean_log_probability", F.when(F.col("n_tokens") > 0, F.col("pseudo_log_likelihood") / F.col("n_tokens")))
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """Trains on all documents and scores all of them."""
     scratch = Scratch(docs.sparkSession, "scoring")
-    return score(docs, *train(docs, scratch), scratch)
+    words, counts, mass = vocabulary(docs, scratch)
+    rows = scratch.keep(tokens(docs, words), "tokens")
+    return score(rows, train(rows, mass, scratch), counts, mass, scratch)
