@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,25 +233,84 @@ def test_binomial_tail(spark):
         assert got == pytest.approx(exact, rel=1e-6)
 
 
-def test_thresholds_hold_the_risk(spark):
-    r = random.Random(3)
+def judged(n=3000, seed=3):
+    """Documents of two languages, a tenth of them bad (symbols in most words), two in three labelled."""
+    r = random.Random(seed)
     rows, labels = [], []
-    for i in range(3000):
+    for i in range(n):
         good = i % 10 > 0
         text = " ".join(f"w{r.randint(0, 10**6)}" + ("" if good or r.random() < 0.1 else "$$") for _ in range(60))
-        rows.append((i, text, "en" if i % 2 else "de", None, None, None))
-        labels.append((i, int(good), 0))
-    labels += [(5, None, None), (None, 1, 0), (7, 0, 0)]
+        if r.random() < 0.2:
+            text += "\nsame line\nsame line"
+        rows.append((i, text, "en" if i // 10 % 2 else "de", None, None, None))
+        if i % 3:
+            labels.append((i, int(good), 0))
+    rows += [(n + k, rows[k][1], None, None, None, None) for k in range(40)]
+    return rows, labels + [(n + k, 1, 0) for k in range(40)] + [(5, None, None), (None, 1, 0), (7, 0, 0)]
+
+
+def test_thresholds_hold_the_risk(spark):
+    rows, labels = judged()
     docs, marks = table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     cuts = quality.thresholds(quality.base_features(docs), marks).collect()
-    assert {x.stratum for x in cuts} == {"en", "de"} and any(x.rule == "symbols_per_word" for x in cuts)
-    assert all(x.tail <= quality.DELTA / 5 / 2 for x in cuts)
+    # 40 good labels can pass no test, so the null language takes no share of DELTA.
+    rules = {x.rule for x in cuts}
+    assert {x.stratum for x in cuts} == {"en", "de"} and "symbols_per_word" in rules and rules <= {"symbols_per_word", "long_words"}
+    assert all(x.tail <= quality.DELTA / 2 for x in cuts)
     found = {x.doc_id: x.kept for x in quality.apply_rules(docs, marks).collect()}
     lost = sum(not found[i] for i in range(3000) if i % 10) / 2700
     assert lost <= quality.ALPHA and sum(not found[i] for i in range(0, 3000, 10)) > 250
     assert quality.apply_rules(table(spark, []), marks).count() == 0
 
 
+def test_certified_union_against_brute_force(spark):
+    """Path and tests, written out: the union of the rules so far, and the labels that may choose the path."""
+    rows, labels = judged(900, 5)
+    truth = {}
+    for i, q, _ in labels:
+        if i is not None and q is not None:
+            truth[i] = max(q, truth.get(i, 0))
+    docs, marks = table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    features = quality.base_features(docs)
+    patterns = quality._patterns(features, marks)
+    certified = {}
+    for x in quality.tests(patterns, quality.path(patterns)).collect():
+        certified.setdefault(x.stratum, []).append(x)
+    values = quality._rule_values()
+    held = features.where("not base_failed").select("doc_id", "stratum", *[v.alias(k) for k, v in values.items()]).collect()
+    assert certified
+    for stratum, steps in certified.items():
+        steps.sort(key=lambda x: x.step)
+        good = [x for x in held if x.stratum == stratum and truth.get(x.doc_id) == 1]
+        others = [x for x in held if x.stratum == stratum and truth.get(x.doc_id) != 1]
+        so_far, ok = [], True
+        for x in steps:
+            so_far.append((x.rule, quality.CUTOFFS[x.rule][x.pos]))
+            assert x.n_good == len(good) and x.n_rejected == sum(any(d[r] >= c for r, c in so_far) for d in good)
+            bad, none = (sum(d[x.rule] >= so_far[-1][1] for d in others if (d.doc_id in truth) == marked) for marked in (True, False))
+            n_bad, n_none = (sum((d.doc_id in truth) == marked for d in others) for marked in (True, False))
+            assert bad > 0 and bad * n_none >= quality.ENRICH * none * n_bad
+            ok = ok and x.tail <= quality.DELTA / len(certified)
+            assert x.certified == ok
+
+
+def test_quality_sql_with_certified_cutoffs(spark):
+    import duckdb
+
+    from wayfare.llm.oracle import oracles
+
+    rows, labels = judged(1500, 9)
+    docs, marks = table(spark, rows + documents()[:0]), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = quality.apply_rules(docs, marks).withColumn("rejected_by", F.concat_ws(",", "rejected_by")).toPandas()
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    con.register("labels", marks.toPandas().astype({"doc_id": "Int64", "quality": "Int64"}))
+    wanted = con.sql(oracles()["op3_quality_rules"]).df()
+    assert (found.rejected_by != "").sum() > 50
+    columns = sorted(found.columns)
+    assert sorted(map(tuple, found[columns].values.tolist())) == sorted(map(tuple, wanted[columns].values.tolist()))
+
+
 # Repeats
 
 
@@ -297,12 +357,13 @@ def test_index_parts():
     texts = [t[a : a + r.randint(50, 80)].encode() for t in base for a in range(0, 30, 3)]
     ids = np.array([r.randint(0, 20) for _ in texts])
     sizes = np.array([len(t) for t in texts])
-    stretch, place = suffix_dedup.repeated_windows(np.frombuffer(b"".join(texts), np.uint8), sizes, ids)
+    runs = zip(*suffix_dedup.least_holders(np.frombuffer(b"".join(texts), np.uint8), sizes, ids), strict=True)
+    found = {(int(s), k): i for s, lo, hi, i in runs for k in range(lo, hi + 1)}
     least = {}
     for t, i in zip(texts, ids, strict=True):
         for k in range(len(t) - 49):
             least[t[k : k + 50]] = min(least.get(t[k : k + 50], 99), i)
-    assert set(zip(stretch.tolist(), place.tolist(), strict=True)) == {(s, k) for s, t in enumerate(texts) for k in range(len(t) - 49) if least[t[k : k + 50]] < ids[s]}
+    assert found == {(s, k): least[t[k : k + 50]] for s, t in enumerate(texts) for k in range(len(t) - 49)}
     index = suffix_dedup.RunLengthIndex(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
     assert len(index.runs) < len(index.text) / 2  # repetitive: few runs
     body = index.text.tobytes()
@@ -323,6 +384,38 @@ def test_hot_anchor(spark, monkeypatch):
     assert repeats(spark, rows) == brute_repeats(rows)
 
 
+def test_every_span_comes_from_the_index(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup.RunLengthIndex, "smallest", lambda self, owner, length=50: np.full(len(self.rows), suffix_dedup.LAST))
+    rows = [(i, "x" * 60 + " " + words(random.Random(1), 30), None, None, None, None) for i in range(4)]
+    table_ = pa.table({"chunk": [0] * 4, "doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})
+    sent = suffix_dedup._send(0)(table_)
+    answers = suffix_dedup._judge(sent)
+    marked = suffix_dedup._mark(0)(table_, answers)
+    assert marked.num_rows
+    for key in set(marked.column("key").to_pylist()):
+        part = marked.filter(pa.compute.equal(marked.column("key"), key))
+        assert suffix_dedup._index(part).num_rows == 0
+
+
+def test_equal_hashes_of_different_bytes():
+    """Classes are told apart by their bytes, not by their hashes."""
+    flat = np.frombuffer(b"a" * 60 + b"b" * 60 + b"a" * 60, np.uint8)
+    at, size, one = np.array([0, 60, 120]), np.full(3, 60), np.ones(3, np.uint64)
+    cls, head = suffix_dedup._same(flat, at, size, one, one)
+    assert cls[0] == cls[2] != cls[1] and len(head) == 2
+
+
+def test_repeated_rows_are_dealt_over_chunks(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 10_000)
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 10_000)
+    same = words(random.Random(5), 60)
+    rows = [(7, same, None, None, None, None)] * 200 + [(8, same, None, None, None, None)] * 3
+    texts, _ = suffix_dedup._chunked(table(spark, rows).select("doc_id", "text"), Scratch(spark, "test"))
+    assert texts.groupBy("chunk").count().agg(F.max("count")).first()[0] < 100
+    assert repeats(spark, rows) == brute_repeats(rows)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("wayfare_texts")]
+
+
 def test_remove_repeats(spark):
     kept = suffix_dedup.remove_repeats(table(spark))
     assert kept.columns == [c.split()[0] for c in DOCS.split(", ")]

@@ -261,7 +261,24 @@ def test_scores_against_brute_force(monkeypatch, frequent):
     monkeypatch.setattr(toxicity, "FREQUENT", frequent)
     monkeypatch.setattr(toxicity, "LANE", 16)
     examples, fold = labelled(), [(d + 5000, y, c) for d, y, c in labelled(200, 4)]
-    index = toxicity.Index(examples, fold)
+    words_, number = [], {}
+
+    def coded(rows):
+        out = []
+        for d, y, c in rows:
+            for w in c:
+                if w not in number:
+                    number[w] = len(words_)
+                    words_.append(w)
+            out.append((d, y, np.array([number[w] for w in c], np.int64), np.array(list(c.values()), np.int64)))
+        return out
+
+    examples_, fold_ = coded(examples), coded(fold)
+    index = toxicity.Index(words_, examples_, fold_)
+
+    def vector(counts):
+        return index.query(" ".join(w for w, n in counts.items() for _ in range(n)), {})
+
     weights = brute_weights(examples)
     assert set(index.terms) == set(weights) and all(abs(index.scale[i] - weights[t]) < 1e-9 for t, i in index.terms.items())
     vectors = {d: (brute_vector(c, weights), y) for d, y, c in examples}
@@ -279,7 +296,7 @@ def test_scores_against_brute_force(monkeypatch, frequent):
 
     visited = 0
     for _, _, counts in labelled(150, 8):
-        query = index.vector(counts)
+        query = vector(counts)
         if query is None:
             assert not brute_vector(counts, weights)
             continue
@@ -294,7 +311,7 @@ def test_scores_against_brute_force(monkeypatch, frequent):
     # Calibration: rates rise, and the pools hold the mean of the fold's labels.
     assert (np.diff(index.rates) >= 0).all() and (np.diff(index.votes) > 0).all()
     text = " ".join(t for t, n in examples[3][2].items() for _ in range(n))
-    assert index.query(text + " ?! unknownword", {})[1].tolist() == index.vector(examples[3][2])[1].tolist()
+    assert index.query(text + " ?! unknownword", {})[1].tolist() == vector(examples[3][2])[1].tolist()
 
 
 def test_bounds_of_the_examples(spark):

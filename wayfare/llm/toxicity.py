@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,31 +105,39 @@ def alike(vectors: list[tuple[np.ndarray, np.ndarray]], terms: int) -> np.ndarra
 class Index:
     """Weighted terms, examples as sparse vectors, and the block-max inverted index over them.
 
-    ``examples`` and ``fold``: (doc_id, toxic, {term: count}) of the index and of the calibration fold."""
+    ``words``: all words of the examples. ``examples`` and ``fold``: (doc_id, toxic, word numbers, counts) of the index and
+    of the calibration fold."""
 
-    def __init__(self, examples: list[tuple[int, int, dict[str, int]]], fold: list[tuple[int, int, dict[str, int]]]):
-        df, toxic_df = Counter(), Counter()
-        for _, toxic, counts in examples:
-            df.update(counts.keys())
+    def __init__(self, words: list[str], examples: list[tuple], fold: list[tuple]):
+        df, toxic_df = np.zeros(len(words)), np.zeros(len(words))
+        for _, toxic, ids, _ in examples:
+            df[ids] += 1
             if toxic:
-                toxic_df.update(counts.keys())
-        names = sorted(t for t, n in df.items() if n >= LEAST_DF)
-        self.terms = {t: i for i, t in enumerate(names)}
-        every, hits = (np.array([d[t] for t in names], float) for d in (df, toxic_df))
-        n1 = sum(y for _, y, _ in examples)
+                toxic_df[ids] += 1
+        kept = sorted(np.flatnonzero(df >= LEAST_DF).tolist(), key=words.__getitem__)
+        self.terms = {words[k]: i for i, k in enumerate(kept)}
+        number = np.full(len(words), -1, np.int64)
+        number[kept] = np.arange(len(kept))
+        every, hits = df[kept], toxic_df[kept]
+        n1 = sum(e[1] for e in examples)
         n0 = len(examples) - n1
         gain = log_likelihood_ratio(hits, n1, every - hits, n0)
         self.scale = (np.log((1 + n0 + n1) / (1 + every)) + 1.0) * (np.sqrt(gain) + FLOOR)
-        both = [y for _, y, _ in [*examples, *fold]]
+        both = [e[1] for e in [*examples, *fold]]
         self.bare = min((sum(both) + 0.5) / (len(both) + 10.0), 0.4)
-        rows = [(self.vector(counts), d, y) for d, y, counts in sorted(examples, key=lambda e: (e[0], e[1]))]
+
+        def vector(e: tuple) -> tuple[np.ndarray, np.ndarray] | None:
+            ids = number[e[2]]
+            return self._weighted(ids[ids >= 0], e[3][ids >= 0])
+
+        rows = [(vector(e), e[0], e[1]) for e in sorted(examples, key=lambda e: e[:2])]
         rows = [r for r in rows if r[0] is not None]
         if rows:
-            rows = [rows[i] for i in alike([r[0] for r in rows], len(names))]
+            rows = [rows[i] for i in alike([r[0] for r in rows], len(kept))]
         self._postings([r[0] for r in rows])
         self.ids, self.toxic = np.array([d for _, d, _ in rows], np.int64), np.array([y for _, _, y in rows], float)
         self.votes, self.rates = np.zeros(1), np.array([self.bare])
-        self._calibrate([(self.vector(counts), y) for _, y, counts in sorted(fold, key=lambda e: (e[0], e[1]))])
+        self._calibrate([(vector(e), e[1]) for e in sorted(fold, key=lambda e: e[:2])])
 
     def _postings(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         none = [np.zeros(0, np.int64)]
@@ -156,15 +165,10 @@ class Index:
         self.pair_block = (pair & ((1 << 32) - 1)).astype(np.int64)
         self.lane_at = np.searchsorted(pair, np.arange(len(self.terms) + 1) * (1 << 32))
 
-    def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray] | None:
-        """Term numbers, rising, and weights of a text's words; None without any term."""
-        found = {i: n for t, n in counts.items() if (i := self.terms.get(t, -1)) >= 0}
-        return self._weighted(found)
-
-    def _weighted(self, found: dict[int, int]) -> tuple[np.ndarray, np.ndarray] | None:
-        if not found:
+    def _weighted(self, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Term numbers, rising, and weights; None without any term."""
+        if not len(ids):
             return None
-        ids, n = np.fromiter(found.keys(), np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
         order = np.argsort(ids)
         ids = ids[order]
         weight = (1.0 + np.log(n[order])) * self.scale[ids]
@@ -182,7 +186,7 @@ class Index:
                 i = cache[word] = terms.get(word.strip(STRIP), -1)
             if i >= 0:
                 found[i] = found.get(i, 0) + 1
-        return self._weighted(found)
+        return self._weighted(np.fromiter(found.keys(), np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found)))
 
     def nearest(self, queries: list, k: int = NEIGHBOURS, apart: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         """For each query, numbers and cosines of the k nearest examples, cosine above 0, exact, and how many blocks were
@@ -310,10 +314,15 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, postings
             break
         last = r
     if last is None:
-        return Index([], [])
+        return Index([], [], [])
     within = counted.where((F.col("at") < last.at) | ((F.col("at") == last.at) & (F.col("id") <= last.id)))
-    held = [(r.id, r.toxic, dict(zip(r.terms, r.counts, strict=True))) for r in within.collect()]  # ``postings`` terms at most
-    return Index([e for e in held if not calibrates(e[0])], [e for e in held if calibrates(e[0])])
+    table = within.select("id", "toxic", "terms", "counts").toArrow().combine_chunks()  # ``postings`` terms at most
+    words = pc.list_flatten(table.column("terms")).combine_chunks().dictionary_encode()
+    code, times = words.indices.to_numpy(), pc.list_flatten(table.column("counts")).to_numpy()
+    cuts = np.concatenate([[0], np.cumsum(pc.list_value_length(table.column("terms")).to_numpy())])
+    found = zip(table.column("id").to_pylist(), table.column("toxic").to_pylist(), cuts[:-1], cuts[1:], strict=True)
+    held = [(i, y, code[a:b], times[a:b]) for i, y, a, b in found]
+    return Index(words.dictionary.to_pylist(), [e for e in held if not calibrates(e[0])], [e for e in held if calibrates(e[0])])
 
 
 def score_documents(docs: DataFrame, index: Index) -> DataFrame:
