@@ -8,13 +8,15 @@ probability 5e-6.
 
 Candidates are confirmed on full sets, without all pairs of a group:
 
-1. documents with equal sets become one node;
+1. documents with equal sets (by a 128-bit digest of the whole sorted set) become one node;
 2. in each bucket every node is compared with one node, the smallest of the bucket; links give components;
-3. where a bucket still holds several components, nodes of different components are compared too. In buckets of up to
-   ``SMALL`` nodes, pairs are listed, unless sizes or the triangle inequality of the Jaccard distance to the bucket's
-   smallest node exclude a link. Nodes of larger buckets form clusters, dealt in blocks of ``BLOCK`` nodes; a task
-   compares two blocks through an inverted index of their shingles and returns only links between components, at most
-   one for each node. Nodes of one component need no further comparison: the result would be the same.
+3. where a bucket still holds several components, nodes of different components are compared too, as far as sizes allow a
+   link. In buckets of up to ``SMALL`` nodes, pairs are listed, unless the triangle inequality of the Jaccard distance to
+   the bucket's smallest node excludes a link. In larger buckets ``PIVOTS`` further nodes are compared with all others,
+   which joins nearly all of a large group of copies. What is left goes through an exact prefix filter: a set's shingles
+   are put in order, the rarest among these nodes first; two sets of similarity 0.75 share one of the first
+   n - ceil(0.75 n) + 1 of each. Nodes meet by these shingles, and only if one of them is outside the shingle's largest
+   component. Nodes of one component need no further comparison: the result would be the same.
 
 So after step 3 every pair that shares a bucket is in one component or was excluded exactly.
 
@@ -25,6 +27,8 @@ is kept only if its component has no doc_id at all. Extra columns are ignored; a
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +43,7 @@ from .components import components
 SHINGLE, SLOTS, BANDS, ROWS, PERCENT = 5, 1 << 20, 32, 4, 75
 #: Members of a group that are compared with its first node by one task.
 GROUP = 256
-SMALL, BLOCK = 16, 512
+SMALL, PIVOTS = 16, 3
 _state: dict[str, np.ndarray] = {}
 
 
@@ -71,25 +75,32 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return out
 
 
+def digest(found: np.ndarray) -> bytes:
+    """16 bytes that stand for a whole set (sorted, distinct)."""
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     none = np.zeros(0, np.uint64)
     for batch in small_batches(batches):
-        n, fp, keys = [], [], []
+        n, sums, keys = [], [], []
         for _, words in hashed_words(batch.column("text")):
             found = np.unique(shingles(words, SHINGLE))
             n.append(len(found))
-            if len(found):
-                fp.append(int(np.add.reduce(mix(found + np.uint64(1)))) & (2**64 - 1))
-                keys.append(bands(signature(found)))
-            else:
-                fp.append(0)
-                keys.append(none)
+            sums.append(digest(found) if len(found) else bytes(16))
+            keys.append(bands(signature(found)) if len(found) else none)
         sizes = np.cumsum([0] + [len(x) for x in keys])
         flat = np.concatenate([none, *keys]).view(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))],
-            ["doc_id", "text_hash", "n_shingles", "node", "bands"],
-        )
+        both = np.frombuffer(b"".join(sums), np.int64).reshape(-1, 2)
+        columns = [
+            batch.column("doc_id"),
+            batch.column("text_hash"),
+            pa.array(n, pa.int64()),
+            pa.array(both[:, 0]),
+            pa.array(both[:, 1]),
+            pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat)),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "node", "check", "bands"])
 
 
 def _sets(words: pa.Array) -> Iterator[np.ndarray]:
@@ -127,55 +138,80 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 _LINKED = f"100 * shared >= {PERCENT} * (n_a + n_b - shared)"
 
 
-def _between_blocks(many: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (a, b) between components among the nodes (node, pivot, comp) of large buckets: every two nodes of a cluster
-    of such buckets meet in one task. A node is sent once for each block of its cluster."""
-    cluster = components(many.select(F.col("pivot").alias("a"), F.col("node").alias("b")), scratch, "cluster")
-    nodes = many.select("node", "comp").distinct().join(cluster.withColumnRenamed("comp", "cluster"), "node")
-    sizes = nodes.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    dealt = nodes.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(F.col("own"), k).alias("i"), F.greatest(F.col("own"), k).alias("j"))))
-    rows = dealt.select("cluster", "node", "comp", "own", meets.alias("m")).select("cluster", "m.i", "m.j", "own", "node", "comp").join(texts, "node")
-    return rows.groupBy("cluster", "i", "j").applyInArrow(_links_of_blocks, "a long, b long")
-
-
-def _links_of_blocks(table: pa.Table) -> pa.Table:
-    """Links between components of two blocks (or within one), a spanning forest of them."""
-    node, comp, own = (table.column(c).to_numpy() for c in ("node", "comp", "own"))
-    _, keep = np.unique(node, return_index=True)
-    sets = list(_sets(table.column("text").take(pa.array(keep)).combine_chunks()))
-    node, comp, own = node[keep], comp[keep], own[keep]
-    size = np.array([len(x) for x in sets])
-    _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
-    holder = np.repeat(np.arange(len(sets)), size)
-    order = np.argsort(shingle, kind="stable")
-    at, postings = np.searchsorted(shingle[order], np.arange(shingle.max() + 2)), holder[order]
-    cuts = np.concatenate([[0], np.cumsum(size)])
-    root: dict[int, int] = {}
-
-    def find(c: int) -> int:
-        while root.get(c, c) != c:
-            root[c] = c = root.get(root[c], root[c])
-        return c
-
-    out = []
-    for x in np.flatnonzero(own == table.column("i")[0].as_py()):
-        own_shingles = shingle[cuts[x] : cuts[x + 1]]
-        shared = np.bincount(np.concatenate([postings[at[k] : at[k + 1]] for k in own_shingles]), minlength=len(sets))
-        for y in np.flatnonzero((100 * shared >= PERCENT * (size[x] + size - shared)) & (comp != comp[x])):
-            p, q = find(int(comp[x])), find(int(comp[y]))
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                out.append((int(node[x]), int(node[y])))
-    return pa.table([pa.array([r[k] for r in out], pa.int64()) for k in range(2)], names=["a", "b"])
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The set of each node's text."""
+    for batch in small_batches(batches):
+        sets = list(_sets(batch.column("text")))
+        sizes = np.array([len(x) for x in sets], np.int64)
+        flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("comp"), pa.array(sizes), lists], ["node", "comp", "n", "shingles"])
+
+
+def _other_pivots(many: DataFrame) -> DataFrame:
+    """Pairs (a, b): ``PIVOTS`` nodes of each bucket with the bucket's nodes of other components."""
+    picks = F.array(*[F.min(F.struct(F.xxhash64("node", "bucket", F.lit(k)).alias("h"), "node", "n", "comp")) for k in range(PIVOTS)])
+    chosen = many.groupBy("bucket").agg(picks.alias("p"))
+    chosen = chosen.select("bucket", F.explode("p").alias("p")).select("bucket", F.col("p.node").alias("a"), F.col("p.n").alias("n_a"), F.col("p.comp").alias("comp_a"))
+    met = many.join(chosen, "bucket").where("comp <> comp_a").where(_fits("n", "n_a"))
+    return met.select("a", F.col("node").alias("b")).distinct()
+
+
+def _fits(x: str, y: str) -> str:
+    """Whether sets of two sizes can be similar enough."""
+    return f"100 * least({x}, {y}) >= {PERCENT} * greatest({x}, {y})"
+
+
+def _prefix_pairs(nodes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of nodes (node, comp) of different components that share a shingle of their prefixes."""
+    sets = scratch.keep(nodes.join(texts, "node").mapInArrow(_shingle_sets, "node long, comp long, n long, shingles array<long>"), "sets")
+    each = sets.select("node", "comp", "n", F.explode("shingles").alias("shingle"))
+    # A shingle of one component links nothing, but it takes its place in the prefix.
+    holders = each.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("c"))
+    largest = F.max(F.struct("c", F.col("comp").alias("major"))).alias("x")
+    rare = holders.groupBy("shingle").agg(F.sum("c").alias("df"), largest, F.count(F.lit(1)).alias("comps"))
+    ranked = each.join(rare.select("shingle", "df", "x.major", "comps"), "shingle")
+    order = F.sort_array(F.collect_list(F.struct("df", "shingle", "major", "comps")))
+    prefix = F.slice(order, 1, (F.col("n") - F.ceil(F.col("n") * F.lit(PERCENT) / F.lit(100)) + F.lit(1)).cast("int"))
+    heads = ranked.groupBy("node", "comp", "n").agg(prefix.alias("heads")).select("node", "comp", "n", F.explode("heads").alias("h"))
+    heads = scratch.keep(heads.where("h.comps > 1").select("node", "comp", "n", "h.shingle", "h.major"), "heads")
+    minor = heads.where("comp <> major").select("shingle", F.col("node").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a"))
+    met = heads.join(minor, "shingle").where("comp <> comp_a and (comp = major or node > a)").where(_fits("n", "n_a"))
+    return met.select("a", F.col("node").alias("b")).distinct()
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, one for each component, with all their columns; repeated rows stay once."""
-    marked = docs.select("*", F.xxhash64(F.col("text").cast("string")).alias("near_text"), F.col("doc_id").cast("long").alias("near_id"))
-    first = near_duplicates(docs, with_text_hash=True).where("kept").select(F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_text")).distinct()
-    rows = marked.join(first, F.col("near_text").eqNullSafe(F.col("first_text")) & F.col("near_id").eqNullSafe(F.col("first_id")), "left_semi")
-    return rows.dropDuplicates(["near_text", "near_id"]).drop("near_text", "near_id")
+    """The rows of ``docs`` that stay, one for each component, with all their columns. Of rows that repeat doc_id and text,
+    the one with the least hash of all its columns stays."""
+    kept = near_duplicates(docs, with_text_hash=True).where("kept")
+    own = uuid.uuid4().hex[:8]  # names that no column of the input has
+    names, text, doc_id = [f"c{i}_{own}" for i in range(len(docs.columns))], f"text_{own}", f"id_{own}"
+    plain = docs.toDF(*names)
+    at_id, at_text = F.col(names[docs.columns.index("doc_id")]), F.col(names[docs.columns.index("text")])
+    marked = plain.select("*", F.xxhash64(at_text.cast("string")).alias(text), at_id.cast("long").alias(doc_id))
+    first = kept.select(F.col("doc_id").alias(f"first_{doc_id}"), F.col("text_hash").alias(f"first_{text}")).distinct()
+    rows = marked.join(first, F.col(text).eqNullSafe(F.col(f"first_{text}")) & F.col(doc_id).eqNullSafe(F.col(f"first_{doc_id}")), "left_semi")
+    hashed = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in plain.schema.fields]
+    one = rows.groupBy(text, doc_id).agg(F.min_by(F.struct(*names), F.xxhash64(*hashed)).alias("row"))
+    return one.select("row.*").toDF(*docs.columns)
+
+
+def _nodes(sigs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Signatures and nodes (node, doc_id, text_hash, n, bands): one node for each different set. Should two sets share the
+    first half of their digests, all but one of them take a node number of their own."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        found = rows.where("n_shingles > 0").groupBy("node").agg(least.alias("x"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"), F.min("check").alias("c1"), F.max("check").alias("c2"))
+        return found.select("node", "x.doc_id", "x.text_hash", "n", "bands", "c1", "c2")
+
+    nodes = scratch.keep(grouped(sigs), "nodes")
+    clash = nodes.where("c1 <> c2").select("node", "c1")
+    if not clash.isEmpty():
+        sigs = sigs.join(clash, "node", "left").withColumn("node", F.when(F.col("check") != F.col("c1"), F.xxhash64("node", "check")).otherwise(F.col("node")))
+        sigs = scratch.keep(sigs.drop("c1"), "signatures2")
+        nodes = scratch.keep(grouped(sigs), "nodes2")
+    return sigs, nodes.drop("c1", "c2")
 
 
 def near_duplicates(docs: DataFrame, with_text_hash: bool = False) -> DataFrame:
@@ -184,34 +220,44 @@ def near_duplicates(docs: DataFrame, with_text_hash: bool = False) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "minhash")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hashed = texts.withColumn("text_hash", F.xxhash64("text"))
-    sigs = scratch.keep(hashed.mapInArrow(_signatures, "doc_id long, text_hash long, n_shingles long, node long, bands array<long>"), "signatures")
-    nodes = sigs.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    sigs = hashed.mapInArrow(_signatures, "doc_id long, text_hash long, n_shingles long, node long, check long, bands array<long>")
+    sigs, nodes = _nodes(scratch.keep(sigs, "signatures"), scratch)
     rows = scratch.keep(nodes.select("node", "n", F.explode("bands").alias("bucket")), "rows")
     pivots = rows.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     met = scratch.keep(rows.join(pivots, "bucket"), "met")  # only buckets of two nodes or more
     scratch.drop("rows")
     pairs = scratch.keep(met.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs1")
-    needed = met.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
-    held = texts.join(needed, texts.doc_id.eqNullSafe(needed.doc_id)).select("node", "text")
-    held = scratch.keep(held.mapInArrow(_only_own, "node long, text string"), "texts")
+    needed = met.select("node").distinct().join(nodes.select("node", "doc_id", F.col("text_hash").alias("own")), "node")
+    # A document's id and the hash of its text: rows without an id are told apart, too.
+    held = hashed.join(needed, hashed.doc_id.eqNullSafe(needed.doc_id) & (hashed.text_hash == needed.own)).select("node", "text")
+    held = scratch.keep(held.mapInArrow(_once, "node long, text string").dropDuplicates(["node"]), "texts")
     known = scratch.keep(_verified(pairs, held), "known1")
     comp = components(known.where(_LINKED).select("a", "b"), scratch, "star")
-    at = met.join(comp, "node", "left").select("bucket", "node", "n", "pivot", F.coalesce("comp", "node").alias("comp"))
-    open_ = at.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("c")).where("c1 <> c2").select("bucket", "c")
+
+    def still_open(comp: DataFrame) -> DataFrame:
+        """Nodes of buckets that hold several components: (bucket, node, n, pivot, comp, c)."""
+        at = met.join(comp, "node", "left").select("bucket", "node", "n", "pivot", F.coalesce("comp", "node").alias("comp"))
+        several = at.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("c")).where("c1 <> c2")
+        return at.join(several.select("bucket", "c"), "bucket")
+
     near = known.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("d"))
-    at = scratch.keep(at.join(open_, "bucket"), "open")
+    at = scratch.keep(still_open(comp), "open1")
     few = at.where(f"c <= {SMALL} and node <> pivot").join(near, ["pivot", "node"])
     x, y = (few.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp", "d")]) for s in "xy")
-    cross = x.join(y, "bucket").where("node_x < node_y and comp_x <> comp_y").where(f"100 * least(n_x, n_y) >= {PERCENT} * greatest(n_x, n_y) and abs(d_x - d_y) <= {1 - PERCENT / 100} + 1e-9")
-    cross = scratch.keep(cross.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct(), "pairs2")
-    many = at.where(f"c > {SMALL}").select("node", "pivot", "comp").distinct()
-    links, more = known.where(_LINKED).select("a", "b"), False
+    cross = x.join(y, "bucket").where("node_x < node_y and comp_x <> comp_y").where(_fits("n_x", "n_y")).where(f"abs(d_x - d_y) <= {1 - PERCENT / 100} + 1e-9")
+    cross = cross.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
+    many = at.where(f"c > {SMALL}")
+    cross = scratch.keep(cross.unionByName(_other_pivots(many)).distinct(), "pairs2")
+    links = known.where(_LINKED).select("a", "b")
     if not cross.isEmpty():
-        links, more = links.unionByName(scratch.keep(_verified(cross, held).where(_LINKED).select("a", "b"), "known2")), True
-    if not many.isEmpty():
-        links, more = links.unionByName(scratch.keep(_between_blocks(many, held, scratch), "known3")), True
-    if more:
-        comp = components(links, scratch, "all")
+        links = links.unionByName(scratch.keep(_verified(cross, held).where(_LINKED).select("a", "b"), "known2"))
+        comp = components(links, scratch, "pivots")
+        if not many.isEmpty():
+            left = still_open(comp).where(f"c > {SMALL}").select("node", "comp").distinct()
+            last = scratch.keep(_prefix_pairs(left, held, scratch), "pairs3")
+            if not last.isEmpty():
+                links = links.unionByName(scratch.keep(_verified(last, held).where(_LINKED).select("a", "b"), "known3"))
+                comp = components(links, scratch, "all")
     least = nodes.select("node", "doc_id").join(comp, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     least = least.join(least.groupBy("comp").agg(F.min("doc_id").alias("least")), "comp").select("node", "least")
     out = sigs.select("doc_id", "text_hash", "n_shingles", "node").join(least, "node", "left")
@@ -219,12 +265,8 @@ def near_duplicates(docs: DataFrame, with_text_hash: bool = False) -> DataFrame:
     return out.select("doc_id", *(["text_hash"] if with_text_hash else []), "n_shingles", comp_id.alias("component_id"), F.col("doc_id").eqNullSafe(comp_id).alias("kept"))
 
 
-def _only_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drops a text whose set is not the node's (another row with the same doc_id), and repeats within a batch."""
-    for batch in small_batches(batches):
-        node, seen, keep = batch.column("node").to_numpy(), set(), []
-        for i, found in enumerate(_sets(batch.column("text"))):
-            own = len(found) and np.int64(np.uint64(int(np.add.reduce(mix(found + np.uint64(1)))) & (2**64 - 1)).view(np.int64)) == node[i]
-            keep.append(bool(own and int(node[i]) not in seen))
-            seen.add(int(node[i]))
-        yield batch.filter(pa.array(keep))
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Drops repeats of a node within a batch: repeated rows of one document."""
+    for batch in batches:
+        node = batch.column("node").to_numpy()
+        yield batch.take(pa.array(np.sort(np.unique(node, return_index=True)[1])))
