@@ -7,7 +7,8 @@ has mean zero, so inclusion probabilities hold. A flight runs in blocks of ``blo
 leaves open (two units, and ``RESERVE`` that it does not touch) goes on to the next level, where blocks hold ``block``
 open units again, until one block per source is left. Its landing gives up the document constraint first, then rounds;
 the words that rounding one long document adds or takes are then made good by exchanging a taken with an untaken unit of
-that block whose sizes differ by as much.
+that block whose sizes differ by as much. This last exchange is chosen by size, not by lot: a source's total comes out
+right, and the probabilities of the units of its one last block hold only nearly.
 
 No block ever holds more than about ``block`` rows, whatever the share of a source, and texts are never shuffled.
 
@@ -18,6 +19,7 @@ rows are separate units; an empty table gives an empty result; extra columns are
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -149,7 +151,7 @@ def _exchange(start: np.ndarray, p: np.ndarray, size: np.ndarray, rounds: int =
 
 def _flight(land: bool, seed: int):
     def run(table: pa.Table) -> pa.Table:
-        order = pa.compute.sort_indices(table, [("doc_id", "ascending"), ("size", "ascending"), ("copies", "ascending"), ("p", "ascending")])
+        order = pa.compute.sort_indices(table, [(c, "ascending") for c in ("doc_id", "size", "number", "copies", "p")])
         table = table.take(order)
         block = table.column("block")[0].as_py() or 0
         size = table.column("size").to_numpy()
@@ -175,9 +177,11 @@ def with_copies(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the mix takes, with all their columns and ``copies``; rows that share doc_id and source
     are one unit and get the same number."""
     units = docs.select("doc_id", "source", word_count(F.col("text").cast("string")).alias("size")).groupBy("doc_id", "source").agg(F.sum("size").alias("size"))
-    taken = mix_units(units, **options).where("copies > 0").select(F.col("doc_id").alias("taken_id"), F.col("source").alias("taken_source"), F.col("copies").alias("taken_copies"))
-    rows = docs.join(taken, docs.doc_id.cast("long").eqNullSafe(taken.taken_id) & docs.source.cast("string").eqNullSafe(taken.taken_source))
-    return rows.select(*[docs[c] for c in docs.columns if c != "copies"], F.col("taken_copies").alias("copies"))
+    own = uuid.uuid4().hex[:8]  # names that no column of the input has
+    taken = mix_units(units, **options).where("copies > 0").select(*[F.col(c).alias(f"{c}_{own}") for c in ("doc_id", "source", "copies")])
+    same = docs.doc_id.cast("long").eqNullSafe(taken[f"doc_id_{own}"]) & docs.source.cast("string").eqNullSafe(taken[f"source_{own}"])
+    rows = docs.join(taken, same)
+    return rows.select(*[docs[c] for c in docs.columns if c != "copies"], F.col(f"copies_{own}").alias("copies"))
 
 
 def mix_units(units: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, block: int = BLOCK, seed: int = 17) -> DataFrame:
@@ -185,21 +189,23 @@ def mix_units(units: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
     spark = units.sparkSession
     scratch = Scratch(spark, "mix")
     narrow = units.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("size").cast("long").alias("size"))
-    narrow = scratch.keep(narrow, "sizes")
-    sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    narrow = scratch.keep(narrow.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows")), "sizes")
+    sizes = narrow.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.sum("rows").alias("n"))
     sizes = scratch.keep(sizes, "sources")
     goal = targets(sizes.select("source", "source_size"), weights, most).withColumnRenamed("source", "s")
     goal = goal.join(sizes.select(F.col("source").alias("s2"), "n"), F.col("s").eqNullSafe(F.col("s2"))).drop("s2")
     if sizes.count() <= BROADCAST_SOURCES:
         goal = F.broadcast(goal)
-    units = narrow.join(goal, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    # Repeated rows are numbered, so that they are dealt over all blocks.
+    each = narrow.withColumn("number", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
+    units = each.join(goal, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(share + F.lit(1e-9))
     units = units.withColumn("copies", whole.cast("long")).withColumn("p", F.greatest(share - whole, F.lit(0.0)))
     units = units.withColumn("p", F.when(F.col("p") < 1e-9, 0.0).otherwise(F.col("p")))
-    salt = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("size"))
+    salt = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("size"), F.col("number"))
     units = units.withColumn("block", F.pmod(salt, F.ceil(F.col("n") / F.lit(block))))
-    keep = ["doc_id", "source", "size", "source_size", "target", "n", "copies", "p", "block"]
+    keep = ["doc_id", "source", "size", "number", "source_size", "target", "n", "copies", "p", "block"]
     units = units.select(*keep)
     level, most_n = 0, sizes.agg(F.max("n")).first()[0] or 0
     done = None
@@ -212,6 +218,6 @@ def mix_units(units: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
         if last:
             break
         left = F.ceil(F.col("n") / F.lit(block)) * (2 + RESERVE)  # the most that blocks leave open
-        units = flown.where("p > 0").withColumn("n", left).withColumn("block", F.pmod(F.xxhash64(F.lit(level), F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("size")), F.ceil(F.col("n") / F.lit(block))))
+        units = flown.where("p > 0").withColumn("n", left).withColumn("block", F.pmod(F.xxhash64(F.lit(level), F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("size"), F.col("number")), F.ceil(F.col("n") / F.lit(block))))
         units, most_n, level = units.select(*keep), (2 + RESERVE) * math.ceil(most_n / block), level + 1
     return done.select("doc_id", "source", "size", "source_size", F.col("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
