@@ -179,7 +179,7 @@ DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss
 
 
 def read_back(windows: DataFrame) -> DataFrame:
-    """Digests of the conversations that the windows hold, from nothing but the windows."""
+    """Digests of the conversations that the windows hold, from nothing but the windows, wherever they lie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in DIGEST.split(", ")]
@@ -209,4 +209,5 @@ def read_back(windows: DataFrame) -> DataFrame:
         if current is not None:
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(done(), kinds, strict=True)], names)
 
-    return windows.mapInArrow(run, DIGEST)
+    rows = windows.select("conv_id", "window", "text", "loss", "repeated")
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "window").mapInArrow(run, DIGEST)
