@@ -71,76 +71,126 @@ BOILER = [GROUPS.index(g) for g in GROUPS if g not in ("content",)]
 OPEN_COST = math.log(0.5)
 
 
+class _Open:
+    """The open elements: (name, node), and where each name, and each element that bounds a scope, is open."""
+
+    def __init__(self):
+        self.items: list[tuple[str, int]] = [("html", 0)]  # inline elements carry their parent's node
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+
+    @property
+    def node(self) -> int:
+        return self.items[-1][1]
+
+    def push(self, name: str, node: int) -> None:
+        self.places.setdefault(name, []).append(len(self.items))
+        if name in SCOPE:
+            self.scopes.append(len(self.items))
+        self.items.append((name, node))
+
+    def last(self, name: str) -> int:
+        """The innermost place of an open element, 0 if there is none."""
+        found = self.places.get(name)
+        return found[-1] if found else 0
+
+    def scope(self) -> int:
+        return self.scopes[-1] if self.scopes else 0
+
+    def cut(self, at: int) -> None:
+        """Closes the elements from a place on."""
+        for name, _ in reversed(self.items[at:]):
+            self.places[name].pop()
+            if name in SCOPE:
+                self.scopes.pop()
+        del self.items[at:]
+
+    def forget(self, name: str) -> None:
+        """Closes the innermost element of a name, but none of those within it."""
+        at = self.places[name].pop()
+        self.items[at] = ("", self.items[at][1])
+        self.places.setdefault("", []).append(at)
+
+    def links(self) -> int:
+        return len(self.places.get("a", ()))
+
+
+class _Closing:
+    """Where the skipped elements of one kind end: every tag of the kind is looked at once."""
+
+    def __init__(self, source: str, name: str):
+        self.ends: dict[int, int] = {}  # end of the open tag to the end of its element
+        waiting: list[int] = []
+        for m in re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>", re.I).finditer(source):
+            if not m[1]:
+                if not m[0].endswith("/>"):
+                    waiting.append(m.end())
+            elif waiting:
+                self.ends[waiting.pop()] = m.end()
+
+
 class Page:
-    """Nodes in page order (parents first) and pieces of text: (node, text, inside a link)."""
+    """Nodes in page order (parents first) and pieces of text: (node, text, inside a link).
+
+    Tags are read in time that grows with the page, whatever is left open or closed without having been opened. An
+    element whose content is skipped but that is never closed loses its tag only."""
 
     def __init__(self, source: str):
         self.tag, self.attrs, self.parent, self.depth, self.mark = ["html"], [""], [-1], [0], [None]
         self.pieces: list[tuple[int, str, bool]] = []
-        stack: list[tuple[str, int]] = [("html", 0)]  # open elements; inline ones carry their parent's node
-        links, at, end = 0, 0, len(source)
-        for m in iter(lambda: TOKEN.search(source, at), None):
+        stack, closing_of = _Open(), {}
+        at, end = 0, len(source)
+        tags = source.rfind(">") + 1  # no tag ends behind it
+        for m in iter(lambda: TOKEN.search(source, at, tags), None):
             if m.start() > at:
-                self.pieces.append((stack[-1][1], source[at : m.start()], links > 0))
+                self.pieces.append((stack.node, source[at : m.start()], stack.links() > 0))
             at = m.end()
             name = m[2] or m[5]
             if name is None:
                 continue
             name, closing, rest = name.lower(), m[1] or m[4], m[3] if m[2] else m[6]
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        links -= sum(x[0] == "a" for x in stack[k:])
-                        del stack[k:]
-                        break
-                    if name == "p" or name in INLINE and stack[k][0] in SCOPE:
-                        break
+                k = stack.last(name)
+                if k and not ((name == "p" or name in INLINE) and stack.scope() > k):
+                    stack.cut(k)
                 if name not in INLINE and name not in ("a", "span"):
-                    self.pieces.append((stack[-1][1], " ", False))
+                    self.pieces.append((stack.node, " ", False))
                 continue
             if name in SILENT and not rest.endswith("/"):
                 if name in RAW:
                     stop = re.compile(rf"</{name}\s*>", re.I).search(source, at)
                     at = stop.end() if stop else end
+                elif name == "head":
+                    at = self._after_head(source, at)
                 else:
-                    at = self._skip(source, at, name)
-                self.pieces.append((stack[-1][1], " ", False))
+                    if name not in closing_of:
+                        closing_of[name] = _Closing(source, name)
+                    at = closing_of[name].ends.get(at, at)
+                self.pieces.append((stack.node, " ", False))
                 continue
             if name in VOID or name in SILENT:
                 if name in ("br", "hr"):
-                    self.pieces.append((stack[-1][1], " ", False))
+                    self.pieces.append((stack.node, " ", False))
                 continue
             if name in INLINE:
-                stack.append((name, stack[-1][1]))
+                stack.push(name, stack.node)
                 continue
-            if name in ("html", "body") and any(x[0] == name for x in stack[1:]) or name == "html":
+            if name == "html" or name == "body" and stack.last(name):
                 continue
-            if name in CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        links -= sum(x[0] == "a" for x in stack[k:])
-                        del stack[k:]
-                        break
-                    if stack[k][0] in SCOPE:
-                        break
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in SAME.get(name, ()):
-                    links -= sum(x[0] == "a" for x in stack[k:])
-                    del stack[k:]
-                    if name not in ("tr", "tbody", "tfoot", "thead"):
-                        break
-                elif stack[k][0] in SCOPE:
+            if name in CLOSES_P and stack.last("p") > stack.scope():
+                stack.cut(stack.last("p"))
+            while same := max((stack.last(x) for x in SAME.get(name, ())), default=0):
+                if same < stack.scope():
+                    break
+                stack.cut(same)
+                if name not in ("tr", "tbody", "tfoot", "thead"):
                     break
-            if name == "a" and links:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "a":
-                        del stack[k]
-                        links -= 1
-                        break
+            if name == "a" and stack.links():
+                stack.forget("a")
             if name not in ("a", "span"):
-                self.pieces.append((stack[-1][1], " ", False))
+                self.pieces.append((stack.node, " ", False))
             elif name == "span" and not rest.strip():
-                stack.append((name, stack[-1][1]))
+                stack.push(name, stack.node)
                 continue
             found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(rest)} if rest else {}
             if "display:none" in found.get("style", "").replace(" ", "").lower() or "hidden" in found:
@@ -148,23 +198,16 @@ class Page:
             self.tag.append(name)
             self.attrs.append(" ".join(found.get(k, "") for k in ("class", "id", "role", "aria-label")))
             self.mark.append(found.get("data-y"))
-            self.parent.append(stack[-1][1])
-            self.depth.append(self.depth[stack[-1][1]] + 1)
-            stack.append((name, len(self.tag) - 1))
-            links += name == "a"
+            self.parent.append(stack.node)
+            self.depth.append(self.depth[stack.node] + 1)
+            stack.push(name, len(self.tag) - 1)
         if at < end:
-            self.pieces.append((stack[-1][1], source[at:], links > 0))
+            self.pieces.append((stack.node, source[at:], stack.links() > 0))
 
     @staticmethod
-    def _skip(source: str, at: int, name: str) -> int:
-        """The end of an element whose content is skipped; elements of its own kind may be nested in it."""
-        deep = 1
-        for m in re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>", re.I).finditer(source, at):
-            deep += -1 if m[1] else (0 if m[0].endswith("/>") else 1)
-            if not deep:
-                return m.end()
-        body = re.compile(r"<body[\s>]", re.I).search(source, at) if name == "head" else None
-        return body.start() if body else len(source)
+    def _after_head(source: str, at: int) -> int:
+        stop = re.compile(r"</head\s*>|(?=<body[\s>])", re.I).search(source, at)
+        return stop.end() if stop else at
 
     def features(self) -> tuple[np.ndarray, np.ndarray]:
         """A row for each node, and the length of the text below it."""
