@@ -150,7 +150,10 @@ def brute_overlap(text, item):
     return any(sum(x == y for x, y in zip(a[i : i + width], b[j : j + width], strict=True)) >= need for i in range(len(a) - width + 1) for j in range(len(b) - width + 1))
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_decontamination(spark, monkeypatch, bound):
+    """By a broadcast table, and by a join of seeds."""
+    monkeypatch.setattr(decontamination, "SEEDS", bound)
     r = random.Random(8)
     items = [(k, words(r, n)) for k, n in enumerate((30, 14, 12, 8, 4, 40))] + [(90, None), (None, words(r, 20))]
     rows = [(i, words(r, r.randint(0, 60)), None, None, None, None) for i in range(30)]
@@ -172,8 +175,10 @@ def test_decontamination(spark):
     assert decontamination.overlaps(table(spark), benchmark.where("false")).count() == 0
 
 
-def test_decontamination_of_short_items(spark):
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_decontamination_of_short_items(spark, monkeypatch, bound):
     """Items below a window overlap with all but one word equal (6 to 11 words) or all words (1 to 5)."""
+    monkeypatch.setattr(decontamination, "SEEDS", bound)
     r = random.Random(12)
     items = [(n, words(r, n, "klmnopqrst")) for n in range(1, 15)]
     rows = []
@@ -199,11 +204,20 @@ def test_decontamination_of_short_items(spark):
     assert {x.doc_id for x in kept.collect()} == {x[0] for x in rows} - {i for i, _ in expected}
 
 
-def test_decontamination_blocks(spark):
+def test_table_and_join_give_the_same_rows(spark, monkeypatch):
+    """Whole rows, with repeated documents, null ids, and an item that half of the documents hold."""
     r = random.Random(9)
-    items = [(k, words(r, 20)) for k in range(9)]
-    made = list(decontamination.blocks(spark.createDataFrame(items, "item_id long, text string"), most=100))
-    assert len(made) > 3 and sum(len(b.ids) for b in made) == 9
+    items = [(k, words(r, r.randint(3, 40))) for k in range(9)] + [(None, words(r, 20)), (3, words(r, 15))]
+    rows = [(i, words(r, 20) + " " + (items[8][1] if i % 2 else items[i % 11][1]) + " " + words(r, 10), None, None, None, None) for i in range(60)]
+    rows += [rows[1], rows[1], (None, items[4][1], None, None, None, None)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+
+    def found():
+        return collections.Counter(map(tuple, decontamination.overlaps(table(spark, rows), benchmark, short=True).collect()))
+
+    by_table = found()
+    monkeypatch.setattr(decontamination, "SEEDS", 0)
+    assert by_table == found() and sum(by_table.values()) >= 60
 
 
 # Quality
@@ -462,8 +476,9 @@ def test_near_duplicates(spark):
     assert near(spark, documents()) == brute_near(documents())
 
 
-def test_large_groups_of_near_copies(spark, monkeypatch):
-    """Variants whose likeness lies on both sides of the threshold, through lists of pairs and through blocks."""
+@pytest.mark.parametrize("pivots", [1, 3])
+def test_large_groups_of_near_copies(spark, monkeypatch, pivots):
+    """Variants whose likeness lies on both sides of the threshold, through lists of pairs and through the prefix filter."""
     r = random.Random(4)
     base_ = words(r, 60).split()
     rows = []
@@ -475,10 +490,48 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
     expected = brute_near(rows)
     assert near(spark, rows) == expected
     monkeypatch.setattr(minhash, "SMALL", 2)
-    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "PIVOTS", pivots)
     assert near(spark, rows) == expected
 
 
+def test_prefix_filter_loses_no_link(spark, monkeypatch):
+    """Candidates come from the prefix filter alone: every bucket is put together, and no pivot links anything."""
+    r = random.Random(14)
+    rows, k = [], 0
+    for _ in range(12):
+        base_ = words(r, 40).split()
+        for _ in range(5):
+            w = list(base_)
+            for at in r.sample(range(40), r.choice([1, 1, 2])):
+                w[at] = f"v{k}x{at}"
+            rows.append((k, " ".join(w), None, None, None, None))
+            k += 1
+    sets = {i: frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) for i, w in ((x[0], folded(x[1])) for x in rows)}
+    nodes = spark.createDataFrame([(i, i) for i in sets], "node long, comp long")
+    texts = spark.createDataFrame([(x[0], x[1]) for x in rows], "node long, text string")
+    found = {tuple(sorted(p)) for p in minhash._prefix_pairs(nodes, texts, Scratch(spark, "t")).collect()}
+    linked = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert linked and linked <= found and len(found) < len(sets) * (len(sets) - 1) / 4
+
+
+def test_rows_without_ids(spark):
+    r = random.Random(3)
+    rows = [(None, words(r, 30), None, None, None, None) for _ in range(200)]
+    rows += [rows[0]] * 50 + [(4, rows[1][1], None, None, None, None)]
+    assert near(spark, rows) == brute_near(rows)
+
+
+def test_sets_whose_digests_meet(spark, monkeypatch):
+    """Sets that share the first half of their digest, but not the second, stay apart."""
+    monkeypatch.setattr(minhash, "digest", lambda found: b"\0" * 8 + hashlib.blake2b(found.tobytes(), digest_size=8).digest())
+    rows = [x for x in documents(3) if x[1] and len(x[1]) < 2000]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [x[0] for x in rows], "text_hash": list(range(len(rows))), "text": [x[1] for x in rows]})
+    sigs = spark.createDataFrame(pa.Table.from_batches(minhash._signatures([batch])))
+    out, nodes = minhash._nodes(sigs, Scratch(spark, "t"))
+    sets = {frozenset(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))) for x in rows if (w := folded(x[1]))}
+    assert nodes.count() == nodes.select("node").distinct().count() == len(sets)
+
+
 def test_keep_first(spark):
     kept = minhash.keep_first(table(spark)).collect()
     ids = [x.doc_id for x in kept]
@@ -493,3 +546,41 @@ def test_signature_estimates_likeness():
     b = np.concatenate([a[:3000], r.integers(0, 1 << 63, 1000, dtype=np.uint64)])
     same = (minhash.signature(a) == minhash.signature(b)).mean()
     assert abs(same - 0.6) < 0.15
+
+
+# Columns of the input that have names of our own
+
+
+def clashing(spark):
+    """The table with further columns, called as the operators call theirs."""
+    names = """size copies taken_id taken_copies node bands check comp bucket near_text near_id text_hash first_id first_text chunk c0 c1 data key
+      block p number n row rows shard ids words times stratum quality base_failed s w cuts at term toxic held_out word item seed shift length x h id""".split()
+    df = table(spark)
+    return df.withColumns({c: F.lit(k) for k, c in enumerate(names)}), ["doc_id", "text", "lang", "source", "n_chars", "score"]
+
+
+def test_columns_with_our_names(spark):
+    more, plain = clashing(spark)
+    marks = spark.createDataFrame([(i, i % 2, i % 3 == 0) for i in range(60)], "doc_id long, quality int, toxic boolean").withColumn("toxic", F.col("toxic").cast("int"))
+    marks = marks.withColumns({c: F.lit(1) for c in ("text", "id", "n", "stratum")})
+    benchmark = spark.createDataFrame([(1, documents()[3][1] or "a b c", 1, 2)], "item_id long, text string, item long, words long")
+    from wayfare.llm import scoring, toxicity
+
+    index = toxicity.train(table(spark), marks)
+    operators = {
+        "mix": mixing.mix_sources, "near": minhash.near_duplicates, "repeats": suffix_dedup.repeated_bytes, "scores": scoring.score_documents,
+        "quality": lambda d: quality.apply_rules(d, marks), "overlaps": lambda d: decontamination.overlaps(d, benchmark), "toxicity": lambda d: toxicity.score_documents(d, index),
+    }
+    for name, run in operators.items():
+        got, wanted = (collections.Counter(map(str, run(d).collect())) for d in (more, more.select(*plain)))
+        assert got == wanted, name
+    stages = {
+        "near": minhash.keep_first, "repeats": suffix_dedup.remove_repeats, "overlaps": lambda d: decontamination.keep_uncontaminated(d, benchmark),
+        "toxicity": lambda d: toxicity.keep_clean(d, index), "mix": mixing.with_copies,
+    }
+    for name, run in stages.items():
+        out = run(more)
+        assert [c for c in out.columns if c != "copies"] == [c for c in more.columns if c != "copies"], name
+        got, wanted = (collections.Counter(map(str, d.select("doc_id", "text", "lang").collect())) for d in (out, run(more.select(*plain))))
+        assert got == wanted, name
+        assert out.select("node").distinct().count() == 1 and out.count()

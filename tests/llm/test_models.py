@@ -347,35 +347,78 @@ def test_pseudo_likelihood_learns_both_sides(spark):
     assert ordered > shuffled + 0.5 and ordered > -2.2
 
 
-def test_every_word_trains_once(spark):
-    """The rounds together train on all words of the corpus, whatever its size and its texts' lengths."""
+def test_every_word_trains_once(spark, monkeypatch):
+    """The rounds together train on all words of the corpus, copies included, whatever its size and its texts' lengths."""
+    monkeypatch.setattr(scoring, "SHARD", 5000)
     rows = documents()
     scratch = Scratch(spark, "t")
-    scoring.train(table(spark, rows), scratch)
-    seen = [sum(x.n for x in spark.read.parquet(scratch.path(f"round{k}-0")).where("part = 0").collect()) for k in range(scoring.ROUNDS)]
+    words_, _, mass = scoring.vocabulary(table(spark, rows), scratch)
+    scoring.train(scoring.tokens(table(spark, rows), words_), mass, scratch)
+    parts = [spark.read.parquet(scratch.path(f"round{k}-0")).where("part = 0").collect() for k in range(scoring.ROUNDS)]
+    assert len(parts[0]) > 3
+    seen = [sum(x.n for x in p) for p in parts]
     assert sum(seen) == sum(len((x[1] or "").split()) for x in rows) and min(seen) > 0.4 * sum(seen)
 
 
-def test_words_of_a_shared_id_have_their_own_probability(spark):
-    """The network's probability of an id is divided among its words by their counts, with a rest for unseen words."""
-    own = " ".join(f"top{k} top{k} top{k} top{k} top{k}" for k in range(scoring.WORDS))
+def test_scores_do_not_depend_on_the_split(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "SHARD", 5000)
+    docs = table(spark, documents())
+
+    def scores(df):
+        return sorted((str(x.doc_id), x.n_tokens, x.pseudo_log_likelihood) for x in scoring.score_documents(df).collect())
+
+    assert scores(docs.coalesce(1)) == scores(docs.repartition(7, "n_chars"))
+
+
+def test_scores_against_written_out_network(spark):
+    """Ids, the network and the shares of words, one word at a time."""
+    own = " ".join(f"top{k} top{k} top{k} top{k} top{k} top{k} top{k}" for k in range(scoring.WORDS))
     rare = [f"r{k}" for k in range(2 * scoring.BUCKETS) for _ in range(1 + k % 3)]
-    docs = table(spark, [(1, own, None, None, None, None), (2, " ".join(rare), None, None, None, None)])
+    rows = [(1, own, None, None, None, None), (2, " ".join(rare), None, None, None, None)]
+    texts = ["top1 r5 top2", "top1 r4 top2", "top1 never top2", "r3 r3 r3 r7", "r5", "TOP1 R5 top2"]
+    rows += [(10 + i, t, None, None, None, None) for i, t in enumerate(texts)] + [(None, None, None, None, None, None)]
+    docs = table(spark, rows)
+    scratch = Scratch(spark, "t")
+    words_, counts, mass = scoring.vocabulary(docs, scratch)
+    tokens = scoring.tokens(docs, words_)
+    net = scoring.train(tokens, mass, scratch)
+    found = {x.doc_id: x for x in scoring.score(tokens, net, counts, mass, scratch).collect()}
+    assert len(found) == len(rows) and found[None].n_tokens == 0
+    everything = collections.Counter(w for r in rows for w in (r[1] or "").lower().split())
+    hashed = {}
+    for w in everything:
+        ((_, h),) = list(scoring.hashed_words(__import__("pyarrow").array([w])))
+        hashed[w] = int(words_.ids(h)[0])
+    for i, text in enumerate(texts):
+        line = text.lower().split()
+        ids = [scoring.PAD, scoring.PAD, *[hashed[w] for w in line], scoring.PAD, scoring.PAD]
+        expected = 0.0
+        for k, w in enumerate(line):
+            h = net.hidden.astype(float).copy()
+            for j, shift in enumerate(scoring.PLACES):
+                h += net.embed[j * (scoring.PAD + 1) + ids[k + 2 + shift]]
+            h = np.tanh(h)
+            c, m = divmod(ids[k + 2], scoring.MEMBERS)
+            for scores, at in ((h @ net.classes + net.class_bias, c), (h @ net.members[c] + net.member_bias[c], m)):
+                expected += scores[at] - np.log(np.exp(scores).sum())
+            assert (ids[k + 2] >= scoring.WORDS) == (not w.startswith("top"))
+            if not w.startswith("top"):
+                others = everything[w] - line.count(w)
+                expected += np.log(others if others else 1 / scoring.UNSEEN) - np.log(mass[ids[k + 2]] + 1)
+        assert found[10 + i].pseudo_log_likelihood == pytest.approx(expected, abs=1e-3) and found[10 + i].n_tokens == len(line)
+    assert found[10].pseudo_log_likelihood == found[15].pseudo_log_likelihood
+
+
+def test_held_out_text_gets_likelier(spark):
+    """Training lowers the perplexity of texts that it has not seen."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'").select("doc_id", "text")
+    seen, rest = rows.where("doc_id % 5 <> 0"), rows.where("doc_id % 5 = 0")
     scratch = Scratch(spark, "t")
-    vocabulary, net, counts, mass = scoring.train(docs, scratch)
-    texts = ["top1 r5 top2", "top1 r4 top2", "top1 never top2", "r3 r3 r3 r7"]
-    n = collections.Counter(rare)
-    found = {x.doc_id: x for x in scoring.score(table(spark, [(i, t, None, None, None, None) for i, t in enumerate(texts)] + [(None, None, None, None, None, None)]), vocabulary, net, counts, mass, scratch).collect()}
-    assert len(found) == len(texts) + 1 and found[None].n_tokens == 0
-    batch = __import__("pyarrow").RecordBatch.from_pydict({"text": texts})
-    ((ids, _, parts),) = list(scoring._lines(batch, vocabulary))
-    for i, a, k in parts:
-        at = np.arange(a, a + k)
-        expected = net.log_probability(scoring._context(ids, at), ids[at]).sum()
-        for w, d in zip(texts[i].split(), ids[at], strict=True):
-            assert (d >= scoring.WORDS) == (not w.startswith("top"))
-            expected += np.log(max(n[w], 1) / (mass[d] + 1)) if d >= scoring.WORDS else 0
-        assert found[i].pseudo_log_likelihood == pytest.approx(expected, abs=1e-3)
+    words_, counts, mass = scoring.vocabulary(seen, scratch)
+    net = scoring.train(scoring.tokens(seen, words_), mass, scratch)
+    held = scoring.tokens(rest, words_)
+    mean = [scoring.score(held, n, counts, mass, scratch).agg(F.sum("pseudo_log_likelihood") / F.sum("n_tokens")).first()[0] for n in (scoring.Network.start(mass), net)]
+    assert mean[1] > mean[0] + 0.2
 
 
 def test_probabilities_sum_to_one():
@@ -395,13 +438,19 @@ def test_gradient_lowers_the_loss():
     assert net.log_probability(context, target).mean() > before + 1
 
 
-def test_long_texts_are_scored_whole():
-    batch = __import__("pyarrow").RecordBatch.from_pydict({"text": [" ".join(f"v{k % 700}" for k in range(1000)), "a b c"]})
-    vocabulary = scoring.Vocabulary([])
-    whole = [(i, w, p) for i, w, p in scoring._lines(batch, vocabulary)]
-    pieces = [(i, w, p) for i, w, p in scoring._lines(batch, vocabulary, 64)]
-    gather = lambda parts: np.concatenate([scoring._context(i, scoring._places(p)) for i, _, p in parts])
-    assert np.array_equal(gather(whole), gather(pieces))
+def test_texts_stand_apart_in_a_line():
+    texts = [np.arange(5), np.zeros(0, np.int64), np.arange(3000) % 700]
+    column = __import__("pyarrow").array([t.astype(np.uint16).tobytes() for t in texts])
+    for some in (column, column.slice(1)):
+        line, at, n = scoring.padded(some)
+        own = texts if some is column else texts[1:]
+        assert n.tolist() == [len(t) for t in own] and np.array_equal(line[at], np.concatenate(own))
+        where = 0
+        for t in own:
+            full = np.concatenate([[scoring.PAD] * 2, t, [scoring.PAD] * 2])
+            for k in range(len(t)):
+                assert np.array_equal(scoring._context(line, at[where : where + 1])[0], full[[k, k + 1, k + 3, k + 4]])
+                where += 1
 
 
 def test_lm_on_odd_tables(spark):

@@ -2,28 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
+from ..storage import new_folder, remove, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a folder of our own only where it is unset (tests, single machine)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="wayfare-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+__all__ = ["Scratch", "shared_folder"]
 
 
 class Scratch:
-    """Tables of one operator run. ``keep`` writes and rereads a table; ``drop`` removes one that is no longer read."""
+    """Tables of one operator run. ``keep`` writes and rereads a table; ``drop`` removes some that are no longer read,
+    ``close`` all of them: call it when the operator's result is not read any more (``storage.remove_all`` closes all)."""
 
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
-        self.spark, self.root = spark, f"{shared_folder(spark)}/wayfare-{name}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.root = spark, new_folder(spark, name)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -33,7 +26,8 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(conf).delete(path, True)
+            remove(self.spark, self.path(name))
+
+    def close(self) -> None:
+        remove(self.spark, self.root)

@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 from ._scratch import Scratch
 from ._words import hashed_words, mix, offsets_and_bytes, small_batches
 
-WORDS, BUCKETS, CLASSES, DIM = 4096, 4096, 64, 16
+WORDS, BUCKETS, CLASSES, DIM = 4096, 4096, 64, 24
 MEMBERS = (WORDS + BUCKETS) // CLASSES
 PLACES = (-2, -1, 1, 2)
-BATCH, RATE, ROUNDS, FAN, PARTS = 1024, 0.1, 2, 32, 8
+BATCH, RATE, ROUNDS, FAN, PARTS = 1024, 0.15, 2, 32, 8
 SHARD = 2_000_000
 UNSEEN = 16
 PAD = WORDS + BUCKETS
@@ -284,6 +284,24 @@ def _learn(flat: np.ndarray, shard: pa.Table, turn: int, rounds: int) -> tuple[n
     return net.flat, len(at)
 
 
+def _learner(start, turn: int, rounds: int):
+    """Trains a shard's copy of the broadcast network; gives it in ``PARTS`` blocks."""
+    size = -(-Network.SIZE // PARTS)
+
+    def run(table: pa.Table) -> pa.Table:
+        flat, seen = _learn(start.value, table, turn, rounds)
+        shard = table.column("shard")[0].as_py()
+        columns = [
+            pa.array(np.arange(PARTS), pa.int32()),
+            pa.array([shard] * PARTS, pa.int64()),
+            pa.array([seen] * PARTS, pa.int64()),
+            pa.array([flat[k * size : (k + 1) * size].tobytes() for k in range(PARTS)], pa.binary()),
+        ]
+        return pa.table(columns, names=["part", "shard", "n", "data"])
+
+    return run
+
+
 def train(rows: DataFrame, mass: np.ndarray, scratch: Scratch, rounds: int = ROUNDS) -> Network:
     """The network, from all tokenised texts (n, ids) and the counts of ids."""
     spark = rows.sparkSession
@@ -295,22 +313,10 @@ def train(rows: DataFrame, mass: np.ndarray, scratch: Scratch, rounds: int = ROU
     dealt = scratch.keep(texts.withColumn("shard", F.pmod(F.col("key") + F.col("copy"), F.lit(shards))).repartition(shards, "shard"), "dealt")
     if not mass.sum():
         return net
-    size = -(-Network.SIZE // PARTS)
     for turn in range(rounds):
         held = spark.sparkContext.broadcast(net.flat)
 
-        def learn(table: pa.Table, held=held, turn=turn) -> pa.Table:
-            flat, seen = _learn(held.value, table, turn, rounds)
-            shard = table.column("shard")[0].as_py()
-            columns = [
-                pa.array(np.arange(PARTS), pa.int32()),
-                pa.array([shard] * PARTS, pa.int64()),
-                pa.array([seen] * PARTS, pa.int64()),
-                pa.array([flat[k * size : (k + 1) * size].tobytes() for k in range(PARTS)], pa.binary()),
-            ]
-            return pa.table(columns, names=["part", "shard", "n", "data"])
-
-        learned = dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(learn, "part int, shard long, n long, data binary")
+        learned = dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(_learner(held, turn, rounds), "part int, shard long, n long, data binary")
         parts = scratch.keep(learned.where("n > 0"), f"round{turn}-0")
         level, most = 0, shards - 1
         while most:
