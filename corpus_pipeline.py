@@ -23,7 +23,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that a document of smaller doc_id has; a text that is gone entirely is dropped."""
-    return suffix_dedup.remove_repeats(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    rest = suffix_dedup.remove_repeats(docs)
+    if "n_chars" not in docs.columns:
+        return rest
+    return rest.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +47,7 @@ STAGES = [
     ("mixing", mix),
 ]
 
-#: No stage but the last could be said in SQL; tests compare each with brute force.
+#: No stage but the last could be said in SQL; tests compare run() and each stage with brute force.
 ORACLE_SQL = None
 
 
