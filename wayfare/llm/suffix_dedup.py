@@ -44,10 +44,10 @@ from ._words import _BYTES, _powers, mix
 
 LENGTH, GRAM, HOT, SIDE = 50, 20, 20_000, 13
 PLACES = LENGTH - GRAM + 1
-CHUNK, BUCKET = 8 << 20, 32 << 20  # bytes of text for each chunk and for each bucket of anchors
+CHUNK, BUCKET = 4 << 20, 16 << 20  # bytes of text for each chunk and for each bucket of anchors
 FINER = 2  # the index has 2**FINER times as many buckets
 FILES = 1 << 16  # buckets of the table of texts, at most: beyond, a bucket holds several chunks
-PIECE, INDEX = 1 << 20, 2 << 20  # bytes hashed, and bytes indexed, at a time
+PIECE, INDEX = 1 << 17, 1 << 20  # bytes hashed, and bytes indexed, at a time
 LAST = (1 << 63) - 1
 _STEPS = [np.uint64(x) for x in np.random.default_rng(11).integers(1, 1 << 62, 6) * 2 + 1]
 
@@ -239,7 +239,8 @@ def _mark(bits: int):
         chunk = table.column("chunk")[0].as_py()
         ids, texts, _ = _ordered(table)
         number, first, last, place, anchor, whole = stretches(texts)
-        names = np.unique(anchor)
+        names = np.sort(anchor)
+        names = names[np.concatenate([[True], names[1:] != names[:-1]])] if len(names) else names
         code, cuts = np.zeros(len(names), np.uint8), _cuts(names, bits)
         for b, data in zip(answers.column("bucket").to_pylist(), answers.column("codes"), strict=True):
             code[cuts[b] : cuts[b + 1]] = unpack(data.as_py())[0]
@@ -306,27 +307,34 @@ class RunLengthIndex:
         self._stream()
 
     def _sort(self) -> None:
+        """Prefix doubling. The rank of a suffix is the first row of those that agree so far; only rows that share a rank
+        are sorted again."""
         n = len(self.text)
         wide = np.zeros(n + 128, np.uint64)
         wide[:n] = self.text
         key = np.zeros(n, np.uint64)
         for k in range(8):
             key = (key << np.uint64(8)) | wide[k : n + k]
-        self.levels = []
-        width = 8
+        self.rows = np.argsort(key)
+        key = key[self.rows]
+        rank = np.empty(n, np.uint32)
+        slots, self.levels, width = np.arange(n), [], 8
         while True:
+            # ``key``: what decides the order of the rows in ``slots``, in order.
+            new = np.ones(len(slots), bool)
+            new[1:] = key[1:] != key[:-1]
+            rank[self.rows[slots]] = slots[np.maximum.accumulate(np.where(new, np.arange(len(slots)), 0))]
+            self.levels.append((width, rank.copy()))
+            alone = new & np.append(new[1:], True)
+            slots = slots[~alone]
+            if width >= 128 or not len(slots):
+                return  # stretches and end marks are shorter than the last width
+            at = self.rows[slots]
+            far = at + width
+            key = (rank[at].astype(np.uint64) << np.uint64(32)) | np.where(far < n, rank[np.minimum(far, n - 1)].astype(np.uint64) + np.uint64(1), np.uint64(0))
             order = np.argsort(key)
-            ordered = key[order]
-            rank = np.empty(n, np.uint32)
-            rank[order] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]]))
-            self.levels.append((width, rank))
-            if width >= 128 or n == 0 or int(rank[order[-1]]) == n - 1:  # every suffix has a rank of its own
-                break
-            shifted = np.zeros(n, np.uint64)
-            shifted[: max(n - width, 0)] = rank[width:].astype(np.uint64) + np.uint64(1)
-            key = (rank.astype(np.uint64) << np.uint64(32)) | shifted
+            self.rows[slots], key = at[order], key[order]
             width *= 2
-        self.rows = order  # the suffix array: stretches and end marks are shorter than the last width
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common prefix of suffixes, from the ranks of prefixes of 64, 32, 16 and 8 bytes and by byte."""
