@@ -10,7 +10,7 @@ from ..functions.clock import local_clock, resolve_tz
 from ..functions.contracts import TRIP_CHAIN, InputError
 from ..functions.text import number, standardize_type
 from .trip_chain import first_rows
-from .zones import BROADCAST_ZONES, near_pairs, with_bounds
+from .zones import is_small, near_pairs, size_of, with_bounds
 
 
 def anchored_merge(stops: Column, merge_distance_km: float) -> Column:
@@ -90,7 +90,7 @@ def classify_destinations(destinations: DataFrame, parcels: DataFrame | None, ro
     keys = ["ID", "dest_order"]
     ordinal = F.xxhash64(F.to_json(F.struct("geometry"))) if "parcel_id" not in parcels.columns else F.col("parcel_id")
     shapes = with_bounds(parcels.select("geometry", F.col(type_col).cast("string").alias("_type"), ordinal.alias("_ordinal")), "geometry")
-    few = parcels.count() <= BROADCAST_ZONES
+    few = is_small(*size_of(parcels))
     held = near_pairs(points, shapes, 0.0, 0.01, few).where(geo.within(F.col("_x"), F.col("_y"), F.col("geometry"))).groupBy(*keys).agg(F.min_by("_type", "_ordinal").alias("_held"))
     flat = points.select(*keys, geo.mercator_x(F.col("_x")).alias("_x"), geo.mercator_y(F.col("_y")).alias("_y"))
     metric = with_bounds(shapes.select(geo.project(F.col("geometry")).alias("geometry"), "_type", "_ordinal"), "geometry")

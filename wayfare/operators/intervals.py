@@ -28,3 +28,19 @@ def stay_bounds(away: DataFrame, chosen: DataFrame, keys: list[str], start: Colu
         F.min(F.when(F.col("day") == F.col("first_day"), start)).alias("departure"),
         F.max(F.when(F.col("day") == F.col("last_day"), end)).alias("return"),
     )
+
+
+def run_array(days: Column) -> Column:
+    """Runs of consecutive dates in a sorted array of (day, first, last): (first_day, last_day, n_days, departure, return)
+    in order, departure being the first day's ``first`` and return the last day's ``last``."""
+
+    def step(a: Column, d: Column) -> Column:
+        last = F.get(a, F.size(a) - 1)
+        follows = F.coalesce(F.date_add(last["last_day"], 1) == d["day"], F.lit(False))
+        began = F.when(follows, F.struct(last["first_day"].alias("day"), last["n_days"].alias("n"), last["departure"].alias("at")))
+        began = F.coalesce(began, F.struct(d["day"].alias("day"), F.lit(0).alias("n"), d["first"].alias("at")))
+        run = F.struct(began["day"].alias("first_day"), d["day"].alias("last_day"), (began["n"] + 1).alias("n_days"), began["at"].alias("departure"), d["last"].alias("return"))
+        return F.concat(F.when(follows, F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(a), F.array(run))
+
+    start = F.array().cast("array<struct<first_day:date,last_day:date,n_days:int,departure:timestamp_ntz,return:timestamp_ntz>>")
+    return F.aggregate(days, start, step)

@@ -8,20 +8,19 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.clock import local_clock, resolve_tz, seconds_between
 from ..functions.text import number
-from .intervals import islands, selected_island, stay_bounds
-from .zones import BROADCAST_ZONES, with_bounds
+from .intervals import run_array
+from .zones import is_small, near_pairs, size_of, with_bounds
 
 MILES = 0.000621371
+#: Vertices of all zones up to which their shapes are written into the plan.
+PLAN_VERTICES = 400
 
 
 def outside_zones(x: Column, y: Column, zones: DataFrame, buffer_m: float) -> Column:
     """Whether a Web-Mercator point lies at ``buffer_m`` or farther from every zone; true for a missing point. ``zones`` are
-    a bounded set (checked), put into the plan as a constant."""
-    rows = zones.select(geo.project(F.col("geometry")).alias("g")).limit(BROADCAST_ZONES + 1).collect()
-    if len(rows) > BROADCAST_ZONES:
-        raise ValueError(f"more than {BROADCAST_ZONES} zones: dissolve them first")
+    a small set (checked by the caller), put into the plan as a constant."""
     shapes = []
-    for row in rows:
+    for row in zones.select(geo.project(F.col("geometry")).alias("g")).collect():  # ``PLAN_VERTICES`` points at most
         points = [p for polygon in row.g for ring in polygon for p in ring]
         if points:
             shape = F.array(*[F.array(*[F.array(*[F.struct(F.lit(p.x).alias("x"), F.lit(p.y).alias("y")) for p in ring]) for ring in polygon]) for polygon in row.g])
@@ -38,6 +37,20 @@ def outside_zones(x: Column, y: Column, zones: DataFrame, buffer_m: float) -> Co
     return F.coalesce(~geo.let(F.struct(x.alias("x"), y.alias("y")), near), F.lit(True))
 
 
+def mark_outside(rows: DataFrame, x: str, y: str, zones: DataFrame, buffer_m: float) -> DataFrame:
+    """Adds is_outside_zone. A few simple zones become part of the plan; others meet the distinct points in grid cells (an
+    equi-join), which serves perimeters of any number and length."""
+    n, vertices = size_of(zones)
+    if vertices <= PLAN_VERTICES:
+        return rows.withColumn("is_outside_zone", outside_zones(F.col(x), F.col(y), zones, buffer_m))
+    flat = with_bounds(zones.select(geo.project(F.col("geometry")).alias("geometry")), "geometry")
+    points = rows.select(F.col(x).alias("_x"), F.col(y).alias("_y")).where("_x is not null and _y is not null").distinct()
+    close = near_pairs(points, flat, buffer_m, max(buffer_m, 1_000.0), is_small(n, vertices)).where(geo.distance(F.col("_x"), F.col("_y"), F.col("geometry")) < buffer_m)
+    close = close.select("_x", "_y", F.lit(False).alias("_outside")).distinct()
+    found = rows.join(close, (F.col(x) == F.col("_x")) & (F.col(y) == F.col("_y")), "left")
+    return found.withColumn("is_outside_zone", F.coalesce("_outside", F.lit(True))).drop("_x", "_y", "_outside")
+
+
 def impute_distance(rows: DataFrame, user: str, time: list[str], distance: str) -> DataFrame:
     """Fills a missing distance with the user's last one before it, 0 at the start; users with more than half of their
     distances missing are left out."""
@@ -62,7 +75,7 @@ def compute_stops(pings: DataFrame, zoned_homes: DataFrame, zones: DataFrame, bu
     rows = rows.withColumns({"lon_grid": geo.mercator_x(F.col("LONG")), "lat_grid": geo.mercator_y(F.col("LAT"))})
     dx, dy = F.col("lon_grid") - F.col("home_lon"), F.col("lat_grid") - F.col("home_lat")
     rows = rows.withColumn("dist_meters", F.sqrt(dx * dx + dy * dy)).withColumn("eu_distance", F.col("dist_meters") * MILES)
-    rows = rows.withColumn("is_outside_zone", outside_zones(F.col("lon_grid"), F.col("lat_grid"), zones, buffer_meters))
+    rows = mark_outside(rows, "lon_grid", "lat_grid", zones, buffer_meters)
     return impute_distance(rows, "ID", ["stop_date", "LAT", "LONG"], "eu_distance")
 
 
@@ -91,18 +104,24 @@ def infer_metrics(stops: DataFrame, fire_starts: dict[str, str], fire_end: str =
     event = F.col("FireEvent") if "FireEvent" in stops.columns else F.lit("Unknown")
     home = F.col("home_lon") if "home_lon" in stops.columns else F.lit(None).cast("double")
     rows = rows.withColumns({"_order": clock("OrderStart"), "_end": clock("OrderEnd"), "_event": event, "_home": home})
-    firsts = rows.where("ID is not null").groupBy("ID").agg(F.min_by(F.struct("ZoneType", "_order", "_end", "_event", "_home"), F.struct("stop_date", "eu_distance")).alias("f")).select("ID", "f.*")
+    # One pass: a row for each resident and day, then one for each resident, with its first stop and its away days.
+    away = F.col("is_outside_zone") & (F.col("eu_distance") >= min_dist_miles)
+    first = F.struct("stop_date", "eu_distance", "ZoneType", "_order", "_end", "_event", "_home")
+    at = F.when(away, F.col("stop_date"))
+    daily = rows.where("ID is not null").groupBy("ID", F.to_date("stop_date").alias("day")).agg(F.min(first).alias("f"), F.min(at).alias("first"), F.max(at).alias("last"))
+    days = F.collect_list(F.when(F.col("first").isNotNull(), F.struct("day", "first", "last")))
+    firsts = daily.groupBy("ID").agg(F.min("f").alias("f"), F.sort_array(days).alias("days"))
+    firsts = firsts.select("ID", "f.ZoneType", "f._order", "f._end", "f._event", "f._home", "days")
     known = F.create_map(*[x for k, v in fire_starts.items() for x in (F.lit(k), ntz(v))]) if fire_starts else None
     earliest = F.least(*[ntz(v) for v in fire_starts.values()]) if len(fire_starts) > 1 else ntz(next(iter(fire_starts.values()), None))
     fire = F.coalesce(F.try_element_at(known, F.col("_event")), earliest) if known is not None else earliest
     firsts = firsts.withColumn("fire_start", fire).withColumn("_start", F.when(F.col("_order").isNull() & F.col("ZoneType").isin("Buffer", "Outside"), F.col("fire_start")).otherwise(F.col("_order")))
     firsts = firsts.withColumn("OrderEnd", F.coalesce("_end", ntz(fire_end) + F.expr("INTERVAL 23 HOURS")))
-    away = rows.where(F.col("is_outside_zone") & (F.col("eu_distance") >= min_dist_miles)).select("ID", "stop_date", F.to_date("stop_date").alias("day"))
-    runs = islands(away, ["ID"]).join(firsts.select("ID", "ZoneType", "_start"), "ID")
-    chosen = selected_island(runs, ["ID"], F.to_date("_start"))
+    reference = F.to_date("_start")
+    ends = F.filter(run_array(F.col("days")), lambda r: reference.isNull() | (r["last_day"] >= reference))
     needed = F.when(F.col("ZoneType") == "Buffer", min_evac_days_buffer).otherwise(min_evac_days)
-    left = stay_bounds(away, chosen.where(F.col("n_days") >= needed).select("ID", "first_day", "last_day", "n_days"), ["ID"], F.col("stop_date"), F.col("stop_date"))
-    out = firsts.join(left.select("ID", F.col("departure").alias("DepartureDate"), F.col("return").alias("ReturnDate")), "ID", "left")
+    out = firsts.withColumn("_run", F.get(ends, F.lit(0))).withColumn("_run", F.when(F.col("_run.n_days") >= needed, F.col("_run")))
+    out = out.withColumns({"DepartureDate": F.col("_run.departure"), "ReturnDate": F.col("_run.return")})
     rule = resident_category(F.col("DepartureDate"), F.col("ReturnDate"), F.col("_start"), F.col("OrderEnd"), F.col("fire_start"), F.col("ZoneType"))
     category = F.when(F.col("DepartureDate").isNull(), "NER").otherwise(rule)
     late = F.when(F.col("_start").isNotNull(), F.greatest(F.lit(0.0), seconds_between(F.col("_start"), F.col("DepartureDate")) / 3600.0))
@@ -116,4 +135,4 @@ def unique_devices(pings: DataFrame) -> DataFrame:
     return pings.agg(F.count_distinct("ID").alias("n_devices"))
 
 
-__all__ = ["compute_stops", "impute_distance", "infer_metrics", "outside_zones", "resident_category", "unique_devices", "with_bounds"]
+__all__ = ["compute_stops", "impute_distance", "infer_metrics", "mark_outside", "outside_zones", "resident_category", "unique_devices", "with_bounds"]

@@ -8,8 +8,18 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.text import title_case
 
-#: Zones up to this number are broadcast whole; more are joined by cells of ``CELL`` degrees.
-BROADCAST_ZONES, CELL = 2_000, 0.1
+#: Zones up to this number, and with up to these points, are broadcast; others are joined by cells of ``CELL`` degrees.
+BROADCAST_ZONES, BROADCAST_VERTICES, CELL = 2_000, 500_000, 0.1
+
+
+def size_of(shapes: DataFrame, geometry: str = "geometry") -> tuple[int, int]:
+    """The number of shapes and of their points."""
+    n, vertices = shapes.agg(F.count(F.lit(1)), F.sum(F.size(F.flatten(F.flatten(F.col(geometry)))))).first()
+    return n, vertices or 0
+
+
+def is_small(n: int, vertices: int) -> bool:
+    return n <= BROADCAST_ZONES and vertices <= BROADCAST_VERTICES
 
 
 def _cells(x1: Column, y1: Column, x2: Column, y2: Column, size: float) -> Column:
@@ -63,7 +73,7 @@ def classify_zones(homes: DataFrame, zones: DataFrame, buffer_distance: float =
     keys = [F.col("home_lat_4326").asc_nulls_last(), F.col("home_lon_4326").asc_nulls_last()]
     one = homes.withColumn("_r", F.row_number().over(Window.partitionBy("ID").orderBy(*keys))).where("_r = 1").drop("_r")
     ready = prepared_zones(zones, order_status, warning_status)
-    broadcast = zones.count() <= BROADCAST_ZONES
+    broadcast = is_small(*size_of(zones))
     at = one.select("ID", F.col("home_lon_4326").alias("_x"), F.col("home_lat_4326").alias("_y")).where("_x is not null and _y is not null")
     held = near_pairs(at, ready, 0.0, CELL, broadcast).where(geo.intersects(F.col("_x"), F.col("_y"), F.col("geometry")))
     best = F.struct((-F.col("_priority")).alias("p"), F.col("OrderStart").isNull().alias("n"), F.col("OrderStart").alias("t"), F.col("_ordinal").alias("o"))
@@ -84,5 +94,5 @@ def assign_regions(points: DataFrame, regions: DataFrame, name: str, lat: str =
     """Adds the name of the first region (in order of names) that holds a point; ``otherwise`` outside all."""
     shapes = with_bounds(regions.select("geometry", F.col(name).alias("_name")), "geometry")
     at = points.select("ID", F.col(lon).alias("_x"), F.col(lat).alias("_y")).dropDuplicates(["ID"])
-    found = near_pairs(at, shapes, 0.0, CELL, regions.count() <= BROADCAST_ZONES).where(geo.within(F.col("_x"), F.col("_y"), F.col("geometry"))).groupBy("ID").agg(F.min("_name").alias("_name"))
+    found = near_pairs(at, shapes, 0.0, CELL, is_small(*size_of(regions))).where(geo.within(F.col("_x"), F.col("_y"), F.col("geometry"))).groupBy("ID").agg(F.min("_name").alias("_name"))
     return points.join(found, "ID", "left").withColumn(name, F.coalesce("_name", F.lit(otherwise))).drop("_name")

@@ -235,6 +235,16 @@ def stops_distance(spark: SparkSession, sf: str) -> DataFrame:
     return stops(spark, sf).select("ID", at("stop_date"), r6("dist_meters", digits=2), r6("eu_distance"), "is_outside_zone", "ZoneType")
 
 
+@query
+def stops_among_many_zones(spark: SparkSession, sf: str) -> DataFrame:
+    """The same zones cut into strips, which are too many for the plan: points and strips meet in grid cells."""
+    cuts = spark.sql(fx.ZONES).withColumn("k", F.explode(F.expr("sequence(0, 39)")))
+    low, high = (F.col("ymin") + (F.col("ymax") - F.col("ymin")) * (F.col("k") + d) / 40 for d in (0, 1))
+    strips = cuts.select("zoneId", geo.rectangle(F.col("xmin"), low, F.col("xmax"), high).alias("geometry"))
+    found = residents.compute_stops(fx.pings(spark, sf), zoned(spark, sf), strips, buffer_meters=1000.0)
+    return found.select("ID", at("stop_date"), r6("dist_meters", digits=2), r6("eu_distance"), "is_outside_zone", "ZoneType")
+
+
 @query
 def impute_ffill(spark: SparkSession, sf: str) -> DataFrame:
     rows = fx.table(spark, sf, "events").select("event_id", F.col("user_id").alias("ID"), "ts", F.expr("CASE WHEN event_id % 5 < 2 OR user_id % 7 = 0 THEN NULL ELSE value END").alias("d"))

@@ -216,6 +216,7 @@ def _sources() -> dict[str, str]:
 def oracles() -> dict[str, str]:
     return _reports() | _sources() | {
         "origin": ORIGIN,
+        "stops_among_many_zones": _reports()["stops_distance"],
         "od_pairs": f"""WITH RECURSIVE {NIGHTLY} SELECT dest.ID, CAST(o AS BIGINT) AS dest_order, round(home_lat_4326, 6) AS home_lat_4326, round(home_lon_4326, 6) AS home_lon_4326, round(y, 6) AS dest_lat,
           round(x, 6) AS dest_lon FROM dest JOIN hm USING (ID) ORDER BY md5(concat_ws('/', CAST(dest.ID AS VARCHAR), CAST(o AS VARCHAR), '42')), dest.ID, o LIMIT 100""",
         "destination_roads": ROADS,
