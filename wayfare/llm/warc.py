@@ -1,6 +1,8 @@
 """WARC archives with a two-level capture index.
 
-Writing: each page becomes one WARC record, a gzip member of its own; tasks append records to archives of about
+Writing: each archive starts with a warcinfo record; each page becomes one WARC/1.1 record (WARC-Date is a parameter, the
+tables have no time of capture; record ids are UUIDs of archive and offset; the page's number stands in a field of its own,
+X-Page-ID), a gzip member of its own; tasks append records to archives of about
 ``ARCHIVE`` bytes in a shared folder. An archive has a name of its own for each task attempt and counts only if the
 attempt's result arrives, so a lost executor leaves at most an archive that nobody reads. Pages whose payloads are equal
 (by SHA-1, at least ``least`` bytes) are written once: that with the smallest page_id as response, others as revisit.
@@ -35,8 +37,11 @@ from ._scratch import Scratch
 from ._words import small_batches
 
 ARCHIVE, BLOCK, RANGE = 32 << 20, 512, 32_768
-#: Groups of equal payloads up to this number are broadcast (40 bytes each); beyond it they are joined by a shuffle.
-BROADCAST_GROUPS = 50_000
+#: Groups of equal payloads are broadcast up to this number and these bytes of URLs; beyond, they are joined by a shuffle.
+BROADCAST_GROUPS, BROADCAST_URLS = 50_000, 16 << 20
+SALTS = 64
+#: WARC-Date of all records, and the target of a page without a URL.
+DATE, NO_URL = "2024-01-01T00:00:00Z", "about:blank"
 NO_ID = (1 << 63) - 1
 
 
@@ -65,24 +70,34 @@ def _header(value: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+def _member(kind: str, name: str, at: int, date: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
     """One WARC/1.1 record as a gzip member."""
+    first = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}/{at}')}>"), ("WARC-Date", date)]
+    head = "\r\n".join(["WARC/1.1", *(f"{k}: {v}" for k, v in [*first, *fields, ("Content-Length", str(len(block)))])])
+    packer = zlib.compressobj(3, zlib.DEFLATED, 31)
+    return packer.compress(head.encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
+
+
+def info_record(name: str, date: str) -> bytes:
+    fields = [("WARC-Filename", name), ("Content-Type", "application/warc-fields")]
+    return _member("warcinfo", name, 0, date, fields, b"format: WARC File Format 1.1\r\nconformsTo: http://iipc.github.io/warc-specifications/specifications/warc-format/warc-1.1/\r\n")
+
+
+def record(name: str, at: int, date: str, page_id: int | None, url: str | None, payload: bytes, digest: str, first: tuple[int, str | None] | None) -> bytes:
+    """The record of a page at an offset of an archive; ``first``: page_id and url of the response that it revisits."""
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    head = [
-        "WARC/1.1",
-        f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
-        f"WARC-Target-URI: {_header(url or '')}",
-        f"WARC-Payload-Digest: sha1:{digest}",
-    ]
-    if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-    else:
+    fields = [("WARC-Target-URI", _header(url or "") or NO_URL), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-ID", "" if page_id is None else str(page_id))]
+    if first is None:
         body += payload
-    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
-    raw = "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
-    packer = zlib.compressobj(3, zlib.DEFLATED, 31)
-    return packer.compress(raw) + packer.flush()
+    else:
+        fields += [
+            ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
+            ("WARC-Refers-To-Target-URI", _header(first[1] or "") or NO_URL),
+            ("WARC-Refers-To-Date", date),
+            ("X-Refers-To-Page-ID", str(first[0])),
+        ]
+    fields += [("WARC-Block-Digest", "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()), ("Content-Type", "application/http; msgtype=response")]
+    return _member("response" if first is None else "revisit", name, at, date, fields, body)
 
 
 def parse_record(member: bytes) -> tuple[dict[str, str], bytes, int]:
@@ -95,43 +110,60 @@ def parse_record(member: bytes) -> tuple[dict[str, str], bytes, int]:
     return fields, payload, int(re.search(rb"Content-Length: (\d+)", http)[1])
 
 
-def _write(root: str, most: int):
+def _write(root: str, most: int, date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = _store(root)
         out, name, at = None, "", 0
         for batch in small_batches(batches, "html"):
             rows = []
-            for page_id, url, html, digest, first in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "first")), strict=True):
+            for page_id, url, html, digest, first, first_url in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "first", "first_url")), strict=True):
                 if out is None or at >= most:
                     if out is not None:
                         out.close()
-                    name, at = f"{uuid.uuid4().hex}.warc.gz", 0
+                    name = f"{uuid.uuid4().hex}.warc.gz"
                     out = files.open_output_stream(f"{base}/{name}", compression=None)
-                data = record(page_id, url, (html or "").encode(), digest, first, first is not None and first != page_id)
+                    data = info_record(name, date)
+                    out.write(data)
+                    at = len(data)
+                again = first is not None and first != page_id
+                data = record(name, at, date, page_id, url, (html or "").encode(), digest, (first, first_url) if again else None)
                 out.write(data)
                 rows.append((_header(url_key(url)), page_id, name, at, len(data)))
                 at += len(data)
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["key", "page_id", "file", "offset", "length"])
+            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "page_id", "file", "offset", "length"])
         if out is not None:
             out.close()
 
     return run
 
 
-def write_archives(pages: DataFrame, root: str, least: int = 0, archive: int = ARCHIVE) -> DataFrame:
+def write_archives(pages: DataFrame, root: str, least: int = 0, archive: int = ARCHIVE, date: str = DATE) -> DataFrame:
     """Writes the records of pages (page_id, url, html) below ``root``; gives a lazy table (key, page_id, file, offset,
     length) whose one evaluation writes them. Keep its result: a second evaluation writes a second set of archives."""
-    spark = pages.sparkSession
+    scratch = Scratch(pages.sparkSession, "warc-groups")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", sha1_base32(F.col("html")))
-    groups = rows.where(F.octet_length("html") >= least).groupBy(F.col("digest").alias("g")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1 and first is not null").drop("c")
-    groups = Scratch(spark, "warc-groups").keep(groups, "groups")
-    if groups.count() <= BROADCAST_GROUPS:
-        groups = F.broadcast(groups)
-    rows = rows.join(groups, rows.digest == groups.g, "left").select("page_id", "url", "html", "digest", "first")
+    # Of equal page_ids the least url counts.
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("x")
+    groups = rows.where(F.octet_length("html") >= least).groupBy(F.col("digest").alias("g")).agg(first, F.count(F.lit(1)).alias("c"))
+    groups = groups.where("c > 1 and x is not null").select("g", F.col("x.page_id").alias("first"), F.col("x.url").alias("first_url"))
+    groups = scratch.keep(groups, "groups")
+    n, size = groups.agg(F.count(F.lit(1)), F.sum(F.octet_length("first_url"))).first()
+    if n <= BROADCAST_GROUPS and (size or 0) <= BROADCAST_URLS:
+        rows = rows.join(F.broadcast(groups), rows.digest == groups.g, "left").select("page_id", "url", "html", "digest", "first", "first_url")
+    else:
+        # Narrow rows meet the groups first; html then moves by its page, so a common payload is no one task's work.
+        known = rows.select("page_id", "digest").where("page_id is not null").distinct().join(groups, F.col("digest") == F.col("g")).select(F.col("page_id").alias("i"), F.col("digest").alias("d"), "first", "first_url")
+        known = scratch.keep(known, "known")
+        with_id = rows.where("page_id is not null").join(known, (F.col("page_id") == F.col("i")) & (F.col("digest") == F.col("d")), "left").drop("i", "d")
+        without = rows.where("page_id is null").withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int"))
+        salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        without = without.join(salted, (without.digest == salted.g) & (without.salt == salted.salt), "left").select(*with_id.columns)
+        rows = with_id.unionByName(without)
     files, base = _store(root)
     files.create_dir(base, recursive=True)
-    return rows.mapInArrow(_write(root, archive), "key string, page_id long, file string, offset long, length long")
+    return rows.mapInArrow(_write(root, archive, date), "key string, page_id long, file string, offset long, length long")
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,6 +185,12 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [_header(url_key(u)) for u in batch.column("url").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), batch.column("id")], ["key", "id"])
+
+
 class CaptureIndex:
     """The two-level index of the captures in ``lines`` (a kept table of ``write_archives``)."""
 
@@ -180,8 +218,8 @@ class CaptureIndex:
 
     def locate(self, urls: DataFrame) -> DataFrame:
         """Captures of the pages (page_id, url): (id, file, offset, length), one row for each capture of that url and id."""
-        key = F.udf(lambda u: _header(url_key(u)), "string")
-        asked = urls.select(key(F.col("url").cast("string")).alias("key"), F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("id")).groupBy("key", "id").agg(F.count(F.lit(1)).alias("n"))
+        asked = urls.select(F.col("url").cast("string").alias("url"), F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("id"))
+        asked = asked.mapInArrow(_keys, "key string, id long").groupBy("key", "id").agg(F.count(F.lit(1)).alias("n"))
 
         def find(queries: pa.Table, blocks: pa.Table) -> pa.Table:
             directory = sorted(zip(blocks.column("first_key").to_pylist(), blocks.column("first_id").to_pylist(), range(blocks.num_rows), strict=True))
@@ -220,11 +258,12 @@ class CaptureIndex:
                             source.close()
                         name, source = file, files.open_input_file(f"{base}/{file}")
                     fields, payload, n = parse_record(source.read_at(length, offset))
-                    page, url, kind, digest = fields["WARC-Record-ID"][10:-1], fields["WARC-Target-URI"], fields["WARC-Type"], fields["WARC-Payload-Digest"][5:]
-                    first = fields.get("WARC-Refers-To", "")[10:-1]
+                    page, url, kind, digest = (fields[k] for k in ("X-Page-ID", "WARC-Target-URI", "WARC-Type", "WARC-Payload-Digest"))
+                    first, digest = fields.get("X-Refers-To-Page-ID", ""), digest[5:]
                     if kind == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                         raise ValueError(f"{file} at {offset}: the payload does not fit its digest")
-                    rows.append((int(page) if page else None, url, kind, int(first) if first else None, digest, n, payload.decode() if kind == "response" else None))
+                    said = payload.decode() if kind == "response" else None
+                    rows.append((int(page) if page else None, "" if url == NO_URL else url, kind, int(first) if first else None, digest, n, said))
                     size += len(payload)
                     if size > 4 << 20:
                         yield _records(rows)
