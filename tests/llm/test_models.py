@@ -59,6 +59,14 @@ def test_chat_round_trip(spark, budget, history):
     assert {x.conv_id: (x.n_turns, x.turns_sha256, x.loss_chars, x.loss_sha256) for x in found} == digests(rows) and len(found) == len(digests(rows))
 
 
+def test_windows_are_read_wherever_they_lie(spark):
+    r = random.Random(2)
+    turns = spark.createDataFrame([(c, t, "user" if t % 2 == 0 else "assistant", words(r, 40)) for c in (*range(20), None) for t in range(12)], TURNS)
+    windows = chat.format_chats(turns, budget=120, history=2)
+    read = [sorted(map(str, chat.read_back(w).collect())) for w in (windows, windows.repartition(5), windows.orderBy(F.desc("window")))]
+    assert len(read[0]) == 21 and read[0] == read[1] == read[2]
+
+
 def test_windows_keep_the_budget(spark):
     rows = conversations()
     found = chat.format_chats(spark.createDataFrame(rows, TURNS), 200, 50).collect()
@@ -98,8 +106,10 @@ def pages(seed=3):
     return rows + [(300, None, None, None), (301, "", "", None), (302, "no url", "é" * 3000, None), rows[7], rows[7], (None, "http://n.org/", rows[3][2], None), (None, "http://n.org/", "only here", None)]
 
 
-@pytest.mark.parametrize("least", [0, 50])
-def test_warc_round_trip(spark, least, monkeypatch):
+@pytest.mark.parametrize("least,groups", [(0, 50_000), (50, 50_000), (0, 0)])
+def test_warc_round_trip(spark, least, groups, monkeypatch):
+    """With groups broadcast, and joined by a shuffle."""
+    monkeypatch.setattr(warc, "BROADCAST_GROUPS", groups)
     monkeypatch.setattr(warc, "ARCHIVE", 2000)
     monkeypatch.setattr(warc, "RANGE", 20)
     monkeypatch.setattr(warc, "BLOCK", 6)
@@ -117,6 +127,43 @@ def test_warc_round_trip(spark, least, monkeypatch):
     assert collections.Counter((x.page_id, x.payload_bytes, x.payload_digest, x.record_type, x.refers_to, x.payload) for x in found) == expected
 
 
+def test_records_are_valid(spark):
+    """Every member of every archive read one after another, by the rules of WARC/1.1, without the index."""
+    import glob
+
+    scratch = Scratch(spark, "t")
+    root = scratch.path("archives")
+    n = scratch.keep(warc.write_archives(spark.createDataFrame(pages(), PAGES), root, archive=3000), "lines").count()
+    ids, kinds, uris = set(), collections.Counter(), set()
+    for path in glob.glob(f"{root}/*.warc.gz"):
+        data = open(path, "rb").read()
+        k = 0
+        while data:
+            packer = zlib.decompressobj(31)
+            raw = packer.decompress(data)
+            data = packer.unused_data
+            head, _, rest = raw.partition(b"\r\n\r\n")
+            first, *lines = head.decode().split("\r\n")
+            fields = dict(x.split(": ", 1) for x in lines)
+            assert first == "WARC/1.1" and len(fields) == len(lines)
+            block, end = rest[: int(fields["Content-Length"])], rest[int(fields["Content-Length"]) :]
+            assert end == b"\r\n\r\n" and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["WARC-Date"])
+            assert re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", fields["WARC-Record-ID"]) and fields["WARC-Record-ID"] not in ids
+            ids.add(fields["WARC-Record-ID"])
+            kinds[fields["WARC-Type"]] += 1
+            assert (k == 0) == (fields["WARC-Type"] == "warcinfo")
+            if fields["WARC-Type"] != "warcinfo":
+                assert fields["WARC-Block-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
+                http, _, payload = block.partition(b"\r\n\r\n")
+                assert http.startswith(b"HTTP/1.1 200 OK\r\n") and " " not in fields["WARC-Target-URI"]
+                uris.add(fields["WARC-Target-URI"])
+            if fields["WARC-Type"] == "revisit":
+                assert payload == b"" and fields["WARC-Profile"].endswith("identical-payload-digest") and fields["WARC-Refers-To-Date"] == fields["WARC-Date"]
+                assert fields["WARC-Refers-To-Target-URI"]
+            k += 1
+    assert kinds["response"] + kinds["revisit"] == n and kinds["revisit"] > 10
+
+
 def test_index_is_sorted_and_sparse(spark):
     scratch = Scratch(spark, "t")
     lines = scratch.keep(warc.write_archives(spark.createDataFrame(pages(), PAGES), scratch.path("archives"), archive=3000), "lines")
@@ -180,6 +227,41 @@ def test_extraction_stands_anything(spark):
     assert extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("wrap", ["<div class='post-body'>%s</div>", "<main>%s</main>", "<div id=content><div>%s</div></div>", "<table><tr><td>%s</table>", "<section class=story>%s</section>"])
+def test_pages_without_article(wrap):
+    """Layouts that the training generator does not write."""
+    r = random.Random(4)
+    sources, wanted = [], []
+    for _ in range(20):
+        paras = [words(r, r.randint(25, 70)).capitalize() + "." for _ in range(r.randint(3, 8))]
+        nav = "<nav><ul>" + "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(r.randint(4, 12))) + "</ul></nav>"
+        body = wrap % "".join(f"<p>{x}</p>" for x in paras)
+        side = "<aside class=widget><p>Buy our stuff now</p></aside><footer><p>Copyright 2020 x</p></footer>"
+        sources.append(f"<html><head><title>t</title></head><body><header><h2>Site</h2></header>{nav}{body}{side}</body></html>")
+        wanted.append(" ".join(paras))
+    assert extraction.main_texts(sources, extraction.model()) == wanted
+
+
+@pytest.mark.parametrize("tag", ["button", "object", "canvas", "svg", "select", "head"])
+def test_unclosed_silent_elements_keep_the_page(tag):
+    text = "A long sentence of the article, with words enough. " * 12
+    (found,) = extraction.main_texts([f"<html><body><{tag}>x<article><p>{text}</p></article></body></html>"], extraction.model())
+    assert text.strip() in found
+
+
+@pytest.mark.parametrize("part", ["<div>|</section>", "<i>|</b>", "<button>|", "<a|", "<td>|<tr>", "<p><i>|<div></p>", "<svg>|<svg></svg>"])
+def test_hostile_pages_take_linear_time(part):
+    import time
+
+    first, second = part.split("|")
+    took = []
+    for n in (4000, 32_000):
+        began = time.process_time()
+        extraction.Page(first * n + second * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * max(took[0], 0.02)
+
+
 def test_decoding_is_consistent():
     r = np.random.default_rng(4)
     for seed in range(40):
@@ -508,3 +590,96 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert passage in seen["suffix_dedup"][2003] and not any(passage in seen["suffix_dedup"][2003 + k] for k in (1, 2))
     assert 2002 in seen["suffix_dedup"] and 2002 not in seen["decontamination"] and 2001 in seen["decontamination"]
     assert docs.where(F.col("copies") <= 0).count() == 0 and set(seen["mixing"]) <= set(seen["decontamination"])
+
+
+def brute_pipeline(rows, marks, items, index):
+    """Each stage of the pipeline, written out over lists; rows (doc_id, text, lang, source, n_chars), ids distinct."""
+    from .test_documents import brute_near, folded
+
+    rows = [x for x in rows if index.score([x[1]], {})[0][0] < 0.5]
+    kept = {k[0] for k in brute_near([(*x, None) for x in rows]) if k[3]}
+    rows = sorted((x for x in rows if x[0] in kept), key=lambda x: x[0])
+    first = {}
+    for i, text, *_ in rows:
+        data = (text or "").encode()
+        for k in range(len(data) - 49):
+            first.setdefault(data[k : k + 50], i)
+    out = []
+    for i, text, *rest in rows:
+        data = (text or "").encode()
+        gone = bytearray(len(data))
+        for k in range(len(data) - 49):
+            if first[data[k : k + 50]] < i:
+                gone[k : k + 50] = b"\1" * 50
+        if any(gone):
+            text = bytes(c for c, g in zip(data, gone, strict=True) if not g).decode("utf-8", "ignore")
+            if not text:
+                continue
+        out.append((i, text, *rest[:-1], None if text is None else len(text)))
+
+    def overlap(text, item):
+        a, b = folded(text), folded(item)
+        width = min(12, len(b))
+        need = -(-10 * width // 12)
+        pairs = ((a[i : i + width], b[j : j + width]) for i in range(len(a) - width + 1) for j in range(len(b) - width + 1))
+        return width and any(sum(x == y for x, y in zip(p, q, strict=True)) >= need for p, q in pairs)
+
+    return [x for x in out if not any(overlap(x[1], item) for item in items)]
+
+
+def test_run_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+    from wayfare.llm import mixing
+
+    rows, labels = marked(260)
+    r = random.Random(21)
+    rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t, *_ in rows]
+    passage, items = words(r, 40), [words(r, 25), words(r, 8)]
+    for k in range(6):
+        rows.append((1000 + k, words(r, 30) + " " + passage + " " + words(r, 30), "en", "s1", 1))
+        rows.append((1100 + k, rows[5 + k][1], "en", "s2", 1))
+        near = rows[40 + k][1].split()
+        near[len(near) // 2] = "other"
+        rows.append((1200 + k, " ".join(near), "en", "s0", 1))
+    rows += [(1300, words(r, 20) + " " + items[0] + " end", "en", "s1", 1), (1301, "x " + items[1], "en", "s1", 1), (1302, None, None, None, None), (1303, "", "de", "s1", 0), (1304, passage, "en", "s1", 1)]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, kinds).write.parquet(str(tmp_path / "documents.parquet"))
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    marks.write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    index = toxicity.train(spark.read.parquet(str(tmp_path / "documents.parquet")), marks)
+    left = brute_pipeline(rows, labels, items, index)
+    assert len(left) < len(rows) - 40 and {1304, 1300, 1301} & {x[0] for x in left} == set()
+    wanted = mixing.with_copies(spark.createDataFrame(left, kinds).repartition(3)).collect()
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert collections.Counter(map(str, found)) == collections.Counter(map(str, wanted)) and found
+    taken = collections.Counter()
+    for x in found:
+        taken[x.source] += x.copies * len((x.text or "").split())
+    sizes = collections.Counter()
+    for x in left:
+        sizes[x[3]] += len((x[1] or "").split())
+    goal = {x.source: x.target for x in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    assert all(abs(taken[k] - goal[k]) <= 0.02 * goal[k] + 2 for k in goal)
+
+
+def test_registered_queries_cover_their_tables(spark):
+    """Every query of this subpackage over the smallest tables: whole tables, distinct ids, the columns of the contract."""
+    from wayfare.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    n = {t: spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("documents", "pages")}
+    n["conversations"] = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id").distinct().count() + 1
+    expected = {
+        "op1": ("documents", "doc_id size source_size target taken"), "op3": ("documents", "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept"),
+        "op4": ("documents", "doc_id n_bytes n_removed n_spans kept_sha256"), "op5": ("conversations", "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars"),
+        "op6": ("documents", "doc_id pseudo_log_likelihood"), "op7": ("pages", "page_id payload_bytes payload_digest record_type refers_to"), "op8": ("pages", "page_id url text n_chars"),
+        "op9": ("documents", "doc_id held_out score predicted"), "op10": ("documents", "doc_id n_shingles component_id kept"),
+    }
+    for name, run in queries.queries().items():
+        if name.split("_")[0] in expected:
+            source, columns = expected[name.split("_")[0]]
+            found = run(spark, sf)
+            assert set(columns.split()) <= set(found.columns), name
+            key = columns.split()[0]
+            assert found.count() == found.select(key).distinct().count() == n[source], name
