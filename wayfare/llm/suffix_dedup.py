@@ -7,14 +7,15 @@ document with document:
    windows with one anchor is a stretch of at most 80 bytes; equal windows have equal anchors, so only stretches of one
    anchor can share a window. Chunks of documents send their different anchors, and learn which ones another document
    has too. All other stretches are left out: none of their windows can occur twice.
-2. Every stretch of a shared anchor goes, as bytes, to the index of its anchor's bucket, with the documents and places of
-   its chunk that have it. Hashes only choose what is compared: stretches are one class if their bytes are equal.
+2. Every different stretch of a shared anchor goes, as bytes and once for each chunk, to the index of its anchor's bucket.
+   Hashes only choose what is compared: stretches are one class if their bytes are equal. The places of a class stay with
+   the chunk, so a passage of half of all documents is no burden for its bucket.
 3. Index. The classes of a bucket, each with an end mark of its own, are sorted into a Burrows-Wheeler transform and
    run-length compressed. Match lengths with the row above are measured at the sampled heads of runs only; inside a run
    the preceding byte repeats, so the length at the next text position is one less, and matching statistics are streamed
    along the text from the samples. Rows that match for ``LENGTH`` bytes or more form intervals. The smallest document of
-   a position's interval decides, for every place of the class, whether its window is removed: no span comes from
-   anywhere else.
+   a position's interval goes back to the chunks and decides, for every place of the class, whether its window is
+   removed: no span comes from anywhere else.
 
 An anchor with more than ``HOT`` stretches (a very frequent line in ever other surroundings) is split: its windows reach
 13 bytes to the left or 13 bytes to the right of it, so they are dealt by the anchor with these bytes instead.
@@ -35,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -232,8 +234,9 @@ def _side(text: bytes, at: int) -> int:
 
 def _mark(bits: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        """The stretches of a chunk whose anchor is shared, for the index: each different one once, with all its places."""
-        kinds = pa.schema([("key", pa.int64()), ("data", pa.binary())])
+        """The stretches of a chunk whose anchor is shared, each different one once: for the index of a bucket (key >= 0),
+        and their places, for the chunk itself (key < 0)."""
+        kinds = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("data", pa.binary())])
         if not table.num_rows or not answers.num_rows:
             return kinds.empty_table()
         chunk = table.column("chunk")[0].as_py()
@@ -252,8 +255,10 @@ def _mark(bits: int):
         flat = np.frombuffer(b"".join(texts), np.uint8)
         at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])[number] + first
         of, head = _same(flat, at, last - first + LENGTH, anchor, whole)
-        places = np.argsort(of, kind="stable")  # by class
-        from_ = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(head)))])
+        order = np.argsort(of, kind="stable")  # places by class
+        count = np.bincount(of, minlength=len(head))
+        low, high = (f.reduceat(ids[number[order]], np.cumsum(count) - count) for f in (np.minimum, np.maximum))
+        rows = [(-1 - chunk, chunk, pack(count.astype(np.int32), number[order].astype(np.int32), first[order]))]
         key, lo, hi, hot, cls = anchor[head], first[head], last[head], own[head] == 2, np.arange(len(head))
         if hot.any():
             mid = place[head] - SIDE
@@ -269,17 +274,14 @@ def _mark(bits: int):
             cls = np.concatenate([cold, left, right])
         order = np.argsort(key)
         cuts = _cuts(key[order], bits + FINER)
-        rows = []
         for b in np.flatnonzero(np.diff(cuts)):
             here = order[cuts[b] : cuts[b + 1]]
             c, size = cls[here], hi[here] - lo[here] + LENGTH
-            count = from_[c + 1] - from_[c]
-            where = places[_runs(from_[c], from_[c + 1])]
-            begin = at[head[c]] + lo[here] - first[head[c]]
-            shift = np.repeat(lo[here] - first[head[c]], count)
-            data = pack(key[here], whole[head[c]], size.astype(np.int32), count.astype(np.int32), ids[number[where]], number[where].astype(np.int32), first[where] + shift, flat[_runs(begin, begin + size)])
-            rows.append((int(b), chunk.to_bytes(8, "little") + data))
-        return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], schema=kinds)
+            shift = lo[here] - first[head[c]]
+            begin = at[head[c]] + shift
+            text = flat[_runs(begin, begin + size)]
+            rows.append((int(b), chunk, pack(key[here], whole[head[c]], size.astype(np.int32), low[c], high[c], c.astype(np.int32), shift.astype(np.int32), text)))
+        return pa.table([pa.array([r[k] for r in rows], kinds.field(k).type) for k in range(3)], schema=kinds)
 
     return run
 
@@ -392,21 +394,25 @@ def least_holders(text: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> tuple
     return stretch[new], place[new], place[end], least[new]
 
 
+ANSWERS = pa.schema([("chunk", pa.int64()), ("places", pa.bool_()), ("data", pa.binary())])
+
+
 def _index(table: pa.Table) -> pa.Table:
-    """Removed spans of all chunks, from the stretches of one bucket."""
-    raw = [x.as_py() for x in table.column("data")]
-    parts = [unpack(x[8:]) for x in raw]
-    chunk = np.repeat([int.from_bytes(x[:8], "little") for x in raw], [len(p[0]) for p in parts])
-    key, whole, size, count, ids, number, first, text = (np.concatenate([p[k] for p in parts]) for k in range(8))
-    del raw, parts
-    size, count = size.astype(np.int64), count.astype(np.int64)
-    start, held = np.cumsum(size) - size, np.cumsum(count) - count
+    """For each chunk, from the stretches of one bucket: (class, first byte, end, least document) of the runs of windows
+    that a smaller document may have. A chunk's places pass through."""
+    if table.column("key")[0].as_py() < 0:
+        return pa.table([table.column("chunk"), pa.array([True] * table.num_rows), table.column("data")], schema=ANSWERS)
+    parts = [unpack(x.as_py()) for x in table.column("data")]
+    chunk = np.repeat(table.column("chunk").to_numpy(), [len(p[0]) for p in parts])
+    key, whole, size, low, high, number, shift, text = (np.concatenate([p[k] for p in parts]) for k in range(8))
+    del parts
+    size = size.astype(np.int64)
+    start = np.cumsum(size) - size
     cls, head = _same(text, start, size, key, whole)
     owner = np.full(len(head), LAST)
-    np.minimum.at(owner, cls, np.minimum.reduceat(ids, held))
+    np.minimum.at(owner, cls, low)
     order = np.argsort(key[head], kind="stable")
-    sums, a, found = np.cumsum(size[head[order]]), 0, []
-    keys = key[head[order]]
+    keys, sums, a, found = key[head[order]], np.cumsum(size[head[order]]), 0, []
     while a < len(order):  # whole keys, about INDEX bytes at a time
         b = max(a + 1, int(np.searchsorted(sums, (sums[a - 1] if a else 0) + INDEX, "right")))
         b = int(np.searchsorted(keys, keys[b - 1], "right"))
@@ -419,37 +425,47 @@ def _index(table: pa.Table) -> pa.Table:
     order = np.argsort(run_cls, kind="stable")
     run_cls, lo, hi, least = run_cls[order], lo[order], hi[order], least[order]
     from_ = np.searchsorted(run_cls, np.arange(len(head) + 1))
-    # Every place of every run of its class loses the run if a smaller document has it.
-    place_row = np.repeat(np.arange(len(cls)), count)
-    place_cls = cls[place_row]
-    lowest = np.minimum.reduceat(least, from_[:-1])
-    place = np.flatnonzero(ids > lowest[place_cls])
-    n = from_[place_cls[place] + 1] - from_[place_cls[place]]
-    run, place = _runs(from_[place_cls[place]], from_[place_cls[place] + 1]), np.repeat(place, n)
-    gone = least[run] < ids[place]
-    run, place = run[gone], place[gone]
-    to = chunk[place_row[place]]
-    order = np.argsort(to, kind="stable")
-    names, cuts = np.unique(to[order], return_index=True)
+    # Every run of its class concerns a chunk's stretch if the least document comes before the chunk's last one with it.
+    run = _runs(from_[cls], from_[cls + 1])
+    row = np.repeat(np.arange(len(cls)), from_[cls + 1] - from_[cls])
+    gone = least[run] < high[row]
+    run, row = run[gone], row[gone]
+    order = np.argsort(chunk[row], kind="stable")
+    run, row = run[order], row[order]
+    names, cuts = np.unique(chunk[row], return_index=True)
     rows = []
-    for c, at in zip(names, np.split(order, cuts[1:]) if len(cuts) else [], strict=True):
-        p, r = place[at], run[at]
-        rows.append((int(c), pack(number[p], first[p] + lo[r], first[p] + hi[r])))
-    return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["chunk", "data"])
+    for c, a, b in zip(names, cuts, np.append(cuts, len(row))[1:], strict=True):
+        r, k = row[a:b], run[a:b]
+        rows.append((int(c), False, pack(number[r], lo[k] + shift[r], hi[k] + shift[r], least[k])))
+    return pa.table([pa.array([r[k] for r in rows], ANSWERS.field(k).type) for k in range(3)], schema=ANSWERS)
 
 
-def _spans(spans: pa.Table, n: int) -> list[list[tuple[int, int]]]:
+def _spans(answers: pa.Table, ids: np.ndarray) -> list[list[tuple[int, int]]]:
     """Maximal removed runs of each of the chunk's documents."""
-    out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-    parts = [unpack(x.as_py()) for x in spans.column("data")]
-    if parts:
-        number, lo, hi = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        order = np.lexsort((lo, number))
-        for i, a, b in zip(number[order].tolist(), lo[order].tolist(), hi[order].tolist(), strict=True):
-            if out[i] and a <= out[i][-1][1]:
-                out[i][-1] = (out[i][-1][0], max(b, out[i][-1][1]))
-            else:
-                out[i].append((a, b))
+    out: list[list[tuple[int, int]]] = [[] for _ in ids]
+    held = dict.fromkeys((True, False), ())
+    for kind in held:
+        held[kind] = [unpack(x.as_py()) for x in answers.filter(pc.equal(answers.column("places"), kind)).column("data")]
+    if not held[True] or not held[False]:
+        return out
+    count, number, first = held[True][0]
+    from_ = np.concatenate([[0], np.cumsum(count.astype(np.int64))])
+    cls, lo, hi, least = (np.concatenate([p[k] for p in held[False]]) for k in range(4))
+    at = _runs(from_[cls], from_[cls + 1])
+    of = np.repeat(np.arange(len(cls)), count[cls])
+    gone = ids[number[at]] > least[of]
+    at, of = at[gone], of[gone]
+    number, lo, hi = number[at], first[at] + lo[of], first[at] + hi[of]
+    order = np.lexsort((lo, number))
+    number, lo, hi = number[order], lo[order], hi[order]
+    # Runs that touch are one: ends so far within a document, found in one line by giving each document a range of its own.
+    line = number.astype(np.int64) * (int(hi.max()) + 2 if len(hi) else 0)
+    end = np.maximum.accumulate(line + hi) if len(hi) else hi
+    new = np.ones(len(lo), bool)
+    new[1:] = (line + lo)[1:] > end[:-1]
+    starts = np.flatnonzero(new)
+    for i, a, b in zip(number[starts].tolist(), lo[starts].tolist(), (end - line)[np.append(starts[1:] - 1, len(lo) - 1)[: len(starts)]].tolist(), strict=True):
+        out[i].append((a, b))
     return out
 
 
@@ -462,12 +478,12 @@ def _rest(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _removed_spans(texts: DataFrame, size: int) -> DataFrame:
-    """(chunk, data): packed removed spans, from the bucketed table of texts (chunk, doc_id, text)."""
+    """(chunk, places, data): what ``_spans`` needs, from the bucketed table of texts (chunk, doc_id, text)."""
     bits = max(0, int(np.ceil(np.log2(max(1.0, size / BUCKET)))))
     sent = texts.groupBy("chunk").applyInArrow(_send(bits), "bucket long, chunk long, data binary")
     answers = sent.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(_judge, "chunk long, bucket long, codes binary")
-    shared = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_mark(bits), "key long, data binary")
-    return shared.repartition(1 << (bits + FINER), "key").groupBy("key").applyInArrow(_index, "chunk long, data binary")
+    shared = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_mark(bits), "key long, chunk long, data binary")
+    return shared.repartition(1 << (bits + FINER), "key").groupBy("key").applyInArrow(_index, "chunk long, places boolean, data binary")
 
 
 def _chunked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
@@ -494,7 +510,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
 
     def finish(table: pa.Table, spans: pa.Table) -> pa.Table:
         ids, texts, order = _ordered(table)
-        found = _spans(spans, len(texts))
+        found = _spans(spans, ids)
         removed = [sum(b - a for a, b in s) for s in found]
         digest = [hashlib.sha256(_rest(t, s) if s else t).hexdigest() for t, s in zip(texts, found, strict=True)]
         pairs = pa.array([[{"start": a, "end": b} for a, b in s] for s in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
@@ -517,8 +533,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     kept = [f for f in plain.schema.fields]
 
     def finish(table: pa.Table, spans: pa.Table) -> pa.Table:
-        _, texts, order = _ordered(table)
-        found = _spans(spans, len(texts))
+        ids, texts, order = _ordered(table)
+        found = _spans(spans, ids)
         new, stay = table.column(at_text).to_pylist(), [True] * len(texts)
         for k, s in enumerate(found):
             if s:
