@@ -50,7 +50,9 @@ def test_utm_round_trip(spark):
 
 
 def test_polygon_with_hole_and_border(spark):
-    ring = lambda a, b: F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((a, a), (b, a), (b, b), (a, b), (a, a))])
+    ring = lambda a, b: F.array(
+        *[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((a, a), (b, a), (b, b), (a, b), (a, a))]
+    )
     shape = F.array(F.array(ring(0, 10), ring(4, 6)))
     at = lambda x, y: (F.lit(float(x)), F.lit(float(y)), shape)
     assert value(spark, geo.inside(*at(1, 1))) and not value(spark, geo.inside(*at(5, 5))) and not value(spark, geo.inside(*at(11, 5)))
@@ -70,7 +72,11 @@ def test_cluster_dwell(spark):
 
 
 def test_clusters_skip_bad_coordinates(spark):
-    data = [("u", ts("2025-01-01T09:00"), *HOME), ("u", ts("2025-01-01T09:03"), None, -118.0), ("u", ts("2025-01-01T09:04"), float("nan"), -118.0), ("u", ts("2025-01-01T09:06"), *HOME), (None, ts("2025-01-01T09:06"), *HOME), ("u", None, *HOME)]
+    data = [
+        ("u", ts("2025-01-01T09:00"), *HOME), ("u", ts("2025-01-01T09:03"), None, -118.0),
+        ("u", ts("2025-01-01T09:04"), float("nan"), -118.0), ("u", ts("2025-01-01T09:06"), *HOME),
+        (None, ts("2025-01-01T09:06"), *HOME), ("u", None, *HOME)
+    ]
     df = spark.createDataFrame(data, "ID string, datetime timestamp_ntz, latitude double, longitude double")
     assert [r.n_points for r in clustering.cluster_points(df).collect()] == [2]
 
@@ -109,10 +115,19 @@ def test_fold_equals_state_machine(spark, gap):
 
 
 def test_chain_roles_and_return(spark):
-    away = [("2025-01-01T12:00", 34.1, -118.3), ("2025-01-01T12:20", 34.1, -118.3), ("2025-01-01T21:00", 34.2, -118.4), ("2025-01-01T23:00", 34.2, -118.4)]
-    roles = [r.stop_role for r in trip_chain.build_trip_chain(pings(spark, away), home_table(spark), rules=trip_chain.TripChainConfig(home_radius_m=300.0)).orderBy("seq_idx").collect()]
+    away = [
+        ("2025-01-01T12:00", 34.1, -118.3), ("2025-01-01T12:20", 34.1, -118.3), ("2025-01-01T21:00", 34.2, -118.4), ("2025-01-01T23:00", 34.2, -118.4)
+    ]
+    roles = [
+        r.stop_role for r in trip_chain.build_trip_chain(
+            pings(spark, away), home_table(spark), rules=trip_chain.TripChainConfig(home_radius_m=300.0)
+        ).orderBy("seq_idx").collect()
+    ]
     assert roles == ["intermediate", "overnight"]
-    trip = [("2025-01-01T08:00", *HOME), ("2025-01-01T08:20", *HOME), ("2025-01-01T10:00", 34.2, -118.4), ("2025-01-01T11:00", 34.2, -118.4), ("2025-01-01T13:00", *HOME), ("2025-01-01T13:20", *HOME)]
+    trip = [
+        ("2025-01-01T08:00", *HOME), ("2025-01-01T08:20", *HOME), ("2025-01-01T10:00", 34.2, -118.4),
+        ("2025-01-01T11:00", 34.2, -118.4), ("2025-01-01T13:00", *HOME), ("2025-01-01T13:20", *HOME)
+    ]
     roles = [r.stop_role for r in trip_chain.build_trip_chain(pings(spark, trip), home_table(spark)).orderBy("seq_idx").collect()]
     assert roles == ["home", "destination", "return"]
     assert trip_chain.build_trip_chain(pings(spark, trip)).where("stop_role in ('home', 'return')").count() == 0
@@ -122,7 +137,9 @@ def test_jitter_merges_to_one_stop(spark):
     rows = []
     for k in range(4):
         y = HOME[0] + 0.0008 * (k % 2)
-        rows += [(f"2025-01-01T{9 + k // 2:02d}:{30 * (k % 2):02d}", y, HOME[1]), (f"2025-01-01T{9 + k // 2:02d}:{30 * (k % 2) + 10:02d}", y, HOME[1])]
+        rows += [
+            (f"2025-01-01T{9 + k // 2:02d}:{30 * (k % 2):02d}", y, HOME[1]), (f"2025-01-01T{9 + k // 2:02d}:{30 * (k % 2) + 10:02d}", y, HOME[1])
+        ]
     rules = trip_chain.TripChainConfig(merge_distance_m=200.0, merge_gap_s=1800.0)
     found = trip_chain.build_trip_chain(pings(spark, rows), clustering=clustering.ClusterConfig(radius_m=50.0), rules=rules)
     assert found.count() == 1 and found.first().stop_id == 4
@@ -170,8 +187,12 @@ def test_record_categories(spark):
     order, fire, end = ts("2025-01-02T12:00"), ts("2025-01-01T12:00"), ts("2025-01-09T12:00")
     late, early = ts("2025-01-02T14:00"), ts("2025-01-01T15:00")
     rows = [
-        ("SELE", "Order", order, fire, early, None, None), ("FEUO", "Order", order, fire, late, None, None), ("FEUW", "Warning", order, fire, late, None, None), ("SEFN", "Buffer", order, fire, late, None, None),
-        ("NER", "Order", order, fire, None, None, None), ("UR", "Order", None, fire, late, None, None), ("PERE", "Order", order, fire, late, ts("2025-01-05T00:00"), end), ("UR", "Order", order, fire, ts("2025-01-01T10:00"), None, None),
+        ("SELE", "Order", order, fire, early, None, None), ("FEUO", "Order", order, fire, late, None, None), ("FEUW", "Warning", order, fire, late, None, None), (
+            "SEFN", "Buffer", order, fire, late, None, None
+        ),
+        ("NER", "Order", order, fire, None, None, None), ("UR", "Order", None, fire, late, None, None), ("PERE", "Order", order, fire, late, ts("2025-01-05T00:00"), end), (
+            "UR", "Order", order, fire, ts("2025-01-01T10:00"), None, None
+        ),
         ("NER", "Order", order, fire, early, ts("2025-01-01T20:00"), None),
     ]
     found = behavior.classify(spark.createDataFrame(rows, RECORD), fire_start="FireStart")
@@ -186,7 +207,9 @@ def nightly(spark, rows):
 
 def test_destinations(spark):
     homes_ = spark.createDataFrame([("A", *HOME), ("B", *HOME)], "ID string, home_lat_4326 double, home_lon_4326 double")
-    run = lambda rows, **k: [(r.ID, r.dest_order) for r in destination.infer_destinations(nightly(spark, rows), homes_, **k).orderBy("ID", "dest_order").collect()]
+    run = lambda rows, **k: [
+        (r.ID, r.dest_order) for r in destination.infer_destinations(nightly(spark, rows), homes_, **k).orderBy("ID", "dest_order").collect()
+    ]
     assert run([("A", 34.1, -118.3, "2025-01-08", 60)]) == [("A", 1)]
     assert run([("A", 34.0501, -118.2501, "2025-01-08", 60)], home_buffer_m=1000.0) == []
     assert run([("A", 34.1, -118.3, "2025-01-08", 60), ("A", 34.1001, -118.3001, "2025-01-09", 60)]) == [("A", 1)]
@@ -194,11 +217,16 @@ def test_destinations(spark):
     assert run([("A", 34.1, -118.3, "2025-01-08", 60), ("B", 34.1, -118.3, "2025-01-08", 60)]) == [("A", 1), ("B", 1)]
     assert run([]) == []
     # The middle stop is near the first, the last is near the middle but far from the first, which is the anchor.
-    assert run([("A", 34.1, -118.3, "2025-01-08", 1), ("A", 34.103, -118.3, "2025-01-09", 1), ("A", 34.106, -118.3, "2025-01-10", 1)]) == [("A", 1), ("A", 2)]
+    assert run(
+        [("A", 34.1, -118.3, "2025-01-08", 1), ("A", 34.103, -118.3, "2025-01-09", 1), ("A", 34.106, -118.3, "2025-01-10", 1)]
+    ) == [("A", 1), ("A", 2)]
 
 
 def test_land_use(spark):
-    dest = spark.createDataFrame([("a", 1, 0.5, 0.5), ("b", 1, 0.5, 1.0003), ("c", 1, 5.0, 5.0), ("d", 1, 3.0, 3.0001)], "ID string, dest_order long, dest_lat double, dest_lon double")
+    dest = spark.createDataFrame(
+        [("a", 1, 0.5, 0.5), ("b", 1, 0.5, 1.0003), ("c", 1, 5.0, 5.0), ("d", 1, 3.0, 3.0001)],
+        "ID string, dest_order long, dest_lat double, dest_lon double"
+    )
     corner = geo.rectangle(*(F.lit(float(v)) for v in (0, 0, 1, 1)))
     parcels = spark.range(1).select(corner.alias("geometry"), F.lit("Public Park").alias("UseType"))
     roads = spark.range(1).select(F.array(F.array(*[F.struct(F.lit(3.0).alias("x"), F.lit(float(y)).alias("y")) for y in (2, 4)])).alias("lines"))
@@ -210,12 +238,18 @@ def test_land_use(spark):
 def test_keywords_and_title(spark):
     words = ["Parking lot", "City PARK", "Vacant Residential", "zoo", None]
     df = spark.createDataFrame([(w,) for w in words], "w string")
-    assert [r.v for r in df.select(text.standardize_type(F.col("w")).alias("v")).collect()] == ["commercial", "open space", "residential", "other", None]
+    assert [r.v for r in df.select(text.standardize_type(F.col("w")).alias("v")).collect()] == [
+        "commercial", "open space", "residential", "other", None
+    ]
     assert value(spark, text.title_case(F.lit("o'neil creek-fire 2nd"))) == "o'neil creek-fire 2nd".title()
 
 
 def test_routes(spark):
-    chain = trip_chain.build_trip_chain(pings(spark, [("2025-01-01T08:00", *HOME), ("2025-01-01T08:20", *HOME), ("2025-01-01T10:00", 34.2, -118.4), ("2025-01-01T11:00", 34.2, -118.4)]))
+    chain = trip_chain.build_trip_chain(
+        pings(
+            spark, [("2025-01-01T08:00", *HOME), ("2025-01-01T08:20", *HOME), ("2025-01-01T10:00", 34.2, -118.4), ("2025-01-01T11:00", 34.2, -118.4)]
+        )
+    )
     legs = routes.build_trip_legs(chain)
     assert legs.count() == 1 and legs.first().displacement_m > 0
     assert routes.infer_route_candidates(legs).first().route_status == "unresolved_strategy"
@@ -243,7 +277,10 @@ def test_home_from_nights(spark):
     rows = []
     for day in range(6):
         # 22:00 and 23:30 in Los Angeles are 06:00 and 07:30 UTC of the next day; midday there is 20:00 UTC.
-        rows += [(f"2025-01-{day + 2:02d}T06:00", *HOME), (f"2025-01-{day + 2:02d}T07:30", *HOME), (f"2025-01-{day + 2:02d}T20:00", 34.2, -118.4), (f"2025-01-{day + 2:02d}T21:30", 34.2, -118.4)]
+        rows += [
+            (f"2025-01-{day + 2:02d}T06:00", *HOME), (f"2025-01-{day + 2:02d}T07:30", *HOME),
+            (f"2025-01-{day + 2:02d}T20:00", 34.2, -118.4), (f"2025-01-{day + 2:02d}T21:30", 34.2, -118.4)
+        ]
     df = pings(spark, rows, kind="timestamp")
     found = lambda tz: homes.infer_homes(df, min_nights=4, local_tz=tz, user="ID").first()
     assert found("America/Los_Angeles").home_lat_4326 == pytest.approx(HOME[0], abs=1e-3)
@@ -263,7 +300,9 @@ def test_contracts(spark):
 def test_resident_local_delay(spark):
     rows = [("r", ts("2025-01-07T19:30"), True, 5.0), ("r", ts("2025-01-08T20:00"), True, 5.0), ("r", ts("2025-01-09T20:00"), True, 5.0)]
     stops = spark.createDataFrame(rows, "ID string, stop_date timestamp, is_outside_zone boolean, eu_distance double")
-    stops = stops.withColumns({"ZoneType": F.lit("Order"), "OrderStart": F.lit("2025-01-07 10:30:00"), "FireEvent": F.lit("Palisades"), "home_lon": F.lit(0.0)})
+    stops = stops.withColumns(
+        {"ZoneType": F.lit("Order"), "OrderStart": F.lit("2025-01-07 10:30:00"), "FireEvent": F.lit("Palisades"), "home_lon": F.lit(0.0)}
+    )
     row = residents.infer_metrics(stops, {"Palisades": "2025-01-07 10:00:00"}, local_tz="America/Los_Angeles").first()
     assert str(row.DepartureDate) == "2025-01-07 11:30:00" and row.DelayHours == pytest.approx(1.0) and row.is_evacuee
     assert not math.isnan(row.DelayHours)

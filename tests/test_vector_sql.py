@@ -20,7 +20,9 @@ def shape(kind, rings):
     for r in rings:
         starts.append(n)
         n += len(r)
-    return struct.pack("<i4d2i", kind, 0, 0, 4, 4, len(rings), n) + struct.pack(f"<{len(starts)}i", *starts) + b"".join(struct.pack("<2d", *p) for p in points)
+    return struct.pack("<i4d2i", kind, 0, 0, 4, 4, len(rings), n) + struct.pack(f"<{len(starts)}i", *starts) + b"".join(
+        struct.pack("<2d", *p) for p in points
+    )
 
 
 def shp(records):
@@ -56,7 +58,10 @@ def test_geopackage(spark, tmp_path):
     db.execute("INSERT INTO gpkg_geometry_columns VALUES ('parcels', 'geom')")
     db.execute("CREATE TABLE parcels (fid INTEGER, geom BLOB, UseType TEXT)")
     many = struct.pack("<BII", 1, 6, 1) + wkb_polygon([RING, HOLE])
-    db.executemany("INSERT INTO parcels VALUES (?, ?, ?)", [(1, b"GP\0\1" + b"\0" * 4 + wkb_polygon([RING]), "Motel"), (2, b"GP\0\3" + b"\0" * 36 + many, None), (3, None, "x")])
+    db.executemany(
+        "INSERT INTO parcels VALUES (?, ?, ?)",
+        [(1, b"GP\0\1" + b"\0" * 4 + wkb_polygon([RING]), "Motel"), (2, b"GP\0\3" + b"\0" * 36 + many, None), (3, None, "x")]
+    )
     db.commit()
     db.close()
     rows = vector.read_parcels(spark, path)
@@ -75,10 +80,14 @@ def test_sql_functions(spark):
     assert len(sql.register(spark)) == len(sql.FUNCTIONS)
     df = spark.createDataFrame([(34.05, -118.25, "Parking"), (-89.0, 10.0, None), (None, None, "zoo")], "y double, x double, w string")
     found = df.select(
-        F.expr("haversine_m(34.0, -118.0, y, x)"), geo.haversine_m(F.lit(34.0), F.lit(-118.0), F.col("y"), F.col("x")), F.expr("mercator_x(x)"), geo.mercator_x(F.col("x")),
+        F.expr("haversine_m(34.0, -118.0, y, x)"), geo.haversine_m(
+            F.lit(34.0), F.lit(-118.0), F.col("y"), F.col("x")
+        ), F.expr("mercator_x(x)"), geo.mercator_x(F.col("x")),
         F.expr("mercator_y(y)"), geo.mercator_y(F.col("y")), F.expr("land_use(w)"), text.standardize_type(F.col("w")),
     ).collect()
     for r in found:
         for a, b in zip(r[::2], r[1::2], strict=True):
             assert a == b or a == pytest.approx(b)
-    assert spark.sql("SELECT in_night(23, 20, 7), in_night(8, 20, 7), hours_between(TIMESTAMP'2025-01-01 00:00:00', TIMESTAMP'2025-01-01 01:30:00')").first()[:] == (True, False, 1.5)
+    assert spark.sql(
+        "SELECT in_night(23, 20, 7), in_night(8, 20, 7), hours_between(TIMESTAMP'2025-01-01 00:00:00', TIMESTAMP'2025-01-01 01:30:00')"
+    ).first()[:] == (True, False, 1.5)

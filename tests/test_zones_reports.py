@@ -21,7 +21,9 @@ def square(x, y, size=0.1):
 
 
 def zone_table(spark, rows):
-    df = spark.createDataFrame(rows, "zoneId string, most_extreme_status string, incident_name string, datetime string, a double, b double, c double, d double")
+    df = spark.createDataFrame(
+        rows, "zoneId string, most_extreme_status string, incident_name string, datetime string, a double, b double, c double, d double"
+    )
     return df.select("zoneId", "most_extreme_status", "incident_name", "datetime", geo.rectangle(*(F.col(c) for c in "abcd")).alias("geometry"))
 
 
@@ -30,15 +32,32 @@ def home_table(spark, rows):
 
 
 def test_zone_labels(spark):
-    zones = zone_table(spark, [("z1", "Evacuation Order", "eaton", "2025-01-01T12:00", *square(-118, 34)), ("z2", "Evacuation Warning", "eaton", "2025-01-01T13:00", *square(-117.9, 34)), ("z3", "Normal", "other", "2025-01-01T13:00", *square(-110, 40))])
-    homes = home_table(spark, [("h1", -117.95, 34.05), ("h2", -117.85, 34.05), ("h3", -118.1, 34.05), ("h4", -119.5, 34.05), ("h5", -109.95, 40.05), ("edge", -118.0, 34.05), ("none", None, None), ("h1", -119.5, 34.05)])
+    zones = zone_table(
+        spark,
+        [
+            ("z1", "Evacuation Order", "eaton", "2025-01-01T12:00", *square(-118, 34)),
+            ("z2", "Evacuation Warning", "eaton", "2025-01-01T13:00", *square(-117.9, 34)),
+            ("z3", "Normal", "other", "2025-01-01T13:00", *square(-110, 40))
+        ]
+    )
+    homes = home_table(
+        spark,
+        [
+            ("h1", -117.95, 34.05), ("h2", -117.85, 34.05), ("h3", -118.1, 34.05), ("h4", -119.5, 34.05), ("h5", -109.95, 40.05),
+            ("edge", -118.0, 34.05), ("none", None, None), ("h1", -119.5, 34.05)
+        ]
+    )
     found = {r.ID: r for r in classify_zones(homes, zones, buffer_distance=20_000.0).collect()}
-    assert {k: r.ZoneType for k, r in found.items()} == {"h1": "Outside", "h2": "Warning", "h3": "Buffer", "h4": "Outside", "h5": "Unknown", "edge": "Order", "none": "Outside"}
+    assert {k: r.ZoneType for k, r in found.items()} == {
+        "h1": "Outside", "h2": "Warning", "h3": "Buffer", "h4": "Outside", "h5": "Unknown", "edge": "Order", "none": "Outside"
+    }
     assert found["h3"].FireEvent == "Eaton" and found["h3"].OrderStart is None and found["edge"].OrderStart == "2025-01-01T12:00"
 
 
 def test_buffer_takes_the_nearest_fire(spark):
-    zones = zone_table(spark, [("p", "Evacuation Order", "palisades", "1", *square(-118.6, 34)), ("e", "Evacuation Order", "eaton", "1", *square(-118.0, 34))])
+    zones = zone_table(
+        spark, [("p", "Evacuation Order", "palisades", "1", *square(-118.6, 34)), ("e", "Evacuation Order", "eaton", "1", *square(-118.0, 34))]
+    )
     homes = home_table(spark, [("hA", -118.55, 34.05), ("hB", -118.05, 34.05), ("far", -117.0, 34.05)])
     found = {r.ID: (r.ZoneType, r.FireEvent) for r in classify_zones(homes, zones, buffer_distance=10_000.0).collect()}
     assert found == {"hA": ("Order", "Palisades"), "hB": ("Buffer", "Eaton"), "far": ("Outside", None)}
@@ -54,7 +73,10 @@ def test_stops_and_imputation(spark):
     zones = zone_table(spark, [("z1", "Evacuation Order", "eaton", "1", *square(-118, 34))])
     zoned = classify_zones(home_table(spark, [("a", -117.95, 34.05), ("b", -100.0, 34.05)]), zones)
     t = dt.datetime(2025, 1, 1)
-    rows = [("a", t, "34.05", "-117.95"), ("a", t + dt.timedelta(hours=1), "34.05", "-117.5"), ("a", t + dt.timedelta(hours=2), "x", "-117.5"), ("b", t, "34.05", "-100")]
+    rows = [
+        ("a", t, "34.05", "-117.95"), ("a", t + dt.timedelta(hours=1), "34.05", "-117.5"),
+        ("a", t + dt.timedelta(hours=2), "x", "-117.5"), ("b", t, "34.05", "-100")
+    ]
     pings = spark.createDataFrame(rows, "ID string, datetime timestamp_ntz, LAT string, LONG string")
     found = residents.compute_stops(pings, zoned, zones).orderBy("stop_date").collect()
     assert [r.ID for r in found] == ["a"] * 3 and [r.is_outside_zone for r in found] == [False, True, True]
@@ -69,11 +91,22 @@ def test_imputation_limits(spark):
 
 def test_compliance_and_curve(spark):
     rows = [("Order", "FEUO"), ("Order", "NER"), ("Order", "SELE"), ("Warning", "FEUW"), ("Warning", "NER"), (None, "NER")]
-    found = {r.ZoneType: (r.Total_Residents, r.Evacuated, r.Compliance_Rate) for r in reports.compliance_rate(spark.createDataFrame(rows, "ZoneType string, Category string")).collect()}
+    found = {
+        r.ZoneType: (r.Total_Residents, r.Evacuated, r.Compliance_Rate) for r in reports.compliance_rate(
+            spark.createDataFrame(rows, "ZoneType string, Category string")
+        ).collect()
+    }
     assert found == {"Order": (3.0, 2.0, pytest.approx(2 / 3)), "Warning": (2.0, 1.0, 0.5)}
     t = lambda *a: dt.datetime(2025, 1, *a)
-    deps = spark.createDataFrame([("Order", t(1, 10)), ("Order", t(1, 14)), ("Order", t(2, 10)), ("Order", None), ("Warning", t(1, 1))], "ZoneType string, DepartureDate timestamp_ntz")
-    curve = {str(r.Datetime): (r.Cumulative_Count, r.Cumulative_Pct) for r in reports.departure_curve(deps, "2025-01-01 08:00", "2025-01-02 12:00", "2h").collect()}
+    deps = spark.createDataFrame(
+        [("Order", t(1, 10)), ("Order", t(1, 14)), ("Order", t(2, 10)), ("Order", None), ("Warning", t(1, 1))],
+        "ZoneType string, DepartureDate timestamp_ntz"
+    )
+    curve = {
+        str(r.Datetime): (r.Cumulative_Count, r.Cumulative_Pct) for r in reports.departure_curve(
+            deps, "2025-01-01 08:00", "2025-01-02 12:00", "2h"
+        ).collect()
+    }
     assert curve["2025-01-01 08:00:00"] == (0, 0.0) and curve["2025-01-01 12:00:00"] == (1, 25.0) and curve["2025-01-02 12:00:00"] == (3, 75.0)
     assert curve["2025-01-01 10:00:00"] == (0, 0.0)  # strictly before
     empty = reports.dedi(spark.createDataFrame(rows, "ZoneType string, Category string").where("false"))
@@ -105,10 +138,24 @@ def test_ks(spark):
 
 
 def test_geojson(spark, tmp_path):
-    feature = lambda t, geometry, **p: {"type": "Feature", "properties": {"zoneId": "z", "most_extreme_status": "Evacuation Order", "datetime": t, **p}, "geometry": geometry}
+    feature = lambda t, geometry, **p: {
+        "type": "Feature", "properties": {"zoneId": "z", "most_extreme_status": "Evacuation Order", "datetime": t, **p}, "geometry": geometry
+    }
     ring = [[0, 0], [1, 0], [1, 1], [0, 1], [0, 0]]
-    (tmp_path / "a.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [feature("2025-01-01", {"type": "Polygon", "coordinates": [ring]})]}))
-    (tmp_path / "b.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [feature("2025-01-02", {"type": "MultiPolygon", "coordinates": [[ring]]}), feature("2025-01-03", {"type": "Point", "coordinates": [0, 0]})]}))
+    (tmp_path / "a.geojson").write_text(
+        json.dumps({"type": "FeatureCollection", "features": [feature("2025-01-01", {"type": "Polygon", "coordinates": [ring]})]})
+    )
+    (tmp_path / "b.geojson").write_text(
+        json.dumps(
+            {
+                "type": "FeatureCollection",
+                "features": [
+                    feature("2025-01-02", {"type": "MultiPolygon", "coordinates": [[ring]]}),
+                    feature("2025-01-03", {"type": "Point", "coordinates": [0, 0]})
+                ]
+            }
+        )
+    )
     (tmp_path / "c.geojson").write_text("not json {")
     rows = readers.read_fire_timeline(spark, str(tmp_path)).collect()
     assert [r.datetime for r in rows] == ["2025-01-02"] and len(rows[0].geometry[0][0]) == 5
@@ -135,7 +182,9 @@ def test_csv_readers(spark, tmp_path):
 
 
 def test_pickled_shards(spark, tmp_path):
-    rows = [{"GRID": "a", "LAT": 34.0, "LONG": -118.0, "TIMESTAMP": 1736274600000}, {"GRID": "b", "LAT": 10.0, "LONG": 10.0, "TIMESTAMP": 1736274600000}]
+    rows = [
+        {"GRID": "a", "LAT": 34.0, "LONG": -118.0, "TIMESTAMP": 1736274600000}, {"GRID": "b", "LAT": 10.0, "LONG": 10.0, "TIMESTAMP": 1736274600000}
+    ]
     (tmp_path / "shard_1.pkl").write_bytes(pickle.dumps(({"a"}, rows)))
     (tmp_path / "shard_2.pkl").write_bytes(pickle.dumps(print))  # a function: not let through
     with pytest.raises(PermissionError):
@@ -147,13 +196,19 @@ def test_pickled_shards(spark, tmp_path):
 def test_stream_equals_batch(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     t = dt.datetime(2025, 1, 1, 12)
-    rows = [("u", t, 34.1, -118.3), ("u", t + dt.timedelta(minutes=20), 34.1, -118.3), ("u", t + dt.timedelta(minutes=60), 34.2, -118.4), ("u", t + dt.timedelta(minutes=80), 34.2, -118.4), ("u", t + dt.timedelta(minutes=120), 34.3, -118.4)]
+    rows = [
+        ("u", t, 34.1, -118.3), ("u", t + dt.timedelta(minutes=20), 34.1, -118.3),
+        ("u", t + dt.timedelta(minutes=60), 34.2, -118.4), ("u", t + dt.timedelta(minutes=80), 34.2, -118.4),
+        ("u", t + dt.timedelta(minutes=120), 34.3, -118.4)
+    ]
     schema = "user_id string, datetime timestamp, latitude double, longitude double"
     for k, part in enumerate((rows[:2], rows[2:])):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         del k
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = stream_cluster_events(source).writeStream.format("memory").queryName("events_out").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query = stream_cluster_events(source).writeStream.format("memory").queryName("events_out").option(
+        "checkpointLocation", str(tmp_path / "cp")
+    ).trigger(availableNow=True).start()
     query.awaitTermination(120)
     got = [(r.event_type, r.cluster_id, r.n_points) for r in spark.table("events_out").collect()]
     with warnings.catch_warnings():

@@ -75,7 +75,9 @@ class Utm:
             for j, a in enumerate(self.alpha, 1):
                 east = east + F.lit(a) * F.cos(2 * j * v["xi"]) * F.sinh(2 * j * v["eta"])
                 north = north + F.lit(a) * F.sin(2 * j * v["xi"]) * F.cosh(2 * j * v["eta"])
-            return F.struct((F.lit(500_000.0) + self.K0 * self.radius * east).alias("e"), (F.lit(self.north) + self.K0 * self.radius * north).alias("n"))
+            return F.struct(
+                (F.lit(500_000.0) + self.K0 * self.radius * east).alias("e"), (F.lit(self.north) + self.K0 * self.radius * north).alias("n")
+            )
 
         found = let(given, tau, plane, grid)
         return found["e"], found["n"]
@@ -187,7 +189,9 @@ def within(x: Column, y: Column, geometry: Column) -> Column:
 
 def project(geometry: Column) -> Column:
     """A geometry in degrees to Web-Mercator metres."""
-    return F.transform(geometry, lambda p: F.transform(p, lambda r: F.transform(r, lambda q: F.struct(mercator_x(q["x"]).alias("x"), mercator_y(q["y"]).alias("y")))))
+    return F.transform(
+        geometry, lambda p: F.transform(p, lambda r: F.transform(r, lambda q: F.struct(mercator_x(q["x"]).alias("x"), mercator_y(q["y"]).alias("y"))))
+    )
 
 
 def project_lines(lines: Column) -> Column:

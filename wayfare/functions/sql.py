@@ -14,10 +14,21 @@ FUNCTIONS = [
         "sqrt(1 - (power(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * power(sin(radians(lon2 - lon1) / 2), 2))))",
     ),
     ("mercator_x", "lon DOUBLE", "DOUBLE", "radians(lon) * 6378137D"),
-    ("mercator_y", "lat DOUBLE", "DOUBLE", "CASE WHEN lat IS NOT NULL THEN ln(tan(pi() / 4 + radians(greatest(least(lat, 85D), -85D)) / 2)) * 6378137D END"),
-    ("in_night", "h INT, from_hour INT, to_hour INT", "BOOLEAN", "CASE WHEN from_hour > to_hour THEN h >= from_hour OR h < to_hour ELSE h >= from_hour AND h < to_hour END"),
+    (
+        "mercator_y", "lat DOUBLE", "DOUBLE",
+        "CASE WHEN lat IS NOT NULL THEN ln(tan(pi() / 4 + radians(greatest(least(lat, 85D), -85D)) / 2)) * 6378137D END"
+    ),
+    (
+        "in_night", "h INT, from_hour INT, to_hour INT", "BOOLEAN",
+        "CASE WHEN from_hour > to_hour THEN h >= from_hour OR h < to_hour ELSE h >= from_hour AND h < to_hour END"
+    ),
     ("hours_between", "a TIMESTAMP, b TIMESTAMP", "DOUBLE", "(unix_micros(b) - unix_micros(a)) / 3.6e9"),
-    ("land_use", "value STRING", "STRING", "CASE WHEN value IS NULL THEN NULL " + " ".join(f"WHEN contains(lower(value), '{w}') THEN '{kind}'" for kind, words in LAND_USE for w in words.split(", ")) + " ELSE 'other' END"),
+    (
+        "land_use", "value STRING", "STRING",
+        "CASE WHEN value IS NULL THEN NULL " + " ".join(
+            f"WHEN contains(lower(value), '{w}') THEN '{kind}'" for kind, words in LAND_USE for w in words.split(", ")
+        ) + " ELSE 'other' END"
+    ),
 ]
 
 

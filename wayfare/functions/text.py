@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 #: Land-use keywords in the order in which they are tried, and the type each stands for.
 LAND_USE = [
-    ("residential", "residential, single family, single-family, multi family, multi-family, multifamily, mobile home, condominium, duplex, triplex, apartment"),
+    (
+        "residential",
+        "residential, single family, single-family, multi family, multi-family, multifamily, mobile home, condominium, duplex, triplex, apartment"
+    ),
     ("hotel/motel", "hotel, motel, lodging"),
     ("commercial", "commercial, shopping, store, restaurant, retail, office, mixed use, parking, service station, gas station"),
     ("industrial", "industrial, manufacturing, warehouse"),
@@ -30,7 +33,9 @@ def standardize_type(value: Column) -> Column:
 
 def title_case(value: Column) -> Column:
     """Each run of letters capitalised: after any character that is no letter, a letter is upper case."""
-    step = lambda a, c: F.struct(F.concat(a["out"], F.when(a["letter"], F.lower(c)).otherwise(F.upper(c))).alias("out"), c.rlike(r"^\p{L}$").alias("letter"))
+    step = lambda a, c: F.struct(
+        F.concat(a["out"], F.when(a["letter"], F.lower(c)).otherwise(F.upper(c))).alias("out"), c.rlike(r"^\p{L}$").alias("letter")
+    )
     start = F.struct(F.lit("").alias("out"), F.lit(False).alias("letter"))
     return F.when(value.isNotNull(), F.aggregate(F.split(value, ""), start, step, lambda a: a["out"]))
 

@@ -65,7 +65,10 @@ def _breaks(a: Column, p: Column, config: ClusterConfig) -> Column:
 
 
 def _state(id_: Column, n: Column, lat: Column, lon: Column, from_: Column, to: Column, out: Column) -> Column:
-    return F.struct(id_.cast("long").alias("id"), n.cast("long").alias("n"), lat.cast("double").alias("lat"), lon.cast("double").alias("lon"), from_.cast("long").alias("from"), to.cast("long").alias("to"), out.alias("out"))
+    return F.struct(
+        id_.cast("long").alias("id"), n.cast("long").alias("n"), lat.cast("double").alias("lat"), lon.cast("double").alias("lon"),
+        from_.cast("long").alias("from"), to.cast("long").alias("to"), out.alias("out")
+    )
 
 
 def _fold(pings: Column, config: ClusterConfig, out_type: str, on_start, on_join, on_close) -> Column:
@@ -104,7 +107,9 @@ def merge_array(clusters: Column, merge_distance_m: float = 120.0, merge_gap_s:
 
     def step(a: Column, c: Column) -> Column:
         last = F.get(a["out"], F.size(a["out"]) - 1)
-        near = ((c["start_us"] - last["end_us"]) / F.lit(1e6) <= merge_gap_s) & (haversine_m(last["centroid_lat"], last["centroid_lon"], c["centroid_lat"], c["centroid_lon"]) <= merge_distance_m)
+        near = ((c["start_us"] - last["end_us"]) / F.lit(1e6) <= merge_gap_s) & (
+            haversine_m(last["centroid_lat"], last["centroid_lon"], c["centroid_lat"], c["centroid_lon"]) <= merge_distance_m
+        )
         n = last["n_points"] + c["n_points"]
         mean = lambda k: (last[k] * last["n_points"] + c[k] * c["n_points"]) / n
         both = F.struct(
@@ -113,19 +118,32 @@ def merge_array(clusters: Column, merge_distance_m: float = 120.0, merge_gap_s:
         ).cast(CLUSTER)
         joins = F.coalesce(near, F.lit(False))
         kept = F.when(joins, F.slice(a["out"], 1, F.greatest(F.size(a["out"]) - 1, F.lit(0)))).otherwise(a["out"])
-        return F.struct(F.when(joins, a["id"] + 1).otherwise(c["cluster_id"]).alias("id"), F.concat(kept, F.array(F.when(joins, both).otherwise(c))).alias("out"))
+        return F.struct(
+            F.when(joins, a["id"] + 1).otherwise(c["cluster_id"]).alias("id"), F.concat(kept, F.array(F.when(joins, both).otherwise(c))).alias("out")
+        )
 
     return F.aggregate(clusters, F.struct(F.lit(0).cast("long").alias("id"), none.alias("out")), step, lambda a: a["out"])
 
 
-def cluster_points(df: DataFrame, user: str = "ID", time: str = "datetime", lat: str = "latitude", lon: str = "longitude", config: ClusterConfig | None = None, tie: str | None = None) -> DataFrame:
+def cluster_points(
+    df: DataFrame, user: str = "ID", time: str = "datetime", lat: str = "latitude", lon: str = "longitude",
+    config: ClusterConfig | None = None, tie: str | None = None
+) -> DataFrame:
     """Stay clusters of every user: user_id, cluster_id, centroid, start_time, end_time, n_points, dwell_s."""
     kind = "timestamp_ntz" if dict(df.dtypes)[time] == "timestamp_ntz" else "timestamp"
-    found = sorted_pings(df, user, time, lat, lon, tie).select("user_id", F.explode(cluster_array(F.col("pings"), config or ClusterConfig())).alias("c"))
-    return found.select("user_id", "c.cluster_id", "c.centroid_lat", "c.centroid_lon", as_time(F.col("c.start_us"), kind).alias("start_time"), as_time(F.col("c.end_us"), kind).alias("end_time"), "c.n_points", "c.dwell_s")
-
-
-def cluster_events(df: DataFrame, user: str = "ID", time: str = "datetime", lat: str = "latitude", lon: str = "longitude", config: ClusterConfig | None = None, tie: str | None = None) -> DataFrame:
+    found = sorted_pings(df, user, time, lat, lon, tie).select(
+        "user_id", F.explode(cluster_array(F.col("pings"), config or ClusterConfig())).alias("c")
+    )
+    return found.select(
+        "user_id", "c.cluster_id", "c.centroid_lat", "c.centroid_lon", as_time(F.col("c.start_us"), kind).alias("start_time"),
+        as_time(F.col("c.end_us"), kind).alias("end_time"), "c.n_points", "c.dwell_s"
+    )
+
+
+def cluster_events(
+    df: DataFrame, user: str = "ID", time: str = "datetime", lat: str = "latitude", lon: str = "longitude",
+    config: ClusterConfig | None = None, tie: str | None = None
+) -> DataFrame:
     """Life-cycle events of every user in order: cluster_started, cluster_updated, cluster_closed (with n_points and
     dwell_s of the closed cluster). On a break, closed comes before started."""
     kind = "timestamp_ntz" if dict(df.dtypes)[time] == "timestamp_ntz" else "timestamp"
@@ -133,7 +151,13 @@ def cluster_events(df: DataFrame, user: str = "ID", time: str = "datetime", lat:
 
     def of(name: str, id_: Column, at: Column, n: Column | None = None, dwell: Column | None = None) -> Column:
         none = F.lit(None)
-        return F.array(F.struct(F.lit(name).alias("event_type"), id_.alias("cluster_id"), at.alias("at_us"), (n if n is not None else none.cast("long")).alias("n_points"), (dwell if dwell is not None else none.cast("double")).alias("dwell_s")).cast(event))
+        return F.array(
+            F.struct(
+                F.lit(name).alias("event_type"), id_.alias("cluster_id"), at.alias("at_us"),
+                (n if n is not None else none.cast("long")).alias("n_points"),
+                (dwell if dwell is not None else none.cast("double")).alias("dwell_s")
+            ).cast(event)
+        )
 
     found = _fold(
         F.col("pings"), config or ClusterConfig(), event,
@@ -142,13 +166,18 @@ def cluster_events(df: DataFrame, user: str = "ID", time: str = "datetime", lat:
         lambda a: of("cluster_closed", a["id"], a["to"], a["n"], (a["to"] - a["from"]) / F.lit(1e6)),
     )
     rows = sorted_pings(df, user, time, lat, lon, tie).select("user_id", F.posexplode(found).alias("seq", "e"))
-    return rows.select("user_id", (F.col("seq") + 1).cast("long").alias("seq"), "e.event_type", "e.cluster_id", as_time(F.col("e.at_us"), kind).alias("event_time"), "e.n_points", "e.dwell_s")
+    return rows.select(
+        "user_id", (F.col("seq") + 1).cast("long").alias("seq"), "e.event_type", "e.cluster_id",
+        as_time(F.col("e.at_us"), kind).alias("event_time"), "e.n_points", "e.dwell_s"
+    )
 
 
 def incremental_cluster(df: DataFrame, R_a: float = 200.0, T_a: str = "5min", **columns) -> DataFrame:
     """Activity clusters: centroid, start, end and number of pings."""
     found = cluster_points(df, config=ClusterConfig(R_a, duration_s(T_a)), **columns)
-    return found.select("user_id", "centroid_lat", "centroid_lon", F.col("start_time").alias("start"), F.col("end_time").alias("end"), F.col("n_points").alias("n"))
+    return found.select(
+        "user_id", "centroid_lat", "centroid_lon", F.col("start_time").alias("start"), F.col("end_time").alias("end"), F.col("n_points").alias("n")
+    )
 
 
 def duration_s(text: str | float) -> float:
@@ -160,5 +189,8 @@ def duration_s(text: str | float) -> float:
     m = re.fullmatch(r"\s*([\d.]*)\s*(ms|s|sec|min|T|m|h|H|hours?|D|days?)\s*", text)
     if not m:
         raise ValueError(f"not a duration: {text!r}")
-    unit = {"ms": 1e-3, "s": 1.0, "sec": 1.0, "min": 60.0, "T": 60.0, "m": 60.0, "h": 3600.0, "H": 3600.0, "hour": 3600.0, "hours": 3600.0, "D": 86400.0, "day": 86400.0, "days": 86400.0}[m[2]]
+    unit = {
+        "ms": 1e-3, "s": 1.0, "sec": 1.0, "min": 60.0, "T": 60.0, "m": 60.0, "h": 3600.0, "H": 3600.0, "hour": 3600.0,
+        "hours": 3600.0, "D": 86400.0, "day": 86400.0, "days": 86400.0
+    }[m[2]]
     return float(m[1] or 1) * unit

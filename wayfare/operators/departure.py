@@ -24,7 +24,10 @@ def _with_orders(df: DataFrame, keys: list[str], orders: DataFrame | None) -> tu
     return df.join(one, keys, "left"), "order_start"
 
 
-def infer_from_distance(pings: DataFrame, distance: str, away_radius: float = 1000.0, orders: DataFrame | None = None, user: str = "user_id", time: str = "datetime", local_tz: str | None = None) -> DataFrame:
+def infer_from_distance(
+    pings: DataFrame, distance: str, away_radius: float = 1000.0, orders: DataFrame | None = None, user: str = "user_id",
+    time: str = "datetime", local_tz: str | None = None
+) -> DataFrame:
     """Departure and return of every user from a distance column: days with a ping beyond ``away_radius`` form runs; the
     run that belongs to the order (``orders``: user, order_start) must last more than one day."""
     if time not in pings.columns:
@@ -33,7 +36,9 @@ def infer_from_distance(pings: DataFrame, distance: str, away_radius: float = 10
     kind = dict(pings.dtypes)[time]
     away = pings.where(F.col(distance) > away_radius).withColumn("day", F.to_date(local_clock(F.col(time), kind, zone)))
     runs, order = _with_orders(islands(away, [user]), [user], orders)
-    chosen = selected_island(runs, [user], _reference(runs, order, zone)).where("last_day > first_day").select(user, "first_day", "last_day", "n_days")
+    chosen = selected_island(runs, [user], _reference(runs, order, zone)).where("last_day > first_day").select(
+        user, "first_day", "last_day", "n_days"
+    )
     return stay_bounds(away.select(user, "day", time), chosen, [user], F.col(time), F.col(time)).select(user, "departure", "return")
 
 
@@ -43,15 +48,23 @@ def infer_from_trip_chain(chain: DataFrame, away_radius: float = 1000.0, orders:
     zone = resolve_tz(chain, "start_ts", local_tz)
     kind = dict(chain.dtypes)["start_ts"]
     far = F.col("distance_from_home_m").try_cast("double") > away_radius
-    away = chain.where(F.col("stop_role").isin("intermediate", "overnight", "destination") & far).withColumn("day", F.to_date(local_clock(F.col("start_ts"), kind, zone)))
+    away = chain.where(F.col("stop_role").isin("intermediate", "overnight", "destination") & far).withColumn(
+        "day", F.to_date(local_clock(F.col("start_ts"), kind, zone))
+    )
     runs, order = _with_orders(islands(away, ["user_id"]), ["user_id"], orders)
-    chosen = selected_island(runs, ["user_id"], _reference(runs, order, zone)).where("last_day > first_day").select("user_id", "first_day", "last_day", "n_days")
+    chosen = selected_island(runs, ["user_id"], _reference(runs, order, zone)).where("last_day > first_day").select(
+        "user_id", "first_day", "last_day", "n_days"
+    )
     found = stay_bounds(away.select("user_id", "day", "start_ts", "end_ts"), chosen, ["user_id"], F.col("start_ts"), F.col("end_ts"))
     users = chain.select("user_id").distinct().join(found.select("user_id", "departure", "return"), "user_id", "left")
     return users.withColumn("origin_type", F.when(F.col("departure").isNotNull(), "activity").otherwise("home"))
 
 
-def find_origin(pings: DataFrame, homes: DataFrame, fire_start: Column, R_a: float = 200.0, T_a: str = "5min", home_radius: float = 200.0, max_origin_distance_m: float = 50_000.0, user: str = "ID", time: str = "datetime", lat: str = "latitude", lon: str = "longitude", tie: str | None = None) -> DataFrame:
+def find_origin(
+    pings: DataFrame, homes: DataFrame, fire_start: Column, R_a: float = 200.0, T_a: str = "5min", home_radius: float = 200.0,
+    max_origin_distance_m: float = 50_000.0, user: str = "ID", time: str = "datetime", lat: str = "latitude",
+    lon: str = "longitude", tie: str | None = None
+) -> DataFrame:
     """Where each resident of ``homes`` was when the fire started: (user, origin_lat, origin_lon, origin_type).
 
     A ping within ``home_radius`` of home from 2 hours before to 1 hour after means home. Otherwise the stop of the 12
@@ -70,7 +83,12 @@ def find_origin(pings: DataFrame, homes: DataFrame, fire_start: Column, R_a: flo
     since = epoch_micros(pings, time) - F.col("_fire")
     wanted = pings.join(fires, F.col(user) == F.col("_user")).where((since >= -hours(12)) & (since <= hours(1))).drop("_user", "_fire")
     rows = start.join(sorted_pings(wanted, user, time, lat, lon, tie), "user_id", "left")
-    near = F.exists("pings", lambda p: (p["t"] >= F.col("fire_us") - hours(2)) & (p["t"] <= F.col("fire_us") + hours(1)) & (haversine_m(F.col("home_lat"), F.col("home_lon"), p["lat"], p["lon"]) <= home_radius))
+    near = F.exists(
+        "pings",
+        lambda p: (p["t"] >= F.col("fire_us") - hours(2)) & (p["t"] <= F.col("fire_us") + hours(1)) & (
+            haversine_m(F.col("home_lat"), F.col("home_lon"), p["lat"], p["lon"]) <= home_radius
+        )
+    )
     before = F.filter("pings", lambda p: (p["t"] >= F.col("fire_us") - hours(12)) & (p["t"] <= F.col("fire_us")))
     rows = rows.withColumn("near", F.coalesce(near, F.lit(False))).withColumn("before", before)
     rows = rows.withColumn("stops", merge_array(cluster_array(F.col("before"), ClusterConfig(R_a, duration_s(T_a)))))
@@ -88,7 +106,11 @@ def find_origin(pings: DataFrame, homes: DataFrame, fire_start: Column, R_a: flo
     )
 
 
-def infer_departures(pings: DataFrame, homes: DataFrame | None = None, orders: DataFrame | None = None, method: str = "home_based", home_radius: float = 200.0, away_radius: float = 1000.0, user: str = "ID", time: str = "datetime", trip_chain: DataFrame | None = None, local_tz: str | None = None) -> DataFrame:
+def infer_departures(
+    pings: DataFrame, homes: DataFrame | None = None, orders: DataFrame | None = None, method: str = "home_based",
+    home_radius: float = 200.0, away_radius: float = 1000.0, user: str = "ID", time: str = "datetime",
+    trip_chain: DataFrame | None = None, local_tz: str | None = None
+) -> DataFrame:
     """Departure and return of every user: (user, departure, return, origin_type).
 
     ``trip_chain`` takes precedence. 'home_based' uses the distance from home (column ``distance_to_home``, or computed from
@@ -102,7 +124,9 @@ def infer_departures(pings: DataFrame, homes: DataFrame | None = None, orders: D
     rows = pings
     if homes is not None and "distance_to_home" not in rows.columns:
         known = homes.select(F.col("ID").alias(user), "home_lat_4326", "home_lon_4326").dropDuplicates([user])
-        rows = rows.join(known, user).withColumn("distance_to_home", haversine_m(F.col("home_lat_4326"), F.col("home_lon_4326"), F.col("latitude"), F.col("longitude")))
+        rows = rows.join(known, user).withColumn(
+            "distance_to_home", haversine_m(F.col("home_lat_4326"), F.col("home_lon_4326"), F.col("latitude"), F.col("longitude"))
+        )
     origin = None
     if method != "home_based" and homes is not None and orders is not None:
         timed = homes.join(orders.groupBy(F.col(user).alias("ID")).agg(F.min("order_start").alias("order_start")), "ID")

@@ -33,18 +33,29 @@ def _home_table(homes: DataFrame) -> DataFrame:
     missing = [c for c in ("ID", "home_lat_4326", "home_lon_4326") if c not in homes.columns]
     if missing:
         raise InputError(f"homes: missing columns {missing}")
-    return first_rows(homes.select("ID", F.col("home_lat_4326").alias("_hlat"), F.col("home_lon_4326").alias("_hlon")), ["ID"], [F.col("_hlat"), F.col("_hlon")])
+    return first_rows(
+        homes.select("ID", F.col("home_lat_4326").alias("_hlat"), F.col("home_lon_4326").alias("_hlon")), ["ID"], [F.col("_hlat"), F.col("_hlon")]
+    )
 
 
 def _chain_of_destinations(daily: DataFrame, merge_distance_km: float, source: str) -> DataFrame:
     """Daily stops (ID, date, lat, lon, home) to destinations in order."""
-    grouped = daily.groupBy("ID").agg(F.sort_array(F.collect_list(F.struct("date", "lat", "lon"))).alias("s"), F.min(F.struct("_hlat", "_hlon")).alias("h"))
+    grouped = daily.groupBy("ID").agg(
+        F.sort_array(F.collect_list(F.struct("date", "lat", "lon"))).alias("s"), F.min(F.struct("_hlat", "_hlon")).alias("h")
+    )
     rows = grouped.select("ID", "h", F.posexplode(anchored_merge(F.col("s"), merge_distance_km)).alias("pos", "d"))
     far = F.round(geo.haversine_m(F.col("h._hlat"), F.col("h._hlon"), F.col("d.lat"), F.col("d.lon")) / 1000.0, 3)
-    return rows.select("ID", F.col("d.lat").alias("dest_lat"), F.col("d.lon").alias("dest_lon"), F.col("d.date").alias("dest_date"), far.alias("eu_distance_km"), (F.col("pos") + 1).cast("long").alias("dest_order"), F.lit(source).alias("source_role"))
+    return rows.select(
+        "ID", F.col("d.lat").alias("dest_lat"), F.col("d.lon").alias("dest_lon"), F.col("d.date").alias("dest_date"),
+        far.alias("eu_distance_km"), (F.col("pos") + 1).cast("long").alias("dest_order"), F.lit(source).alias("source_role")
+    )
 
 
-def infer_destinations(stops: DataFrame, homes: DataFrame, merge_distance_km: float = 0.4, home_buffer_m: float = 400.0, include_intermediate: bool = True, include_return: bool = False, lat: str = "stop_lat_4326", lon: str = "stop_lon_4326", date: str = "stop_date", duration: str = "duration", local_tz: str | None = None) -> DataFrame:
+def infer_destinations(
+    stops: DataFrame, homes: DataFrame, merge_distance_km: float = 0.4, home_buffer_m: float = 400.0,
+    include_intermediate: bool = True, include_return: bool = False, lat: str = "stop_lat_4326", lon: str = "stop_lon_4326",
+    date: str = "stop_date", duration: str = "duration", local_tz: str | None = None
+) -> DataFrame:
     """Destinations from nightly stops: the longest stop of each day, beyond the home buffer, merged with the last kept one
     where closer than ``merge_distance_km``. A table with all trip-chain columns is treated as a chain."""
     if all(c in stops.columns for c in TRIP_CHAIN.required):
@@ -60,46 +71,75 @@ def infer_destinations(stops: DataFrame, homes: DataFrame, merge_distance_km: fl
         rows = rows.withColumn(duration, number(F.col("dwell_s")) / 60.0 if "dwell_s" in rows.columns else F.lit(None).cast("double"))
     if "stop_role" in rows.columns:
         rows = rows.where(F.col("stop_role").isin(_roles(include_intermediate, include_return)))
-    rows = rows.select("ID", F.col(date).cast("string").alias("date"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"), F.col(duration).cast("double").alias("_d"))
+    rows = rows.select(
+        "ID", F.col(date).cast("string").alias("date"), F.col(lat).cast("double").alias("lat"),
+        F.col(lon).cast("double").alias("lon"), F.col(duration).cast("double").alias("_d")
+    )
     daily = first_rows(rows.where("ID is not null and date is not null"), ["ID", "date"], [F.col("_d").desc_nulls_last(), F.col("lat"), F.col("lon")])
     away = daily.join(_home_table(homes), "ID").where(geo.haversine_m(F.col("_hlat"), F.col("_hlon"), F.col("lat"), F.col("lon")) > home_buffer_m)
     return _chain_of_destinations(away, merge_distance_km, "intermediate_or_overnight" if include_intermediate else "overnight")
 
 
-def infer_destinations_from_chain(chain: DataFrame, homes: DataFrame, merge_distance_km: float = 0.4, home_buffer_m: float = 400.0, include_intermediate: bool = True, include_return: bool = False, local_tz: str | None = None) -> DataFrame:
+def infer_destinations_from_chain(
+    chain: DataFrame, homes: DataFrame, merge_distance_km: float = 0.4, home_buffer_m: float = 400.0,
+    include_intermediate: bool = True, include_return: bool = False, local_tz: str | None = None
+) -> DataFrame:
     """Destinations from a trip chain: for each local day the stop of the highest role (overnight, destination,
     intermediate, return), then the longest, beyond the home buffer, merged as above."""
     zone = resolve_tz(chain, "start_ts", local_tz)
     rows = chain.where(F.col("stop_role").isin(_roles(include_intermediate, include_return)))
     day = F.to_date(local_clock(F.col("start_ts"), dict(chain.dtypes)["start_ts"], zone)).cast("string")
-    rank = F.when(F.col("stop_role") == "overnight", 3).when(F.col("stop_role") == "destination", 2).when(F.col("stop_role") == "intermediate", 1).otherwise(0)
+    rank = F.when(F.col("stop_role") == "overnight", 3).when(F.col("stop_role") == "destination", 2).when(
+        F.col("stop_role") == "intermediate", 1
+    ).otherwise(0)
     rows = rows.select(F.col("user_id").alias("ID"), day.alias("date"), "lat", "lon", "dwell_s", "seq_idx", rank.alias("_rank"))
     away = rows.join(_home_table(homes), "ID").where(geo.haversine_m(F.col("_hlat"), F.col("_hlon"), F.col("lat"), F.col("lon")) > home_buffer_m)
     daily = first_rows(away, ["ID", "date"], [F.desc("_rank"), F.col("dwell_s").desc_nulls_last(), F.col("seq_idx")])
     return _chain_of_destinations(daily, merge_distance_km, "trip_chain")
 
 
-def classify_destinations(destinations: DataFrame, parcels: DataFrame | None, roads: DataFrame | None = None, buffer_m: float = 50.0, road_buffer_m: float = 20.0, type_col: str = "UseType") -> DataFrame:
+def classify_destinations(
+    destinations: DataFrame, parcels: DataFrame | None, roads: DataFrame | None = None, buffer_m: float = 50.0,
+    road_buffer_m: float = 20.0, type_col: str = "UseType"
+) -> DataFrame:
     """Adds dest_type: the standard type of the parcel that holds the point; else of the first parcel within ``buffer_m``;
     else 'road' within ``road_buffer_m`` of a road line; else 'unknown'. Without parcels the type is null.
 
     Parcels (geometry, ``type_col``) and road segments meet points in grid cells, an equi-join; few are broadcast."""
     if parcels is None:
         return destinations.withColumn("dest_type", F.lit(None).cast("string"))
-    points = destinations.select("ID", "dest_order", F.col("dest_lon").alias("_x"), F.col("dest_lat").alias("_y")).where("_x is not null and _y is not null")
+    points = destinations.select(
+        "ID", "dest_order", F.col("dest_lon").alias("_x"), F.col("dest_lat").alias("_y")
+    ).where("_x is not null and _y is not null")
     keys = ["ID", "dest_order"]
     ordinal = F.xxhash64(F.to_json(F.struct("geometry"))) if "parcel_id" not in parcels.columns else F.col("parcel_id")
     shapes = with_bounds(parcels.select("geometry", F.col(type_col).cast("string").alias("_type"), ordinal.alias("_ordinal")), "geometry")
     few = is_small(*size_of(parcels))
-    held = near_pairs(points, shapes, 0.0, 0.01, few).where(geo.within(F.col("_x"), F.col("_y"), F.col("geometry"))).groupBy(*keys).agg(F.min_by("_type", "_ordinal").alias("_held"))
+    held = near_pairs(points, shapes, 0.0, 0.01, few).where(geo.within(F.col("_x"), F.col("_y"), F.col("geometry"))).groupBy(*keys).agg(
+        F.min_by("_type", "_ordinal").alias("_held")
+    )
     flat = points.select(*keys, geo.mercator_x(F.col("_x")).alias("_x"), geo.mercator_y(F.col("_y")).alias("_y"))
     metric = with_bounds(shapes.select(geo.project(F.col("geometry")).alias("geometry"), "_type", "_ordinal"), "geometry")
-    close = near_pairs(flat, metric, buffer_m, 1_000.0, few).where(geo.distance(F.col("_x"), F.col("_y"), F.col("geometry")) <= buffer_m).groupBy(*keys).agg(F.min_by("_type", "_ordinal").alias("_close"))
-    out = destinations.join(held, keys, "left").join(close, keys, "left") if buffer_m > 0 else destinations.join(held, keys, "left").withColumn("_close", F.lit(None).cast("string"))
+    close = near_pairs(flat, metric, buffer_m, 1_000.0, few).where(geo.distance(F.col("_x"), F.col("_y"), F.col("geometry")) <= buffer_m).groupBy(*keys).agg(
+        F.min_by("_type", "_ordinal").alias("_close")
+    )
+    out = destinations.join(held, keys, "left").join(close, keys, "left") if buffer_m > 0 else destinations.join(held, keys, "left").withColumn(
+        "_close", F.lit(None).cast("string")
+    )
     if roads is not None:
-        segments = roads.select(F.explode(geo.project_lines(F.col("lines"))).alias("line")).select(F.explode(F.arrays_zip(F.expr("slice(line, 1, size(line) - 1)").alias("a"), F.expr("slice(line, 2, size(line) - 1)").alias("b"))).alias("s"))
-        boxed = segments.select(F.array(F.array(F.col("s.a"), F.col("s.b"))).alias("lines"), F.least("s.a.x", "s.b.x").alias("_x1"), F.least("s.a.y", "s.b.y").alias("_y1"), F.greatest("s.a.x", "s.b.x").alias("_x2"), F.greatest("s.a.y", "s.b.y").alias("_y2"))
-        beside = near_pairs(flat, boxed, road_buffer_m, 500.0, False).where(geo.line_distance(F.col("_x"), F.col("_y"), F.col("lines")) < road_buffer_m).select(*keys).distinct().withColumn("_road", F.lit("road"))
+        segments = roads.select(F.explode(geo.project_lines(F.col("lines"))).alias("line")).select(
+            F.explode(
+                F.arrays_zip(F.expr("slice(line, 1, size(line) - 1)").alias("a"), F.expr("slice(line, 2, size(line) - 1)").alias("b"))
+            ).alias("s")
+        )
+        boxed = segments.select(
+            F.array(F.array(F.col("s.a"), F.col("s.b"))).alias("lines"), F.least("s.a.x", "s.b.x").alias("_x1"),
+            F.least("s.a.y", "s.b.y").alias("_y1"), F.greatest("s.a.x", "s.b.x").alias("_x2"),
+            F.greatest("s.a.y", "s.b.y").alias("_y2")
+        )
+        beside = near_pairs(flat, boxed, road_buffer_m, 500.0, False).where(
+            geo.line_distance(F.col("_x"), F.col("_y"), F.col("lines")) < road_buffer_m
+        ).select(*keys).distinct().withColumn("_road", F.lit("road"))
         out = out.join(beside, keys, "left")
     else:
         out = out.withColumn("_road", F.lit(None).cast("string"))

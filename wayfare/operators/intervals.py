@@ -10,7 +10,9 @@ def islands(days: DataFrame, keys: list[str], day: str = "day") -> DataFrame:
     """Maximal runs of consecutive dates for each key: first_day, last_day, n_days."""
     distinct = days.where(F.col(day).isNotNull()).select(*keys, F.col(day).alias("day")).distinct()
     start = F.date_sub("day", F.row_number().over(Window.partitionBy(*keys).orderBy("day")))
-    return distinct.withColumn("_island", start).groupBy(*keys, "_island").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count(F.lit(1)).alias("n_days")).drop("_island")
+    return distinct.withColumn("_island", start).groupBy(*keys, "_island").agg(
+        F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count(F.lit(1)).alias("n_days")
+    ).drop("_island")
 
 
 def selected_island(runs: DataFrame, keys: list[str], reference: Column | None = None) -> DataFrame:
@@ -39,7 +41,10 @@ def run_array(days: Column) -> Column:
         follows = F.coalesce(F.date_add(last["last_day"], 1) == d["day"], F.lit(False))
         began = F.when(follows, F.struct(last["first_day"].alias("day"), last["n_days"].alias("n"), last["departure"].alias("at")))
         began = F.coalesce(began, F.struct(d["day"].alias("day"), F.lit(0).alias("n"), d["first"].alias("at")))
-        run = F.struct(began["day"].alias("first_day"), d["day"].alias("last_day"), (began["n"] + 1).alias("n_days"), began["at"].alias("departure"), d["last"].alias("return"))
+        run = F.struct(
+            began["day"].alias("first_day"), d["day"].alias("last_day"), (began["n"] + 1).alias("n_days"),
+            began["at"].alias("departure"), d["last"].alias("return")
+        )
         return F.concat(F.when(follows, F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(a), F.array(run))
 
     start = F.array().cast("array<struct<first_day:date,last_day:date,n_days:int,departure:timestamp_ntz,return:timestamp_ntz>>")

@@ -22,7 +22,9 @@ COMPOSITION_ORDER = ["FEUO", "FEUW", "SELE", "SEFN", "PERE", "NER", "UR"]
 def compliance_rate(records: DataFrame, zone_col: str = "ZoneType", category_col: str = "Category") -> DataFrame:
     """Residents, evacuated residents and their share by zone, all doubles; uncategorised residents count in the total."""
     out = records.where(F.col(zone_col).isNotNull()).groupBy(zone_col)
-    out = out.agg(F.count(F.lit(1)).cast("double").alias("Total_Residents"), F.count_if(F.col(category_col).isin(EVACUATED)).cast("double").alias("Evacuated"))
+    out = out.agg(
+        F.count(F.lit(1)).cast("double").alias("Total_Residents"), F.count_if(F.col(category_col).isin(EVACUATED)).cast("double").alias("Evacuated")
+    )
     return out.withColumn("Compliance_Rate", F.col("Evacuated") / F.col("Total_Residents"))
 
 
@@ -37,7 +39,9 @@ def dedi(records: DataFrame, spatial_unit: str = "ZoneType") -> DataFrame:
 
 def _grid(df: DataFrame, start: str, end: str, freq: str) -> DataFrame:
     step = f"INTERVAL {int(duration_s(freq))} SECONDS"
-    return df.sparkSession.range(1).select(F.explode(F.sequence(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"), F.expr(step))).alias("Datetime"))
+    return df.sparkSession.range(1).select(
+        F.explode(F.sequence(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"), F.expr(step))).alias("Datetime")
+    )
 
 
 def departure_curve(records: DataFrame, start: str, end: str, freq: str = "1h", zone: str | None = "Order") -> DataFrame:
@@ -50,9 +54,13 @@ def departure_curve(records: DataFrame, start: str, end: str, freq: str = "1h",
     # A departure counts from the first grid point after it.
     counted = rows.select((F.floor(after) + 1).cast("long").alias("k"), F.lit(1).alias("one")).groupBy("k").agg(F.sum("one").alias("n"))
     total = rows.agg(F.count(F.lit(1)).alias("total"))
-    steps = _grid(records, start, end, freq).withColumn("k", ((us(F.col("Datetime")) - us(F.lit(start).cast("timestamp_ntz"))) / F.lit(step * 1e6)).cast("long"))
+    steps = _grid(records, start, end, freq).withColumn(
+        "k", ((us(F.col("Datetime")) - us(F.lit(start).cast("timestamp_ntz"))) / F.lit(step * 1e6)).cast("long")
+    )
     early = counted.where("k is not null").withColumn("k", F.greatest("k", F.lit(0))).groupBy("k").agg(F.sum("n").alias("n"))
-    joined = steps.join(early, "k", "left").withColumn("Cumulative_Count", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("k")), F.lit(0)).cast("long"))
+    joined = steps.join(early, "k", "left").withColumn(
+        "Cumulative_Count", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("k")), F.lit(0)).cast("long")
+    )
     share = F.when(F.col("total") > 0, F.col("Cumulative_Count") / F.col("total") * 100).otherwise(0.0)
     return joined.join(F.broadcast(total)).select("Datetime", "Cumulative_Count", share.alias("Cumulative_Pct"))
 
@@ -66,7 +74,10 @@ def positional_share(rows: DataFrame, value: str, width: float, keys: list[str],
     part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     counts = binned.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"))
     before = part.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_bin").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(part).alias("_all"))
+    counts = counts.select(
+        *[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_bin").alias("_b"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(part).alias("_all")
+    )
     same = F.col("_bin") == F.col("_b")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
@@ -85,7 +96,9 @@ def departure_hours_curve(metrics: DataFrame, reference: str, group: str | None
 
 def departures_by_hour(metrics: DataFrame) -> DataFrame:
     """Departures of each hour and their running total."""
-    counts = metrics.where("DepartureDate is not null").groupBy(F.date_trunc("hour", F.col("DepartureDate")).cast("timestamp_ntz").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    counts = metrics.where("DepartureDate is not null").groupBy(
+        F.date_trunc("hour", F.col("DepartureDate")).cast("timestamp_ntz").alias("hour")
+    ).agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("cumulative", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("hour")))
 
 
@@ -94,7 +107,10 @@ def night_intervals(start: str, end: str, spark, from_hour: int = 20, to_hour: i
     days = spark.range(1).select(F.explode(F.sequence(F.date_sub(F.to_date(F.lit(start)), 1), F.to_date(F.lit(end)))).alias("d"))
     at = lambda d, h: d.cast("timestamp_ntz") + F.expr(f"INTERVAL {h} HOURS")
     since = lambda t: seconds_between(F.lit(start).cast("timestamp_ntz"), t) / 3600.0
-    rows = days.select(F.greatest(since(at(F.col("d"), from_hour)), F.lit(0.0)).alias("from_hour"), F.least(since(at(F.date_add("d", 1), to_hour)), F.lit(float(hours))).alias("to_hour"))
+    rows = days.select(
+        F.greatest(since(at(F.col("d"), from_hour)), F.lit(0.0)).alias("from_hour"),
+        F.least(since(at(F.date_add("d", 1), to_hour)), F.lit(float(hours))).alias("to_hour")
+    )
     return rows.where("from_hour < to_hour")
 
 
@@ -123,13 +139,17 @@ def composition_table(records: DataFrame, group: str, exclude_ner: bool = False)
 
 def composition_panels(records: DataFrame, group: str) -> DataFrame:
     """Both panels: all residents, and evacuees only."""
-    return composition(records, group).withColumn("panel", F.lit("all")).unionByName(composition(records, group, True).withColumn("panel", F.lit("evacuees_only")))
+    return composition(records, group).withColumn("panel", F.lit("all")).unionByName(
+        composition(records, group, True).withColumn("panel", F.lit("evacuees_only"))
+    )
 
 
 def delay_tiles(metrics: DataFrame, level: int = 14) -> DataFrame:
     """Total delay and residents for each map tile with a delay, and the tile's corners."""
     x, y = bing_tile(F.col("home_lat_4326"), F.col("home_lon_4326"), level)
-    tiles = metrics.where("DelayHours > 0").groupBy(x.alias("grid_x"), y.alias("grid_y")).agg(F.sum("DelayHours").alias("total_delay"), F.count("ID").alias("user_count"))
+    tiles = metrics.where("DelayHours > 0").groupBy(x.alias("grid_x"), y.alias("grid_y")).agg(
+        F.sum("DelayHours").alias("total_delay"), F.count("ID").alias("user_count")
+    )
     north, west = bing_corner(F.col("grid_x"), F.col("grid_y"), level)
     south, east = bing_corner(F.col("grid_x") + 1, F.col("grid_y") + 1, level)
     return tiles.withColumns({"lat_min": south, "lon_min": west, "lat_max": north, "lon_max": east})
@@ -138,8 +158,13 @@ def delay_tiles(metrics: DataFrame, level: int = 14) -> DataFrame:
 def box_stats(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """Number, mean, quartiles, 95th percentile and extremes of a value."""
     p = F.percentile(value, F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75, 0.95)]))
-    out = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), p.alias("p"), F.max(value).alias("max"))
-    return out.select(*keys, "n", "mean", "min", F.col("p")[0].alias("q1"), F.col("p")[1].alias("median"), F.col("p")[2].alias("q3"), F.col("p")[3].alias("p95"), "max")
+    out = rows.groupBy(*keys).agg(
+        F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), p.alias("p"), F.max(value).alias("max")
+    )
+    return out.select(
+        *keys, "n", "mean", "min", F.col("p")[0].alias("q1"), F.col("p")[1].alias("median"), F.col("p")[2].alias("q3"),
+        F.col("p")[3].alias("p95"), "max"
+    )
 
 
 def delay_distribution(metrics: DataFrame, group: str = "Category") -> DataFrame:
@@ -165,7 +190,9 @@ def temporal_heatmap(metrics: DataFrame, time: str = "DepartureDate") -> DataFra
 def temporal_heatmap_long(metrics: DataFrame, start: str, days: int = 7, time: str = "DepartureDate") -> DataFrame:
     """Departures by day number and hour within some days from a start."""
     h = seconds_between(F.lit(start).cast("timestamp_ntz"), F.col(time).cast("timestamp_ntz")) / 3600.0
-    return metrics.withColumn("_h", h).where(F.col("_h").between(0, 24 * days)).groupBy(F.to_date(time).alias("date"), F.hour(time).alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    return metrics.withColumn("_h", h).where(F.col("_h").between(0, 24 * days)).groupBy(
+        F.to_date(time).alias("date"), F.hour(time).alias("hour")
+    ).agg(F.count(F.lit(1)).alias("n"))
 
 
 def return_hours(metrics: DataFrame, most: float = 720.0) -> DataFrame:
@@ -173,8 +200,12 @@ def return_hours(metrics: DataFrame, most: float = 720.0) -> DataFrame:
     firsts = metrics.agg(F.min("OrderStart").alias("_o"), F.min("ReturnDate").alias("_r"))
     has = "fire_start" in metrics.columns
     rows = metrics.join(F.broadcast(firsts))
-    reference = F.coalesce(*([F.col("fire_start").cast("timestamp_ntz")] if has else []), F.col("_o").cast("timestamp_ntz"), F.col("_r").cast("timestamp_ntz"))
-    rows = rows.where(F.col("Category").isin(EVACUATED)).withColumn("return_hours", seconds_between(reference, F.col("ReturnDate").cast("timestamp_ntz")) / 3600.0)
+    reference = F.coalesce(
+        *([F.col("fire_start").cast("timestamp_ntz")] if has else []), F.col("_o").cast("timestamp_ntz"), F.col("_r").cast("timestamp_ntz")
+    )
+    rows = rows.where(F.col("Category").isin(EVACUATED)).withColumn(
+        "return_hours", seconds_between(reference, F.col("ReturnDate").cast("timestamp_ntz")) / 3600.0
+    )
     return rows.where(F.col("return_hours").between(0, most)).drop("_o", "_r")
 
 
@@ -182,12 +213,16 @@ def return_timeline(metrics: DataFrame) -> DataFrame:
     return box_stats(return_hours(metrics), "return_hours", ["Category"])
 
 
-def distance_histogram(destinations: DataFrame, max_km: float = 300.0, bin_width: float = 10.0, group: str | None = None, distance: str = "eu_distance_km") -> DataFrame:
+def distance_histogram(
+    destinations: DataFrame, max_km: float = 300.0, bin_width: float = 10.0, group: str | None = None, distance: str = "eu_distance_km"
+) -> DataFrame:
     """Counts by distance bin; the last bin includes its right edge, distances beyond are left out."""
     keys, last = ([group] if group else []), int(math.ceil(max_km / bin_width)) - 1
     rows = destinations.where(F.col(distance).between(0, (last + 1) * bin_width))
     at = F.least(F.floor(F.col(distance) / bin_width), F.lit(last)).cast("long")
-    return rows.groupBy(*keys, at.alias("bin")).agg(F.count(F.lit(1)).alias("n")).withColumns({"from_km": F.col("bin") * bin_width, "to_km": (F.col("bin") + 1) * bin_width})
+    return rows.groupBy(*keys, at.alias("bin")).agg(F.count(F.lit(1)).alias("n")).withColumns(
+        {"from_km": F.col("bin") * bin_width, "to_km": (F.col("bin") + 1) * bin_width}
+    )
 
 
 def distance_ecdf(destinations: DataFrame, group: str | None = None, distance: str = "eu_distance_km") -> DataFrame:
@@ -197,7 +232,9 @@ def distance_ecdf(destinations: DataFrame, group: str | None = None, distance: s
     return positional_share(rows, "distance", 0.1, keys, ["ID", "dest_order"], "ecdf").drop("ID", "dest_order")
 
 
-def distance_decay(destinations: DataFrame, max_km: float = 300.0, step: float = 5.0, group: str | None = None, distance: str = "eu_distance_km") -> DataFrame:
+def distance_decay(
+    destinations: DataFrame, max_km: float = 300.0, step: float = 5.0, group: str | None = None, distance: str = "eu_distance_km"
+) -> DataFrame:
     """Share of destinations at each threshold or farther. Distances are counted by step first."""
     keys = [group] if group else []
     rows = destinations.where(F.col(distance).isNotNull())
@@ -207,7 +244,9 @@ def distance_decay(destinations: DataFrame, max_km: float = 300.0, step: float =
     steps = groups.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(int(max_km / step)).cast("long"))).alias("k"))
     joined = steps.join(counts, [*keys, "k"], "left")
     up = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(F.desc("k"))
-    return joined.withColumn("share", F.coalesce(F.sum("n").over(up), F.lit(0)) / F.col("total")).select(*keys, (F.col("k") * step).alias("threshold_km"), "share")
+    return joined.withColumn("share", F.coalesce(F.sum("n").over(up), F.lit(0)) / F.col("total")).select(
+        *keys, (F.col("k") * step).alias("threshold_km"), "share"
+    )
 
 
 def destination_types(destinations: DataFrame, threshold_km: float | None = None, mode: str = "all") -> DataFrame:
@@ -244,18 +283,26 @@ def group_type_matrix(destinations: DataFrame, group: str, value: str = "pct") -
 
 def evacuee_groups(destinations: DataFrame, group: str) -> DataFrame:
     """Residents by group with share, and mean and median number of destinations."""
-    one = first_rows(destinations.select("ID", group, "dest_order"), ["ID"], [F.col("dest_order"), F.col(group)]).groupBy(group).agg(F.count(F.lit(1)).alias("residents"))
-    each = destinations.groupBy("ID", group).agg(F.count(F.lit(1)).alias("n")).groupBy(group).agg(F.avg("n").alias("mean_destinations"), F.median("n").alias("median_destinations"))
+    one = first_rows(
+        destinations.select("ID", group, "dest_order"), ["ID"], [F.col("dest_order"), F.col(group)]
+    ).groupBy(group).agg(F.count(F.lit(1)).alias("residents"))
+    each = destinations.groupBy("ID", group).agg(F.count(F.lit(1)).alias("n")).groupBy(group).agg(
+        F.avg("n").alias("mean_destinations"), F.median("n").alias("median_destinations")
+    )
     return one.withColumn("pct", F.col("residents") / F.sum("residents").over(Window.partitionBy(F.lit(0))) * 100).join(each, group, "left")
 
 
 def destination_counts(destinations: DataFrame) -> DataFrame:
-    return destinations.groupBy("ID").agg(F.count(F.lit(1)).alias("n_destinations")).groupBy("n_destinations").agg(F.count(F.lit(1)).alias("residents"))
+    return destinations.groupBy("ID").agg(F.count(F.lit(1)).alias("n_destinations")).groupBy("n_destinations").agg(
+        F.count(F.lit(1)).alias("residents")
+    )
 
 
 def daily_distances(destinations: DataFrame, group: str | None = None) -> DataFrame:
     keys = ["dest_date", *([group] if group else [])]
-    return destinations.groupBy(*keys).agg(F.median("eu_distance_km").alias("median_km"), F.count(F.lit(1)).alias("n"), F.avg("eu_distance_km").alias("mean_km"))
+    return destinations.groupBy(*keys).agg(
+        F.median("eu_distance_km").alias("median_km"), F.count(F.lit(1)).alias("n"), F.avg("eu_distance_km").alias("mean_km")
+    )
 
 
 def trip_duration_by_type(destinations: DataFrame, metrics: DataFrame) -> DataFrame:
@@ -282,27 +329,44 @@ def od_pairs(destinations: DataFrame, homes: DataFrame, max_trips: int = 500, se
 
 def od_extent(pairs: DataFrame, zoom_percentile: float = 99.5) -> DataFrame:
     """Map extent of O-D lines: percentiles of all end points, padded by 12 percent or 0.2 degrees."""
-    points = pairs.select(F.col("home_lat_4326").alias("lat"), F.col("home_lon_4326").alias("lon")).unionByName(pairs.select(F.col("dest_lat").alias("lat"), F.col("dest_lon").alias("lon")))
+    points = pairs.select(F.col("home_lat_4326").alias("lat"), F.col("home_lon_4326").alias("lon")).unionByName(
+        pairs.select(F.col("dest_lat").alias("lat"), F.col("dest_lon").alias("lon"))
+    )
     hi, lo = zoom_percentile / 100, 1 - zoom_percentile / 100
     q = lambda c: F.percentile(c, F.array(F.lit(lo), F.lit(hi)))
     box = points.agg(q("lat").alias("a"), q("lon").alias("o"))
     pad = lambda c: F.greatest(F.lit(0.2), (F.col(c)[1] - F.col(c)[0]) * 0.12)
-    return box.select((F.col("a")[0] - pad("a")).alias("lat_min"), (F.col("a")[1] + pad("a")).alias("lat_max"), (F.col("o")[0] - pad("o")).alias("lon_min"), (F.col("o")[1] + pad("o")).alias("lon_max"))
+    return box.select(
+        (F.col("a")[0] - pad("a")).alias("lat_min"), (F.col("a")[1] + pad("a")).alias("lat_max"),
+        (F.col("o")[0] - pad("o")).alias("lon_min"), (F.col("o")[1] + pad("o")).alias("lon_max")
+    )
 
 
-def ks_statistics(rows: DataFrame, group: str, value: str = "eu_distance_km") -> DataFrame:
+def ks_statistics(rows: DataFrame, group: str, value: str = "eu_distance_km", width: float = 1.0) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic of every pair of groups with two values or more each.
 
     Distinct values are counted once for each group; for every pair, running shares of both groups are compared at each
-    value of either. The work grows with groups times distinct values."""
-    counts = rows.where(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    value of either. They run within bins of ``width``; what lies in bins before comes from the bins' counts, so no task
+    sorts more than a bin. The work grows with groups times distinct values."""
+    known = rows.where(F.col(group).isNotNull() & F.col(value).isNotNull())
+    counts = known.groupBy(F.col(group).alias("g"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
     sizes = counts.groupBy("g").agg(F.sum("c").alias("n")).where("n >= 2")
-    pairs = sizes.select(F.col("g").alias("group_a"), F.col("n").alias("n_a")).join(sizes.select(F.col("g").alias("group_b"), F.col("n").alias("n_b")), F.col("group_a") < F.col("group_b"))
-    side = lambda key, sign: pairs.join(counts, F.col(key) == F.col("g")).select("group_a", "group_b", "n_a", "n_b", "v", (F.col("c") * sign[0]).alias("ca"), (F.col("c") * sign[1]).alias("cb"))
-    both = side("group_a", (1, 0)).unionByName(side("group_b", (0, 1))).groupBy("group_a", "group_b", "n_a", "n_b", "v").agg(F.sum("ca").alias("ca"), F.sum("cb").alias("cb"))
-    run = Window.partitionBy("group_a", "group_b").orderBy("v")
-    gap = F.abs(F.sum("ca").over(run) / F.col("n_a") - F.sum("cb").over(run) / F.col("n_b"))
-    return both.withColumn("gap", gap).groupBy("group_a", "group_b", "n_a", "n_b").agg(F.max("gap").alias("d"))
+    first, second = (sizes.select(F.col("g").alias(f"group_{k}"), F.col("n").alias(f"n_{k}")) for k in "ab")
+    pairs = first.join(second, F.col("group_a") < F.col("group_b"))
+    pair = ["group_a", "group_b", "n_a", "n_b"]
+
+    def side(key: str, a: int, b: int) -> DataFrame:
+        return pairs.join(counts, F.col(key) == F.col("g")).select(*pair, "v", (F.col("c") * a).alias("ca"), (F.col("c") * b).alias("cb"))
+
+    both = side("group_a", 1, 0).unionByName(side("group_b", 0, 1)).groupBy(*pair, "v").agg(F.sum("ca").alias("ca"), F.sum("cb").alias("cb"))
+    both = both.withColumn("bin", F.floor(F.col("v") / width))
+    earlier = Window.partitionBy("group_a", "group_b").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = both.groupBy("group_a", "group_b", "bin").agg(F.sum("ca").alias("ca"), F.sum("cb").alias("cb"))
+    bins = bins.select("group_a", "group_b", "bin", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("ca", "cb")])
+    run = Window.partitionBy("group_a", "group_b", "bin").orderBy("v")
+    so_far = [(F.col(f"c{k}_before") + F.sum(f"c{k}").over(run)) / F.col(f"n_{k}") for k in "ab"]
+    compared = both.join(bins, ["group_a", "group_b", "bin"]).withColumn("gap", F.abs(so_far[0] - so_far[1]))
+    return compared.groupBy(*pair).agg(F.max("gap").alias("d"))
 
 
 #: The larger group's rows up to which p-values are exact.

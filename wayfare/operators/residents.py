@@ -23,7 +23,13 @@ def outside_zones(x: Column, y: Column, zones: DataFrame, buffer_m: float) -> Co
     for row in zones.select(geo.project(F.col("geometry")).alias("g")).collect():  # ``PLAN_VERTICES`` points at most
         points = [p for polygon in row.g for ring in polygon for p in ring]
         if points:
-            shape = F.array(*[F.array(*[F.array(*[F.struct(F.lit(p.x).alias("x"), F.lit(p.y).alias("y")) for p in ring]) for ring in polygon]) for polygon in row.g])
+            shape = F.array(
+                *[
+                    F.array(
+                        *[F.array(*[F.struct(F.lit(p.x).alias("x"), F.lit(p.y).alias("y")) for p in ring]) for ring in polygon]
+                    ) for polygon in row.g
+                ]
+            )
             shapes.append((shape, min(p.x for p in points), max(p.x for p in points), min(p.y for p in points), max(p.y for p in points)))
 
     def near(p: Column) -> Column:
@@ -45,7 +51,9 @@ def mark_outside(rows: DataFrame, x: str, y: str, zones: DataFrame, buffer_m: fl
         return rows.withColumn("is_outside_zone", outside_zones(F.col(x), F.col(y), zones, buffer_m))
     flat = with_bounds(zones.select(geo.project(F.col("geometry")).alias("geometry")), "geometry")
     points = rows.select(F.col(x).alias("_x"), F.col(y).alias("_y")).where("_x is not null and _y is not null").distinct()
-    close = near_pairs(points, flat, buffer_m, max(buffer_m, 1_000.0), is_small(n, vertices)).where(geo.distance(F.col("_x"), F.col("_y"), F.col("geometry")) < buffer_m)
+    close = near_pairs(points, flat, buffer_m, max(buffer_m, 1_000.0), is_small(n, vertices)).where(
+        geo.distance(F.col("_x"), F.col("_y"), F.col("geometry")) < buffer_m
+    )
     close = close.select("_x", "_y", F.lit(False).alias("_outside")).distinct()
     found = rows.join(close, (F.col(x) == F.col("_x")) & (F.col(y) == F.col("_y")), "left")
     return found.withColumn("is_outside_zone", F.coalesce("_outside", F.lit(True))).drop("_x", "_y", "_outside")
@@ -59,13 +67,17 @@ def impute_distance(rows: DataFrame, user: str, time: list[str], distance: str)
     return rows.withColumn(distance, F.coalesce(F.last(distance, ignorenulls=True).over(so_far), F.lit(0.0)))
 
 
-def compute_stops(pings: DataFrame, zoned_homes: DataFrame, zones: DataFrame, buffer_meters: float = 2000.0, local_tz: str | None = None) -> DataFrame:
+def compute_stops(
+    pings: DataFrame, zoned_homes: DataFrame, zones: DataFrame, buffer_meters: float = 2000.0, local_tz: str | None = None
+) -> DataFrame:
     """Pings (ID, LAT, LONG, datetime) of residents whose ZoneType is not Outside, with Web-Mercator distance from home in
     metres (dist_meters) and miles (eu_distance), and is_outside_zone against all zones widened by ``buffer_meters``."""
     wanted = ["ZoneType", "OrderStart", *[c for c in ("FireEvent", "OrderEnd") if c in zoned_homes.columns]]
     homes = zoned_homes.where(~F.col("ZoneType").eqNullSafe("Outside"))
     homes = homes.withColumn("_r", F.row_number().over(Window.partitionBy("ID").orderBy("home_lat_4326", "home_lon_4326"))).where("_r = 1")
-    homes = homes.select("ID", geo.mercator_x(F.col("home_lon_4326")).alias("home_lon"), geo.mercator_y(F.col("home_lat_4326")).alias("home_lat"), *wanted)
+    homes = homes.select(
+        "ID", geo.mercator_x(F.col("home_lon_4326")).alias("home_lon"), geo.mercator_y(F.col("home_lat_4326")).alias("home_lat"), *wanted
+    )
     # No hint: joined by a shuffle on ID, the pings are already dealt for the windows that follow; Spark may still broadcast.
     kind = dict(pings.dtypes)["datetime"]
     zone = resolve_tz(pings, "datetime", local_tz)
@@ -87,7 +99,10 @@ def resident_category(departure: Column, return_: Column, start: Column, end: Co
     return F.when(start.isNull(), "UR").when(departure < start, early).when(departure < end, during).otherwise("UR")
 
 
-def infer_metrics(stops: DataFrame, fire_starts: dict[str, str], fire_end: str = "2025-01-14", min_dist_miles: float = 0.25, min_evac_days: int = 2, min_evac_days_buffer: int = 1, local_tz: str | None = None) -> DataFrame:
+def infer_metrics(
+    stops: DataFrame, fire_starts: dict[str, str], fire_end: str = "2025-01-14", min_dist_miles: float = 0.25,
+    min_evac_days: int = 2, min_evac_days_buffer: int = 1, local_tz: str | None = None
+) -> DataFrame:
     """One record for each resident: Category, DepartureDate, ReturnDate, DelayHours, zone attributes, is_evacuee. Times are
     on the local clock (TIMESTAMP_NTZ); strings in OrderStart and OrderEnd without a zone are local already."""
     ntz = lambda t: F.lit(t).cast("timestamp_ntz")
@@ -108,14 +123,18 @@ def infer_metrics(stops: DataFrame, fire_starts: dict[str, str], fire_end: str =
     away = F.col("is_outside_zone") & (F.col("eu_distance") >= min_dist_miles)
     first = F.struct("stop_date", "eu_distance", "ZoneType", "_order", "_end", "_event", "_home")
     at = F.when(away, F.col("stop_date"))
-    daily = rows.where("ID is not null").groupBy("ID", F.to_date("stop_date").alias("day")).agg(F.min(first).alias("f"), F.min(at).alias("first"), F.max(at).alias("last"))
+    daily = rows.where("ID is not null").groupBy("ID", F.to_date("stop_date").alias("day")).agg(
+        F.min(first).alias("f"), F.min(at).alias("first"), F.max(at).alias("last")
+    )
     days = F.collect_list(F.when(F.col("first").isNotNull(), F.struct("day", "first", "last")))
     firsts = daily.groupBy("ID").agg(F.min("f").alias("f"), F.sort_array(days).alias("days"))
     firsts = firsts.select("ID", "f.ZoneType", "f._order", "f._end", "f._event", "f._home", "days")
     known = F.create_map(*[x for k, v in fire_starts.items() for x in (F.lit(k), ntz(v))]) if fire_starts else None
     earliest = F.least(*[ntz(v) for v in fire_starts.values()]) if len(fire_starts) > 1 else ntz(next(iter(fire_starts.values()), None))
     fire = F.coalesce(F.try_element_at(known, F.col("_event")), earliest) if known is not None else earliest
-    firsts = firsts.withColumn("fire_start", fire).withColumn("_start", F.when(F.col("_order").isNull() & F.col("ZoneType").isin("Buffer", "Outside"), F.col("fire_start")).otherwise(F.col("_order")))
+    firsts = firsts.withColumn("fire_start", fire).withColumn(
+        "_start", F.when(F.col("_order").isNull() & F.col("ZoneType").isin("Buffer", "Outside"), F.col("fire_start")).otherwise(F.col("_order"))
+    )
     firsts = firsts.withColumn("OrderEnd", F.coalesce("_end", ntz(fire_end) + F.expr("INTERVAL 23 HOURS")))
     reference = F.to_date("_start")
     ends = F.filter(run_array(F.col("days")), lambda r: reference.isNull() | (r["last_day"] >= reference))
@@ -126,7 +145,9 @@ def infer_metrics(stops: DataFrame, fire_starts: dict[str, str], fire_end: str =
     category = F.when(F.col("DepartureDate").isNull(), "NER").otherwise(rule)
     late = F.when(F.col("_start").isNotNull(), F.greatest(F.lit(0.0), seconds_between(F.col("_start"), F.col("DepartureDate")) / 3600.0))
     return out.select(
-        "ID", category.alias("Category"), "DepartureDate", "ReturnDate", F.when(F.col("DepartureDate").isNotNull(), late).alias("DelayHours"), "ZoneType", F.col("_start").alias("OrderStart"), "OrderEnd",
+        "ID", category.alias("Category"), "DepartureDate", "ReturnDate", F.when(
+            F.col("DepartureDate").isNotNull(), late
+        ).alias("DelayHours"), "ZoneType", F.col("_start").alias("OrderStart"), "OrderEnd",
         F.col("_event").alias("FireEvent"), "fire_start", F.col("_home").alias("home_lon"), (category != "NER").alias("is_evacuee"),
     )
 

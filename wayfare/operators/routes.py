@@ -27,7 +27,9 @@ def build_trip_legs(chain: DataFrame) -> DataFrame:
     return rows.withColumn("displacement_m", haversine_m(F.col("from_lat"), F.col("from_lon"), F.col("to_lat"), F.col("to_lon"))).select(*LEG)
 
 
-def infer_route_candidates(legs: DataFrame, network_graph: Any = None, strategy: str | None = None, strategy_fn: Callable[[DataFrame, Any], DataFrame] | None = None) -> DataFrame:
+def infer_route_candidates(
+    legs: DataFrame, network_graph: Any = None, strategy: str | None = None, strategy_fn: Callable[[DataFrame, Any], DataFrame] | None = None
+) -> DataFrame:
     """Route candidates of legs. ``strategy_fn(legs, network_graph)`` returns them; without one every leg is unresolved."""
     name = strategy or "unspecified"
     if strategy_fn is None:

@@ -31,10 +31,14 @@ def _cells(x1: Column, y1: Column, x2: Column, y2: Column, size: float) -> Colum
 def near_pairs(points: DataFrame, shapes: DataFrame, reach: float, cell: float, broadcast: bool, x: str = "_x", y: str = "_y") -> DataFrame:
     """Points with the shapes whose box (_x1, _y1, _x2, _y2), widened by ``reach``, holds them. Few shapes are broadcast
     (their number is checked by the caller); many meet the points in grid cells, an equi-join."""
-    box = (F.col(x) >= F.col("_x1") - reach) & (F.col(x) <= F.col("_x2") + reach) & (F.col(y) >= F.col("_y1") - reach) & (F.col(y) <= F.col("_y2") + reach)
+    box = (F.col(x) >= F.col("_x1") - reach) & (F.col(x) <= F.col("_x2") + reach) & (F.col(y) >= F.col("_y1") - reach) & (
+        F.col(y) <= F.col("_y2") + reach
+    )
     if broadcast:
         return points.join(F.broadcast(shapes), box)
-    spread = shapes.withColumn("_cell", F.explode(_cells(F.col("_x1") - reach, F.col("_y1") - reach, F.col("_x2") + reach, F.col("_y2") + reach, cell)))
+    spread = shapes.withColumn(
+        "_cell", F.explode(_cells(F.col("_x1") - reach, F.col("_y1") - reach, F.col("_x2") + reach, F.col("_y2") + reach, cell))
+    )
     own = F.struct(F.floor(F.col(x) / cell).alias("i"), F.floor(F.col(y) / cell).alias("j"))
     return points.withColumn("_cell", own).join(spread, "_cell").where(box).drop("_cell")
 
@@ -56,14 +60,23 @@ def prepared_zones(zones: DataFrame, order_status: str = "Evacuation Order", war
     have = set(zones.columns)
     text = lambda c: F.col(c).cast("string") if c in have else F.lit(None).cast("string")
     rows = zones.select(
-        "geometry", text("zoneId").alias("zoneId"), text("most_extreme_status").alias("most_extreme_status"), text("incident_name").alias("incident_name"),
-        text("datetime").alias("OrderStart"), text("OrderEnd").alias("OrderEnd"), zone_priority(F.col("most_extreme_status") if "most_extreme_status" in have else None, order_status, warning_status).alias("_priority"),
+        "geometry", text("zoneId").alias("zoneId"), text("most_extreme_status").alias(
+            "most_extreme_status"
+        ), text("incident_name").alias("incident_name"),
+        text("datetime").alias("OrderStart"), text("OrderEnd").alias("OrderEnd"), zone_priority(
+            F.col("most_extreme_status") if "most_extreme_status" in have else None, order_status, warning_status
+        ).alias("_priority"),
     )
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col("zoneId").asc_nulls_last(), F.col("OrderStart").asc_nulls_last(), F.col("incident_name").asc_nulls_last())
+    order = Window.partitionBy(F.lit(0)).orderBy(
+        F.col("zoneId").asc_nulls_last(), F.col("OrderStart").asc_nulls_last(), F.col("incident_name").asc_nulls_last()
+    )
     return with_bounds(rows.withColumn("_ordinal", F.row_number().over(order)), "geometry")
 
 
-def classify_zones(homes: DataFrame, zones: DataFrame, buffer_distance: float = 2000.0, order_status: str = "Evacuation Order", warning_status: str = "Evacuation Warning") -> DataFrame:
+def classify_zones(
+    homes: DataFrame, zones: DataFrame, buffer_distance: float = 2000.0, order_status: str = "Evacuation Order",
+    warning_status: str = "Evacuation Warning"
+) -> DataFrame:
     """Homes (ID, home_lat_4326, home_lon_4326, ...) with ZoneType, and OrderStart, OrderEnd, zoneId, FireEvent and
     most_extreme_status of the deciding zone.
 
@@ -76,23 +89,39 @@ def classify_zones(homes: DataFrame, zones: DataFrame, buffer_distance: float =
     broadcast = is_small(*size_of(zones))
     at = one.select("ID", F.col("home_lon_4326").alias("_x"), F.col("home_lat_4326").alias("_y")).where("_x is not null and _y is not null")
     held = near_pairs(at, ready, 0.0, CELL, broadcast).where(geo.intersects(F.col("_x"), F.col("_y"), F.col("geometry")))
-    best = F.struct((-F.col("_priority")).alias("p"), F.col("OrderStart").isNull().alias("n"), F.col("OrderStart").alias("t"), F.col("_ordinal").alias("o"))
-    won = held.groupBy("ID").agg(F.min_by(F.struct("_priority", "OrderStart", "OrderEnd", "zoneId", "incident_name", "most_extreme_status"), best).alias("z"))
+    best = F.struct(
+        (-F.col("_priority")).alias("p"), F.col("OrderStart").isNull().alias("n"), F.col("OrderStart").alias("t"), F.col("_ordinal").alias("o")
+    )
+    won = held.groupBy("ID").agg(
+        F.min_by(F.struct("_priority", "OrderStart", "OrderEnd", "zoneId", "incident_name", "most_extreme_status"), best).alias("z")
+    )
     active = ready.where("_priority > 0").withColumn("_flat", geo.project(F.col("geometry")))
     fx1, fy1, fx2, fy2 = geo.bounds(F.col("_flat"))
     active = active.select(F.col("_flat"), "_ordinal", "incident_name", fx1.alias("_x1"), fy1.alias("_y1"), fx2.alias("_x2"), fy2.alias("_y2"))
     rest = at.join(won.select("ID"), "ID", "left_anti").select("ID", geo.mercator_x(F.col("_x")).alias("_x"), geo.mercator_y(F.col("_y")).alias("_y"))
-    close = near_pairs(rest, active, buffer_distance, 20_000.0, broadcast).withColumn("_d", geo.distance(F.col("_x"), F.col("_y"), F.col("_flat"))).where(F.col("_d") <= buffer_distance)
+    close = near_pairs(rest, active, buffer_distance, 20_000.0, broadcast).withColumn("_d", geo.distance(F.col("_x"), F.col("_y"), F.col("_flat"))).where(
+        F.col("_d") <= buffer_distance
+    )
     nearest = close.groupBy("ID").agg(F.min_by(F.struct("incident_name"), F.struct("_d", "_ordinal")).alias("b"))
-    label = F.when(F.col("z._priority") == 2, "Order").when(F.col("z._priority") == 1, "Warning").when(F.col("z").isNotNull(), "Unknown").when(F.col("b").isNotNull(), "Buffer").otherwise("Outside")
+    label = F.when(F.col("z._priority") == 2, "Order").when(F.col("z._priority") == 1, "Warning").when(F.col("z").isNotNull(), "Unknown").when(
+        F.col("b").isNotNull(), "Buffer"
+    ).otherwise("Outside")
     out = one.join(won, "ID", "left").join(nearest, "ID", "left")
-    added = {"ZoneType": label, "OrderStart": F.col("z.OrderStart"), "OrderEnd": F.col("z.OrderEnd"), "zoneId": F.col("z.zoneId"), "FireEvent": title_case(F.coalesce("z.incident_name", "b.incident_name")), "most_extreme_status": F.col("z.most_extreme_status")}
+    added = {
+        "ZoneType": label, "OrderStart": F.col("z.OrderStart"), "OrderEnd": F.col("z.OrderEnd"), "zoneId": F.col("z.zoneId"),
+        "FireEvent": title_case(F.coalesce("z.incident_name", "b.incident_name")),
+        "most_extreme_status": F.col("z.most_extreme_status")
+    }
     return out.select(*[c for c in one.columns if c not in added], *[v.alias(k) for k, v in added.items()])
 
 
-def assign_regions(points: DataFrame, regions: DataFrame, name: str, lat: str = "home_lat_4326", lon: str = "home_lon_4326", otherwise: str = "Other") -> DataFrame:
+def assign_regions(
+    points: DataFrame, regions: DataFrame, name: str, lat: str = "home_lat_4326", lon: str = "home_lon_4326", otherwise: str = "Other"
+) -> DataFrame:
     """Adds the name of the first region (in order of names) that holds a point; ``otherwise`` outside all."""
     shapes = with_bounds(regions.select("geometry", F.col(name).alias("_name")), "geometry")
     at = points.select("ID", F.col(lon).alias("_x"), F.col(lat).alias("_y")).dropDuplicates(["ID"])
-    found = near_pairs(at, shapes, 0.0, CELL, is_small(*size_of(regions))).where(geo.within(F.col("_x"), F.col("_y"), F.col("geometry"))).groupBy("ID").agg(F.min("_name").alias("_name"))
+    found = near_pairs(at, shapes, 0.0, CELL, is_small(*size_of(regions))).where(geo.within(F.col("_x"), F.col("_y"), F.col("geometry"))).groupBy("ID").agg(
+        F.min("_name").alias("_name")
+    )
     return points.join(found, "ID", "left").withColumn(name, F.coalesce("_name", F.lit(otherwise))).drop("_name")

@@ -63,7 +63,10 @@ def utm_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 def bing_tile(spark: SparkSession, sf: str) -> DataFrame:
     x, y = geo.bing_tile(F.col("latitude"), F.col("longitude"))
     north, west = geo.bing_corner(x, y)
-    return fx.pings(spark, sf).groupBy(x.alias("tile_x"), y.alias("tile_y")).agg(F.count(F.lit(1)).alias("n")).select("tile_x", "tile_y", "n", r6(geo.bing_corner(F.col("tile_x"), F.col("tile_y"))[0], "lat"), r6(geo.bing_corner(F.col("tile_x"), F.col("tile_y"))[1], "lon"))
+    return fx.pings(spark, sf).groupBy(x.alias("tile_x"), y.alias("tile_y")).agg(F.count(F.lit(1)).alias("n")).select(
+        "tile_x", "tile_y", "n", r6(geo.bing_corner(F.col("tile_x"), F.col("tile_y"))[0], "lat"),
+        r6(geo.bing_corner(F.col("tile_x"), F.col("tile_y"))[1], "lon")
+    )
 
 
 @query
@@ -88,7 +91,10 @@ def bbox_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def dedup_latest_zone(spark: SparkSession, sf: str) -> DataFrame:
-    rows = fx.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("zoneId"), F.col("event_type").alias("most_extreme_status"), F.col("event_id").cast("string").alias("incident_name"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"))
+    rows = fx.table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("zoneId"), F.col("event_type").alias("most_extreme_status"),
+        F.col("event_id").cast("string").alias("incident_name"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime")
+    )
     return readers.latest_zones(rows)
 
 
@@ -98,19 +104,26 @@ def dedup_latest_zone(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def cluster_points(spark: SparkSession, sf: str) -> DataFrame:
     found = clustering.cluster_points(fx.pings(spark, sf), config=fx.CLUSTERS, tie="event_id")
-    return found.select(F.col("user_id").alias("ID"), "cluster_id", r6("centroid_lat"), r6("centroid_lon"), at("start_time"), at("end_time"), "n_points", r6("dwell_s"))
+    return found.select(
+        F.col("user_id").alias("ID"), "cluster_id", r6("centroid_lat"), r6("centroid_lon"), at("start_time"), at("end_time"),
+        "n_points", r6("dwell_s")
+    )
 
 
 @query
 def cluster_events(spark: SparkSession, sf: str) -> DataFrame:
     found = clustering.cluster_events(fx.pings(spark, sf), config=fx.CLUSTERS, tie="event_id")
-    return found.groupBy(F.col("user_id").alias("ID"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("cluster_id").alias("ids"), F.min("event_time").alias("t")).select("ID", "event_type", "n", "ids", at("t", "first_time"))
+    return found.groupBy(F.col("user_id").alias("ID"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("cluster_id").alias("ids"), F.min("event_time").alias("t")).select(
+        "ID", "event_type", "n", "ids", at("t", "first_time")
+    )
 
 
 @query
 def incremental_cluster(spark: SparkSession, sf: str) -> DataFrame:
     found = clustering.incremental_cluster(fx.pings(spark, sf), 200.0, "5min", tie="event_id")
-    return found.groupBy(F.col("user_id").alias("ID")).agg(F.count(F.lit(1)).alias("clusters"), F.sum("n").alias("pings"), F.round(F.sum("centroid_lat"), 5).alias("lat_sum"))
+    return found.groupBy(F.col("user_id").alias("ID")).agg(
+        F.count(F.lit(1)).alias("clusters"), F.sum("n").alias("pings"), F.round(F.sum("centroid_lat"), 5).alias("lat_sum")
+    )
 
 
 def chain(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,7 +133,9 @@ def chain(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def trip_chain_stops(spark: SparkSession, sf: str) -> DataFrame:
     return chain(spark, sf).select(
-        F.col("user_id").alias("ID"), "seq_idx", "stop_id", at("start_ts"), at("end_ts"), r6("dwell_s"), r6("lat"), r6("lon"), r6("distance_from_home_m", digits=2), r6("distance_from_prev_m", digits=2), "is_overnight", "stop_role",
+        F.col("user_id").alias("ID"), "seq_idx", "stop_id", at("start_ts"), at("end_ts"), r6("dwell_s"), r6("lat"), r6("lon"), r6("distance_from_home_m", digits=2), r6(
+            "distance_from_prev_m", digits=2
+        ), "is_overnight", "stop_role",
     )
 
 
@@ -129,12 +144,16 @@ _QUERIES["trip_chain"] = _QUERIES.pop("trip_chain_stops")
 
 @query
 def trip_legs(spark: SparkSession, sf: str) -> DataFrame:
-    return routes.build_trip_legs(chain(spark, sf)).select(F.col("user_id").alias("ID"), "from_seq", "to_seq", at("depart_ts"), at("arrive_ts"), r6("displacement_m", digits=2))
+    return routes.build_trip_legs(chain(spark, sf)).select(
+        F.col("user_id").alias("ID"), "from_seq", "to_seq", at("depart_ts"), at("arrive_ts"), r6("displacement_m", digits=2)
+    )
 
 
 @query
 def route_default(spark: SparkSession, sf: str) -> DataFrame:
-    return routes.infer_route_candidates(routes.build_trip_legs(chain(spark, sf))).select(F.col("user_id").alias("ID"), "from_seq", "to_seq", "strategy", "route_status", "route_length_m")
+    return routes.infer_route_candidates(routes.build_trip_legs(chain(spark, sf))).select(
+        F.col("user_id").alias("ID"), "from_seq", "to_seq", "strategy", "route_status", "route_length_m"
+    )
 
 
 @query
@@ -145,7 +164,10 @@ def destinations_chain(spark: SparkSession, sf: str) -> DataFrame:
 
 def nightly(spark: SparkSession, sf: str) -> DataFrame:
     rows = fx.pings(spark, sf)
-    return rows.select("ID", F.col("latitude").alias("stop_lat_4326"), F.col("longitude").alias("stop_lon_4326"), F.to_date("datetime").cast("string").alias("stop_date"), (F.col("event_id") % 1009).alias("duration"))
+    return rows.select(
+        "ID", F.col("latitude").alias("stop_lat_4326"), F.col("longitude").alias("stop_lon_4326"),
+        F.to_date("datetime").cast("string").alias("stop_date"), (F.col("event_id") % 1009).alias("duration")
+    )
 
 
 @query
@@ -208,7 +230,9 @@ def delay_hours(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def home_inference(spark: SparkSession, sf: str) -> DataFrame:
     found = homes.infer_homes(fx.pings(spark, sf), min_nights=2, user="ID")
-    return found.select("ID", r6("utm_x", digits=1), r6("utm_y", digits=1), "num_nights", r6("stay_time", digits=1), r6("home_lon_4326"), r6("home_lat_4326"))
+    return found.select(
+        "ID", r6("utm_x", digits=1), r6("utm_y", digits=1), "num_nights", r6("stay_time", digits=1), r6("home_lon_4326"), r6("home_lat_4326")
+    )
 
 
 def zoned(spark: SparkSession, sf: str) -> DataFrame:
@@ -247,14 +271,19 @@ def stops_among_many_zones(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def impute_ffill(spark: SparkSession, sf: str) -> DataFrame:
-    rows = fx.table(spark, sf, "events").select("event_id", F.col("user_id").alias("ID"), "ts", F.expr("CASE WHEN event_id % 5 < 2 OR user_id % 7 = 0 THEN NULL ELSE value END").alias("d"))
+    rows = fx.table(spark, sf, "events").select(
+        "event_id", F.col("user_id").alias("ID"), "ts", F.expr("CASE WHEN event_id % 5 < 2 OR user_id % 7 = 0 THEN NULL ELSE value END").alias("d")
+    )
     return residents.impute_distance(rows, "ID", ["ts", "event_id"], "d").select("event_id", r6("d"))
 
 
 @query
 def resident_metrics(spark: SparkSession, sf: str) -> DataFrame:
     found = residents.infer_metrics(stops(spark, sf), fx.FIRES, fire_end="2024-01-12")
-    return found.select("ID", "Category", at("DepartureDate"), at("ReturnDate"), r6("DelayHours"), "ZoneType", at("OrderStart"), at("OrderEnd"), "FireEvent", at("fire_start"), "is_evacuee")
+    return found.select(
+        "ID", "Category", at("DepartureDate"), at("ReturnDate"), r6("DelayHours"), "ZoneType", at("OrderStart"), at("OrderEnd"),
+        "FireEvent", at("fire_start"), "is_evacuee"
+    )
 
 
 # Records and reports
@@ -281,12 +310,16 @@ def compliance_rate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def dedi(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.dedi(classified(spark, sf), "segment").select("segment", "Total_Residents", "Evacuated", r6("Compliance_Rate"), r6("DEDI_Deviation"), r6("DEDI"))
+    return reports.dedi(classified(spark, sf), "segment").select(
+        "segment", "Total_Residents", "Evacuated", r6("Compliance_Rate"), r6("DEDI_Deviation"), r6("DEDI")
+    )
 
 
 @query
 def departure_curve(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.departure_curve(classified(spark, sf), "1995-01-01", "1995-03-01", "6h").select(at("Datetime"), "Cumulative_Count", r6("Cumulative_Pct"))
+    return reports.departure_curve(classified(spark, sf), "1995-01-01", "1995-03-01", "6h").select(
+        at("Datetime"), "Cumulative_Count", r6("Cumulative_Pct")
+    )
 
 
 @query
@@ -313,12 +346,16 @@ def composition_table(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def delay_tiles(spark: SparkSession, sf: str) -> DataFrame:
     rows = fx.homes(spark, sf).withColumn("DelayHours", F.expr("ID % 9 - 3").cast("double"))
-    return reports.delay_tiles(rows).select("grid_x", "grid_y", r6("total_delay"), "user_count", r6("lat_min"), r6("lon_min"), r6("lat_max"), r6("lon_max"))
+    return reports.delay_tiles(rows).select(
+        "grid_x", "grid_y", r6("total_delay"), "user_count", r6("lat_min"), r6("lon_min"), r6("lat_max"), r6("lon_max")
+    )
 
 
 @query
 def delay_distribution(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.delay_distribution(classified(spark, sf), "segment").select("segment", "n", r6("mean"), "min", r6("q1"), r6("median"), r6("q3"), r6("p95"), "max")
+    return reports.delay_distribution(classified(spark, sf), "segment").select(
+        "segment", "n", r6("mean"), "min", r6("q1"), r6("median"), r6("q3"), r6("p95"), "max"
+    )
 
 
 @query
@@ -389,7 +426,9 @@ def evacuee_trips(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def evacuee_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.evacuee_groups(evacuee_trips(spark, sf), "segment").select("segment", "residents", r6("pct"), r6("mean_destinations"), r6("median_destinations"))
+    return reports.evacuee_groups(evacuee_trips(spark, sf), "segment").select(
+        "segment", "residents", r6("pct"), r6("mean_destinations"), r6("median_destinations")
+    )
 
 
 @query
@@ -416,13 +455,17 @@ def crosstab_margins(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def od_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """A fixed number of lines, chosen by a hash."""
-    found = reports.od_pairs(destination.infer_destinations(nightly(spark, sf), fx.homes(spark, sf), merge_distance_km=0.1), fx.homes(spark, sf), max_trips=100)
+    found = reports.od_pairs(
+        destination.infer_destinations(nightly(spark, sf), fx.homes(spark, sf), merge_distance_km=0.1), fx.homes(spark, sf), max_trips=100
+    )
     return found.select("ID", "dest_order", *[r6(c) for c in ("home_lat_4326", "home_lon_4326", "dest_lat", "dest_lon")])
 
 
 @query
 def od_extent(spark: SparkSession, sf: str) -> DataFrame:
-    rows = fx.pings(spark, sf).join(fx.homes(spark, sf), "ID").select("home_lat_4326", "home_lon_4326", F.col("latitude").alias("dest_lat"), F.col("longitude").alias("dest_lon"))
+    rows = fx.pings(spark, sf).join(fx.homes(spark, sf), "ID").select(
+        "home_lat_4326", "home_lon_4326", F.col("latitude").alias("dest_lat"), F.col("longitude").alias("dest_lon")
+    )
     return reports.od_extent(rows).select(*[r6(c) for c in ("lat_min", "lat_max", "lon_min", "lon_max")])
 
 
@@ -463,7 +506,11 @@ def heatmap_week(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def ping_normalization(spark: SparkSession, sf: str) -> DataFrame:
     """Vendor names and epoch milliseconds to the usual columns; bad numbers become null."""
-    raw = fx.table(spark, sf, "events").select(F.col("user_id").alias("GRID"), "event_id", F.expr("CASE WHEN event_id % 7 = 0 THEN 'bad' ELSE CAST(user_id % 90 AS STRING) END").alias("GEOHASHLAT"), F.lit("-118").alias("GEOHASHLONG"), (F.col("event_id") * 60_000).alias("TIMESTAMP"))
+    raw = fx.table(spark, sf, "events").select(
+        F.col("user_id").alias("GRID"), "event_id",
+        F.expr("CASE WHEN event_id % 7 = 0 THEN 'bad' ELSE CAST(user_id % 90 AS STRING) END").alias("GEOHASHLAT"),
+        F.lit("-118").alias("GEOHASHLONG"), (F.col("event_id") * 60_000).alias("TIMESTAMP")
+    )
     rows = readers.normalize_pings(raw)
     return rows.select("ID", "event_id", "latitude", "longitude", at("datetime"))
 
@@ -490,7 +537,9 @@ def destination_roads(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def local_night(spark: SparkSession, sf: str) -> DataFrame:
     """Instants on the clock of a zone: its day, hour and night window."""
-    rows = fx.table(spark, sf, "events").select("event_id", F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts").cast("timestamp_ntz")).cast("timestamp").alias("at"))
+    rows = fx.table(spark, sf, "events").select(
+        "event_id", F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts").cast("timestamp_ntz")).cast("timestamp").alias("at")
+    )
     zone = clock.resolve_tz(rows, "at", "America/Phoenix")
     rows = rows.withColumn("local", clock.local_clock(F.col("at"), "timestamp", zone))
     return rows.select("event_id", at("local"), clock.in_window(F.hour("local"), 20, 7).alias("is_night"))
@@ -501,8 +550,12 @@ def contract_checks(spark: SparkSession, sf: str) -> DataFrame:
     """What the contracts say of renamed, complete and incomplete tables."""
     pings = fx.pings(spark, sf)
     cases = {
-        "pings": (pings, contracts.PINGS), "pings by aliases": (pings.withColumnsRenamed({"latitude": "LAT", "longitude": "LONG"}), contracts.PINGS), "pings without time": (pings.drop("datetime"), contracts.PINGS),
-        "homes": (fx.homes(spark, sf), contracts.HOMES), "homes without place": (fx.homes(spark, sf).select("ID"), contracts.HOMES), "trip chain": (chain(spark, sf), contracts.TRIP_CHAIN),
+        "pings": (pings, contracts.PINGS), "pings by aliases": (
+            pings.withColumnsRenamed({"latitude": "LAT", "longitude": "LONG"}), contracts.PINGS
+        ), "pings without time": (pings.drop("datetime"), contracts.PINGS),
+        "homes": (fx.homes(spark, sf), contracts.HOMES), "homes without place": (fx.homes(spark, sf).select("ID"), contracts.HOMES), "trip chain": (
+            chain(spark, sf), contracts.TRIP_CHAIN
+        ),
         "destinations": (destinations_nightly(spark, sf), contracts.DESTINATIONS),
     }
     out = []
@@ -528,7 +581,9 @@ def vendor_chain(spark: SparkSession, sf: str) -> DataFrame:
     """Trip chains of a table with a vendor's names, by the default rules."""
     raw = fx.pings(spark, sf).select(F.col("ID").alias("GRID"), F.col("latitude").alias("LAT"), F.col("longitude").alias("LONG"), "datetime")
     found = trip_chain.compute_trip_chain(raw, fx.homes(spark, sf))
-    return found.select(F.col("user_id").alias("ID"), "seq_idx", at("start_ts"), at("end_ts"), r6("lat"), r6("lon"), r6("distance_from_home_m", digits=2), "stop_role")
+    return found.select(
+        F.col("user_id").alias("ID"), "seq_idx", at("start_ts"), at("end_ts"), r6("lat"), r6("lon"), r6("distance_from_home_m", digits=2), "stop_role"
+    )
 
 
 @query
@@ -545,11 +600,17 @@ def metrics_without_event(spark: SparkSession, sf: str) -> DataFrame:
 def source_gps_csv(spark: SparkSession, sf: str) -> DataFrame:
     """Pings from two CSV folders with a vendor's names, numbers as text, some of them bad."""
     path = new_folder(spark, "gps")
-    rows = fx.pings(spark, sf).select(F.col("ID").alias("GRID"), "event_id", F.expr("CASE WHEN event_id % 11 = 0 THEN 'n/a' ELSE CAST(latitude AS STRING) END").alias("LAT"), F.col("longitude").cast("string").alias("LONG"), at("datetime"))
+    rows = fx.pings(spark, sf).select(
+        F.col("ID").alias("GRID"), "event_id",
+        F.expr("CASE WHEN event_id % 11 = 0 THEN 'n/a' ELSE CAST(latitude AS STRING) END").alias("LAT"),
+        F.col("longitude").cast("string").alias("LONG"), at("datetime")
+    )
     for k in range(2):
         rows.where(f"event_id % 2 = {k}").write.csv(f"{path}/{k}", header=True)
     found = readers.read_gps_csv(spark, [f"{path}/0", f"{path}/1"])
-    return found.select(F.col("ID").cast("long").alias("ID"), F.col("event_id").cast("long").alias("event_id"), r6("latitude"), r6("longitude"), "datetime")
+    return found.select(
+        F.col("ID").cast("long").alias("ID"), F.col("event_id").cast("long").alias("event_id"), r6("latitude"), r6("longitude"), "datetime"
+    )
 
 
 @query
@@ -564,7 +625,11 @@ def source_homes_csv(spark: SparkSession, sf: str) -> DataFrame:
 def source_metrics_csv(spark: SparkSession, sf: str) -> DataFrame:
     """Records from CSV; bad times become null."""
     path = new_folder(spark, "metrics")
-    rows = fx.records(spark, sf).select("ID", "ZoneType", F.expr("CASE WHEN ID % 17 = 0 THEN 'unknown' ELSE date_format(DepartureDate, 'yyyy-MM-dd HH:mm:ss') END").alias("DepartureDate"), at("OrderStart"))
+    rows = fx.records(spark, sf).select(
+        "ID", "ZoneType",
+        F.expr("CASE WHEN ID % 17 = 0 THEN 'unknown' ELSE date_format(DepartureDate, 'yyyy-MM-dd HH:mm:ss') END").alias("DepartureDate"),
+        at("OrderStart")
+    )
     rows.write.csv(path, header=True)
     return readers.read_metrics(spark, path).select(F.col("ID").cast("long").alias("ID"), "ZoneType", at("DepartureDate"), at("OrderStart"))
 
@@ -572,7 +637,9 @@ def source_metrics_csv(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def source_homes_mercator(spark: SparkSession, sf: str) -> DataFrame:
     """Homes in metres, the two columns under each other's names, turned into degrees."""
-    rows = fx.homes(spark, sf).select("ID", geo.mercator_x(F.col("home_lon_4326")).alias("home_lat_3857"), geo.mercator_y(F.col("home_lat_4326")).alias("home_lon_3857"))
+    rows = fx.homes(spark, sf).select(
+        "ID", geo.mercator_x(F.col("home_lon_4326")).alias("home_lat_3857"), geo.mercator_y(F.col("home_lat_4326")).alias("home_lon_3857")
+    )
     return readers.reproject_homes(rows).select("ID", r6("home_lat_4326"), r6("home_lon_4326"))
 
 
@@ -583,9 +650,16 @@ def zone_files(spark: SparkSession, folder: str) -> None:
     features = []
     for z in spark.sql(fx.ZONES).collect():  # four constant rows
         ring = [[z.xmin, z.ymin], [z.xmax, z.ymin], [z.xmax, z.ymax], [z.xmin, z.ymax], [z.xmin, z.ymin]]
-        properties = {"zoneId": z.zoneId, "most_extreme_status": z.most_extreme_status, "incident_name": z.incident_name, "datetime": z.datetime, "UseType": f"type {z.zoneId}"}
+        properties = {
+            "zoneId": z.zoneId, "most_extreme_status": z.most_extreme_status, "incident_name": z.incident_name,
+            "datetime": z.datetime, "UseType": f"type {z.zoneId}"
+        }
         features.append({"type": "Feature", "properties": properties, "geometry": {"type": "Polygon", "coordinates": [ring]}})
-    older = [{**f, "properties": {**f["properties"], "datetime": "2024-01-01 00:00:00", "incident_name": "older"}} for f in features if "Order" in f["properties"]["most_extreme_status"]]
+    older = [
+        {
+            **f, "properties": {**f["properties"], "datetime": "2024-01-01 00:00:00", "incident_name": "older"}
+        } for f in features if "Order" in f["properties"]["most_extreme_status"]
+    ]
     for name, some in (("new", features), ("old", older)):
         write_file(spark, f"{folder}/{name}.geojson", json.dumps({"type": "FeatureCollection", "features": some}).encode())
     write_file(spark, f"{folder}/bad.geojson", b"{not json")
@@ -618,7 +692,10 @@ def source_roads(spark: SparkSession, sf: str) -> DataFrame:
     path = new_folder(spark, "roads")
     lines = [[[x1, y1], [x2, y2]] for x1, y1, x2, y2 in fx.ROADS]
     shapes = [{"type": "LineString", "coordinates": lines[0]}, {"type": "MultiLineString", "coordinates": lines[1:]}]
-    write_file(spark, f"{path}/roads.geojson", json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {}, "geometry": g} for g in shapes]}).encode())
+    write_file(
+        spark, f"{path}/roads.geojson",
+        json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {}, "geometry": g} for g in shapes]}).encode()
+    )
     points = readers.read_roads(spark, path).select(F.explode("lines").alias("line")).select(F.col("line")[0].alias("a"), F.col("line")[1].alias("b"))
     return points.select(*[r6(c, n) for c, n in (("a.x", "x1"), ("a.y", "y1"), ("b.x", "x2"), ("b.y", "y2"))])
 
@@ -630,7 +707,11 @@ def source_shards(spark: SparkSession, sf: str) -> DataFrame:
     import pickle
 
     path = new_folder(spark, "shards")
-    rows = [{"GRID": f"n{r.n_nationkey}", "LAT": 30.0 + r.n_nationkey, "LONG": -118.0 + r.n_regionkey, "TIMESTAMP": 1_700_000_000_000 + r.n_nationkey} for r in fx.table(spark, sf, "nation").collect()]
+    rows = [
+        {
+            "GRID": f"n{r.n_nationkey}", "LAT": 30.0 + r.n_nationkey, "LONG": -118.0 + r.n_regionkey, "TIMESTAMP": 1_700_000_000_000 + r.n_nationkey
+        } for r in fx.table(spark, sf, "nation").collect()
+    ]
     for k in range(2):
         write_file(spark, f"{path}/shard_{k}.pkl", pickle.dumps(({x["GRID"] for x in rows[k::2]}, rows[k::2])))
     write_file(spark, f"{path}/shard_bad.pkl", pickle.dumps((set(), [{"GRID": datetime.date(2024, 1, 1)}])))
@@ -644,14 +725,20 @@ def source_shards(spark: SparkSession, sf: str) -> DataFrame:
 def stream_out(spark: SparkSession, sf: str) -> DataFrame:
     """Cluster events of the pings, read as a stream in one micro-batch and written to files."""
     path = new_folder(spark, "stream")
-    rows = fx.pings(spark, sf).select(F.col("ID").cast("string").alias("user_id"), F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("datetime").cast("timestamp_ntz")).cast("timestamp").alias("datetime"), "latitude", "longitude")
+    rows = fx.pings(spark, sf).select(
+        F.col("ID").cast("string").alias("user_id"),
+        F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("datetime").cast("timestamp_ntz")).cast("timestamp").alias("datetime"),
+        "latitude", "longitude"
+    )
     rows.write.parquet(f"{path}/in")
     store = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(store)
     spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         events = clusters.stream_cluster_events(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), fx.CLUSTERS)
-        events.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+        events.writeStream.format("parquet").option("path", f"{path}/out").option(
+            "checkpointLocation", f"{path}/state"
+        ).trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(store, before)
     return spark.read.schema(clusters.EVENTS).parquet(f"{path}/out")
@@ -662,7 +749,9 @@ def stream_cluster_events(spark: SparkSession, sf: str) -> DataFrame:
     """Starts and updates of the streamed clusters, by user."""
     found = stream_out(spark, sf).where("event_type <> 'cluster_closed'")
     time = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.min("event_time").cast("timestamp_ntz"))
-    found = found.groupBy(F.col("user_id").cast("long").alias("ID"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("cluster_id").alias("ids"), time.alias("first_time"))
+    found = found.groupBy(F.col("user_id").cast("long").alias("ID"), "event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("cluster_id").alias("ids"), time.alias("first_time")
+    )
     return found.select("ID", "event_type", "n", "ids", at("first_time"))
 
 

@@ -12,8 +12,10 @@ from ..functions.geo import rectangle
 from ..operators.clustering import ClusterConfig
 
 PINGS = """SELECT user_id AS ID, event_id, ts AS datetime,
-  34e0 + (user_id % 50) * 1e-2 + CASE WHEN day(ts) BETWEEN 8 AND 8 + user_id % 5 THEN 5e-2 * (1 + user_id % 3) ELSE 0e0 END + (event_id % 5) * 1e-4 AS latitude,
-  -118.5e0 + (user_id % 40) * 1e-2 + CASE WHEN day(ts) BETWEEN 8 AND 8 + user_id % 5 THEN 5e-2 * (1 + user_id % 3) ELSE 0e0 END + (event_id % 5) * 1e-4 AS longitude
+  34e0 + (user_id % 50) * 1e-2 + CASE WHEN day(ts) BETWEEN 8 AND 8 + user_id % 5 THEN 5e-2 * (1 + user_id % 3)
+    ELSE 0e0 END + (event_id % 5) * 1e-4 AS latitude,
+  -118.5e0 + (user_id % 40) * 1e-2 + CASE WHEN day(ts) BETWEEN 8 AND 8 + user_id % 5 THEN 5e-2 * (1 + user_id % 3)
+    ELSE 0e0 END + (event_id % 5) * 1e-4 AS longitude
 FROM {events}"""
 
 HOMES = """SELECT DISTINCT user_id AS ID, 34e0 + (user_id % 50) * 1e-2 AS home_lat_4326, -118.5e0 + (user_id % 40) * 1e-2 AS home_lon_4326 FROM {events}"""
@@ -28,12 +30,15 @@ ZONES = """SELECT * FROM (VALUES
 RECORDS = """SELECT o_orderkey AS ID, c_mktsegment AS segment, o_orderpriority AS priority,
   CASE o_orderkey % 4 WHEN 0 THEN 'Order' WHEN 1 THEN 'Warning' WHEN 2 THEN 'Buffer' ELSE 'Outside' END AS ZoneType,
   CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderdate END AS DepartureDate,
-  CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 5 < 3 THEN o_orderdate + INTERVAL '2' DAY ELSE o_orderdate + INTERVAL '9' DAY END AS ReturnDate,
-  CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN o_orderdate + INTERVAL '1' DAY WHEN o_orderkey % 3 = 1 THEN o_orderdate - INTERVAL '1' DAY ELSE o_orderdate + INTERVAL '4' DAY END AS OrderStart,
+  CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 5 < 3 THEN o_orderdate + INTERVAL '2' DAY
+    ELSE o_orderdate + INTERVAL '9' DAY END AS ReturnDate,
+  CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN o_orderdate + INTERVAL '1' DAY
+    WHEN o_orderkey % 3 = 1 THEN o_orderdate - INTERVAL '1' DAY ELSE o_orderdate + INTERVAL '4' DAY END AS OrderStart,
   CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderdate + INTERVAL '5' DAY END AS OrderEnd,
   CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate + INTERVAL '1' DAY ELSE o_orderdate - INTERVAL '3' DAY END AS FireStart,
   (o_orderkey % 97 - 20) * 5e-1 AS DelayHours, (o_orderkey % 3500) * 1e-1 AS eu_distance_km, o_orderkey % 3 + 1 AS dest_order,
-  CASE o_orderkey % 9 WHEN 0 THEN 'Single Family Home' WHEN 1 THEN 'Motel' WHEN 2 THEN 'Public Park' WHEN 3 THEN 'Parking Lot' WHEN 4 THEN 'City Park' WHEN 5 THEN 'WAREHOUSE' WHEN 6 THEN NULL WHEN 7 THEN 'zoo' ELSE 'Highway 5' END AS UseType
+  CASE o_orderkey % 9 WHEN 0 THEN 'Single Family Home' WHEN 1 THEN 'Motel' WHEN 2 THEN 'Public Park' WHEN 3 THEN 'Parking Lot' WHEN 4 THEN 'City Park'
+    WHEN 5 THEN 'WAREHOUSE' WHEN 6 THEN NULL WHEN 7 THEN 'zoo' ELSE 'Highway 5' END AS UseType
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey"""
 
 #: Roads as segments (x1, y1, x2, y2): two parallels and a meridian.
@@ -62,7 +67,10 @@ def homes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql(ZONES)
-    return rows.select("zoneId", "most_extreme_status", "incident_name", "datetime", rectangle(*(F.col(c) for c in ("xmin", "ymin", "xmax", "ymax"))).alias("geometry"))
+    return rows.select(
+        "zoneId", "most_extreme_status", "incident_name", "datetime",
+        rectangle(*(F.col(c) for c in ("xmin", "ymin", "xmax", "ymax"))).alias("geometry")
+    )
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,9 @@ def reproject_homes(df: DataFrame, x: str = "home_lat_3857", y: str = "home_lon_
 
 
 def _rings(value: Column) -> Column:
-    return F.transform(value, lambda polygon: F.transform(polygon, lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))))
+    return F.transform(
+        value, lambda polygon: F.transform(polygon, lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
+    )
 
 
 def geojson_geometry(feature: Column) -> Column:
@@ -56,7 +58,9 @@ def geojson_lines(feature: Column) -> Column:
     kind = F.get_json_object(feature, "$.geometry.type")
     coordinates = F.get_json_object(feature, "$.geometry.coordinates")
     points = lambda lines: F.transform(lines, lambda line: F.transform(line, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
-    return F.when(kind == "LineString", points(F.array(F.from_json(coordinates, "array<array<double>>")))).when(kind == "MultiLineString", points(F.from_json(coordinates, "array<array<array<double>>>")))
+    return F.when(kind == "LineString", points(F.array(F.from_json(coordinates, "array<array<double>>")))).when(
+        kind == "MultiLineString", points(F.from_json(coordinates, "array<array<array<double>>>"))
+    )
 
 
 def read_geojson(spark: SparkSession, path: str | list[str], properties: list[str], lines: bool = False) -> DataFrame:
@@ -67,9 +71,13 @@ def read_geojson(spark: SparkSession, path: str | list[str], properties: list[st
     rows = text.select(F.get_json_object("value", "$.crs.properties.name").alias("_crs"), F.explode(features).alias("f"))
     shape = geojson_lines(F.col("f")) if lines else geojson_geometry(F.col("f"))
     back = lambda p: F.struct(geo.mercator_lon(p["x"]).alias("x"), geo.mercator_lat(p["y"]).alias("y"))
-    degrees = F.transform(shape, lambda r: F.transform(r, back)) if lines else F.transform(shape, lambda g: F.transform(g, lambda r: F.transform(r, back)))
+    degrees = F.transform(shape, lambda r: F.transform(r, back)) if lines else F.transform(
+        shape, lambda g: F.transform(g, lambda r: F.transform(r, back))
+    )
     shape = F.when(F.col("_crs").endswith("3857"), degrees).otherwise(shape)
-    return rows.select(*[F.get_json_object("f", f"$.properties.{p}").alias(p) for p in properties], shape.alias("lines" if lines else "geometry")).where(F.col("lines" if lines else "geometry").isNotNull())
+    return rows.select(
+        *[F.get_json_object("f", f"$.properties.{p}").alias(p) for p in properties], shape.alias("lines" if lines else "geometry")
+    ).where(F.col("lines" if lines else "geometry").isNotNull())
 
 
 def read_fire_timeline(spark: SparkSession, path: str | list[str]) -> DataFrame:

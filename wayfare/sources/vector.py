@@ -112,14 +112,18 @@ def read_gpkg(data: bytes, layer: str | None = None) -> Iterator[tuple[dict | No
                 values = dict(zip(names, row, strict=True))
                 blob = values.pop(column)
                 skip = 8 + (0, 32, 48, 48, 64)[blob[3] >> 1 & 7] if blob else 0
-                yield (read_wkb(blob, skip)[0] if blob else None), {k: None if v is None else str(v) for k, v in values.items() if not isinstance(v, bytes)}
+                yield (read_wkb(blob, skip)[0] if blob else None), {
+                    k: None if v is None else str(v) for k, v in values.items() if not isinstance(v, bytes)
+                }
             return
 
 
 def _rows(geometries: DataFrame, properties: list[str], lines: bool) -> DataFrame:
     shape = geojson_lines(F.col("feature")) if lines else geojson_geometry(F.col("feature"))
     name = "lines" if lines else "geometry"
-    return geometries.select(*[F.get_json_object("properties", f"$['{p}']").alias(p) for p in properties], shape.alias(name)).where(F.col(name).isNotNull())
+    return geometries.select(
+        *[F.get_json_object("properties", f"$['{p}']").alias(p) for p in properties], shape.alias(name)
+    ).where(F.col(name).isNotNull())
 
 
 def _decoded(files: DataFrame, decode) -> DataFrame:
@@ -136,8 +140,12 @@ def _decoded(files: DataFrame, decode) -> DataFrame:
 def read_shapefile(spark: SparkSession, path: str, properties: list[str], lines: bool = False) -> DataFrame:
     """A shapefile (path of the .shp; its .dbf lies beside it), or all of a folder."""
     folder = path[: -len(".shp")] + ".{shp,dbf}" if path.endswith(".shp") else path.rstrip("/") + "/*.{shp,dbf}"
-    files = spark.read.format("binaryFile").load(folder).select(F.regexp_replace("path", r"\.\w+$", "").alias("base"), F.lower(F.regexp_extract("path", r"\.(\w+)$", 1)).alias("kind"), "content")
-    pairs = files.groupBy("base").agg(F.max(F.when(F.col("kind") == "shp", F.col("content"))).alias("shp"), F.max(F.when(F.col("kind") == "dbf", F.col("content"))).alias("dbf")).where("shp is not null")
+    files = spark.read.format("binaryFile").load(folder).select(
+        F.regexp_replace("path", r"\.\w+$", "").alias("base"), F.lower(F.regexp_extract("path", r"\.(\w+)$", 1)).alias("kind"), "content"
+    )
+    pairs = files.groupBy("base").agg(
+        F.max(F.when(F.col("kind") == "shp", F.col("content"))).alias("shp"), F.max(F.when(F.col("kind") == "dbf", F.col("content"))).alias("dbf")
+    ).where("shp is not null")
 
     def decode(row):
         attributes = list(read_dbf(bytes(row.dbf))) if row.dbf is not None else []

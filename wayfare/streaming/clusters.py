@@ -62,7 +62,9 @@ def distance_m(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
 
 
 def _frame(user: str, events: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(events, columns=["event_type", "cluster_id", "event_time", "centroid_lat", "centroid_lon", "start_time", "n_points", "dwell_s"])
+    out = pd.DataFrame(
+        events, columns=["event_type", "cluster_id", "event_time", "centroid_lat", "centroid_lon", "start_time", "n_points", "dwell_s"]
+    )
     for c in ("event_time", "start_time"):
         out[c] = pd.to_datetime(out[c], unit="us")
     for c in ("n_points", "cluster_id"):
