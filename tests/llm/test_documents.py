@@ -96,7 +96,9 @@ def test_targets(spark, seed):
 
 def test_mix(spark):
     r = random.Random(5)
-    rows = [(i, words(r, r.randint(1, 60)), "en", f"s{i % 5}" if i % 50 else None, 1, 0.0) for i in range(1500)] + [(None, None, None, None, None, None), (3, "x", None, "s1", 1, 0.0), (3, "x", None, "s1", 1, 0.0)]
+    rows = [(i, words(r, r.randint(1, 60)), "en", f"s{i % 5}" if i % 50 else None, 1, 0.0) for i in range(1500)] + [
+        (None, None, None, None, None, None), (3, "x", None, "s1", 1, 0.0), (3, "x", None, "s1", 1, 0.0)
+    ]
     docs = table(spark, rows)
     found = mixing.mix_sources(docs, block=128).collect()
     again = mixing.mix_sources(docs.repartition(7), block=128).collect()
@@ -138,7 +140,11 @@ def test_masks_find_all_of_two_changes():
 
     for k in range(3):
         for gone in combinations(range(decontamination.WINDOW), k):
-            assert any(all(o + j not in gone for j, c in enumerate(m) if c == "1") for m in decontamination.MASKS for o in range(decontamination.WINDOW - len(m) + 1))
+            assert any(
+                all(o + j not in gone for j, c in enumerate(m) if c == "1") for m in decontamination.MASKS for o in range(
+                    decontamination.WINDOW - len(m) + 1
+                )
+            )
 
 
 def brute_overlap(text, item):
@@ -147,7 +153,11 @@ def brute_overlap(text, item):
         return False
     width = min(12, len(b))
     need = 10 if width == 12 else width
-    return any(sum(x == y for x, y in zip(a[i : i + width], b[j : j + width], strict=True)) >= need for i in range(len(a) - width + 1) for j in range(len(b) - width + 1))
+    return any(
+        sum(
+            x == y for x, y in zip(a[i : i + width], b[j : j + width], strict=True)
+        ) >= need for i in range(len(a) - width + 1) for j in range(len(b) - width + 1)
+    )
 
 
 @pytest.mark.parametrize("bound", [1_000_000, 0])
@@ -170,7 +180,9 @@ def test_decontamination(spark, monkeypatch, bound):
     expected = {(x[0], k) for x in rows for k, item in items if item and brute_overlap(x[1], item)}
     assert found == expected and len(found) > 10
     kept = decontamination.keep_uncontaminated(table(spark, rows), benchmark)
-    assert sorted(x.doc_id or -1 for x in kept.collect()) == sorted(x[0] or -1 for x in rows if not any(item and brute_overlap(x[1], item) for _, item in items))
+    assert sorted(x.doc_id or -1 for x in kept.collect()) == sorted(
+        x[0] or -1 for x in rows if not any(item and brute_overlap(x[1], item) for _, item in items)
+    )
     assert decontamination.overlaps(table(spark, []), benchmark).count() == 0
     assert decontamination.overlaps(table(spark), benchmark.where("false")).count() == 0
 
@@ -194,7 +206,11 @@ def test_decontamination_of_short_items(spark, monkeypatch, bound):
         a, b = folded(text), folded(item)
         width = min(12, len(b))
         need = math.ceil(10 * width / 12)
-        return any(sum(x == y for x, y in zip(a[i : i + width], b[j : j + width], strict=True)) >= need for i in range(len(a) - width + 1) for j in range(len(b) - width + 1))
+        return any(
+            sum(
+                x == y for x, y in zip(a[i : i + width], b[j : j + width], strict=True)
+            ) >= need for i in range(len(a) - width + 1) for j in range(len(b) - width + 1)
+        )
 
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     found = {(x.doc_id, x.item_id) for x in decontamination.overlaps(table(spark, rows), benchmark, short=True).collect()}
@@ -227,11 +243,15 @@ def base(text):
     w, lines = WORD.findall(text or ""), [x for x in (text or "").split("\n") if WORD.search(x)]
     seen = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
     inside = {i + k for i in range(len(w) - 2) if seen[tuple(w[i : i + 3])] > 1 for k in range(3)}
-    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(inside), len(w) < 50 or 100 * len(inside) > 50 * len(w)
+    return len(w), sum(map(len, w)), sum(
+        c in "#*$%&|<>" for c in text or ""
+    ), len(lines) - len(set(lines)), len(inside), len(w) < 50 or 100 * len(inside) > 50 * len(w)
 
 
 def test_base_features(spark):
-    rows = documents() + [(2000, "a b c a b c\na b c a b c\n\n  \nx", None, None, None, None), (2001, "##|| <b> $%& \U0001f600\U0001f600 é", None, None, None, None)]
+    rows = documents() + [
+        (2000, "a b c a b c\na b c a b c\n\n  \nx", None, None, None, None), (2001, "##|| <b> $%& \U0001f600\U0001f600 é", None, None, None, None)
+    ]
     found = quality.apply_rules(table(spark, rows), spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
     got = collections.Counter((x.doc_id, x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, x.base_failed) for x in found)
     assert got == collections.Counter((x[0], *base(x[1])) for x in rows)
@@ -342,7 +362,9 @@ def brute_repeats(rows):
             if first[t[k : k + 50]] < i:
                 gone[k : k + 50] = b"\1" * 50
         spans = sum(1 for k in range(len(t)) if gone[k] and not (k and gone[k - 1]))
-        out[(None if i == last else i, len(t), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(t, gone, strict=True) if not g)).hexdigest())] += 1
+        out[
+            (None if i == last else i, len(t), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(t, gone, strict=True) if not g)).hexdigest())
+        ] += 1
     return out
 
 
@@ -561,7 +583,9 @@ def clashing(spark):
 
 def test_columns_with_our_names(spark):
     more, plain = clashing(spark)
-    marks = spark.createDataFrame([(i, i % 2, i % 3 == 0) for i in range(60)], "doc_id long, quality int, toxic boolean").withColumn("toxic", F.col("toxic").cast("int"))
+    marks = spark.createDataFrame(
+        [(i, i % 2, i % 3 == 0) for i in range(60)], "doc_id long, quality int, toxic boolean"
+    ).withColumn("toxic", F.col("toxic").cast("int"))
     marks = marks.withColumns({c: F.lit(1) for c in ("text", "id", "n", "stratum")})
     benchmark = spark.createDataFrame([(1, documents()[3][1] or "a b c", 1, 2)], "item_id long, text string, item long, words long")
     from wayfare.llm import scoring, toxicity

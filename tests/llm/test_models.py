@@ -35,7 +35,10 @@ def conversations(seed=2):
             if r.random() < 0.4:
                 text += r.choice(["</s>", "\\[INST]", "\n</s>\n", "x\\", "[/ROLE]\n[ROLE]\n", "<<SYS>>\\\\</s>", "\\\\"])
             rows.append((c, t, r.choice(["user", "assistant", "assistant", "tool", None, "[TEXT]", "system"]), None if r.random() < 0.05 else text))
-    rows += [(900, 1, "assistant", words(r, 1200)), (900, 2, "assistant", "b"), (900, 2, "assistant", "a"), (900, None, "user", "first"), (None, 1, "assistant", "lone"), rows[5], rows[5]]
+    rows += [
+        (900, 1, "assistant", words(r, 1200)), (900, 2, "assistant", "b"), (900, 2, "assistant", "a"),
+        (900, None, "user", "first"), (None, 1, "assistant", "lone"), rows[5], rows[5]
+    ]
     return rows
 
 
@@ -47,7 +50,10 @@ def digests(rows):
     for c, turns in by.items():
         turns.sort()
         said = "".join(x[3] for x in turns if x[2] == "assistant")
-        out[c] = (len(turns), hashlib.sha256("".join(f"{a}\n{b}\n" for _, _, a, b in turns).encode()).hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest())
+        out[c] = (
+            len(turns), hashlib.sha256("".join(f"{a}\n{b}\n" for _, _, a, b in turns).encode()).hexdigest(), len(said),
+            hashlib.sha256(said.encode()).hexdigest()
+        )
     return out
 
 
@@ -85,7 +91,9 @@ def test_escaping():
     for _ in range(300):
         text = "".join(r.choice([*chat.MARKS, "\\", "\n", "a", "<", "[", "s>"]) for _ in range(r.randint(0, 9)))
         assert chat.unescape(chat.escape(text)) == text
-        assert [x[:2] for x in chat.read_turns(chat.turn_text("user", text)[0] + chat.turn_text("tool" + text, text)[0])] == [("user", text), ("tool" + text, text)]
+        assert [
+            x[:2] for x in chat.read_turns(chat.turn_text("user", text)[0] + chat.turn_text("tool" + text, text)[0])
+        ] == [("user", text), ("tool" + text, text)]
     assert chat.format_chats.__defaults__[0] == chat.BUDGET
 
 
@@ -103,7 +111,10 @@ def pages(seed=3):
     r = random.Random(seed)
     rows = [(i, f"http://{r.choice('abc')}.example.org:8{i % 3}/p{i % 30}?q=\n é", "<p>" + words(r, r.randint(0, 30)), "x") for i in range(90)]
     rows += [(200 + i, "https://u@x.org/a#f", rows[i % 5][2], None) for i in range(30)]
-    return rows + [(300, None, None, None), (301, "", "", None), (302, "no url", "é" * 3000, None), rows[7], rows[7], (None, "http://n.org/", rows[3][2], None), (None, "http://n.org/", "only here", None)]
+    return rows + [
+        (300, None, None, None), (301, "", "", None), (302, "no url", "é" * 3000, None), rows[7], rows[7],
+        (None, "http://n.org/", rows[3][2], None), (None, "http://n.org/", "only here", None)
+    ]
 
 
 @pytest.mark.parametrize("least,groups", [(0, 50_000), (50, 50_000), (0, 0)])
@@ -122,7 +133,12 @@ def test_warc_round_trip(spark, least, groups, monkeypatch):
     for i, _, h, _ in rows:
         data, first = (h or "").encode(), firsts.get(h or "")
         again = len(data) >= least and first is not None and first != i
-        expected[(i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if again else "response", first if again else None, None if again else (h or ""))] += 1
+        expected[
+            (
+                i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if again else "response",
+                first if again else None, None if again else (h or "")
+            )
+        ] += 1
     found = warc.archive_and_read(spark.createDataFrame(rows, PAGES), least).collect()
     assert collections.Counter((x.page_id, x.payload_bytes, x.payload_digest, x.record_type, x.refers_to, x.payload) for x in found) == expected
 
@@ -158,7 +174,9 @@ def test_records_are_valid(spark):
                 assert http.startswith(b"HTTP/1.1 200 OK\r\n") and " " not in fields["WARC-Target-URI"]
                 uris.add(fields["WARC-Target-URI"])
             if fields["WARC-Type"] == "revisit":
-                assert payload == b"" and fields["WARC-Profile"].endswith("identical-payload-digest") and fields["WARC-Refers-To-Date"] == fields["WARC-Date"]
+                assert payload == b"" and fields["WARC-Profile"].endswith("identical-payload-digest") and fields[
+                    "WARC-Refers-To-Date"
+                ] == fields["WARC-Date"]
                 assert fields["WARC-Refers-To-Target-URI"]
             k += 1
     assert kinds["response"] + kinds["revisit"] == n and kinds["revisit"] > 10
@@ -212,13 +230,25 @@ def test_extraction_of_an_article():
       <div class="cookie-notice">We use cookies. <button>OK</button></div><article><h1>Fish &amp; chips&#8212;now</h1><p>First   <b>bold</b>,\n text.<br>Second line. <p>Unclosed one <i>two</i>
       <script>var a = "</p>";</script><!-- gone --><div class="ad">Buy now, it is cheap.</div><p>Last words of it, with a <a href=/y>link</a> inside.</p></article>
       <aside class="sidebar"><h3>Related</h3><ul><li><a href=/1>One thing</a></ul></aside><section id="comments"><p>Nice, said someone.</p></section><form><label>Name</label><input></form><footer>&copy; Site</footer></body></html>"""
-    assert extraction.main_texts([source], extraction.model())[0] == "Fish & chips—now First bold, text. Second line. Unclosed one two Last words of it, with a link inside."
+    assert extraction.main_texts(
+        [source], extraction.model()
+    )[0] == "Fish & chips—now First bold, text. Second line. Unclosed one two Last words of it, with a link inside."
 
 
 def test_extraction_stands_anything(spark):
     r = random.Random(5)
-    odd = [None, "", "   ", "plain text, no tags", "<", "<<<p>", "<p", "</div></div>", "<a href='x\">y", "<!-- never closed", "<script>never", "<p>" * 3000, "<div>" * 800 + "x" + "</div>" * 800, "&#0;&bogus;&#99999999;", "<article>" + "<p>Some plain words of prose, one after another.</p>" * 20_000 + "</article>", "<title>t"]
-    odd += ["".join(r.choice(["<p>", "</p>", "<div class=ad>", "</div>", "<li>", "<table>", "</td>", "text ", "&amp;", "<br/>", "<a>", "</a>", "'", '"', "<b", ">"]) for _ in range(60)) for _ in range(60)]
+    odd = [
+        None, "", "   ", "plain text, no tags", "<", "<<<p>", "<p", "</div></div>", "<a href='x\">y", "<!-- never closed",
+        "<script>never", "<p>" * 3000, "<div>" * 800 + "x" + "</div>" * 800, "&#0;&bogus;&#99999999;",
+        "<article>" + "<p>Some plain words of prose, one after another.</p>" * 20_000 + "</article>", "<title>t"
+    ]
+    odd += [
+        "".join(
+            r.choice(
+                ["<p>", "</p>", "<div class=ad>", "</div>", "<li>", "<table>", "</td>", "text ", "&amp;", "<br/>", "<a>", "</a>", "'", '"', "<b", ">"]
+            ) for _ in range(60)
+        ) for _ in range(60)
+    ]
     rows = [(i, None if i % 7 == 0 else f"u{i}", h, "t") for i, h in enumerate(odd)] + [(0, "again", odd[3], "t"), (None, None, odd[3], "t")]
     found = extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert len(found) == len(rows) and all(x.n_chars == len(x.text) for x in found)
@@ -227,7 +257,13 @@ def test_extraction_stands_anything(spark):
     assert extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-@pytest.mark.parametrize("wrap", ["<div class='post-body'>%s</div>", "<main>%s</main>", "<div id=content><div>%s</div></div>", "<table><tr><td>%s</table>", "<section class=story>%s</section>"])
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        "<div class='post-body'>%s</div>", "<main>%s</main>", "<div id=content><div>%s</div></div>", "<table><tr><td>%s</table>",
+        "<section class=story>%s</section>"
+    ]
+)
 def test_pages_without_article(wrap):
     """Layouts that the training generator does not write."""
     r = random.Random(4)
@@ -293,7 +329,9 @@ def marked(n=900, seed=6):
 
 def test_toxicity_on_held_out_rows(spark):
     rows, labels = marked()
-    docs = table(spark, rows + [(5000, None, None, None, None, None), (5001, "", None, None, None, None), (None, "Nastyword here", None, None, None, None)])
+    docs = table(
+        spark, rows + [(5000, None, None, None, None, None), (5001, "", None, None, None, None), (None, "Nastyword here", None, None, None, None)]
+    )
     marks = spark.createDataFrame(labels + [(None, 1, 1), (3, 1, None), (4, 1, 0)], "doc_id long, quality int, toxic int")
     found = toxicity.score_documents(docs, toxicity.train(docs, marks)).collect()
     truth = {i: y for i, _, y in labels}
@@ -421,11 +459,16 @@ def test_pseudo_likelihood_learns_both_sides(spark):
     cycle = [f"w{k}" for k in range(12)]
     rows = [(i, " ".join(cycle[(i + k) % 12] for k in range(200)), None, None, None, None) for i in range(300)]
     mixed = [(1000 + i, " ".join(r.sample(rows[i][1].split(), 200)), None, None, None, None) for i in range(20)]
-    docs = table(spark, rows + mixed + [(5000, None, None, None, None, None), (5001, "", None, None, None, None), (5002, "w1", None, None, None, None), rows[0]])
+    docs = table(
+        spark,
+        rows + mixed + [(5000, None, None, None, None, None), (5001, "", None, None, None, None), (5002, "w1", None, None, None, None), rows[0]]
+    )
     found = {x.doc_id: x for x in scoring.score_documents(docs).collect()}
     assert len(found) == 323 and found[5000].n_tokens == 0 and found[5000].pseudo_log_likelihood == 0 and found[5000].mean_log_probability is None
     assert found[0].n_tokens == 200 and found[0].pseudo_log_likelihood == pytest.approx(200 * found[0].mean_log_probability)
-    ordered, shuffled = np.mean([found[i].mean_log_probability for i in range(300)]), np.mean([found[1000 + i].mean_log_probability for i in range(20)])
+    ordered, shuffled = np.mean([found[i].mean_log_probability for i in range(300)]), np.mean(
+        [found[1000 + i].mean_log_probability for i in range(20)]
+    )
     assert ordered > shuffled + 0.5 and ordered > -2.2
 
 
@@ -499,7 +542,11 @@ def test_held_out_text_gets_likelier(spark):
     words_, counts, mass = scoring.vocabulary(seen, scratch)
     net = scoring.train(scoring.tokens(seen, words_), mass, scratch)
     held = scoring.tokens(rest, words_)
-    mean = [scoring.score(held, n, counts, mass, scratch).agg(F.sum("pseudo_log_likelihood") / F.sum("n_tokens")).first()[0] for n in (scoring.Network.start(mass), net)]
+    mean = [
+        scoring.score(held, n, counts, mass, scratch).agg(F.sum("pseudo_log_likelihood") / F.sum("n_tokens")).first()[0] for n in (
+            scoring.Network.start(mass), net
+        )
+    ]
     assert mean[1] > mean[0] + 0.2
 
 
@@ -641,7 +688,10 @@ def test_run_against_brute_force(spark, tmp_path):
         near = rows[40 + k][1].split()
         near[len(near) // 2] = "other"
         rows.append((1200 + k, " ".join(near), "en", "s0", 1))
-    rows += [(1300, words(r, 20) + " " + items[0] + " end", "en", "s1", 1), (1301, "x " + items[1], "en", "s1", 1), (1302, None, None, None, None), (1303, "", "de", "s1", 0), (1304, passage, "en", "s1", 1)]
+    rows += [
+        (1300, words(r, 20) + " " + items[0] + " end", "en", "s1", 1), (1301, "x " + items[1], "en", "s1", 1),
+        (1302, None, None, None, None), (1303, "", "de", "s1", 0), (1304, passage, "en", "s1", 1)
+    ]
     kinds = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame(rows, kinds).write.parquet(str(tmp_path / "documents.parquet"))
     marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
@@ -671,9 +721,15 @@ def test_registered_queries_cover_their_tables(spark):
     n = {t: spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("documents", "pages")}
     n["conversations"] = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id").distinct().count() + 1
     expected = {
-        "op1": ("documents", "doc_id size source_size target taken"), "op3": ("documents", "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept"),
-        "op4": ("documents", "doc_id n_bytes n_removed n_spans kept_sha256"), "op5": ("conversations", "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars"),
-        "op6": ("documents", "doc_id pseudo_log_likelihood"), "op7": ("pages", "page_id payload_bytes payload_digest record_type refers_to"), "op8": ("pages", "page_id url text n_chars"),
+        "op1": ("documents", "doc_id size source_size target taken"), "op3": (
+            "documents", "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept"
+        ),
+        "op4": ("documents", "doc_id n_bytes n_removed n_spans kept_sha256"), "op5": (
+            "conversations", "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars"
+        ),
+        "op6": ("documents", "doc_id pseudo_log_likelihood"), "op7": ("pages", "page_id payload_bytes payload_digest record_type refers_to"), "op8": (
+            "pages", "page_id url text n_chars"
+        ),
         "op9": ("documents", "doc_id held_out score predicted"), "op10": ("documents", "doc_id n_shingles component_id kept"),
     }
     for name, run in queries.queries().items():

@@ -142,7 +142,9 @@ class _Conversation:
 
 def _windows(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["conv_id", "window", "text", "loss", "repeated", "tokens"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["conv_id", "window", "text", "loss", "repeated", "tokens"]
+    )
 
 
 def format_chats(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, count: Callable[[str], int] = word_tokens) -> DataFrame:
@@ -171,7 +173,11 @@ def format_chats(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY,
         yield _windows(rows)
 
     empty = F.lit("")
-    narrow = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), empty).alias("role"), F.coalesce(F.col("text").cast("string"), empty).alias("text"))
+    narrow = turns.select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+        F.coalesce(F.col("role").cast("string"), empty).alias("role"),
+        F.coalesce(F.col("text").cast("string"), empty).alias("text")
+    )
     return narrow.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, WINDOWS)
 
 

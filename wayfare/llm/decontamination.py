@@ -116,7 +116,9 @@ class Seeds:
     def __init__(self, items: list[tuple[int | None, np.ndarray]], short: bool = False):
         self.ids, self.items, self.short = [i for i, _ in items], [w for _, w in items], short
         parts = [(found, np.full(len(found), k), at, m) for k, w in enumerate(self.items) for m, found, at in item_seeds(w, short)]
-        found, item, place = (np.concatenate([p[k] for p in parts]) for k in range(3)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        found, item, place = (np.concatenate([p[k] for p in parts]) for k in range(3)) if parts else (
+            np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        )
         order = np.argsort(found, kind="stable")
         self.hash, self.item, self.place = found[order], item[order].astype(np.int64), place[order].astype(np.int64)
         self.sieve = Sieve(_masks({len(p[3]) for p in parts if p[3] not in MASKS}), SIEVE)
@@ -191,13 +193,17 @@ def _joined(docs: DataFrame, items: DataFrame, short: bool, scratch: Scratch) ->
             np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
         for k in range(0, len(own), STRIP):
             if own[k : k + STRIP].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([own[k : k + STRIP].tobytes()], pa.binary())], ["strip", "data"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k], pa.int64()), pa.array([own[k : k + STRIP].tobytes()], pa.binary())], ["strip", "data"]
+                )
 
     def either(table: pa.Table) -> pa.Table:
         found = np.bitwise_or.reduce([np.frombuffer(x.as_py(), np.uint8) for x in table.column("data")])
         return pa.table({"strip": table.column("strip").slice(0, 1), "data": pa.array([found.tobytes()], pa.binary())})
 
-    strips = items.select(leading.alias("at")).mapInArrow(bits, "strip long, data binary").groupBy("strip").applyInArrow(either, "strip long, data binary")
+    strips = items.select(leading.alias("at")).mapInArrow(bits, "strip long, data binary").groupBy("strip").applyInArrow(
+        either, "strip long, data binary"
+    )
     for r in strips.toLocalIterator():  # 2**LARGE_SIEVE bits, whatever the benchmark
         sieve.table[r.strip : r.strip + STRIP] = np.frombuffer(r.data, np.uint8)
     held = spark.sparkContext.broadcast(sieve)
@@ -211,19 +217,25 @@ def _joined(docs: DataFrame, items: DataFrame, short: bool, scratch: Scratch) ->
             for i, words in hashed_words(batch.column("text")):
                 if found := held.value.passing(words):
                     kept.append(i)
-                    rows.append((row, words.view(np.int64), np.concatenate([x for x, _ in found]).view(np.int64), np.concatenate([x for _, x in found])))
+                    rows.append(
+                        (row, words.view(np.int64), np.concatenate([x for x, _ in found]).view(np.int64), np.concatenate([x for _, x in found]))
+                    )
                     row += 1
             lists = [pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in range(1, 4)]
             at = pa.array(kept, pa.int64())
             columns = [pa.array([r[0] for r in rows], pa.int64()), batch.column("doc_id").take(at), batch.column("text_hash").take(at), *lists]
             yield pa.RecordBatch.from_arrays(columns, ["doc", "doc_id", "text_hash", "words", "seeds", "places"])
 
-    near = scratch.keep(docs.mapInArrow(hits, "doc long, doc_id long, text_hash long, words array<long>, seeds array<long>, places array<long>"), "near")
+    near = scratch.keep(
+        docs.mapInArrow(hits, "doc long, doc_id long, text_hash long, words array<long>, seeds array<long>, places array<long>"), "near"
+    )
     pair = F.explode(F.arrays_zip("seeds", "places"))
     asked = near.select("doc", pair.alias("x")).select("doc", F.col("x.seeds").alias("seed"), F.col("x.places").alias("at"))
     known = items.select("item", pair.alias("x")).select("item", F.col("x.seeds").alias("seed"), F.col("x.places").alias("place"))
     diagonals = asked.join(known, "seed").select("doc", "item", (F.col("at") - F.col("place")).alias("shift")).distinct()
-    rows = diagonals.join(near.select("doc", "doc_id", "text_hash", "words"), "doc").join(items.select("item", "item_id", F.col("words").alias("own")), "item")
+    rows = diagonals.join(near.select("doc", "doc_id", "text_hash", "words"), "doc").join(
+        items.select("item", "item_id", F.col("words").alias("own")), "item"
+    )
     start, skipped = F.greatest("shift", F.lit(0)), F.greatest(-F.col("shift"), F.lit(0))
     part = F.slice("words", (start + 1).cast("int"), F.greatest(F.size("own") - skipped, F.lit(0)).cast("int"))
 
@@ -234,7 +246,10 @@ def _joined(docs: DataFrame, items: DataFrame, short: bool, scratch: Scratch) ->
                 item, words = (np.array(x[i].values, np.int64).view(np.uint64) for x in (own, some))
                 out += [(i, start + lo, start + hi, equal) for lo, hi, equal in spans_on(item, skipped, words, short)]
             at = pa.array([x[0] for x in out], pa.int64())
-            columns = [*(batch.column(c).take(at) for c in ("doc_id", "text_hash", "item_id")), *(pa.array([x[k] for x in out], pa.int64()) for k in (1, 2, 3))]
+            columns = [
+                *(batch.column(c).take(at) for c in ("doc_id", "text_hash", "item_id")),
+                *(pa.array([x[k] for x in out], pa.int64()) for k in (1, 2, 3))
+            ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "item_id", "first_word", "end_word", "equal_words"])
 
     rows = rows.select("doc_id", "text_hash", "item_id", "own", part.alias("part"), start.alias("start"), skipped.alias("skipped"))
@@ -258,7 +273,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, short: bool = False) -> Data
             for i, words in hashed_words(batch.column("text")):
                 found += [(i, *x) for x in table.overlaps(words)]
             at = pa.array([x[0] for x in found], pa.int64())
-            columns = [ids.take(at), pa.array([table.ids[x[1]] for x in found], pa.int64()), *(pa.array([x[k] for x in found], pa.int64()) for k in (2, 3, 4))]
+            columns = [
+                ids.take(at), pa.array([table.ids[x[1]] for x in found], pa.int64()),
+                *(pa.array([x[k] for x in found], pa.int64()) for k in (2, 3, 4))
+            ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "first_word", "end_word", "equal_words"])
 
     return rows.mapInArrow(run, SPAN)
@@ -271,10 +289,14 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text
     table = _broadcast_table(items, short)
     if table is None:
         own = uuid.uuid4().hex[:8]  # names that no column of the input has
-        narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+        narrow = docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")
+        ).withColumn("text_hash", F.xxhash64("text"))
         hit = _joined(narrow, items, short, scratch).select(F.col("doc_id").alias(f"id_{own}"), F.col("text_hash").alias(f"hash_{own}")).distinct()
         hit = scratch.keep(hit, "hit")
-        return docs.join(hit, docs.doc_id.cast("long").eqNullSafe(hit[f"id_{own}"]) & (F.xxhash64(docs[text].cast("string")) == hit[f"hash_{own}"]), "left_anti")
+        return docs.join(
+            hit, docs.doc_id.cast("long").eqNullSafe(hit[f"id_{own}"]) & (F.xxhash64(docs[text].cast("string")) == hit[f"hash_{own}"]), "left_anti"
+        )
     held = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -40,13 +40,27 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is never text of the page.
 SILENT = frozenset("script style template noscript iframe object svg math canvas audio video textarea select button title head datalist".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
-INLINE = frozenset("b i em strong u s small sub sup code font mark abbr cite q time var kbd samp bdi bdo ins del tt big strike acronym dfn label ruby rb rt rp data output wbr img nobr center".split()) - {"center"}
-CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
+INLINE = frozenset(
+    "b i em strong u s small sub sup code font mark abbr cite q time var kbd samp bdi bdo ins del tt big strike acronym dfn label ruby rb rt rp data output wbr img nobr center".split()
+) - {"center"}
+CLOSES_P = frozenset(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
+)
+SAME = {
+    "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
+    "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")
+}
 SCOPE = frozenset("ul ol dl table body html div section article main nav aside header footer form td th blockquote".split())
-TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+TOKEN = re.compile(
+    r"<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
+    re.S
+)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|aria-label|hidden|style|data-y)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-TAGS = [("article",), ("main",), ("section",), ("div",), ("p",), ("h1", "h2", "h3", "h4", "h5", "h6"), ("ul", "ol", "dl", "menu"), ("li", "dt", "dd"), ("table", "tbody", "thead"), ("tr", "td", "th"), ("nav",), ("header",), ("footer",), ("aside",), ("form", "fieldset"), ("figure", "figcaption"), ("blockquote", "pre"), ("a",), ("span",), ("body", "html")]
+TAGS = [
+    ("article",), ("main",), ("section",), ("div",), ("p",), ("h1", "h2", "h3", "h4", "h5", "h6"), ("ul", "ol", "dl", "menu"),
+    ("li", "dt", "dd"), ("table", "tbody", "thead"), ("tr", "td", "th"), ("nav",), ("header",), ("footer",), ("aside",),
+    ("form", "fieldset"), ("figure", "figcaption"), ("blockquote", "pre"), ("a",), ("span",), ("body", "html")
+]
 #: Tokens of class, id and role attributes, by what they stand for.
 TOKENS = {
     "nav": "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager tabs toc skip",
@@ -258,8 +272,12 @@ class Page:
         linked = link / some
         around = (sums[up, 1] - link) / np.maximum(sums[up, 0] - length, 1)
         columns = [
-            size(length, 2000), linked, size(words, 400), marks / np.maximum(words, 1), np.minimum(length / nodes, 500), size(nodes, 40), capitals / nodes, np.minimum(np.array(self.depth), 8),
-            place, total, np.maximum(length / np.maximum(length[up], 1), 0.02), around, linked[up], size(length[up], 2000), np.minimum(words / np.maximum(capitals, 1), 60), above, inside, shady, good, count,
+            size(length, 2000), linked, size(words, 400), marks / np.maximum(words, 1), np.minimum(length / nodes, 500), size(nodes, 40), capitals / nodes, np.minimum(
+                np.array(self.depth), 8
+            ),
+            place, total, np.maximum(length / np.maximum(length[up], 1), 0.02), around, linked[up], size(length[up], 2000), np.minimum(
+                words / np.maximum(capitals, 1), 60
+            ), above, inside, shady, good, count,
         ]
         return np.column_stack([*columns, own, tags]), length
 
@@ -332,7 +350,11 @@ def invented_page(r: random.Random) -> str:
                 t = r.choice(["ul", "ol"])
                 out.append(f"<{t}>" + "".join(f"<li>{words(1, 14)}</li>" for _ in range(r.randint(1, 7))) + f"</{t}>")
             elif k < 0.84:
-                out.append("<table>" + "".join("<tr>" + "".join(f"<td>{words(1, 3)}</td>" for _ in range(3)) + "</tr>" for _ in range(r.randint(1, 5))) + "</table>")
+                out.append(
+                    "<table>" + "".join(
+                        "<tr>" + "".join(f"<td>{words(1, 3)}</td>" for _ in range(3)) + "</tr>" for _ in range(r.randint(1, 5))
+                    ) + "</table>"
+                )
             elif k < 0.89:
                 out.append(f"<blockquote>{prose(1, 2)}</blockquote>")
             elif k < 0.92:
@@ -351,7 +373,11 @@ def invented_page(r: random.Random) -> str:
     def nav() -> str:
         t = r.choice(["nav", "nav", "div", "ul", "header"])
         a = named(TOKENS["nav"]) if t in ("div", "ul") or r.random() < 0.4 else ""
-        return f'<{t}{a} data-y="0">' + (links(2, 9) if t == "ul" else f"<ul>{links(2, 9)}</ul>" if r.random() < 0.8 else " ".join(f'<a href="/">{words(1, 2)}</a>' for _ in range(r.randint(2, 7)))) + f"</{t}>"
+        return f'<{t}{a} data-y="0">' + (
+            links(2, 9) if t == "ul" else f"<ul>{links(2, 9)}</ul>" if r.random() < 0.8 else " ".join(
+                f'<a href="/">{words(1, 2)}</a>' for _ in range(r.randint(2, 7))
+            )
+        ) + f"</{t}>"
 
     def header() -> str:
         t = r.choice(["header", "header", "div"])
@@ -379,7 +405,9 @@ def invented_page(r: random.Random) -> str:
     def comments() -> str:
         t, a = r.choice(["section", "div", "ol", "ul"]), TOKENS["comment"]
         inner = "li" if t in ("ol", "ul") else r.choice(["div", "article", "p"])
-        return f'<{t}{named(a)} data-y="0"><h3>{words(1, 3)}</h3>' + "".join(f"<{inner}{named(a) if r.random() < 0.5 else ''}>{'<b>' + word() + '</b> ' if r.random() < 0.5 else ''}{'<p>' if inner != 'p' else ''}{prose(1, 4)}</{inner}>" for _ in range(r.randint(1, 5))) + f"</{t}>"
+        return f'<{t}{named(a)} data-y="0"><h3>{words(1, 3)}</h3>' + "".join(
+            f"<{inner}{named(a) if r.random() < 0.5 else ''}>{'<b>' + word() + '</b> ' if r.random() < 0.5 else ''}{'<p>' if inner != 'p' else ''}{prose(1, 4)}</{inner}>" for _ in range(r.randint(1, 5))
+        ) + f"</{t}>"
 
     def share() -> str:
         t = r.choice(["div", "ul", "section", "p"])
@@ -461,7 +489,12 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "html", 1 << 20):
             texts = main_texts(batch.column("html").to_pylist(), trees.value)
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                ["page_id", "url", "text", "n_chars"]
+            )
+
+    rows = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")
+    )
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

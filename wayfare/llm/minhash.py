@@ -128,7 +128,9 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes with the sizes of their sets and of the intersection. The text of a comes once for every
     ``GROUP`` members, the members are dealt over these parts, so a hot node is no one task's work."""
     counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).alias("parts"))
-    firsts = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part"), F.lit(False).alias("member"), F.col("a").alias("b"))
+    firsts = counts.select(
+        "a", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part"), F.lit(False).alias("member"), F.col("a").alias("b")
+    )
     members = pairs.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("member"), "b")
     rows = firsts.unionByName(members).join(texts.withColumnRenamed("node", "b"), "b")
     rows = rows.select("a", "part", "member", "b", "text").repartition("a", "part").sortWithinPartitions("a", "part", "member")
@@ -152,7 +154,9 @@ def _other_pivots(many: DataFrame) -> DataFrame:
     """Pairs (a, b): ``PIVOTS`` nodes of each bucket with the bucket's nodes of other components."""
     picks = F.array(*[F.min(F.struct(F.xxhash64("node", "bucket", F.lit(k)).alias("h"), "node", "n", "comp")) for k in range(PIVOTS)])
     chosen = many.groupBy("bucket").agg(picks.alias("p"))
-    chosen = chosen.select("bucket", F.explode("p").alias("p")).select("bucket", F.col("p.node").alias("a"), F.col("p.n").alias("n_a"), F.col("p.comp").alias("comp_a"))
+    chosen = chosen.select("bucket", F.explode("p").alias("p")).select(
+        "bucket", F.col("p.node").alias("a"), F.col("p.n").alias("n_a"), F.col("p.comp").alias("comp_a")
+    )
     met = many.join(chosen, "bucket").where("comp <> comp_a").where(_fits("n", "n_a"))
     return met.select("a", F.col("node").alias("b")).distinct()
 
@@ -202,13 +206,17 @@ def _nodes(sigs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
 
     def grouped(rows: DataFrame) -> DataFrame:
-        found = rows.where("n_shingles > 0").groupBy("node").agg(least.alias("x"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"), F.min("check").alias("c1"), F.max("check").alias("c2"))
+        found = rows.where("n_shingles > 0").groupBy("node").agg(
+            least.alias("x"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"), F.min("check").alias("c1"), F.max("check").alias("c2")
+        )
         return found.select("node", "x.doc_id", "x.text_hash", "n", "bands", "c1", "c2")
 
     nodes = scratch.keep(grouped(sigs), "nodes")
     clash = nodes.where("c1 <> c2").select("node", "c1")
     if not clash.isEmpty():
-        sigs = sigs.join(clash, "node", "left").withColumn("node", F.when(F.col("check") != F.col("c1"), F.xxhash64("node", "check")).otherwise(F.col("node")))
+        sigs = sigs.join(clash, "node", "left").withColumn(
+            "node", F.when(F.col("check") != F.col("c1"), F.xxhash64("node", "check")).otherwise(F.col("node"))
+        )
         sigs = scratch.keep(sigs.drop("c1"), "signatures2")
         nodes = scratch.keep(grouped(sigs), "nodes2")
     return sigs, nodes.drop("c1", "c2")
@@ -240,11 +248,15 @@ def near_duplicates(docs: DataFrame, with_text_hash: bool = False) -> DataFrame:
         several = at.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("c")).where("c1 <> c2")
         return at.join(several.select("bucket", "c"), "bucket")
 
-    near = known.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("d"))
+    near = known.select(
+        F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("d")
+    )
     at = scratch.keep(still_open(comp), "open1")
     few = at.where(f"c <= {SMALL} and node <> pivot").join(near, ["pivot", "node"])
     x, y = (few.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp", "d")]) for s in "xy")
-    cross = x.join(y, "bucket").where("node_x < node_y and comp_x <> comp_y").where(_fits("n_x", "n_y")).where(f"abs(d_x - d_y) <= {1 - PERCENT / 100} + 1e-9")
+    cross = x.join(y, "bucket").where("node_x < node_y and comp_x <> comp_y").where(_fits("n_x", "n_y")).where(
+        f"abs(d_x - d_y) <= {1 - PERCENT / 100} + 1e-9"
+    )
     cross = cross.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
     many = at.where(f"c > {SMALL}")
     cross = scratch.keep(cross.unionByName(_other_pivots(many)).distinct(), "pairs2")
@@ -262,7 +274,10 @@ def near_duplicates(docs: DataFrame, with_text_hash: bool = False) -> DataFrame:
     least = least.join(least.groupBy("comp").agg(F.min("doc_id").alias("least")), "comp").select("node", "least")
     out = sigs.select("doc_id", "text_hash", "n_shingles", "node").join(least, "node", "left")
     comp_id = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", *(["text_hash"] if with_text_hash else []), "n_shingles", comp_id.alias("component_id"), F.col("doc_id").eqNullSafe(comp_id).alias("kept"))
+    return out.select(
+        "doc_id", *(["text_hash"] if with_text_hash else []), "n_shingles", comp_id.alias("component_id"),
+        F.col("doc_id").eqNullSafe(comp_id).alias("kept")
+    )
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

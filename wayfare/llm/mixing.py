@@ -141,7 +141,10 @@ def _exchange(start: np.ndarray, p: np.ndarray, size: np.ndarray, rounds: int =
             break
         other = other[np.argsort(size[other], kind="stable")]
         at = np.searchsorted(size[other], size[taken] - over)
-        pairs = [(abs(over - size[i] + size[other[k]]), int(i), int(other[k])) for i, x in zip(taken, at, strict=True) for k in (x - 1, x) if 0 <= k < len(other)]
+        pairs = [
+            (abs(over - size[i] + size[other[k]]), int(i), int(other[k])) for i,
+            x in zip(taken, at, strict=True) for k in (x - 1, x) if 0 <= k < len(other)
+        ]
         gap, i, j = min(pairs)
         if gap >= abs(over):
             break
@@ -176,7 +179,9 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
 def with_copies(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the mix takes, with all their columns and ``copies``; rows that share doc_id and source
     are one unit and get the same number."""
-    units = docs.select("doc_id", "source", word_count(F.col("text").cast("string")).alias("size")).groupBy("doc_id", "source").agg(F.sum("size").alias("size"))
+    units = docs.select(
+        "doc_id", "source", word_count(F.col("text").cast("string")).alias("size")
+    ).groupBy("doc_id", "source").agg(F.sum("size").alias("size"))
     own = uuid.uuid4().hex[:8]  # names that no column of the input has
     taken = mix_units(units, **options).where("copies > 0").select(*[F.col(c).alias(f"{c}_{own}") for c in ("doc_id", "source", "copies")])
     same = docs.doc_id.cast("long").eqNullSafe(taken[f"doc_id_{own}"]) & docs.source.cast("string").eqNullSafe(taken[f"source_{own}"])
@@ -188,7 +193,9 @@ def mix_units(units: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
     """The mix of units (doc_id, source, size)."""
     spark = units.sparkSession
     scratch = Scratch(spark, "mix")
-    narrow = units.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("size").cast("long").alias("size"))
+    narrow = units.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("size").cast("long").alias("size")
+    )
     narrow = scratch.keep(narrow.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows")), "sizes")
     sizes = narrow.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.sum("rows").alias("n"))
     sizes = scratch.keep(sizes, "sources")
@@ -218,6 +225,11 @@ def mix_units(units: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
         if last:
             break
         left = F.ceil(F.col("n") / F.lit(block)) * (2 + RESERVE)  # the most that blocks leave open
-        units = flown.where("p > 0").withColumn("n", left).withColumn("block", F.pmod(F.xxhash64(F.lit(level), F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("size"), F.col("number")), F.ceil(F.col("n") / F.lit(block))))
+        units = flown.where("p > 0").withColumn("n", left).withColumn(
+            "block",
+            F.pmod(
+                F.xxhash64(F.lit(level), F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("size"), F.col("number")), F.ceil(F.col("n") / F.lit(block))
+            )
+        )
         units, most_n, level = units.select(*keep), (2 + RESERVE) * math.ceil(most_n / block), level + 1
     return done.select("doc_id", "source", "size", "source_size", F.col("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"))

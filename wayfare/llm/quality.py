@@ -53,14 +53,22 @@ def _let(value: Column, body) -> Column:
 
 def _repeat_words(words: Column) -> Column:
     """Words that lie in some 3-word window which occurs twice or more among the words."""
-    windows = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), lambda w, i: F.struct(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")))
+    windows = F.transform(
+        F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), lambda w,
+        i: F.struct(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i"))
+    )
 
     def places(s: Column) -> Column:
         twice = F.filter(s, lambda e, j: (F.get(s, j - 1)["h"] == e["h"]) | (F.get(s, j + 1)["h"] == e["h"]))
         return F.sort_array(F.transform(twice, lambda e: e["i"]))
 
     start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
-    return _let(F.sort_array(windows), lambda s: F.aggregate(places(s), start, lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(3), x - a["last"])).alias("n")), lambda a: a["n"]))
+    return _let(
+        F.sort_array(windows),
+        lambda s: F.aggregate(
+            places(s), start, lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(3), x - a["last"])).alias("n")), lambda a: a["n"]
+        )
+    )
 
 
 def text_statistics(text: Column) -> Column:
@@ -69,7 +77,14 @@ def text_statistics(text: Column) -> Column:
     words = F.regexp_extract_all(text, F.lit(f"[^{SPACES}]+"), F.lit(0))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(f"[^{SPACES}]"))
     return F.struct(
-        _let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.char_length(x)).alias("word_chars"), _repeat_words(w).cast("long").alias("n_repeat_words"))).alias("w"),
+        _let(
+            words,
+            lambda w: F.struct(
+                F.size(w).cast("long").alias("n_words"),
+                F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.char_length(x)).alias("word_chars"),
+                _repeat_words(w).cast("long").alias("n_repeat_words")
+            )
+        ).alias("w"),
         (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
     )
@@ -77,7 +92,10 @@ def text_statistics(text: Column) -> Column:
 
 def base_features(docs: DataFrame) -> DataFrame:
     """doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed of each document."""
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("stratum"), text_statistics(F.col("text").cast("string")).alias("s"))
+    found = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("stratum"),
+        text_statistics(F.col("text").cast("string")).alias("s")
+    )
     found = found.select("doc_id", "stratum", "s.w.n_words", "s.w.word_chars", "s.n_symbols", "s.n_dup_lines", "s.w.n_repeat_words")
     failed = (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * F.col("n_words"))
     return found.withColumn("base_failed", failed)
@@ -128,7 +146,9 @@ def path(patterns: DataFrame, enrich: int = ENRICH) -> DataFrame:
     totals = by_at.groupBy("stratum", "rule").agg(*_by_label("all_bad", "all_none"))
     caught = by_at.where("at > 0").select("stratum", "bad", "rule", F.explode(F.expr("sequence(0, at - 1)")).alias("pos"), "c")
     caught = caught.groupBy("stratum", "rule", "pos").agg(*_by_label("bad", "none"))
-    both = caught.join(totals.withColumnsRenamed({"stratum": "s", "rule": "r"}), F.col("stratum").eqNullSafe(F.col("s")) & (F.col("rule") == F.col("r")))
+    both = caught.join(
+        totals.withColumnsRenamed({"stratum": "s", "rule": "r"}), F.col("stratum").eqNullSafe(F.col("s")) & (F.col("rule") == F.col("r"))
+    )
     worth = both.where((F.col("bad") > 0) & (F.col("bad") * F.col("all_none") >= F.lit(enrich) * F.col("none") * F.col("all_bad")))
     order = Window.partitionBy("stratum").orderBy("none", F.desc("pos"), F.desc("bad"), "rule")
     return worth.select("stratum", "rule", "pos", F.row_number().over(order).alias("step"))
@@ -152,7 +172,9 @@ def tests(patterns: DataFrame, steps: DataFrame, alpha: float = ALPHA, delta: fl
     at = F.create_map(*[x for r in CUTOFFS for x in (F.lit(r), F.col(r))])
     first = F.array_min(F.transform(F.filter("steps", lambda x: F.element_at(at, x["rule"]) > x["pos"]), lambda x: x["step"]))
     hits = good.join(tested.select(F.col("stratum").alias("s"), "steps"), F.col("stratum").eqNullSafe(F.col("s")))
-    hits = hits.select("stratum", first.alias("first"), "c").where("first is not null").groupBy(F.col("stratum").alias("s"), "first").agg(F.sum("c").alias("c"))
+    hits = hits.select("stratum", first.alias("first"), "c").where("first is not null").groupBy(F.col("stratum").alias("s"), "first").agg(
+        F.sum("c").alias("c")
+    )
     rows = tested.select("stratum", "n_good", "strata", F.explode("steps").alias("x")).select("stratum", "n_good", "strata", "x.*")
     rows = rows.join(hits, F.col("stratum").eqNullSafe(F.col("s")) & (F.col("step") == F.col("first")), "left")
     so_far = Window.partitionBy("stratum").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
@@ -192,4 +214,6 @@ def apply_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     hits = F.filter(F.array(*[F.when(v >= F.try_element_at("cuts", F.lit(r)), F.lit(r)) for r, v in _rule_values().items()]), lambda x: x.isNotNull())
     found = found.withColumn("rejected_by", F.coalesce(hits, F.array().cast("array<string>")))
     kept = ~F.col("base_failed") & (F.size("rejected_by") == 0)
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "rejected_by")
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "rejected_by"
+    )

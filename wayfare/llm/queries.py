@@ -90,7 +90,12 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix_sources": op1_mix_sources, "op2_decontaminate": op2_decontaminate, "op4_repeated_passages": op4_repeated_passages, "op5_chat_windows": op5_chat_windows, "op6_pseudo_likelihood": op6_pseudo_likelihood, "op8_main_text": op8_main_text, "op3_quality_rules": op3_quality_rules, "op7_warc": op7_warc, "op9_toxicity": op9_toxicity, "op10_near_duplicates": op10_near_duplicates}
+    return {
+        "op1_mix_sources": op1_mix_sources, "op2_decontaminate": op2_decontaminate,
+        "op4_repeated_passages": op4_repeated_passages, "op5_chat_windows": op5_chat_windows,
+        "op6_pseudo_likelihood": op6_pseudo_likelihood, "op8_main_text": op8_main_text, "op3_quality_rules": op3_quality_rules,
+        "op7_warc": op7_warc, "op9_toxicity": op9_toxicity, "op10_near_duplicates": op10_near_duplicates
+    }
 
 
 def oracle_sql() -> dict[str, str]:

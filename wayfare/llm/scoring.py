@@ -316,11 +316,15 @@ def train(rows: DataFrame, mass: np.ndarray, scratch: Scratch, rounds: int = ROU
     for turn in range(rounds):
         held = spark.sparkContext.broadcast(net.flat)
 
-        learned = dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(_learner(held, turn, rounds), "part int, shard long, n long, data binary")
+        learned = dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(
+            _learner(held, turn, rounds), "part int, shard long, n long, data binary"
+        )
         parts = scratch.keep(learned.where("n > 0"), f"round{turn}-0")
         level, most = 0, shards - 1
         while most:
-            merged = parts.withColumn("up", F.expr(f"shard div {FAN}")).groupBy("part", "up").applyInArrow(_average, "part int, shard long, n long, data binary")
+            merged = parts.withColumn("up", F.expr(f"shard div {FAN}")).groupBy("part", "up").applyInArrow(
+                _average, "part int, shard long, n long, data binary"
+            )
             level, most = level + 1, most // FAN
             parts = scratch.keep(merged, f"round{turn}-{level}")
         blocks = parts.orderBy("part").collect()  # one network
@@ -337,7 +341,10 @@ def _average(table: pa.Table) -> pa.Table:
         piece = np.frombuffer(table.column("data")[i].as_py(), np.float32).astype(np.float64) * (n / total)
         out = piece if out is None else out + piece
     part, up = table.column("part")[0].as_py(), table.column("up")[0].as_py()
-    columns = [pa.array([part], pa.int32()), pa.array([up], pa.int64()), pa.array([total], pa.int64()), pa.array([out.astype(np.float32).tobytes()], pa.binary())]
+    columns = [
+        pa.array([part], pa.int32()), pa.array([up], pa.int64()), pa.array([total], pa.int64()),
+        pa.array([out.astype(np.float32).tobytes()], pa.binary())
+    ]
     return pa.table(columns, names=["part", "shard", "n", "data"])
 
 
@@ -357,16 +364,24 @@ def score(rows: DataFrame, net: Network, counts: DataFrame, mass: np.ndarray, sc
             owner, total = np.repeat(np.arange(len(n)), n), np.zeros(len(n))
             for i in range(0, len(at), 8192):
                 here = at[i : i + 8192]
-                logs = own.log_probability(_context(line, here), line[here]) - np.where(line[here] >= WORDS, whole[np.minimum(line[here], PAD - 1)], 0.0)
+                logs = own.log_probability(_context(line, here), line[here]) - np.where(
+                    line[here] >= WORDS, whole[np.minimum(line[here], PAD - 1)], 0.0
+                )
                 total += np.bincount(owner[i : i + 8192], np.rint(logs * UNIT), len(n))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("n"), pa.array(total.astype(np.int64))], ["row", "doc_id", "n", "total"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), batch.column("doc_id"), batch.column("n"), pa.array(total.astype(np.int64))], ["row", "doc_id", "n", "total"]
+            )
 
     scored = rows.select("row", "doc_id", "n", "ids").mapInArrow(run, "row long, doc_id long, n long, total long")
-    each = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("k"))
+    each = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select(
+        "row", F.col("x.words").alias("word"), F.col("x.times").alias("k")
+    )
     share = F.when(F.col("n") > F.col("k"), F.log(F.col("n") - F.col("k"))).otherwise(F.lit(-float(np.log(UNSEEN))))
     known = each.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     added = known.groupBy("row").agg(F.sum(F.col("k") * F.round(share * UNIT).cast("long")).alias("log"))
-    both = scored.join(added, "row", "left").select("doc_id", F.col("n").alias("n_tokens"), ((F.col("total") + F.coalesce("log", F.lit(0))) / UNIT).alias("pseudo_log_likelihood"))
+    both = scored.join(added, "row", "left").select(
+        "doc_id", F.col("n").alias("n_tokens"), ((F.col("total") + F.coalesce("log", F.lit(0))) / UNIT).alias("pseudo_log_likelihood")
+    )
     return both.withColumn("mean_log_probability", F.when(F.col("n_tokens") > 0, F.col("pseudo_log_likelihood") / F.col("n_tokens")))
 
 

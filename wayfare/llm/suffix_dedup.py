@@ -92,7 +92,9 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
 
 def _joined(held: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.array([len(p) for _, _, p in held])
-    return np.frombuffer(b"".join(p for _, _, p in held), np.uint8), np.concatenate([[0], np.cumsum(sizes)]), np.array([k for k, _, _ in held]), np.array([a for _, a, _ in held])
+    return np.frombuffer(b"".join(p for _, _, p in held), np.uint8), np.concatenate([[0], np.cumsum(sizes)]), np.array([k for k, _, _ in held]), np.array(
+        [a for _, a, _ in held]
+    )
 
 
 def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -138,7 +140,9 @@ def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 def _ordered(table: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """Documents of a chunk in an order that is the same in every step: ids (null: LAST), texts, rows of the table."""
     ids = table.column("doc_id").fill_null(LAST).to_numpy()
-    texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in table.column("text").cast(pa.binary()).combine_chunks()] if table.num_rows else []
+    texts = [
+        x.as_buffer().to_pybytes() if x.is_valid else b"" for x in table.column("text").cast(pa.binary()).combine_chunks()
+    ] if table.num_rows else []
     order = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))
     return ids[order], [texts[i] for i in order], np.array(order, np.int64)
 
@@ -201,8 +205,12 @@ def _send(bits: int):
             cuts = _cuts(names, bits)
             for b in np.flatnonzero(np.diff(cuts)):
                 here = slice(cuts[b], cuts[b + 1])
-                rows.append((int(b), chunk, pack(np.diff(names[here], prepend=np.uint64(0)), forms[here].astype(np.int32), two[here].astype(np.uint8))))
-        return pa.table([pa.array([r[k] for r in rows], (pa.int64(), pa.int64(), pa.binary())[k]) for k in range(3)], names=["bucket", "chunk", "data"])
+                rows.append(
+                    (int(b), chunk, pack(np.diff(names[here], prepend=np.uint64(0)), forms[here].astype(np.int32), two[here].astype(np.uint8)))
+                )
+        return pa.table(
+            [pa.array([r[k] for r in rows], (pa.int64(), pa.int64(), pa.binary())[k]) for k in range(3)], names=["bucket", "chunk", "data"]
+        )
 
     return run
 
@@ -225,7 +233,9 @@ def _judge(table: pa.Table) -> pa.Table:
     code[order] = np.repeat(shared * (1 + hot), chunks_of)
     cuts = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
     data = [pack(code[cuts[i] : cuts[i + 1]]) for i in range(len(chunks))]
-    return pa.table([pa.array(chunks, pa.int64()), pa.array([bucket] * len(chunks), pa.int64()), pa.array(data, pa.binary())], names=["chunk", "bucket", "codes"])
+    return pa.table(
+        [pa.array(chunks, pa.int64()), pa.array([bucket] * len(chunks), pa.int64()), pa.array(data, pa.binary())], names=["chunk", "bucket", "codes"]
+    )
 
 
 def _side(text: bytes, at: int) -> int:
@@ -280,7 +290,12 @@ def _mark(bits: int):
             shift = lo[here] - first[head[c]]
             begin = at[head[c]] + shift
             text = flat[_runs(begin, begin + size)]
-            rows.append((int(b), chunk, pack(key[here], whole[head[c]], size.astype(np.int32), low[c], high[c], c.astype(np.int32), shift.astype(np.int32), text)))
+            rows.append(
+                (
+                    int(b), chunk,
+                    pack(key[here], whole[head[c]], size.astype(np.int32), low[c], high[c], c.astype(np.int32), shift.astype(np.int32), text)
+                )
+            )
         return pa.table([pa.array([r[k] for r in rows], kinds.field(k).type) for k in range(3)], schema=kinds)
 
     return run
@@ -333,7 +348,9 @@ class RunLengthIndex:
                 return  # stretches and end marks are shorter than the last width
             at = self.rows[slots]
             far = at + width
-            key = (rank[at].astype(np.uint64) << np.uint64(32)) | np.where(far < n, rank[np.minimum(far, n - 1)].astype(np.uint64) + np.uint64(1), np.uint64(0))
+            key = (rank[at].astype(np.uint64) << np.uint64(32)) | np.where(
+                far < n, rank[np.minimum(far, n - 1)].astype(np.uint64) + np.uint64(1), np.uint64(0)
+            )
             order = np.argsort(key)
             self.rows[slots], key = at[order], key[order]
             width *= 2
@@ -464,7 +481,9 @@ def _spans(answers: pa.Table, ids: np.ndarray) -> list[list[tuple[int, int]]]:
     new = np.ones(len(lo), bool)
     new[1:] = (line + lo)[1:] > end[:-1]
     starts = np.flatnonzero(new)
-    for i, a, b in zip(number[starts].tolist(), lo[starts].tolist(), (end - line)[np.append(starts[1:] - 1, len(lo) - 1)[: len(starts)]].tolist(), strict=True):
+    for i, a, b in zip(
+        number[starts].tolist(), lo[starts].tolist(), (end - line)[np.append(starts[1:] - 1, len(lo) - 1)[: len(starts)]].tolist(), strict=True
+    ):
         out[i].append((a, b))
     return out
 
@@ -514,10 +533,18 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
         removed = [sum(b - a for a, b in s) for s in found]
         digest = [hashlib.sha256(_rest(t, s) if s else t).hexdigest() for t, s in zip(texts, found, strict=True)]
         pairs = pa.array([[{"start": a, "end": b} for a, b in s] for s in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-        return pa.table([table.column("doc_id").take(pa.array(order)).combine_chunks(), pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array(digest, pa.string()), pairs], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+        return pa.table(
+            [
+                table.column("doc_id").take(pa.array(order)).combine_chunks(), pa.array([len(t) for t in texts], pa.int64()),
+                pa.array(removed, pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array(digest, pa.string()), pairs
+            ],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
+        )
 
     spans = _removed_spans(texts, size)
-    return texts.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+    return texts.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(
+        finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
+    )
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

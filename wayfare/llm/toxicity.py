@@ -12,8 +12,9 @@ in it): without that factor the cosine compares the vocabulary of texts, and the
 
 The index keeps postings by term and example, and the largest weight of each term in each block of ``LANE`` examples (the
 ``FREQUENT`` most frequent terms as full rows, whose sums are known exactly before any block is visited); examples that
-are alike stand in one block (bisection along principal axes of random projections). A query sums these maxima to an upper bound for each block, visits blocks by falling bound, and stops when no block can reach the k-th best
-cosine: the k nearest examples are exact. They vote with weight cosine ** 2. Votes become scores by pooled adjacent
+are alike stand in one block (bisection along principal axes of random projections). A query sums these maxima to an
+upper bound for each block, visits blocks by falling bound, and stops when no block can reach the k-th best cosine: the k
+nearest examples are exact. They vote with weight cosine ** 2. Votes become scores by pooled adjacent
 violators on the calibration fold, where an example of equal vector does not vote, and are interpolated between pools.
 Neighbours are returned as evidence.
 

@@ -80,13 +80,21 @@ def _member(kind: str, name: str, at: int, date: str, fields: list[tuple[str, st
 
 def info_record(name: str, date: str) -> bytes:
     fields = [("WARC-Filename", name), ("Content-Type", "application/warc-fields")]
-    return _member("warcinfo", name, 0, date, fields, b"format: WARC File Format 1.1\r\nconformsTo: http://iipc.github.io/warc-specifications/specifications/warc-format/warc-1.1/\r\n")
+    return _member(
+        "warcinfo", name, 0, date, fields,
+        b"format: WARC File Format 1.1\r\nconformsTo: http://iipc.github.io/warc-specifications/specifications/warc-format/warc-1.1/\r\n"
+    )
 
 
-def record(name: str, at: int, date: str, page_id: int | None, url: str | None, payload: bytes, digest: str, first: tuple[int, str | None] | None) -> bytes:
+def record(
+    name: str, at: int, date: str, page_id: int | None, url: str | None, payload: bytes, digest: str, first: tuple[int, str | None] | None
+) -> bytes:
     """The record of a page at an offset of an archive; ``first``: page_id and url of the response that it revisits."""
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    fields = [("WARC-Target-URI", _header(url or "") or NO_URL), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-ID", "" if page_id is None else str(page_id))]
+    fields = [
+        ("WARC-Target-URI", _header(url or "") or NO_URL), ("WARC-Payload-Digest", f"sha1:{digest}"),
+        ("X-Page-ID", "" if page_id is None else str(page_id))
+    ]
     if first is None:
         body += payload
     else:
@@ -96,7 +104,10 @@ def record(name: str, at: int, date: str, page_id: int | None, url: str | None,
             ("WARC-Refers-To-Date", date),
             ("X-Refers-To-Page-ID", str(first[0])),
         ]
-    fields += [("WARC-Block-Digest", "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()), ("Content-Type", "application/http; msgtype=response")]
+    fields += [
+        ("WARC-Block-Digest", "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()),
+        ("Content-Type", "application/http; msgtype=response")
+    ]
     return _member("response" if first is None else "revisit", name, at, date, fields, body)
 
 
@@ -116,7 +127,9 @@ def _write(root: str, most: int, date: str):
         out, name, at = None, "", 0
         for batch in small_batches(batches, "html"):
             rows = []
-            for page_id, url, html, digest, first, first_url in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "first", "first_url")), strict=True):
+            for page_id, url, html, digest, first, first_url in zip(
+                *(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "first", "first_url")), strict=True
+            ):
                 if out is None or at >= most:
                     if out is not None:
                         out.close()
@@ -142,7 +155,10 @@ def write_archives(pages: DataFrame, root: str, least: int = 0, archive: int = A
     """Writes the records of pages (page_id, url, html) below ``root``; gives a lazy table (key, page_id, file, offset,
     length) whose one evaluation writes them. Keep its result: a second evaluation writes a second set of archives."""
     scratch = Scratch(pages.sparkSession, "warc-groups")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    rows = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
+        F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
+    )
     rows = rows.withColumn("digest", sha1_base32(F.col("html")))
     # Of equal page_ids the least url counts.
     first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("x")
@@ -154,9 +170,13 @@ def write_archives(pages: DataFrame, root: str, least: int = 0, archive: int = A
         rows = rows.join(F.broadcast(groups), rows.digest == groups.g, "left").select("page_id", "url", "html", "digest", "first", "first_url")
     else:
         # Narrow rows meet the groups first; html then moves by its page, so a common payload is no one task's work.
-        known = rows.select("page_id", "digest").where("page_id is not null").distinct().join(groups, F.col("digest") == F.col("g")).select(F.col("page_id").alias("i"), F.col("digest").alias("d"), "first", "first_url")
+        known = rows.select("page_id", "digest").where("page_id is not null").distinct().join(groups, F.col("digest") == F.col("g")).select(
+            F.col("page_id").alias("i"), F.col("digest").alias("d"), "first", "first_url"
+        )
         known = scratch.keep(known, "known")
-        with_id = rows.where("page_id is not null").join(known, (F.col("page_id") == F.col("i")) & (F.col("digest") == F.col("d")), "left").drop("i", "d")
+        with_id = rows.where("page_id is not null").join(
+            known, (F.col("page_id") == F.col("i")) & (F.col("digest") == F.col("d")), "left"
+        ).drop("i", "d")
         without = rows.where("page_id is null").withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int"))
         salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         without = without.join(salted, (without.digest == salted.g) & (without.salt == salted.salt), "left").select(*with_id.columns)
@@ -172,7 +192,13 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def block():
         lines = "\n".join(f"{k}\t{i}\t{f}\t{o}\t{n}" for k, i, f, o, n in held)
-        return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([number], pa.int32()), pa.array([held[0][0]]), pa.array([held[0][1]], pa.int64()), pa.array([zlib.compress(lines.encode(), 6)], pa.binary())], ["range", "block", "first_key", "first_id", "data"])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([current], pa.int32()), pa.array([number], pa.int32()), pa.array([held[0][0]]),
+                pa.array([held[0][1]], pa.int64()), pa.array([zlib.compress(lines.encode(), 6)], pa.binary())
+            ],
+            ["range", "block", "first_key", "first_id", "data"]
+        )
 
     for batch in batches:
         for part, *line in zip(*(batch.column(c).to_pylist() for c in ("range", "key", "id", "file", "offset", "length")), strict=True):
@@ -199,8 +225,15 @@ class CaptureIndex:
         n, self.files = lines.agg(F.count(F.lit(1)), F.greatest(F.count_distinct("file"), F.lit(1))).first()
         self.ranges = max(1, -(-n // range_lines))
         # An empty string and a missing id have places of their own: first and last.
-        dealt = lines.withColumn("id", F.coalesce("page_id", F.lit(NO_ID))).repartitionByRange(self.ranges, "key", "id").withColumn("range", F.spark_partition_id()).sortWithinPartitions("key", "id", "file", "offset")
-        self.blocks = scratch.keep(dealt.select("range", "key", "id", "file", "offset", "length").mapInArrow(_pack, "range int, block int, first_key string, first_id long, data binary"), "blocks")
+        dealt = lines.withColumn("id", F.coalesce("page_id", F.lit(NO_ID))).repartitionByRange(self.ranges, "key", "id").withColumn("range", F.spark_partition_id()).sortWithinPartitions(
+            "key", "id", "file", "offset"
+        )
+        self.blocks = scratch.keep(
+            dealt.select("range", "key", "id", "file", "offset", "length").mapInArrow(
+                _pack, "range int, block int, first_key string, first_id long, data binary"
+            ),
+            "blocks"
+        )
         tops = self.blocks.where("block = 0").select("range", "first_key", "first_id").collect()  # one row for RANGE lines
         self.upper = sorted((r.first_key, r.first_id, r.range) for r in tops)
 
@@ -212,7 +245,9 @@ class CaptureIndex:
             for batch in batches:
                 asked = zip(batch.column("key").to_pylist(), batch.column("id").to_pylist(), strict=True)
                 found = [ranges[max(0, bisect_right(firsts, x) - 1)] for x in asked] if firsts else [0] * batch.num_rows
-                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("id"), batch.column("n"), pa.array(found, pa.int32())], ["key", "id", "n", "range"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("key"), batch.column("id"), batch.column("n"), pa.array(found, pa.int32())], ["key", "id", "n", "range"]
+                )
 
         return queries.mapInArrow(run, "key string, id long, n long, range int")
 
@@ -222,7 +257,9 @@ class CaptureIndex:
         asked = asked.mapInArrow(_keys, "key string, id long").groupBy("key", "id").agg(F.count(F.lit(1)).alias("n"))
 
         def find(queries: pa.Table, blocks: pa.Table) -> pa.Table:
-            directory = sorted(zip(blocks.column("first_key").to_pylist(), blocks.column("first_id").to_pylist(), range(blocks.num_rows), strict=True))
+            directory = sorted(
+                zip(blocks.column("first_key").to_pylist(), blocks.column("first_id").to_pylist(), range(blocks.num_rows), strict=True)
+            )
             firsts, data, opened, out = [x[:2] for x in directory], blocks.column("data"), {}, []
             for key, page in sorted(zip(queries.column("key").to_pylist(), queries.column("id").to_pylist(), strict=True)):
                 at = max(0, bisect_right(firsts, (key, page)) - 1)
@@ -238,9 +275,14 @@ class CaptureIndex:
                     for x in lines[bisect_left(keys, (key, page)) : bisect_right(keys, (key, page))]:
                         out.append((page, x[2], int(x[3]), int(x[4])))
                     at += 1
-            return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["id", "file", "offset", "length"])
+            return pa.table(
+                [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64()))],
+                names=["id", "file", "offset", "length"]
+            )
 
-        return self.place(asked).groupBy("range").cogroup(self.blocks.groupBy("range")).applyInArrow(find, "id long, file string, offset long, length long")
+        return self.place(asked).groupBy("range").cogroup(self.blocks.groupBy("range")).applyInArrow(
+            find, "id long, file string, offset long, length long"
+        )
 
     def fetch(self, captures: DataFrame) -> DataFrame:
         """Range reads of (file, offset, length): page_id, url, record_type, refers_to, payload_digest, payload_bytes and
@@ -273,12 +315,17 @@ class CaptureIndex:
                 source.close()
 
         asked = captures.select("file", "offset", "length").repartition(self.files, "file").sortWithinPartitions("file", "offset")
-        return asked.mapInArrow(read, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload string")
+        return asked.mapInArrow(
+            read, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload string"
+        )
 
 
 def _records(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)],
+        ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"]
+    )
 
 
 def archive_and_read(pages: DataFrame, least: int = 0) -> DataFrame:
