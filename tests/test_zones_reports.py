@@ -222,3 +222,49 @@ def test_ecdf_is_positional(spark):
     df = spark.createDataFrame([(i, 1, v) for i, v in enumerate(values)], "ID long, dest_order int, eu_distance_km double")
     found = sorted((r.distance, r.ecdf) for r in reports.distance_ecdf(df).collect())
     assert found == [(v, pytest.approx((k + 1) / 7)) for k, v in enumerate(sorted(values))]
+
+
+def test_exact_ks_p_values():
+    """Against a count of all interleavings of two small samples."""
+    from itertools import combinations
+
+    from wayfare.operators.reports import ks_p_value
+
+    for n, m in ((3, 4), (5, 5), (2, 7), (1, 6)):
+        found = []
+        for places in combinations(range(n + m), n):
+            a = b = 0
+            worst = 0.0
+            for k in range(n + m):
+                a, b = a + (k in places), b + (k not in places)
+                worst = max(worst, abs(a / n - b / m))
+            found.append(round(worst * n * m))
+        for limit in set(found):
+            share = sum(x >= limit for x in found) / len(found)
+            assert abs(ks_p_value(limit / (n * m), n, m) - share) < 1e-12
+    assert abs(ks_p_value(0.03, 5000, 5000) - ks_p_value(0.03, 5000, 5000, "asymptotic")) < 1e-3
+
+
+def test_shared_folder_is_asked_for_off_local_mode():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from wayfare.storage import shared_folder
+
+    nothing = SimpleNamespace(get=lambda *_: None)
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: nothing)
+    with pytest.raises(RuntimeError):
+        shared_folder(SimpleNamespace(conf=nothing, sparkContext=context))
+
+
+def test_folders_are_removed(spark):
+    import os
+
+    from wayfare import storage
+
+    path = storage.new_folder(spark, "test")
+    storage.write_file(spark, f"{path}/a.txt", b"x")
+    assert os.path.exists(path)
+    storage.remove(spark, path)
+    assert not os.path.exists(path)
