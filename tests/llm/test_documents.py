@@ -498,9 +498,9 @@ def test_near_duplicates(spark):
     assert near(spark, documents()) == brute_near(documents())
 
 
-@pytest.mark.parametrize("pivots", [1, 3])
-def test_large_groups_of_near_copies(spark, monkeypatch, pivots):
-    """Variants whose likeness lies on both sides of the threshold, through lists of pairs and through the prefix filter."""
+@pytest.mark.parametrize("block", [16, 512])
+def test_large_groups_of_near_copies(spark, monkeypatch, block):
+    """Variants whose likeness lies on both sides of the threshold, through lists of pairs and through blocks."""
     r = random.Random(4)
     base_ = words(r, 60).split()
     rows = []
@@ -512,12 +512,14 @@ def test_large_groups_of_near_copies(spark, monkeypatch, pivots):
     expected = brute_near(rows)
     assert near(spark, rows) == expected
     monkeypatch.setattr(minhash, "SMALL", 2)
-    monkeypatch.setattr(minhash, "PIVOTS", pivots)
+    monkeypatch.setattr(minhash, "BLOCK", block)
     assert near(spark, rows) == expected
 
 
-def test_prefix_filter_loses_no_link(spark, monkeypatch):
-    """Candidates come from the prefix filter alone: every bucket is put together, and no pivot links anything."""
+@pytest.mark.parametrize("block", [8, 512])
+def test_blocks_lose_no_link(spark, monkeypatch, block):
+    """Links come from the blocks alone: one bucket holds all nodes, and none is linked before."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
     r = random.Random(14)
     rows, k = [], 0
     for _ in range(12):
@@ -528,12 +530,12 @@ def test_prefix_filter_loses_no_link(spark, monkeypatch):
                 w[at] = f"v{k}x{at}"
             rows.append((k, " ".join(w), None, None, None, None))
             k += 1
-    sets = {i: frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) for i, w in ((x[0], folded(x[1])) for x in rows)}
-    nodes = spark.createDataFrame([(i, i) for i in sets], "node long, comp long")
+    many = spark.createDataFrame([(x[0], -1, x[0]) for x in rows], "node long, pivot long, comp long")
     texts = spark.createDataFrame([(x[0], x[1]) for x in rows], "node long, text string")
-    found = {tuple(sorted(p)) for p in minhash._prefix_pairs(nodes, texts, Scratch(spark, "t")).collect()}
-    linked = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
-    assert linked and linked <= found and len(found) < len(sets) * (len(sets) - 1) / 4
+    links = minhash._between_blocks(many, texts, Scratch(spark, "t"))
+    comp = {x.node: x.comp for x in components(links, Scratch(spark, "t"), "t").collect()}
+    wanted = {k[0]: k[2] for k in brute_near(rows)}
+    assert {x: comp.get(x, x) for x in wanted} == wanted and links.count() < len(rows) * 4
 
 
 def test_rows_without_ids(spark):

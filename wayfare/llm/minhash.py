@@ -12,11 +12,11 @@ Candidates are confirmed on full sets, without all pairs of a group:
 2. in each bucket every node is compared with one node, the smallest of the bucket; links give components;
 3. where a bucket still holds several components, nodes of different components are compared too, as far as sizes allow a
    link. In buckets of up to ``SMALL`` nodes, pairs are listed, unless the triangle inequality of the Jaccard distance to
-   the bucket's smallest node excludes a link. In larger buckets ``PIVOTS`` further nodes are compared with all others,
-   which joins nearly all of a large group of copies. What is left goes through an exact prefix filter: a set's shingles
-   are put in order, the rarest among these nodes first; two sets of similarity 0.75 share one of the first
-   n - ceil(0.75 n) + 1 of each. Nodes meet by these shingles, and only if one of them is outside the shingle's largest
-   component. Nodes of one component need no further comparison: the result would be the same.
+   the bucket's smallest node excludes a link. In larger buckets all nodes are compared with the largest node, too, which
+   joins most of a large group of copies. What is left forms clusters, dealt in blocks of ``BLOCK`` nodes; a task
+   takes the sets of two blocks through an exact prefix filter (a set's shingles in order, the rarest first: two sets of
+   similarity 0.75 share one of the first n - ceil(0.75 n) + 1 of each) and returns only links between components, a
+   spanning forest of them. Nodes of one component need no further comparison: the result would be the same.
 
 So after step 3 every pair that shares a bucket is in one component or was excluded exactly.
 
@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ from .components import components
 SHINGLE, SLOTS, BANDS, ROWS, PERCENT = 5, 1 << 20, 32, 4, 75
 #: Members of a group that are compared with its first node by one task.
 GROUP = 256
-SMALL, PIVOTS = 16, 3
+SMALL, BLOCK = 16, 512
 _state: dict[str, np.ndarray] = {}
 
 
@@ -150,14 +151,10 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("comp"), pa.array(sizes), lists], ["node", "comp", "n", "shingles"])
 
 
-def _other_pivots(many: DataFrame) -> DataFrame:
-    """Pairs (a, b): ``PIVOTS`` nodes of each bucket with the bucket's nodes of other components."""
-    picks = F.array(*[F.min(F.struct(F.xxhash64("node", "bucket", F.lit(k)).alias("h"), "node", "n", "comp")) for k in range(PIVOTS)])
-    chosen = many.groupBy("bucket").agg(picks.alias("p"))
-    chosen = chosen.select("bucket", F.explode("p").alias("p")).select(
-        "bucket", F.col("p.node").alias("a"), F.col("p.n").alias("n_a"), F.col("p.comp").alias("comp_a")
-    )
-    met = many.join(chosen, "bucket").where("comp <> comp_a").where(_fits("n", "n_a"))
+def _largest_pivots(many: DataFrame) -> DataFrame:
+    """Pairs (a, b): the largest node of each bucket with the bucket's nodes of other components."""
+    chosen = many.groupBy("bucket").agg(F.max(F.struct(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))).alias("p"))
+    met = many.join(chosen.select("bucket", "p.*"), "bucket").where("comp <> comp_a").where(_fits("n", "n_a"))
     return met.select("a", F.col("node").alias("b")).distinct()
 
 
@@ -166,22 +163,62 @@ def _fits(x: str, y: str) -> str:
     return f"100 * least({x}, {y}) >= {PERCENT} * greatest({x}, {y})"
 
 
-def _prefix_pairs(nodes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of nodes (node, comp) of different components that share a shingle of their prefixes."""
-    sets = scratch.keep(nodes.join(texts, "node").mapInArrow(_shingle_sets, "node long, comp long, n long, shingles array<long>"), "sets")
-    each = sets.select("node", "comp", "n", F.explode("shingles").alias("shingle"))
-    # A shingle of one component links nothing, but it takes its place in the prefix.
-    holders = each.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("c"))
-    largest = F.max(F.struct("c", F.col("comp").alias("major"))).alias("x")
-    rare = holders.groupBy("shingle").agg(F.sum("c").alias("df"), largest, F.count(F.lit(1)).alias("comps"))
-    ranked = each.join(rare.select("shingle", "df", "x.major", "comps"), "shingle")
-    order = F.sort_array(F.collect_list(F.struct("df", "shingle", "major", "comps")))
-    prefix = F.slice(order, 1, (F.col("n") - F.ceil(F.col("n") * F.lit(PERCENT) / F.lit(100)) + F.lit(1)).cast("int"))
-    heads = ranked.groupBy("node", "comp", "n").agg(prefix.alias("heads")).select("node", "comp", "n", F.explode("heads").alias("h"))
-    heads = scratch.keep(heads.where("h.comps > 1").select("node", "comp", "n", "h.shingle", "h.major"), "heads")
-    minor = heads.where("comp <> major").select("shingle", F.col("node").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a"))
-    met = heads.join(minor, "shingle").where("comp <> comp_a and (comp = major or node > a)").where(_fits("n", "n_a"))
-    return met.select("a", F.col("node").alias("b")).distinct()
+def _between_blocks(many: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between components among the nodes (node, pivot, comp) of large buckets: every two nodes of a cluster
+    of such buckets meet in one task. A node's set is sent once for each block of its cluster."""
+    cluster = components(many.select(F.col("pivot").alias("a"), F.col("node").alias("b")), scratch, "cluster")
+    nodes = many.select("node", "comp").distinct().join(cluster.withColumnRenamed("comp", "cluster"), "node")
+    sets = nodes.select("node", "comp").join(texts, "node").mapInArrow(_shingle_sets, "node long, comp long, n long, shingles array<long>")
+    sets = scratch.keep(sets.select("node", "shingles"), "sets")
+    sizes = nodes.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    dealt = nodes.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.sequence(F.lit(0), F.col("blocks") - 1)
+    meets = F.transform(other, lambda k: F.struct(F.least(F.col("own"), k).alias("i"), F.greatest(F.col("own"), k).alias("j")))
+    rows = dealt.select("cluster", "node", "comp", "own", F.explode(meets).alias("m")).select("cluster", "m.i", "m.j", "own", "node", "comp")
+    return rows.join(sets, "node").groupBy("cluster", "i", "j").applyInArrow(_links_of_blocks, "a long, b long")
+
+
+def _links_of_blocks(table: pa.Table) -> pa.Table:
+    """Links between components of two blocks (or within one), a spanning forest of them."""
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    node, comp, own = (table.column(c).to_numpy() for c in ("node", "comp", "own"))
+    lists = table.column("shingles").combine_chunks()
+    size = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    _, code = np.unique(pc.list_flatten(lists).to_numpy(), return_inverse=True)
+    holder, cuts = np.repeat(np.arange(len(node)), size), np.concatenate([[0], np.cumsum(size)])
+    # Each set in order of how many of these sets hold a shingle; the first ones are its prefix.
+    held = np.bincount(code)
+    code = code[np.lexsort((code, held[code], holder))]
+    length = size - -(-size * PERCENT // 100) + 1
+    head = np.arange(len(code)) - cuts[holder] < length[holder]
+    order = np.argsort(code[head], kind="stable")
+    at, postings = np.searchsorted(code[head][order], np.arange(len(held) + 1)), holder[head][order]
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.get(c, c) != c:
+            root[c] = c = root.get(root[c], root[c])
+        return c
+
+    out, mark = [], np.zeros(len(held), bool)
+    for x in np.flatnonzero(own == i):
+        mine = code[cuts[x] : cuts[x + 1]]
+        near = np.unique(np.concatenate([postings[at[k] : at[k + 1]] for k in mine[: length[x]]]))
+        fits = (100 * np.minimum(size[near], size[x]) >= PERCENT * np.maximum(size[near], size[x])) & (own[near] == j) & (comp[near] != comp[x])
+        near = near[fits & ((near > x) | (i != j))]
+        if not len(near):
+            continue
+        mark[mine] = True
+        for y in near:
+            p, q = find(int(comp[x])), find(int(comp[y]))
+            if p == q:
+                continue
+            shared = int(np.count_nonzero(mark[code[cuts[y] : cuts[y + 1]]]))
+            if 100 * shared >= PERCENT * (size[x] + size[y] - shared):
+                root[max(p, q)] = min(p, q)
+                out.append((int(node[x]), int(node[y])))
+        mark[mine] = False
+    return pa.table([pa.array([r[k] for r in out], pa.int64()) for k in range(2)], names=["a", "b"])
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
@@ -259,16 +296,15 @@ def near_duplicates(docs: DataFrame, with_text_hash: bool = False) -> DataFrame:
     )
     cross = cross.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
     many = at.where(f"c > {SMALL}")
-    cross = scratch.keep(cross.unionByName(_other_pivots(many)).distinct(), "pairs2")
+    cross = scratch.keep(cross.unionByName(_largest_pivots(many)).distinct(), "pairs2")
     links = known.where(_LINKED).select("a", "b")
     if not cross.isEmpty():
         links = links.unionByName(scratch.keep(_verified(cross, held).where(_LINKED).select("a", "b"), "known2"))
         comp = components(links, scratch, "pivots")
         if not many.isEmpty():
-            left = still_open(comp).where(f"c > {SMALL}").select("node", "comp").distinct()
-            last = scratch.keep(_prefix_pairs(left, held, scratch), "pairs3")
-            if not last.isEmpty():
-                links = links.unionByName(scratch.keep(_verified(last, held).where(_LINKED).select("a", "b"), "known3"))
+            left = scratch.keep(still_open(comp).where(f"c > {SMALL}").select("node", "pivot", "comp").distinct(), "open2")
+            if not left.isEmpty():
+                links = links.unionByName(scratch.keep(_between_blocks(left, held, scratch), "known3"))
                 comp = components(links, scratch, "all")
     least = nodes.select("node", "doc_id").join(comp, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     least = least.join(least.groupBy("comp").agg(F.min("doc_id").alias("least")), "comp").select("node", "least")
