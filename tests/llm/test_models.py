@@ -477,8 +477,8 @@ def test_every_word_trains_once(spark, monkeypatch):
     monkeypatch.setattr(scoring, "SHARD", 5000)
     rows = documents()
     scratch = Scratch(spark, "t")
-    words_, _, mass = scoring.vocabulary(table(spark, rows), scratch)
-    scoring.train(scoring.tokens(table(spark, rows), words_), mass, scratch)
+    words_, counts, mass = scoring.vocabulary(table(spark, rows), scratch)
+    scoring.train(scoring.tokens(table(spark, rows), words_, counts), mass, scratch)
     parts = [spark.read.parquet(scratch.path(f"round{k}-0")).where("part = 0").collect() for k in range(scoring.ROUNDS)]
     assert len(parts[0]) > 3
     seen = [sum(x.n for x in p) for p in parts]
@@ -495,8 +495,10 @@ def test_scores_do_not_depend_on_the_split(spark, monkeypatch):
     assert scores(docs.coalesce(1)) == scores(docs.repartition(7, "n_chars"))
 
 
-def test_scores_against_written_out_network(spark):
-    """Ids, the network and the shares of words, one word at a time."""
+@pytest.mark.parametrize("known", [1_000_000, 50])
+def test_scores_against_written_out_network(spark, monkeypatch, known):
+    """Ids, the network and the shares of words, one word at a time; counts by broadcast, and by a join."""
+    monkeypatch.setattr(scoring, "KNOWN", known)
     own = " ".join(f"top{k} top{k} top{k} top{k} top{k} top{k} top{k}" for k in range(scoring.WORDS))
     rare = [f"r{k}" for k in range(2 * scoring.BUCKETS) for _ in range(1 + k % 3)]
     rows = [(1, own, None, None, None, None), (2, " ".join(rare), None, None, None, None)]
@@ -505,7 +507,7 @@ def test_scores_against_written_out_network(spark):
     docs = table(spark, rows)
     scratch = Scratch(spark, "t")
     words_, counts, mass = scoring.vocabulary(docs, scratch)
-    tokens = scoring.tokens(docs, words_)
+    tokens = scoring.tokens(docs, words_, counts)
     net = scoring.train(tokens, mass, scratch)
     found = {x.doc_id: x for x in scoring.score(tokens, net, counts, mass, scratch).collect()}
     assert len(found) == len(rows) and found[None].n_tokens == 0
@@ -540,8 +542,8 @@ def test_held_out_text_gets_likelier(spark):
     seen, rest = rows.where("doc_id % 5 <> 0"), rows.where("doc_id % 5 = 0")
     scratch = Scratch(spark, "t")
     words_, counts, mass = scoring.vocabulary(seen, scratch)
-    net = scoring.train(scoring.tokens(seen, words_), mass, scratch)
-    held = scoring.tokens(rest, words_)
+    net = scoring.train(scoring.tokens(seen, words_, counts), mass, scratch)
+    held = scoring.tokens(rest, words_, counts)
     mean = [
         scoring.score(held, n, counts, mass, scratch).agg(F.sum("pseudo_log_likelihood") / F.sum("n_tokens")).first()[0] for n in (
             scoring.Network.start(mass), net

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
 from ..storage import new_folder, remove, shared_folder
 
 __all__ = ["Scratch", "shared_folder"]
+#: Buckets of a table, at most: beyond, a file holds several values.
+FILES = 1 << 16
 
 
 class Scratch:
@@ -25,6 +29,17 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def keep_bucketed(self, df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+        """Like ``keep``, in buckets of a column: grouping by it needs no further shuffle. More than ``FILES`` buckets share
+        files."""
+        table, files = f"wayfare_{name}_{uuid.uuid4().hex[:12]}", min(buckets, FILES)
+        writer = df.repartition(files, column).write.option("path", self.path(name)).option("compression", "zstd")
+        writer.bucketBy(files, column).sortBy(column).saveAsTable(table)
+        kept = self.spark.table(table)
+        kept.schema  # resolved: the entry in the catalog is no longer needed, its files stay
+        self.spark.sql(f"DROP TABLE {table}")
+        return kept
+
     def drop(self, *names: str) -> None:
         for name in names:
             remove(self.spark, self.path(name))

@@ -38,7 +38,9 @@ MEMBERS = (WORDS + BUCKETS) // CLASSES
 PLACES = (-2, -1, 1, 2)
 BATCH, RATE, ROUNDS, FAN, PARTS = 1024, 0.15, 2, 32, 8
 SHARD = 2_000_000
-UNSEEN = 16
+UNSEEN, KNOWN = 16, 1_000_000
+#: Logarithms are added as whole numbers of 2**-30, so that a sum does not depend on the order of its terms.
+UNIT = float(1 << 30)
 PAD = WORDS + BUCKETS
 
 
@@ -88,7 +90,7 @@ class Network:
 
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log P(target | context) for each row."""
-        order = np.argsort(target, kind="stable")
+        order = np.argsort(target.astype(np.uint16), kind="stable")
         h, cls, rows = self.forward(context[order]), target[order] // MEMBERS, np.arange(len(order))
         cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
         first = h @ self.classes + self.class_bias
@@ -102,7 +104,7 @@ class Network:
     def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One step of stochastic gradient descent on the negative log-probability. A row of a table that n words of the
         batch use moves by their summed gradient over the square root of n."""
-        order = np.argsort(target, kind="stable")
+        order = np.argsort(target.astype(np.uint16), kind="stable")
         context, target = context[order], target[order]
         n, rows = len(target), np.arange(len(target))
         h, cls = self.forward(context), target // MEMBERS
@@ -124,7 +126,7 @@ class Network:
         self.class_bias -= whole * p.sum(0)
         back *= 1 - h * h
         self.hidden -= whole * back.sum(0)
-        used = (context + np.arange(len(PLACES)) * (PAD + 1)).ravel()
+        used = (context + np.arange(len(PLACES)) * (PAD + 1)).ravel().astype(np.uint16)  # sorted by digits
         order = np.argsort(used, kind="stable")
         used = used[order]
         first = np.flatnonzero(np.concatenate([[True], used[1:] != used[:-1]]))
@@ -163,6 +165,30 @@ class Vocabulary:
         return out
 
 
+class Counts:
+    """Corpus counts of the most frequent words: at most ``KNOWN``, all that occur at least as often as some number."""
+
+    def __init__(self, counts: DataFrame, most: int):
+        least, held = 2, 0
+        for r in counts.where("n > 1").groupBy("n").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("n")).toLocalIterator():
+            held += r.c
+            least = r.n
+            if held > most:
+                least = r.n + 1
+                break
+        table = counts.where(F.col("n") >= least).toArrow()  # ``most`` rows of two numbers
+        words, n = (table.column(c).to_numpy() for c in ("word", "n"))
+        order = np.argsort(words.view(np.uint64))
+        self.words, self.n = words.view(np.uint64)[order], n[order]
+
+    def find(self, words: np.ndarray) -> np.ndarray:
+        """Counts, 0 for words that are not held."""
+        if not len(self.words):
+            return np.zeros(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.n[at], 0)
+
+
 def _runs(first: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The numbers first[i] to end[i] - 1 of all i, one after another."""
     n = end - first
@@ -225,10 +251,10 @@ def vocabulary(docs: DataFrame, scratch: Scratch) -> tuple[Vocabulary, DataFrame
     return Vocabulary([r.word for r in top]), counts, mass
 
 
-def tokens(docs: DataFrame, words: Vocabulary) -> DataFrame:
-    """Documents (doc_id, text) to (row, doc_id, n, ids, words, times): ids as two bytes each, and the different words of
-    shared ids with their numbers of times."""
-    held = docs.sparkSession.sparkContext.broadcast(words)
+def tokens(docs: DataFrame, words: Vocabulary, counts: DataFrame) -> DataFrame:
+    """Documents (doc_id, text) to (row, doc_id, n, ids, share, words, times): ids as two bytes each, the sum of logarithms
+    of the known words' shares, and the other words of shared ids with their numbers of times."""
+    held = docs.sparkSession.sparkContext.broadcast((words, Counts(counts, KNOWN)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -238,7 +264,8 @@ def tokens(docs: DataFrame, words: Vocabulary) -> DataFrame:
             texts = [found for _, found in hashed_words(batch.column("text"))]
             n = np.array([len(x) for x in texts], np.int64)
             flat = np.concatenate(texts)
-            ids = held.value.ids(flat)
+            vocabulary, known = held.value
+            ids = vocabulary.ids(flat)
             line = ids.astype(np.uint16).tobytes()
             cuts = 2 * np.concatenate([[0], np.cumsum(n)])
             # The different (text, word) of shared ids, in order of texts.
@@ -250,20 +277,27 @@ def tokens(docs: DataFrame, words: Vocabulary) -> DataFrame:
             new[1:] = (owner[1:] != owner[:-1]) | (word[1:] != word[:-1])
             first = np.flatnonzero(new)
             times = np.diff(np.append(first, len(order)))
-            lists = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[first], minlength=len(n)))]), pa.int32())
+            owner, word = owner[first], word[first]
+            total = known.find(word)
+            logs = np.where(total > times, np.log(np.maximum(total - times, 1)), -np.log(UNSEEN))
+            share = np.zeros(len(n), np.int64)
+            np.add.at(share, owner, np.where(total > 0, times * np.rint(logs * UNIT).astype(np.int64), 0))
+            owner, word, times = owner[total == 0], word[total == 0], times[total == 0]
+            lists = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(n)))]), pa.int32())
             columns = [
                 pa.array(np.arange(row, row + len(n))),
                 batch.column("doc_id"),
                 pa.array(n),
                 pa.array([line[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary()),
-                pa.ListArray.from_arrays(lists, pa.array(word[first].view(np.int64))),
+                pa.array(share),
+                pa.ListArray.from_arrays(lists, pa.array(word.view(np.int64))),
                 pa.ListArray.from_arrays(lists, pa.array(times.astype(np.int32))),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n", "ids", "words", "times"])
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n", "ids", "share", "words", "times"])
             row += len(n)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "row long, doc_id long, n long, ids binary, words array<long>, times array<int>")
+    return rows.mapInArrow(run, "row long, doc_id long, n long, ids binary, share long, words array<long>, times array<int>")
 
 
 def _learn(flat: np.ndarray, shard: pa.Table, turn: int, rounds: int) -> tuple[np.ndarray, int]:
@@ -310,13 +344,14 @@ def train(rows: DataFrame, mass: np.ndarray, scratch: Scratch, rounds: int = ROU
     texts = rows.where("n > 0").groupBy("ids").agg(F.count(F.lit(1)).alias("c"))
     texts = texts.select("ids", F.xxhash64("ids").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("copy"))
     shards = max(1, int(-(-mass.sum() // SHARD)))
-    dealt = scratch.keep(texts.withColumn("shard", F.pmod(F.col("key") + F.col("copy"), F.lit(shards))).repartition(shards, "shard"), "dealt")
+    dealt = texts.withColumn("shard", F.pmod(F.col("key") + F.col("copy"), F.lit(shards)))
+    dealt = scratch.keep_bucketed(dealt, "dealt", "shard", shards)
     if not mass.sum():
         return net
     for turn in range(rounds):
         held = spark.sparkContext.broadcast(net.flat)
 
-        learned = dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(
+        learned = dealt.groupBy("shard").applyInArrow(
             _learner(held, turn, rounds), "part int, shard long, n long, data binary"
         )
         parts = scratch.keep(learned.where("n > 0"), f"round{turn}-0")
@@ -330,6 +365,7 @@ def train(rows: DataFrame, mass: np.ndarray, scratch: Scratch, rounds: int = ROU
         blocks = parts.orderBy("part").collect()  # one network
         if blocks:
             net = Network(np.concatenate([np.frombuffer(r.data, np.float32) for r in blocks]).copy())
+    scratch.drop("dealt")
     return net
 
 
@@ -348,10 +384,6 @@ def _average(table: pa.Table) -> pa.Table:
     return pa.table(columns, names=["part", "shard", "n", "data"])
 
 
-#: Logarithms are added as whole numbers of 2**-30, so that a sum does not depend on the order of its terms.
-UNIT = float(1 << 30)
-
-
 def score(rows: DataFrame, net: Network, counts: DataFrame, mass: np.ndarray, scratch: Scratch) -> DataFrame:
     """Tokenised documents to (doc_id, n_tokens, pseudo_log_likelihood, mean_log_probability), one row each."""
     held = rows.sparkSession.sparkContext.broadcast((net.flat, np.log(mass + 1.0)))  # a fixed number of parameters
@@ -369,10 +401,10 @@ def score(rows: DataFrame, net: Network, counts: DataFrame, mass: np.ndarray, sc
                 )
                 total += np.bincount(owner[i : i + 8192], np.rint(logs * UNIT), len(n))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), batch.column("n"), pa.array(total.astype(np.int64))], ["row", "doc_id", "n", "total"]
+                [batch.column("row"), batch.column("doc_id"), batch.column("n"), pa.array(total.astype(np.int64) + batch.column("share").to_numpy())], ["row", "doc_id", "n", "total"]
             )
 
-    scored = rows.select("row", "doc_id", "n", "ids").mapInArrow(run, "row long, doc_id long, n long, total long")
+    scored = rows.select("row", "doc_id", "n", "ids", "share").mapInArrow(run, "row long, doc_id long, n long, total long")
     each = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select(
         "row", F.col("x.words").alias("word"), F.col("x.times").alias("k")
     )
@@ -389,5 +421,5 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """Trains on all documents and scores all of them."""
     scratch = Scratch(docs.sparkSession, "scoring")
     words, counts, mass = vocabulary(docs, scratch)
-    rows = scratch.keep(tokens(docs, words), "tokens")
+    rows = scratch.keep(tokens(docs, words, counts), "tokens")
     return score(rows, train(rows, mass, scratch), counts, mass, scratch)

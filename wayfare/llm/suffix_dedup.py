@@ -31,7 +31,6 @@ are ignored, and kept by ``remove_repeats``.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +47,6 @@ LENGTH, GRAM, HOT, SIDE = 50, 20, 20_000, 13
 PLACES = LENGTH - GRAM + 1
 CHUNK, BUCKET = 4 << 20, 16 << 20  # bytes of text for each chunk and for each bucket of anchors
 FINER = 2  # the index has 2**FINER times as many buckets
-FILES = 1 << 16  # buckets of the table of texts, at most: beyond, a bucket holds several chunks
 PIECE, INDEX = 1 << 17, 1 << 20  # bytes hashed, and bytes indexed, at a time
 LAST = (1 << 63) - 1
 _STEPS = [np.uint64(x) for x in np.random.default_rng(11).integers(1, 1 << 62, 6) * 2 + 1]
@@ -512,13 +510,7 @@ def _chunked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
     chunks = max(1, -(-size // CHUNK))
     # The place of a row salts the hash: repeated rows are dealt over all chunks.
     chunk = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(chunks)).alias("chunk")
-    table, files = f"wayfare_texts_{uuid.uuid4().hex[:12]}", min(chunks, FILES)
-    rows = docs.select(chunk, "*").repartition(files, "chunk")
-    rows.write.option("path", scratch.path("texts")).option("compression", "zstd").bucketBy(files, "chunk").sortBy("chunk").saveAsTable(table)
-    texts = spark.table(table)
-    texts.schema  # resolved: the entry in the catalog is no longer needed, its files stay
-    spark.sql(f"DROP TABLE {table}")
-    return texts, size
+    return scratch.keep_bucketed(docs.select(chunk, "*"), "texts", "chunk", chunks), size
 
 
 def repeated_bytes(docs: DataFrame) -> DataFrame:
