@@ -97,7 +97,7 @@ def _joined(held: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray,
 
 def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """Runs of windows with one anchor: text number, first window, last window, place of the anchor, anchor hash, hash of
-    the stretch."""
+    the stretch. Least hashes are small numbers: they are hashed again, so that leading bits deal anchors evenly."""
     out = []
     for data, bounds, number, base in _pieces(texts):
         n = len(data)
@@ -128,7 +128,7 @@ def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         whole = mix((total[end] - total[first]) * down[first] + (end - first).astype(np.uint64) * _STEPS[5] + (place - first).astype(np.uint64))
         part = np.searchsorted(bounds, first, "right") - 1
         shift = base[part] - bounds[part]
-        out.append((number[part], first + shift, last + shift, place + shift, gram[place], whole))
+        out.append((number[part], first + shift, last + shift, place + shift, mix(gram[place]), whole))
     if not out:
         none = np.zeros(0, np.int64)
         return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
