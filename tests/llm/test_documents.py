@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 
@@ -64,6 +65,36 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t"), "c").count() == 0
 
 
+def test_components_of_few_edges_take_few_jobs(spark, monkeypatch):
+    from wayfare.llm import components as module
+
+    rng = np.random.default_rng(5)
+    order = rng.permutation(120).tolist()
+    edges = list(zip(order, order[1:], strict=False)) + [(500, 501), (502, 501), (7, 7), (-3, 900)]
+    expected = {**dict.fromkeys(range(120), 0), 500: 500, 501: 500, 502: 500, -3: -3, 900: -3}
+    kept, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: (kept.append(name), keep(self, df, name))[1])
+    for few, most in ((16_384, 2), (60, 99), (0, 99)):  # at once; in rounds first; in rounds only
+        kept.clear()
+        monkeypatch.setattr(module, "FEW", few, raising=False)
+        found = components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t"), "c").collect()
+        assert {r.node: r.comp for r in found} == expected and len(found) == len(expected)
+        assert len(kept) <= most
+
+
+def test_operator_gives_back_memory_of_the_one_before(spark):
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6
+
+    Scratch(spark, "t")
+    held = [bytes(1000 + i % 7) for i in range(300_000)]
+    held = held[::1000]  # what stays keeps the heap from shrinking at its end
+    before = resident()
+    Scratch(spark, "t")
+    assert resident() < before - 150
+
+
 # Mixing
 
 

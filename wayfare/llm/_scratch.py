@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
@@ -14,12 +17,23 @@ __all__ = ["Scratch", "shared_folder"]
 FILES = 1 << 16
 
 
+def release_memory() -> None:
+    """Gives back to the system what this process no longer uses: allocators keep it, and an operator's tables on the
+    driver would count as long as the session lasts."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim:
+        trim(0)
+
+
 class Scratch:
     """Tables of one operator run. ``keep`` writes and rereads a table; ``drop`` removes some that are no longer read,
     ``close`` all of them: call it when the operator's result is not read any more (``storage.remove_all`` closes all)."""
 
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
+        release_memory()
         self.spark, self.root = spark, new_folder(spark, name)
 
     def path(self, name: str) -> str:
