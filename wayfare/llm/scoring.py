@@ -38,6 +38,10 @@ MEMBERS = (WORDS + BUCKETS) // CLASSES
 PLACES = (-2, -1, 1, 2)
 BATCH, RATE, ROUNDS, FAN, PARTS = 1024, 0.15, 2, 32, 8
 SHARD = 2_000_000
+#: Rows of a class that a step multiplies together with those of the other classes.
+TILE = 16
+#: Words scored by one call: their scores stay in a core's cache.
+TOGETHER = 4096
 UNSEEN, KNOWN = 16, 1_000_000
 #: Logarithms are added as whole numbers of 2**-30, so that a sum does not depend on the order of its terms.
 UNIT = float(1 << 30)
@@ -74,29 +78,35 @@ class Network:
         net.member_bias[:] = np.log(by / by.sum(1, keepdims=True))
         return net
 
-    def forward(self, context: np.ndarray) -> np.ndarray:
-        h = self.embed[context[:, 0]] + self.hidden
+    @staticmethod
+    def rows(context: np.ndarray) -> np.ndarray:
+        """The rows of ``embed`` that contexts use, a line for each place."""
+        return context.T + (np.arange(len(PLACES)) * (PAD + 1))[:, None]
+
+    def forward(self, rows: np.ndarray) -> np.ndarray:
+        """Hidden values from ``rows`` of ``embed``."""
+        h = self.embed.take(rows[0], axis=0)
+        h += self.hidden
         for k in range(1, len(PLACES)):
-            h += self.embed[context[:, k] + k * (PAD + 1)]
+            h += self.embed.take(rows[k], axis=0)
         return np.tanh(h, out=h)
 
-    def _members(self, h: np.ndarray, cls: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-        """Scores of the members of each row's class; rows are sorted by class, ``cuts`` are the classes' first rows."""
-        out = np.empty((len(h), MEMBERS), np.float32)
-        for c in np.flatnonzero(np.diff(cuts)):
-            np.matmul(h[cuts[c] : cuts[c + 1]], self.members[c], out=out[cuts[c] : cuts[c + 1]])
-        out += self.member_bias[cls]
-        return out
-
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log P(target | context) for each row."""
         order = np.argsort(target.astype(np.uint16), kind="stable")
-        h, cls, rows = self.forward(context[order]), target[order] // MEMBERS, np.arange(len(order))
+        target = target[order]
+        h, cls, rows = self.forward(self.rows(context[order])), target // MEMBERS, np.arange(len(order))
         cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
-        first = h @ self.classes + self.class_bias
-        logs = first[rows, cls] - _log_sum(first)
-        second = self._members(h, cls, cuts)
-        logs += second[rows, target[order] % MEMBERS] - _log_sum(second)
+        first = h @ self.classes
+        first += self.class_bias
+        second = np.empty((len(h), MEMBERS), np.float32)
+        for c in np.flatnonzero(np.diff(cuts)):
+            here = second[cuts[c] : cuts[c + 1]]
+            np.matmul(h[cuts[c] : cuts[c + 1]], self.members[c], out=here)
+            here += self.member_bias[c]
+        logs = first[rows, cls] + second[rows, target % MEMBERS]
+        logs -= _log_sum(first)
+        logs -= _log_sum(second)
         out = np.empty(len(order))
         out[order] = logs
         return out
@@ -105,46 +115,98 @@ class Network:
         """One step of stochastic gradient descent on the negative log-probability. A row of a table that n words of the
         batch use moves by their summed gradient over the square root of n."""
         order = np.argsort(target.astype(np.uint16), kind="stable")
-        context, target = context[order], target[order]
+        used, target = self.rows(context[order]), target[order]
         n, rows = len(target), np.arange(len(target))
-        h, cls = self.forward(context), target // MEMBERS
+        h, cls = self.forward(used), target // MEMBERS
         cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
-        present = np.flatnonzero(np.diff(cuts))
-        p = _softmax(h @ self.classes + self.class_bias)
+        p = h @ self.classes
+        p += self.class_bias
+        _softmax(p)
         p[rows, cls] -= 1
         back = p @ self.classes.T
-        q = _softmax(self._members(h, cls, cuts))
+        # The first ``TILE`` rows of every class lie in one block of equal tiles, multiplied by one call; a pad is a row of
+        # zeros, its column of ones (the bias) included. The few classes that have more rows take these one by one.
+        within = rows - cuts[cls]
+        tiled = np.flatnonzero(within < TILE)
+        slot = cls[tiled] * TILE + within[tiled]
+        lines = np.zeros((CLASSES * TILE, DIM + 1), np.float32)
+        lines[slot, :DIM], lines[slot, DIM] = h[tiled], 1
+        lines = lines.reshape(CLASSES, TILE, DIM + 1)
+        scores = np.matmul(lines[:, :, :DIM], self.members)
+        scores += self.member_bias[:, None]
+        scores = scores.reshape(-1, MEMBERS)
+        more = np.flatnonzero(np.diff(cuts) > TILE)
+        rest = [slice(cuts[c] + TILE, cuts[c + 1]) for c in more]
+        if len(more):
+            q = np.empty((n, MEMBERS), np.float32)
+            q[tiled] = scores.take(slot, axis=0)
+            for c, here in zip(more, rest, strict=True):
+                np.matmul(h[here], self.members[c], out=q[here])
+                q[here] += self.member_bias[c]
+        else:
+            q = scores.take(slot, axis=0)
+        _softmax(q)
         q[rows, target % MEMBERS] -= 1
-        each = np.float32(rate) / np.sqrt(np.diff(cuts)[present]).astype(np.float32)
-        for c, step in zip(present, each, strict=True):
-            here = slice(cuts[c], cuts[c + 1])
+        scores[slot] = q[tiled]  # pads keep finite scores, which meet zeros
+        tiles = scores.reshape(CLASSES, TILE, MEMBERS)
+        back[tiled] += np.matmul(tiles, self.members.transpose(0, 2, 1)).reshape(-1, DIM).take(slot, axis=0)
+        each = np.float32(rate) / np.sqrt(np.maximum(np.diff(cuts), 1)).astype(np.float32)
+        lines *= each[:, None, None]
+        moved = np.matmul(lines.transpose(0, 2, 1), tiles)
+        for c, here in zip(more, rest, strict=True):
             back[here] += q[here] @ self.members[c].T
-            self.members[c] -= step * (h[here].T @ q[here])
-        self.member_bias[present] -= each[:, None] * np.add.reduceat(q, cuts[present])
+            moved[c, :DIM] += each[c] * (h[here].T @ q[here])
+            moved[c, DIM] += each[c] * q[here].sum(0)
+        self.members -= moved[:, :DIM]
+        self.member_bias -= moved[:, DIM]
         whole = np.float32(rate / np.sqrt(n))
         self.classes -= whole * (h.T @ p)
         self.class_bias -= whole * p.sum(0)
-        back *= 1 - h * h
+        h *= h
+        back *= np.subtract(1, h, out=h)
         self.hidden -= whole * back.sum(0)
-        used = (context + np.arange(len(PLACES)) * (PAD + 1)).ravel().astype(np.uint16)  # sorted by digits
+        used = used.ravel().astype(np.uint16)  # sorted by digits
         order = np.argsort(used, kind="stable")
         used = used[order]
         first = np.flatnonzero(np.concatenate([[True], used[1:] != used[:-1]]))
         times = np.diff(np.append(first, len(used)))
-        moved = np.add.reduceat(back[order // len(PLACES)], first)
+        order %= n
+        moved = back.take(order[first], axis=0)
+        often = times > 1
+        again = times[often]
+        # Only rows used more than once are summed; pairs of numbers are added as one complex number.
+        pairs = back.take(order[np.repeat(often, times)], axis=0).view(np.complex64)
+        if len(again):
+            moved[often] = np.add.reduceat(pairs, np.cumsum(again) - again).view(np.float32)
         moved *= (np.float32(rate) / np.sqrt(times).astype(np.float32))[:, None]
-        self.embed[used[first]] -= moved
+        at = used[first]
+        self.embed[at] = np.subtract(self.embed.take(at, axis=0), moved, out=moved)
+
+
+#: Scores within these bounds need no shift before their exponentials are added.
+PLAIN = 60
+
+
+def _shift(x: np.ndarray) -> np.ndarray | None:
+    """The largest score of each row where some are too large or small for plain exponentials."""
+    return None if x.size and x.max() < PLAIN and x.min() > -PLAIN else x.max(1, keepdims=True)
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
-    top = x.max(1)
-    return top + np.log(np.exp(x - top[:, None]).sum(1))
+    """Logarithms of the sums of exponentials of the rows, which are overwritten."""
+    top = _shift(x)
+    if top is not None:
+        x -= top
+    out = np.log(np.exp(x, out=x).sum(1))
+    return out if top is None else out + top[:, 0]
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
+    top = _shift(x)
+    if top is not None:
+        x -= top
     np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
+    x *= 1 / x.sum(1, keepdims=True)
     return x
 
 
@@ -394,12 +456,12 @@ def score(rows: DataFrame, net: Network, counts: DataFrame, mass: np.ndarray, sc
         for batch in small_batches(batches, "ids", 1 << 20):
             line, at, n = padded(batch.column("ids"))
             owner, total = np.repeat(np.arange(len(n)), n), np.zeros(len(n))
-            for i in range(0, len(at), 8192):
-                here = at[i : i + 8192]
+            for i in range(0, len(at), TOGETHER):
+                here = at[i : i + TOGETHER]
                 logs = own.log_probability(_context(line, here), line[here]) - np.where(
                     line[here] >= WORDS, whole[np.minimum(line[here], PAD - 1)], 0.0
                 )
-                total += np.bincount(owner[i : i + 8192], np.rint(logs * UNIT), len(n))
+                total += np.bincount(owner[i : i + TOGETHER], np.rint(logs * UNIT), len(n))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("doc_id"), batch.column("n"), pa.array(total.astype(np.int64) + batch.column("share").to_numpy())], ["row", "doc_id", "n", "total"]
             )
