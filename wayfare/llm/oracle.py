@@ -81,5 +81,28 @@ j AS (SELECT {columns}, list_filter([{hits}], lambda h: h IS NOT NULL) AS reject
 SELECT {columns}, NOT base_failed AND len(rejected_by) = 0 AS kept, array_to_string(rejected_by, ',') AS rejected_by FROM j"""
 
 
+AUDIT = f"""WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, unnest(regexp_extract_all(t, '{WORD}')) AS w FROM t), n AS (SELECT rid, count(*) AS n, count(DISTINCT w) AS d FROM w GROUP BY rid),
+same AS (SELECT t AS text, min(doc_id) AS first FROM t GROUP BY t),
+l AS (SELECT doc_id AS id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, {{'A': coalesce(n, 0) < 200, 'B': 100 * coalesce(d, 0) < 50 * coalesce(n, 0),
+  'C': 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t), 'D': regexp_matches(t, '[#$%&*|]'),
+  'E': coalesce(doc_id > first, false)}} AS f FROM t LEFT JOIN n ON n.rid = t.rid JOIN same ON same.text = t.t LEFT JOIN l ON l.id = t.doc_id),
+c AS (SELECT part, good, toxic, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: CASE x WHEN 'A' THEN f.A WHEN 'B' THEN f.B WHEN 'C' THEN f.C WHEN 'D' THEN f.D
+  ELSE f.E END) AS fails, count(*) AS n FROM f GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x), o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, CAST(step AS BIGINT), 1) AS own,
+  string_split(substr(filter_order, 1, CAST(step AS BIGINT) - 1), '') AS before FROM o, range(1, 6) r(step)),
+r AS (SELECT part, filter_order, step, own, sum(n) FILTER (WHERE NOT list_contains(fails, own) AND NOT list_has_any(fails, before)) AS kept,
+  sum(n) FILTER (WHERE list_contains(fails, own) AND NOT list_has_any(fails, before)) AS removed,
+  sum(n) FILTER (WHERE list_contains(fails, own) AND list_has_any(fails, before)) AS redundant, sum(n) FILTER (WHERE fails = [own]) AS unique_fails,
+  sum(n) FILTER (WHERE good AND list_contains(fails, own) AND NOT list_has_any(fails, before)) AS good_lost,
+  sum(n) FILTER (WHERE toxic AND list_contains(fails, own) AND NOT list_has_any(fails, before)) AS toxic_lost FROM c, s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT)
+  AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley FROM r"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op3_quality_rules": _quality(), "op7_warc": WARC, "op10_near_duplicates": NEAR}
+    return {"op3_quality_rules": _quality(), "op7_warc": WARC, "op10_near_duplicates": NEAR, "op13_filter_audit": AUDIT}

@@ -89,12 +89,20 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in each of their orders, by language."""
+    from .audit import audit
+
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources, "op2_decontaminate": op2_decontaminate,
         "op4_repeated_passages": op4_repeated_passages, "op5_chat_windows": op5_chat_windows,
         "op6_pseudo_likelihood": op6_pseudo_likelihood, "op8_main_text": op8_main_text, "op3_quality_rules": op3_quality_rules,
-        "op7_warc": op7_warc, "op9_toxicity": op9_toxicity, "op10_near_duplicates": op10_near_duplicates
+        "op7_warc": op7_warc, "op9_toxicity": op9_toxicity, "op10_near_duplicates": op10_near_duplicates,
+        "op13_filter_audit": op13_filter_audit
     }
 
 
