@@ -104,5 +104,19 @@ SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST
   CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley FROM r"""
 
 
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+SEARCH = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}') AS w FROM documents),
+q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}')) AS t
+  FROM benchmark) GROUP BY item_id, t),
+s AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d WHERE len(w) > 0),
+p AS (SELECT rid, any_value(doc_id) AS doc_id, any_value(n) AS n, t, count(*) AS tf FROM (SELECT rid, doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS t FROM d)
+  GROUP BY rid, t),
+f AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, s GROUP BY t, docs),
+x AS (SELECT item_id, rid, any_value(doc_id) AS doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM q JOIN p ON p.t = q.t JOIN f ON f.t = q.t, s GROUP BY item_id, rid)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id
+  ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM x WHERE score > 0) WHERE rank <= 20"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op3_quality_rules": _quality(), "op7_warc": WARC, "op10_near_duplicates": NEAR, "op13_filter_audit": AUDIT}
+    return {"op3_quality_rules": _quality(), "op7_warc": WARC, "op10_near_duplicates": NEAR, "op12_ranked_search": SEARCH, "op13_filter_audit": AUDIT}

@@ -89,6 +89,13 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty documents that score highest for each benchmark item."""
+    from .lexical import search
+
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove in each of their orders, by language."""
     from .audit import audit
@@ -102,7 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_repeated_passages": op4_repeated_passages, "op5_chat_windows": op5_chat_windows,
         "op6_pseudo_likelihood": op6_pseudo_likelihood, "op8_main_text": op8_main_text, "op3_quality_rules": op3_quality_rules,
         "op7_warc": op7_warc, "op9_toxicity": op9_toxicity, "op10_near_duplicates": op10_near_duplicates,
-        "op13_filter_audit": op13_filter_audit
+        "op12_ranked_search": op12_ranked_search, "op13_filter_audit": op13_filter_audit
     }
 
 
