@@ -89,6 +89,13 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their SimHash fingerprint and the component that covering codes find."""
+    from .simhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty documents that score highest for each benchmark item."""
     from .lexical import search
@@ -109,7 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_repeated_passages": op4_repeated_passages, "op5_chat_windows": op5_chat_windows,
         "op6_pseudo_likelihood": op6_pseudo_likelihood, "op8_main_text": op8_main_text, "op3_quality_rules": op3_quality_rules,
         "op7_warc": op7_warc, "op9_toxicity": op9_toxicity, "op10_near_duplicates": op10_near_duplicates,
-        "op12_ranked_search": op12_ranked_search, "op13_filter_audit": op13_filter_audit
+        "op11_simhash": op11_simhash, "op12_ranked_search": op12_ranked_search, "op13_filter_audit": op13_filter_audit
     }
 
 
