@@ -52,6 +52,7 @@ def verdicts(documents: DataFrame, scratch: Scratch) -> DataFrame:
     )
     flags = scratch.keep(flags, "flags")
     first = flags.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = scratch.keep(first, "first")  # both sides of the join are then plain exchanges, which Spark splits where a text is frequent
     flags = flags.join(first, "digest", "left").withColumn("fails_e", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
     flags = flags.select("doc_id", "part", "k1", "k2", "fails_c", "fails_d", "fails_e")
     both = flags.join(word_counts(keyed), ["k1", "k2"], "left")
