@@ -230,9 +230,12 @@ def links(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     # One row for HELD fingerprints at least: of 10^10 fingerprints at most 1.2 million rows, 20 MB.
     parts = scratch.keep(homes.select("anchor", F.ceil(F.col("n") / HELD).cast("int").alias("parts")), "parts")
     rows = rows.join(F.broadcast(parts), "anchor", "left")
-    own = F.when(F.col("visits"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))
-    dealt = rows.select("anchor", "visits", "node", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(own)).alias("part"))
-    sorted_rows = dealt.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "visits")
+    # With several parts, a fingerprint is at home in one of them and visits the others, too.
+    all_parts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+    own = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))
+    dealt = rows.select("anchor", "visits", "node", own.alias("own"), all_parts).withColumn("visits", F.col("visits") | (F.col("part") != F.col("own")))
+    dealt = dealt.select("anchor", "part", "visits", "node").repartition("anchor", "part")
+    sorted_rows = dealt.sortWithinPartitions("anchor", "part", "visits")
     return sorted_rows.mapInArrow(_compared, "a long, b long")
 
 
