@@ -7,6 +7,7 @@ import gc
 import uuid
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
@@ -27,6 +28,19 @@ def release_memory() -> None:
         trim(0)
 
 
+_task = -1
+
+
+def start_of_task() -> None:
+    """For Python functions of plans: gives back what tasks before left in this worker, once at the start of each task.
+    Workers are used again and again, and an executor's memory is that of all of them."""
+    global _task
+    own = TaskContext.get().taskAttemptId()
+    if own != _task:
+        _task = own
+        release_memory()
+
+
 class Scratch:
     """Tables of one operator run. ``keep`` writes and rereads a table; ``drop`` removes some that are no longer read,
     ``close`` all of them: call it when the operator's result is not read any more (``storage.remove_all`` closes all)."""

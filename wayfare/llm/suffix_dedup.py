@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._scratch import Scratch
+from ._scratch import Scratch, start_of_task
 from ._words import _BYTES, _powers, mix
 
 LENGTH, GRAM, HOT, SIDE = 50, 20, 20_000, 13
@@ -187,6 +187,7 @@ def _cuts(anchor: np.ndarray, bits: int) -> np.ndarray:
 def _send(bits: int):
     def run(table: pa.Table) -> pa.Table:
         """The different anchors of a chunk, with their stretches' number of forms and whether two documents have them."""
+        start_of_task()
         chunk = table.column("chunk")[0].as_py()
         ids, texts, _ = _ordered(table)
         number, _, _, _, anchor, whole = stretches(texts)
@@ -215,6 +216,7 @@ def _send(bits: int):
 
 def _judge(table: pa.Table) -> pa.Table:
     """For each chunk's anchors of a bucket: 0 no other document has it, 1 one has, 2 the same of a hot anchor."""
+    start_of_task()
     bucket, chunks = table.column("bucket")[0].as_py(), table.column("chunk").to_pylist()
     parts = [unpack(x.as_py()) for x in table.column("data")]
     anchor = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
@@ -244,6 +246,7 @@ def _mark(bits: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         """The stretches of a chunk whose anchor is shared, each different one once: for the index of a bucket (key >= 0),
         and their places, for the chunk itself (key < 0)."""
+        start_of_task()
         kinds = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("data", pa.binary())])
         if not table.num_rows or not answers.num_rows:
             return kinds.empty_table()
@@ -415,6 +418,7 @@ ANSWERS = pa.schema([("chunk", pa.int64()), ("places", pa.bool_()), ("data", pa.
 def _index(table: pa.Table) -> pa.Table:
     """For each chunk, from the stretches of one bucket: (class, first byte, end, least document) of the runs of windows
     that a smaller document may have. A chunk's places pass through."""
+    start_of_task()
     if table.column("key")[0].as_py() < 0:
         return pa.table([table.column("chunk"), pa.array([True] * table.num_rows), table.column("data")], schema=ANSWERS)
     parts = [unpack(x.as_py()) for x in table.column("data")]
@@ -520,6 +524,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     texts, size = _chunked(rows, scratch)
 
     def finish(table: pa.Table, spans: pa.Table) -> pa.Table:
+        start_of_task()
         ids, texts, order = _ordered(table)
         found = _spans(spans, ids)
         removed = [sum(b - a for a, b in s) for s in found]
@@ -552,6 +557,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     kept = [f for f in plain.schema.fields]
 
     def finish(table: pa.Table, spans: pa.Table) -> pa.Table:
+        start_of_task()
         ids, texts, order = _ordered(table)
         found = _spans(spans, ids)
         new, stay = table.column(at_text).to_pylist(), [True] * len(texts)
