@@ -5,8 +5,11 @@ import collections
 import hashlib
 import html
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -495,6 +498,33 @@ def test_scores_do_not_depend_on_the_split(spark, monkeypatch):
     assert scores(docs.coalesce(1)) == scores(docs.repartition(7, "n_chars"))
 
 
+EXACT = """
+import hashlib, sys
+import numpy as np
+sys.path.insert(0, sys.argv[1])
+from wayfare.llm import scoring
+r = np.random.default_rng(11)
+net = scoring.Network(r.standard_normal(scoring.Network.SIZE).astype(np.float32)).on_grid()
+line = r.integers(0, scoring.PAD, 3000)
+context = np.stack([np.roll(line, -k) for k in scoring.PLACES], axis=1)
+for block in (1, 7, 512, 3000):
+    parts = [net.log_probability(context[i : i + block], line[i : i + block]) for i in range(0, len(line), block)]
+    print(hashlib.sha256(np.concatenate(parts).tobytes()).hexdigest())
+turned = net.log_probability(context[::-1], line[::-1])[::-1]
+print(hashlib.sha256(np.ascontiguousarray(turned).tobytes()).hexdigest())
+"""
+
+
+def test_scores_are_the_same_in_any_block_and_by_any_kernel():
+    flags = open("/proc/cpuinfo").read()
+    kinds = ["Sandybridge", *(["Haswell", "Zen"] if " avx2 " in flags else []), *(["SkylakeX"] if " avx512f " in flags else [])]
+    top, seen = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), set()
+    for kind in kinds:
+        run = subprocess.run([sys.executable, "-c", EXACT, top], env=os.environ | {"OPENBLAS_CORETYPE": kind}, capture_output=True, text=True, check=True)
+        seen |= set(run.stdout.split())
+    assert len(seen) == 1
+
+
 @pytest.mark.parametrize("known", [1_000_000, 50])
 def test_scores_against_written_out_network(spark, monkeypatch, known):
     """Ids, the network and the shares of words, one word at a time; counts by broadcast, and by a join."""

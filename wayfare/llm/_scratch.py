@@ -35,7 +35,8 @@ def start_of_task() -> None:
     """For Python functions of plans: gives back what tasks before left in this worker, once at the start of each task.
     Workers are used again and again, and an executor's memory is that of all of them."""
     global _task
-    own = TaskContext.get().taskAttemptId()
+    context = TaskContext.get()
+    own = context.taskAttemptId() if context else _task  # none outside a task
     if own != _task:
         _task = own
         release_memory()

@@ -10,6 +10,10 @@ shared id by their corpus counts, the document's own occurrences left out: a wor
 times in the document has the share (n - k) / (N + 1) of its id, N being the id's count, and a word that no other
 document has 1 / ((N + 1) * ``UNSEEN``). These counts grow with the corpus and meet the documents' words by a join.
 
+Scores do not depend on how the input is split, nor on the processor's kernels for matrix products: a trained network is
+put on a grid on which sums of products are exact. Training repeats on one kind of processor only; on a cluster of several
+kinds, runs differ in the last digits of the weights.
+
 Training covers the corpus and does not depend on how the input is split: texts are dealt, by a hash of their ids and one
 further for each copy, into shards of about ``SHARD`` words. A shard trains a copy of one starting network on its texts,
 in the order of their hashes; the copies are averaged, weighted by their words, in levels of ``FAN``, block by block of
@@ -41,6 +45,8 @@ SHARD = 2_000_000
 UNSEEN, KNOWN = 16, 1_000_000
 #: Logarithms are added as whole numbers of 2**-30, so that a sum does not depend on the order of its terms.
 UNIT = float(1 << 30)
+#: Steps of one of the scoring network's numbers, and the largest of its weights.
+GRID, LIMIT = float(1 << 20), 32.0
 PAD = WORDS + BUCKETS
 
 
@@ -74,6 +80,14 @@ class Network:
         net.member_bias[:] = np.log(by / by.sum(1, keepdims=True))
         return net
 
+    def on_grid(self) -> Network:
+        """The network with its output layers in whole numbers of 1 / ``GRID``, as float64. With hidden values on the grid,
+        too, a sum of ``DIM`` products needs 52 bits at most: no order, block or processor rounds it differently."""
+        net = Network(self.flat)
+        for name in ("classes", "class_bias", "members", "member_bias"):
+            setattr(net, name, np.clip(np.rint(getattr(self, name).astype(np.float64) * GRID), -LIMIT * GRID, LIMIT * GRID) / GRID)
+        return net
+
     def forward(self, context: np.ndarray) -> np.ndarray:
         h = self.embed[context[:, 0]] + self.hidden
         for k in range(1, len(PLACES)):
@@ -82,20 +96,21 @@ class Network:
 
     def _members(self, h: np.ndarray, cls: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         """Scores of the members of each row's class; rows are sorted by class, ``cuts`` are the classes' first rows."""
-        out = np.empty((len(h), MEMBERS), np.float32)
+        out = np.empty((len(h), MEMBERS), h.dtype)
         for c in np.flatnonzero(np.diff(cuts)):
             np.matmul(h[cuts[c] : cuts[c + 1]], self.members[c], out=out[cuts[c] : cuts[c + 1]])
         out += self.member_bias[cls]
         return out
 
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """log P(target | context) for each row."""
+        """log P(target | context) for each row, of a network ``on_grid``: the same in any block of rows."""
         order = np.argsort(target.astype(np.uint16), kind="stable")
         h, cls, rows = self.forward(context[order]), target[order] // MEMBERS, np.arange(len(order))
+        h = np.rint(h.astype(np.float64) * GRID) / GRID
         cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
-        first = h @ self.classes + self.class_bias
+        first = (h @ self.classes + self.class_bias).astype(np.float32)  # exact, then rounded once
         logs = first[rows, cls] - _log_sum(first)
-        second = self._members(h, cls, cuts)
+        second = self._members(h, cls, cuts).astype(np.float32)
         logs += second[rows, target[order] % MEMBERS] - _log_sum(second)
         out = np.empty(len(order))
         out[order] = logs
@@ -390,18 +405,18 @@ def score(rows: DataFrame, net: Network, counts: DataFrame, mass: np.ndarray, sc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, whole = held.value
-        own = Network(flat)
+        own = Network(flat).on_grid()
         for batch in small_batches(batches, "ids", 1 << 20):
             line, at, n = padded(batch.column("ids"))
-            owner, total = np.repeat(np.arange(len(n)), n), np.zeros(len(n))
+            owner, total = np.repeat(np.arange(len(n)), n), np.zeros(len(n), np.int64)
             for i in range(0, len(at), 8192):
                 here = at[i : i + 8192]
                 logs = own.log_probability(_context(line, here), line[here]) - np.where(
                     line[here] >= WORDS, whole[np.minimum(line[here], PAD - 1)], 0.0
                 )
-                total += np.bincount(owner[i : i + 8192], np.rint(logs * UNIT), len(n))
+                np.add.at(total, owner[i : i + 8192], np.rint(logs * UNIT).astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), batch.column("n"), pa.array(total.astype(np.int64) + batch.column("share").to_numpy())], ["row", "doc_id", "n", "total"]
+                [batch.column("row"), batch.column("doc_id"), batch.column("n"), pa.array(total + batch.column("share").to_numpy())], ["row", "doc_id", "n", "total"]
             )
 
     scored = rows.select("row", "doc_id", "n", "ids", "share").mapInArrow(run, "row long, doc_id long, n long, total long")
