@@ -157,8 +157,7 @@ def _to_segment(x: Column, y: Column):
         dx, dy = b["x"] - a["x"], b["y"] - a["y"]
         t = F.coalesce(((x - a["x"]) * dx + (y - a["y"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
         t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
-        px, py = x - (a["x"] + t * dx), y - (a["y"] + t * dy)
-        return F.sqrt(px * px + py * py)
+        return let(t, lambda t: F.hypot(x - (a["x"] + t * dx), y - (a["y"] + t * dy)))
 
     return distance
 

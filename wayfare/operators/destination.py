@@ -9,8 +9,8 @@ from ..functions import geo
 from ..functions.clock import local_clock, resolve_tz
 from ..functions.contracts import TRIP_CHAIN, InputError
 from ..functions.text import number, standardize_type
+from .spatial import holds, meet, runs, strips, within
 from .trip_chain import first_rows
-from .zones import is_small, near_pairs, size_of, with_bounds
 
 
 def anchored_merge(stops: Column, merge_distance_km: float) -> Column:
@@ -105,7 +105,7 @@ def classify_destinations(
     """Adds dest_type: the standard type of the parcel that holds the point; else of the first parcel within ``buffer_m``;
     else 'road' within ``road_buffer_m`` of a road line; else 'unknown'. Without parcels the type is null.
 
-    Parcels (geometry, ``type_col``) and road segments meet points in grid cells, an equi-join; few are broadcast."""
+    Parcels (geometry, ``type_col``) and roads (lines) are cut into units of a few edges, which meet the points."""
     if parcels is None:
         return destinations.withColumn("dest_type", F.lit(None).cast("string"))
     points = destinations.select(
@@ -113,33 +113,18 @@ def classify_destinations(
     ).where("_x is not null and _y is not null")
     keys = ["ID", "dest_order"]
     ordinal = F.xxhash64(F.to_json(F.struct("geometry"))) if "parcel_id" not in parcels.columns else F.col("parcel_id")
-    shapes = with_bounds(parcels.select("geometry", F.col(type_col).cast("string").alias("_type"), ordinal.alias("_ordinal")), "geometry")
-    few = is_small(*size_of(parcels))
-    held = near_pairs(points, shapes, 0.0, 0.01, few).where(geo.within(F.col("_x"), F.col("_y"), F.col("geometry"))).groupBy(*keys).agg(
-        F.min_by("_type", "_ordinal").alias("_held")
-    )
+    shapes = parcels.select("geometry", F.col(type_col).cast("string").alias("_type"), ordinal.alias("_ordinal"))
+    held = meet(points, strips(shapes, ["_type", "_ordinal"])).where(holds(border=False)).groupBy(*keys).agg(F.min_by("_type", "_ordinal").alias("_held"))
     flat = points.select(*keys, geo.mercator_x(F.col("_x")).alias("_x"), geo.mercator_y(F.col("_y")).alias("_y"))
-    metric = with_bounds(shapes.select(geo.project(F.col("geometry")).alias("geometry"), "_type", "_ordinal"), "geometry")
-    close = near_pairs(flat, metric, buffer_m, 1_000.0, few).where(geo.distance(F.col("_x"), F.col("_y"), F.col("geometry")) <= buffer_m).groupBy(*keys).agg(
-        F.min_by("_type", "_ordinal").alias("_close")
-    )
+    # Of points that no parcel holds, those within reach of a border are those within reach of a parcel.
+    borders = runs(shapes.select(geo.project(F.col("geometry")).alias("geometry"), "_type", "_ordinal"), ["_type", "_ordinal"], F.flatten("geometry"))
+    close = within(meet(flat, borders, buffer_m), buffer_m).groupBy(*keys).agg(F.min_by("_type", "_ordinal").alias("_close"))
     out = destinations.join(held, keys, "left").join(close, keys, "left") if buffer_m > 0 else destinations.join(held, keys, "left").withColumn(
         "_close", F.lit(None).cast("string")
     )
     if roads is not None:
-        segments = roads.select(F.explode(geo.project_lines(F.col("lines"))).alias("line")).select(
-            F.explode(
-                F.arrays_zip(F.expr("slice(line, 1, size(line) - 1)").alias("a"), F.expr("slice(line, 2, size(line) - 1)").alias("b"))
-            ).alias("s")
-        )
-        boxed = segments.select(
-            F.array(F.array(F.col("s.a"), F.col("s.b"))).alias("lines"), F.least("s.a.x", "s.b.x").alias("_x1"),
-            F.least("s.a.y", "s.b.y").alias("_y1"), F.greatest("s.a.x", "s.b.x").alias("_x2"),
-            F.greatest("s.a.y", "s.b.y").alias("_y2")
-        )
-        beside = near_pairs(flat, boxed, road_buffer_m, 500.0, False).where(
-            geo.line_distance(F.col("_x"), F.col("_y"), F.col("lines")) < road_buffer_m
-        ).select(*keys).distinct().withColumn("_road", F.lit("road"))
+        beside = meet(flat, runs(roads.select(geo.project_lines(F.col("lines")).alias("lines")), [], F.col("lines")), road_buffer_m)
+        beside = within(beside, road_buffer_m).where(F.col("_d") < road_buffer_m).select(*keys).distinct().withColumn("_road", F.lit("road"))
         out = out.join(beside, keys, "left")
     else:
         out = out.withColumn("_road", F.lit(None).cast("string"))

@@ -9,52 +9,35 @@ from ..functions import geo
 from ..functions.clock import local_clock, resolve_tz, seconds_between
 from ..functions.text import number
 from .intervals import run_array
-from .zones import is_small, near_pairs, size_of, with_bounds
+from .spatial import constant, holds, meet, runs, strips, within
+from .zones import boxed, near_box
 
 MILES = 0.000621371
-#: Vertices of all zones up to which their shapes are written into the plan.
-PLAN_VERTICES = 400
-
-
-def outside_zones(x: Column, y: Column, zones: DataFrame, buffer_m: float) -> Column:
-    """Whether a Web-Mercator point lies at ``buffer_m`` or farther from every zone; true for a missing point. ``zones`` are
-    a small set (checked by the caller), put into the plan as a constant."""
-    shapes = []
-    for row in zones.select(geo.project(F.col("geometry")).alias("g")).collect():  # ``PLAN_VERTICES`` points at most
-        points = [p for polygon in row.g for ring in polygon for p in ring]
-        if points:
-            shape = F.array(
-                *[
-                    F.array(
-                        *[F.array(*[F.struct(F.lit(p.x).alias("x"), F.lit(p.y).alias("y")) for p in ring]) for ring in polygon]
-                    ) for polygon in row.g
-                ]
-            )
-            shapes.append((shape, min(p.x for p in points), max(p.x for p in points), min(p.y for p in points), max(p.y for p in points)))
+
+
+def outside_zones(x: Column, y: Column, zones: Column, buffer_m: float) -> Column:
+    """Whether a Web-Mercator point lies at ``buffer_m`` or farther from every zone; true for a missing point. ``zones``: a
+    constant array (flat, flat_box)."""
 
     def near(p: Column) -> Column:
-        found = F.lit(False)
-        for shape, x1, x2, y1, y2 in shapes:
-            box = (p["x"] >= x1 - buffer_m) & (p["x"] <= x2 + buffer_m) & (p["y"] >= y1 - buffer_m) & (p["y"] <= y2 + buffer_m)
-            found = found | F.when(box, geo.distance(p["x"], p["y"], shape) < buffer_m).otherwise(False)
-        return found
+        close = lambda z: F.when(near_box(p, z["flat_box"], buffer_m), geo.distance(p["x"], p["y"], z["flat"]) < buffer_m).otherwise(False)
+        return F.exists(zones, close)
 
     # The point is computed once for each row, not once for each segment that it is compared with.
-    return F.coalesce(~geo.let(F.struct(x.alias("x"), y.alias("y")), near), F.lit(True))
+    return F.when(x.isNotNull() & y.isNotNull(), ~geo.let(F.struct(x.alias("x"), y.alias("y")), near)).otherwise(True)
 
 
 def mark_outside(rows: DataFrame, x: str, y: str, zones: DataFrame, buffer_m: float) -> DataFrame:
-    """Adds is_outside_zone. A few simple zones become part of the plan; others meet the distinct points in grid cells (an
-    equi-join), which serves perimeters of any number and length."""
-    n, vertices = size_of(zones)
-    if vertices <= PLAN_VERTICES:
-        return rows.withColumn("is_outside_zone", outside_zones(F.col(x), F.col(y), zones, buffer_m))
-    flat = with_bounds(zones.select(geo.project(F.col("geometry")).alias("geometry")), "geometry")
+    """Adds is_outside_zone. A few simple zones become part of the plan; the strips and edges of others meet the distinct
+    points, which serves perimeters of any number and length."""
+    few = constant(boxed(zones.select("geometry")).select("geometry", "flat", "flat_box"))
+    if few is not None:
+        return rows.withColumn("is_outside_zone", outside_zones(F.col(x), F.col(y), few, buffer_m))
+    flat = zones.select(geo.project(F.col("geometry")).alias("geometry"))
     points = rows.select(F.col(x).alias("_x"), F.col(y).alias("_y")).where("_x is not null and _y is not null").distinct()
-    close = near_pairs(points, flat, buffer_m, max(buffer_m, 1_000.0), is_small(n, vertices)).where(
-        geo.distance(F.col("_x"), F.col("_y"), F.col("geometry")) < buffer_m
-    )
-    close = close.select("_x", "_y", F.lit(False).alias("_outside")).distinct()
+    held = meet(points, strips(flat, [])).where(holds(border=True)).select("_x", "_y") if buffer_m > 0 else points.limit(0)
+    close = within(meet(points, runs(flat, [], F.flatten("geometry")), buffer_m), buffer_m).where(F.col("_d") < buffer_m).select("_x", "_y")
+    close = held.unionByName(close).distinct().withColumn("_outside", F.lit(False))
     found = rows.join(close, (F.col(x) == F.col("_x")) & (F.col(y) == F.col("_y")), "left")
     return found.withColumn("is_outside_zone", F.coalesce("_outside", F.lit(True))).drop("_x", "_y", "_outside")
 
@@ -156,4 +139,4 @@ def unique_devices(pings: DataFrame) -> DataFrame:
     return pings.agg(F.count_distinct("ID").alias("n_devices"))
 
 
-__all__ = ["compute_stops", "impute_distance", "infer_metrics", "mark_outside", "outside_zones", "resident_category", "unique_devices", "with_bounds"]
+__all__ = ["compute_stops", "impute_distance", "infer_metrics", "mark_outside", "outside_zones", "resident_category", "unique_devices"]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clock, contracts, geo, text
-from ..operators import behavior, clustering, departure, destination, homes, intervals, reports, residents, routes, trip_chain
+from ..operators import behavior, clustering, departure, destination, homes, intervals, reports, residents, routes, spatial, trip_chain
 from ..operators import zones as zoning
 from ..sources import readers, vector
 from ..streaming import clusters
@@ -269,6 +269,33 @@ def stops_among_many_zones(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("ID", at("stop_date"), r6("dist_meters", digits=2), r6("eu_distance"), "is_outside_zone", "ZoneType")
 
 
+@query
+def nearest_zone(spark: SparkSession, sf: str) -> DataFrame:
+    return zoning.nearest_zones(fx.homes(spark, sf), fx.zones(spark, sf)).select("ID", "zoneId", r6("zone_meters", digits=2))
+
+
+@query
+def perimeter_pings(spark: SparkSession, sf: str) -> DataFrame:
+    """Pings within perimeters of up to 100,000 vertices, cut into strips."""
+    points = fx.pings(spark, sf).select("event_id", F.col("longitude").alias("_x"), F.col("latitude").alias("_y"))
+    found = spatial.meet(points, spatial.strips(fx.perimeters(spark, sf), ["perimeter"])).where(spatial.holds(border=True))
+    return found.groupBy("event_id").agg(F.count(F.lit(1)).alias("perimeters"), F.min("perimeter").alias("first"))
+
+
+@query
+def crowded_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Points of which nine in ten stand at one place, with the parts' rectangles that hold or nearly hold them: leaves of a
+    quad tree, split by load."""
+    points = fx.view(spark, sf, fx.CROWD, "events")
+    shapes = fx.view(spark, sf, fx.LOTS, "part").select("lot", geo.rectangle(*(F.col(c) for c in ("xmin", "ymin", "xmax", "ymax"))).alias("geometry"))
+    held = spatial.meet(points, spatial.strips(shapes, ["lot"]), few=False).where(spatial.holds(border=True)).select("event_id", "lot", F.lit(0.0).alias("_d"))
+    near = spatial.within(spatial.meet(points, spatial.runs(shapes, ["lot"], F.flatten("geometry")), 0.02, few=False), 0.02)
+    both = held.unionByName(near.select("event_id", "lot", "_d")).groupBy("event_id", "lot").agg(F.min("_d").alias("d"))
+    return both.groupBy("event_id").agg(
+        F.count(F.lit(1)).alias("lots"), F.count_if(F.col("d") == 0).alias("holding"), r6(F.sum("d"), "distances")
+    )
+
+
 @query
 def impute_ffill(spark: SparkSession, sf: str) -> DataFrame:
     rows = fx.table(spark, sf, "events").select(

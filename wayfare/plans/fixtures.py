@@ -41,6 +41,18 @@ RECORDS = """SELECT o_orderkey AS ID, c_mktsegment AS segment, o_orderpriority A
     WHEN 5 THEN 'WAREHOUSE' WHEN 6 THEN NULL WHEN 7 THEN 'zoo' ELSE 'Highway 5' END AS UseType
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey"""
 
+#: Vertices (perimeter, k, x, y) of perimeters: a jagged line of up to 100,000 events above a straight base.
+PERIMETERS = """SELECT event_id DIV 100000 AS perimeter, event_id % 100000 AS k, -118.510013e0 + (event_id % 100000) * 4e-5 AS x,
+  34.2e0 + (event_id * 7919 % 1000) * 1e-4 AS y FROM {events}"""
+
+#: Nine in ten events within a ten-thousandth of a degree, the others anywhere in a degree.
+CROWD = """SELECT event_id, CASE WHEN event_id % 10 < 9 THEN 5e-1 + (event_id % 97) * 1e-6 ELSE (event_id * 7919 % 10007) / 10007e0 END AS _x,
+  CASE WHEN event_id % 10 < 9 THEN 5e-1 + (event_id % 89) * 1e-6 ELSE (event_id * 104729 % 10009) / 10009e0 END AS _y FROM {events}"""
+
+#: A rectangle for each part, of many sizes, some very wide.
+LOTS = """SELECT p_partkey AS lot, xmin, ymin, xmin + (p_partkey % 13 + 1) * 1e-3 + CASE WHEN p_partkey % 50 = 0 THEN 6e-1 ELSE 0e0 END AS xmax,
+  ymin + (p_partkey % 7 + 1) * 1e-3 AS ymax FROM (SELECT p_partkey, (p_partkey * 7907 % 9973) / 9973e0 AS xmin, (p_partkey * 6007 % 9949) / 9949e0 AS ymin FROM {part}) AS p"""
+
 #: Roads as segments (x1, y1, x2, y2): two parallels and a meridian.
 ROADS = [(-118.6, 34.1402, -118.0, 34.1402), (-118.6, 34.2601, -118.0, 34.2601), (-118.3003, 33.9, -118.3003, 34.6)]
 
@@ -73,5 +85,15 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def perimeters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed rings of the vertices, with two corners below."""
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    rows = view(spark, sf_dir, PERIMETERS, "events").groupBy("perimeter").agg(F.sort_array(F.collect_list(F.struct("k", "x", "y"))).alias("v"))
+    line = F.transform("v", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    first, last = F.element_at("v", 1), F.element_at("v", -1)
+    ring = F.concat(line, F.array(corner(last["x"], F.lit(33.9)), corner(first["x"], F.lit(33.9)), corner(first["x"], first["y"])))
+    return rows.select("perimeter", F.array(F.array(ring)).alias("geometry"))
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, RECORDS, "orders", "customer")

@@ -392,6 +392,23 @@ def _reports() -> dict[str, str]:
             f"WITH {STOPS} SELECT ID, {_t('datetime', 'stop_date')}, round(dm, 2) AS dist_meters, round(dm * 0.000621371e0, 6) AS eu_distance, "
             f"outside AS is_outside_zone, ZoneType FROM stops"
         ),
+        "nearest_zone": f"""WITH h AS ({HOMES}), z AS ({fx.ZONES}), d AS (SELECT ID, zoneId, {_rect(_x('home_lon_4326'), _y('home_lat_4326'))} AS d,
+            row_number() OVER (PARTITION BY ID ORDER BY {_rect(_x('home_lon_4326'), _y('home_lat_4326'))}, zoneId) AS q FROM h, z)
+          SELECT ID, zoneId, round(d, 2) AS zone_meters FROM d WHERE q = 1""",
+        "perimeter_pings": f"""WITH v AS ({fx.PERIMETERS.format(events='events').replace(' DIV ', ' // ')}), n AS (SELECT perimeter, max(k) AS k FROM v GROUP BY perimeter),
+          ring AS (SELECT perimeter, k, x, y FROM v UNION ALL SELECT v.perimeter, n.k + 1, x, 33.9e0 FROM v JOIN n ON n.perimeter = v.perimeter AND n.k = v.k
+            UNION ALL SELECT v.perimeter, n.k + 2, x, 33.9e0 FROM v JOIN n ON n.perimeter = v.perimeter WHERE v.k = 0
+            UNION ALL SELECT v.perimeter, n.k + 3, x, y FROM v JOIN n ON n.perimeter = v.perimeter WHERE v.k = 0),
+          e AS (SELECT * FROM (SELECT perimeter, x AS ax, y AS ay, lead(x) OVER (PARTITION BY perimeter ORDER BY k) AS bx,
+            lead(y) OVER (PARTITION BY perimeter ORDER BY k) AS by_ FROM ring) WHERE bx IS NOT NULL), p AS ({P}),
+          c AS (SELECT event_id, perimeter, count(*) AS n FROM p JOIN e ON (latitude < ay) <> (latitude < by_)
+            AND longitude < (bx - ax) * (latitude - ay) / (by_ - ay) + ax GROUP BY event_id, perimeter)
+          SELECT event_id, count(*) AS perimeters, min(perimeter) AS first FROM c WHERE n % 2 = 1 GROUP BY event_id""",
+        "crowded_cells": f"""WITH p AS ({fx.CROWD.format(events='events')}), s AS ({fx.LOTS.format(part='part')}), d AS (SELECT event_id,
+            greatest(xmin - _x, 0, _x - xmax) AS dx, greatest(ymin - _y, 0, _y - ymax) AS dy FROM p JOIN s
+            ON _x >= xmin - 0.021 AND _x <= xmax + 0.021 AND _y >= ymin - 0.021 AND _y <= ymax + 0.021)
+          SELECT event_id, count(*) AS lots, count(*) FILTER (WHERE dx = 0 AND dy = 0) AS holding, round(sum(sqrt(dx * dx + dy * dy)), 6) AS distances
+          FROM d WHERE sqrt(dx * dx + dy * dy) <= 0.02 GROUP BY event_id""",
         "impute_ffill": (
             "SELECT event_id, round(coalesce(last_value(d IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, "
             "event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0), 6) AS d FROM (SELECT *, avg(CASE WHEN d IS NULL THEN 1.0 "
