@@ -107,22 +107,27 @@ def runs(shapes: DataFrame, keep: list[str], rings: Column) -> DataFrame:
     lines."""
     lines = shapes.select(*keep, F.explode(rings).alias("_ring")).select(*keep, ring_edges(F.col("_ring")).alias("_edges")).where(F.size("_edges") > 0)
     pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size("_edges") - 1) / RUN).cast("int")), lambda i: F.slice("_edges", i * RUN + 1, F.lit(RUN)))
-    return _bounded(lines.select(*keep, F.explode(pieces).alias("edges")))
+    units = _bounded(lines.select(*keep, F.explode(pieces).alias("edges")))
 
+    def ready(e: Column) -> Column:
+        """An edge by its start, direction and squared length: what every distance needs is computed once for each edge."""
+        dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
+        q = F.coalesce(F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(1.0))
+        return F.struct(e["ax"].alias("ax"), e["ay"].alias("ay"), dx.alias("dx"), dy.alias("dy"), q.alias("q"))
 
-def _to_edge(x: Column, y: Column, e: Column) -> Column:
+    return units.withColumn("edges", F.transform("edges", ready))
+
+
+def _to_edge(x: Column, y: Column, ax: Column, ay: Column, dx: Column, dy: Column, q: Column) -> Column:
     """Distance of a point to an edge."""
-    dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
-    t = F.coalesce(((x - e["ax"]) * dx + (y - e["ay"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
-    t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
-    px, py = x - (e["ax"] + t * dx), y - (e["ay"] + t * dy)
-    return F.sqrt(px * px + py * py)
+    t = F.least(F.greatest(((x - ax) * dx + (y - ay) * dy) / q, F.lit(0.0)), F.lit(1.0))
+    return F.hypot(x - (ax + t * dx), y - (ay + t * dy))
 
 
 def within(met: DataFrame, reach: float, x: str = "_x", y: str = "_y") -> DataFrame:
     """Points that met units of ``runs``, a row for each edge at most ``reach`` away, and the distance (_d)."""
     each = met.withColumn("_e", F.explode("edges")).drop("edges")  # a row an edge: compiled code instead of a loop in an expression
-    return each.withColumn("_d", _to_edge(F.col(x), F.col(y), F.col("_e"))).where(F.col("_d") <= reach).drop("_e")
+    return each.withColumn("_d", _to_edge(F.col(x), F.col(y), *[F.col(f"_e.{c}") for c in ("ax", "ay", "dx", "dy", "q")])).where(F.col("_d") <= reach).drop("_e")
 
 
 def holds(border: bool, x: str = "_x", y: str = "_y") -> Column:
@@ -131,7 +136,9 @@ def holds(border: bool, x: str = "_x", y: str = "_y") -> Column:
 
     def touched(e: Column) -> Column:
         beside = px.between(F.least(e["ax"], e["bx"]), F.greatest(e["ax"], e["bx"])) & py.between(F.least(e["ay"], e["by"]), F.greatest(e["ay"], e["by"]))
-        return F.when(beside, _to_edge(px, py, e) == 0).otherwise(False)
+        dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
+        q = F.coalesce(F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(1.0))
+        return F.when(beside, _to_edge(px, py, e["ax"], e["ay"], dx, dy, q) == 0).otherwise(False)
 
     def crossed(e: Column) -> Column:
         at = (e["bx"] - e["ax"]) * (py - e["ay"]) / F.nullif(e["by"] - e["ay"], F.lit(0.0)) + e["ax"]
