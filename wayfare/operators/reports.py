@@ -14,6 +14,7 @@ from ..functions.clock import seconds_between
 from ..functions.geo import bing_corner, bing_tile
 from .behavior import EVACUATED
 from .clustering import duration_s
+from .quantiles import with_quantiles
 from .trip_chain import first_rows
 
 COMPOSITION_ORDER = ["FEUO", "FEUW", "SELE", "SEFN", "PERE", "NER", "UR"]
@@ -157,9 +158,8 @@ def delay_tiles(metrics: DataFrame, level: int = 14) -> DataFrame:
 
 def box_stats(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """Number, mean, quartiles, 95th percentile and extremes of a value."""
-    p = F.percentile(value, F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75, 0.95)]))
-    out = rows.groupBy(*keys).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), p.alias("p"), F.max(value).alias("max")
+    out = with_quantiles(
+        rows, value, keys, [0.25, 0.5, 0.75, 0.95], F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max")
     )
     return out.select(
         *keys, "n", "mean", "min", F.col("p")[0].alias("q1"), F.col("p")[1].alias("median"), F.col("p")[2].alias("q3"),
@@ -172,7 +172,8 @@ def delay_distribution(metrics: DataFrame, group: str = "Category") -> DataFrame
 
 
 def delay_summary(metrics: DataFrame, delay: str = "DelayHours") -> DataFrame:
-    return metrics.agg(F.avg(delay).alias("mean"), F.median(delay).alias("median"), F.count_if(F.col(delay) < 0).alias("n_negative"))
+    out = with_quantiles(metrics, delay, [], [0.5], F.avg(delay).alias("mean"), F.count_if(F.col(delay) < 0).alias("n_negative"))
+    return out.select("mean", F.col("p")[0].alias("median"), "n_negative")
 
 
 def compliance_by_region(records: DataFrame, region: str, fire: str | None = None, min_total: int = 10) -> DataFrame:
@@ -274,7 +275,11 @@ def near_far_types(destinations: DataFrame, threshold_km: float = 30.0) -> DataF
 def group_type_matrix(destinations: DataFrame, group: str, value: str = "pct") -> DataFrame:
     """For each group and type, the share of the group's destinations, or the median distance (0 where there is none)."""
     rows = destinations.where(F.col(group).isNotNull() & F.col("dest_type").isNotNull())
-    cells = rows.groupBy(group, "dest_type").agg(F.count(F.lit(1)).alias("n"), F.median("eu_distance_km").alias("m"))
+    n = F.count(F.lit(1)).alias("n")
+    if value == "pct":
+        cells = rows.groupBy(group, "dest_type").agg(n)
+    else:
+        cells = with_quantiles(rows, "eu_distance_km", [group, "dest_type"], [0.5], n).withColumn("m", F.col("p")[0])
     pct = F.round(F.col("n") / F.sum("n").over(Window.partitionBy(group)) * 100, 1)
     cells = cells.withColumn("v", pct if value == "pct" else F.round("m", 1)).select(group, "dest_type", "v")
     every = cells.select(group).distinct().join(F.broadcast(cells.select("dest_type").distinct()))  # at most nine types
@@ -286,9 +291,9 @@ def evacuee_groups(destinations: DataFrame, group: str) -> DataFrame:
     one = first_rows(
         destinations.select("ID", group, "dest_order"), ["ID"], [F.col("dest_order"), F.col(group)]
     ).groupBy(group).agg(F.count(F.lit(1)).alias("residents"))
-    each = destinations.groupBy("ID", group).agg(F.count(F.lit(1)).alias("n")).groupBy(group).agg(
-        F.avg("n").alias("mean_destinations"), F.median("n").alias("median_destinations")
-    )
+    trips = destinations.groupBy("ID", group).agg(F.count(F.lit(1)).alias("n"))
+    each = with_quantiles(trips, "n", [group], [0.5], F.avg("n").alias("mean_destinations"))
+    each = each.select(group, "mean_destinations", F.col("p")[0].alias("median_destinations"))
     return one.withColumn("pct", F.col("residents") / F.sum("residents").over(Window.partitionBy(F.lit(0))) * 100).join(each, group, "left")
 
 
@@ -300,9 +305,8 @@ def destination_counts(destinations: DataFrame) -> DataFrame:
 
 def daily_distances(destinations: DataFrame, group: str | None = None) -> DataFrame:
     keys = ["dest_date", *([group] if group else [])]
-    return destinations.groupBy(*keys).agg(
-        F.median("eu_distance_km").alias("median_km"), F.count(F.lit(1)).alias("n"), F.avg("eu_distance_km").alias("mean_km")
-    )
+    out = with_quantiles(destinations, "eu_distance_km", keys, [0.5], F.count(F.lit(1)).alias("n"), F.avg("eu_distance_km").alias("mean_km"))
+    return out.select(*keys, F.col("p")[0].alias("median_km"), "n", "mean_km")
 
 
 def trip_duration_by_type(destinations: DataFrame, metrics: DataFrame) -> DataFrame:
@@ -333,8 +337,9 @@ def od_extent(pairs: DataFrame, zoom_percentile: float = 99.5) -> DataFrame:
         pairs.select(F.col("dest_lat").alias("lat"), F.col("dest_lon").alias("lon"))
     )
     hi, lo = zoom_percentile / 100, 1 - zoom_percentile / 100
-    q = lambda c: F.percentile(c, F.array(F.lit(lo), F.lit(hi)))
-    box = points.agg(q("lat").alias("a"), q("lon").alias("o"))
+    both = points.select(F.explode(F.array(F.struct(F.lit("a").alias("axis"), F.col("lat").alias("v")), F.struct(F.lit("o").alias("axis"), F.col("lon").alias("v")))).alias("e"))
+    axes = with_quantiles(both.select("e.*"), "v", ["axis"], [lo, hi])
+    box = axes.agg(*[F.max(F.when(F.col("axis") == c, F.col("p"))).alias(c) for c in ("a", "o")])
     pad = lambda c: F.greatest(F.lit(0.2), (F.col(c)[1] - F.col(c)[0]) * 0.12)
     return box.select(
         (F.col("a")[0] - pad("a")).alias("lat_min"), (F.col("a")[1] + pad("a")).alias("lat_max"),

@@ -15,14 +15,13 @@ many in the finest cell is dealt over parts, by row and not by place, and its un
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..storage import new_folder
+from ..storage import kept
 
 #: Units and edges that are broadcast, at most: some 60 MB, as each lies in up to six cells.
 FEW_UNITS, FEW_EDGES = 50_000, 250_000
@@ -211,12 +210,6 @@ def _spread(c: Column) -> Column:
     return sum((F.shiftleft(F.shiftright(c, k).bitwiseAND(1), 2 * k) for k in range(DEPTH)), F.lit(0))
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    path = f"{new_folder(df.sparkSession, 'spatial')}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 class QuadTree:
     """Cells of a box, split by load. Codes are interleaved bits: a cell's ancestors are its code's leading bits."""
 
@@ -242,7 +235,7 @@ class QuadTree:
         middle = [(F.col("_x1") + F.col("_x2")) / 2, (F.col("_y1") + F.col("_y2")) / 2]
         of_points = points.where(self.within(x, y)).groupBy(self.code(F.col(x), F.col(y)).alias("code")).agg(F.count(F.lit(1)).alias("p"))
         of_units = units.groupBy(self.code(*middle).alias("code")).agg(F.count(F.lit(1)).alias("u"))
-        fine = _kept(of_points.join(of_units, "code", "full").na.fill(0, ["p", "u"]), "counts")
+        fine = kept(of_points.join(of_units, "code", "full").na.fill(0, ["p", "u"]), "counts")
         total = fine.agg(F.sum("p")).first()[0] or 0
         limit = max(1, total // (LEAVES * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
         ups = fine.select("*", F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("level")).withColumn("cell", self.up(F.col("code"), F.col("level")))
@@ -253,7 +246,7 @@ class QuadTree:
         # A leaf's parent is split; a cell below a leaf has one that is not.
         leaves = leaves.join(parents, ["level", "parent"], "left_semi").unionByName(leaves.where("level = 0"))
         parts = F.greatest(F.lit(1), F.ceil(F.col("p") / limit)).cast("int").alias("parts")
-        self.leaves = _kept(leaves.select("level", "cell", parts), "leaves")
+        self.leaves = kept(leaves.select("level", "cell", parts), "leaves")
         self.placed = ups.where("p > 0").select("code", "level", "cell").join(F.broadcast(self.leaves), ["level", "cell"])
 
     @staticmethod
@@ -318,12 +311,12 @@ def nearest(points: DataFrame, shapes: DataFrame, key: str, keep: list[str], geo
     reach = first or max(x2 - x1, y2 - y1, 1e-9) / 64
     rank = F.struct("_d", *keep)
     inside = meet(points, strips(shapes, keep, geometry)).where(holds(border=True)).withColumn("_d", F.lit(0.0))
-    done = _kept(inside.groupBy(key).agg(F.min(rank).alias("_n")), "inside")
-    rest = _kept(points.where("_x is not null and _y is not null").join(done.select(key), key, "left_anti"), "rest")
+    done = kept(inside.groupBy(key).agg(F.min(rank).alias("_n")), "inside")
+    rest = kept(points.where("_x is not null and _y is not null").join(done.select(key), key, "left_anti"), "rest")
     while not rest.isEmpty():
         close = within(meet(rest, edges, reach), reach)
-        won = _kept(close.groupBy(key).agg(F.min(rank).alias("_n")), "won")
+        won = kept(close.groupBy(key).agg(F.min(rank).alias("_n")), "won")
         done = done.unionByName(won)
-        rest = _kept(rest.join(won.select(key), key, "left_anti"), "rest")
+        rest = kept(rest.join(won.select(key), key, "left_anti"), "rest")
         reach *= 4
     return done.select(key, *[F.col(f"_n.{c}").alias(c) for c in keep], F.col("_n._d").alias("_d"))

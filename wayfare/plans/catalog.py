@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clock, contracts, geo, text
-from ..operators import behavior, clustering, departure, destination, homes, intervals, reports, residents, routes, spatial, trip_chain
+from ..operators import behavior, clustering, departure, destination, homes, intervals, quantiles, reports, residents, routes, spatial, trip_chain
 from ..operators import zones as zoning
 from ..sources import readers, vector
 from ..streaming import clusters
@@ -385,6 +385,15 @@ def delay_distribution(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def price_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Quartiles and the 95th percentile of prices by return flag, by histograms that are refined until a bin has 100 rows."""
+    found = quantiles.with_quantiles(
+        fx.table(spark, sf, "lineitem"), "l_extendedprice", ["l_returnflag"], [0.25, 0.5, 0.75, 0.95], F.count(F.lit(1)).alias("n"), small=1000, most=100
+    )
+    return found.select("l_returnflag", "n", *[r6(F.col("p")[k], c) for k, c in enumerate(("q1", "median", "q3", "p95"))])
+
+
 @query
 def delay_summary(spark: SparkSession, sf: str) -> DataFrame:
     return reports.delay_summary(fx.records(spark, sf)).select(r6("mean"), r6("median"), "n_negative")

@@ -474,6 +474,10 @@ def _reports() -> dict[str, str]:
             f"SELECT segment, {BOX.format(v='DelayHours', m='min(DelayHours) AS min', x='max(DelayHours) AS max')} FROM ({RECORDS}) "
             f"WHERE DelayHours > 0 GROUP BY segment"
         ),
+        "price_quantiles": (
+            "SELECT l_returnflag, count(*) AS n, " + ", ".join(f"round(quantile_cont(l_extendedprice, {q}), 6) AS {c}" for q, c in
+            ((0.25, "q1"), (0.5, "median"), (0.75, "q3"), (0.95, "p95"))) + " FROM lineitem GROUP BY l_returnflag"
+        ),
         "delay_summary": (
             f"SELECT round(avg(DelayHours), 6) AS mean, round(median(DelayHours), 6) AS median, "
             f"count(*) FILTER (WHERE DelayHours < 0) AS n_negative FROM ({RECORDS})"

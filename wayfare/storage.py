@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, list[str]] = {}
 
@@ -51,3 +51,10 @@ def write_file(spark: SparkSession, path: str, data: bytes) -> None:
     out = system.create(where, True)
     out.write(data)
     out.close()
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """A table written below the shared folder and read back: its lineage ends here, and it is computed once."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
