@@ -13,7 +13,7 @@ from wayfare.functions.contracts import InputError
 from wayfare.operators import clustering, reports, residents
 from wayfare.operators.zones import assign_regions, classify_zones
 from wayfare.sources import readers
-from wayfare.streaming.clusters import stream_cluster_events
+from wayfare.streaming.clusters import close_open_clusters, stream_cluster_events
 
 
 def square(x, y, size=0.1):
@@ -217,6 +217,30 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(got, key=str) == sorted([(r.event_type, r.cluster_id, r.n_points) for r in batch], key=str)
 
 
+def test_open_clusters_are_flushed(spark, tmp_path):
+    """Stream and flush together are the batch clusters of every user, over two micro-batches."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    t = dt.datetime(2025, 1, 1, 12)
+    at = lambda u, minutes, lat: (u, t + dt.timedelta(minutes=minutes), lat, -118.3)
+    parts = [
+        [at("u", 0, 34.1), at("u", 20, 34.1), at("short", 0, 34.1), at("v", 0, 34.0), at("v", 9, 34.0)],
+        [at("u", 60, 34.2), at("u", 90, 34.2), at("short", 1, 34.1), at("w", 95, 34.5)]
+    ]
+    schema = "user_id string, datetime timestamp, latitude double, longitude double"
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    config = clustering.ClusterConfig()
+    events = stream_cluster_events(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), config)
+    query = events.writeStream.format("memory").queryName("flushed").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    columns = ["user_id", "cluster_id", "n_points", "dwell_s", "centroid_lat", "start_time", "event_time"]
+    streamed = [tuple(r) for r in spark.table("flushed").where("event_type = 'cluster_closed'").select(columns).collect()]
+    flushed = [tuple(r) for r in close_open_clusters(spark, str(tmp_path / "cp"), config).select(columns).collect()]
+    batch = clustering.cluster_points(spark.createDataFrame(parts[0] + parts[1], schema), user="user_id")
+    batch = [tuple(r) for r in batch.select(*columns[:5], F.col("start_time").cast("timestamp"), F.col("end_time").cast("timestamp")).collect()]
+    assert {r[0] for r in flushed} == {"u", "v"} and sorted(streamed + flushed) == sorted(batch)
+
+
 def test_ecdf_is_positional(spark):
     values = [3.0, 1.0, 1.0, 250.0, 0.05, 0.04, 7.7]
     df = spark.createDataFrame([(i, 1, v) for i, v in enumerate(values)], "ID long, dest_order int, eu_distance_km double")

@@ -758,8 +758,8 @@ def source_shards(spark: SparkSession, sf: str) -> DataFrame:
 # The stream
 
 
-def stream_out(spark: SparkSession, sf: str) -> DataFrame:
-    """Cluster events of the pings, read as a stream in one micro-batch and written to files."""
+def stream_out(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
+    """Cluster events of the pings, read as a stream in one micro-batch and written to files; and the checkpoint."""
     path = new_folder(spark, "stream")
     rows = fx.pings(spark, sf).select(
         F.col("ID").cast("string").alias("user_id"),
@@ -777,13 +777,13 @@ def stream_out(spark: SparkSession, sf: str) -> DataFrame:
         ).trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(store, before)
-    return spark.read.schema(clusters.EVENTS).parquet(f"{path}/out")
+    return spark.read.schema(clusters.EVENTS).parquet(f"{path}/out"), f"{path}/state"
 
 
 @query
 def stream_cluster_events(spark: SparkSession, sf: str) -> DataFrame:
     """Starts and updates of the streamed clusters, by user."""
-    found = stream_out(spark, sf).where("event_type <> 'cluster_closed'")
+    found = stream_out(spark, sf)[0].where("event_type <> 'cluster_closed'")
     time = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.min("event_time").cast("timestamp_ntz"))
     found = found.groupBy(F.col("user_id").cast("long").alias("ID"), "event_type").agg(
         F.count(F.lit(1)).alias("n"), F.sum("cluster_id").alias("ids"), time.alias("first_time")
@@ -794,10 +794,21 @@ def stream_cluster_events(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def stream_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """Clusters that a later ping closed, from the stream: the last one of a user is still open."""
-    found = stream_out(spark, sf).where("event_type = 'cluster_closed'")
+    return _closed(stream_out(spark, sf)[0])
+
+
+def _closed(events: DataFrame) -> DataFrame:
+    found = events.where("event_type = 'cluster_closed'")
     return found.select(F.col("user_id").cast("long").alias("ID"), "cluster_id", r6("centroid_lat"), r6("centroid_lon"), "n_points", r6("dwell_s"))
 
 
+@query
+def stream_clusters_flushed(spark: SparkSession, sf: str) -> DataFrame:
+    """All clusters of the streamed pings: those that the stream closed, and those still open at the end of the input."""
+    events, checkpoint = stream_out(spark, sf)
+    return _closed(events.unionByName(clusters.close_open_clusters(spark, checkpoint, fx.CLUSTERS)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

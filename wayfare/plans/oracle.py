@@ -288,6 +288,8 @@ def oracles() -> dict[str, str]:
           SELECT c.ID, CAST(cid AS BIGINT) AS cluster_id, round(cy, 6) AS centroid_lat, round(cx, 6) AS centroid_lon, n AS n_points,
             round((e - s) / 1e6, 6) AS dwell_s
           FROM c JOIN last USING (ID), mark WHERE cid < top OR e // 1000 + 172800001 <= ms""",
+        "stream_clusters_flushed": f"""WITH RECURSIVE {CLUSTERS} SELECT ID, CAST(cid AS BIGINT) AS cluster_id, round(cy, 6) AS centroid_lat,
+          round(cx, 6) AS centroid_lon, n AS n_points, round((e - s) / 1e6, 6) AS dwell_s FROM c""",
     }
 
 

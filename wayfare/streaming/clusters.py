@@ -2,7 +2,8 @@
 
 State of a user: the open cluster as sums, not as a list of pings, and its number. Within a micro-batch pings are sorted;
 pings older than the open cluster's last one are late and left out. A cluster is closed by a break, or by a timer when the
-watermark passes its end by ``max_gap_s``, so a stream that falls silent still closes its clusters.
+watermark passes its end by ``max_gap_s``, so a stream that falls silent still closes its clusters. At the end of the
+input, ``close_open_clusters`` gives the clusters that are still open.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.clustering import ClusterConfig
@@ -122,3 +124,18 @@ def stream_cluster_events(pings: DataFrame, config: ClusterConfig | None = None,
     rows = pings.select("user_id", "datetime", "latitude", "longitude").withWatermark("datetime", watermark)
     mode = "EventTime" if config.max_gap_s is not None else "None"
     return rows.groupBy("user_id").transformWithStateInPandas(ClusterProcessor(config), outputStructType=EVENTS, outputMode="Append", timeMode=mode)
+
+
+def close_open_clusters(spark: SparkSession, checkpoint: str, config: ClusterConfig | None = None) -> DataFrame:
+    """The last cluster of each user, closed at the end of the input: events like those of the stream, read from the state
+    that a stopped query left in its checkpoint. Clusters that are too short give none, like in the stream. The state is not
+    changed: a stream that goes on from the checkpoint still has these clusters open."""
+    config = config or ClusterConfig()
+    held = spark.read.format("statestore").option("stateVarName", "open").load(checkpoint)
+    rows = held.select(F.col("key").getField(held.schema["key"].dataType[0].name).alias("user_id"), "value.*").where("n > 0")
+    rows = rows.withColumn("dwell_s", (F.col("to_us") - F.col("from_us")) / 1e6).where(F.col("dwell_s") >= config.min_dwell_s)
+    return rows.select(
+        "user_id", F.lit("cluster_closed").alias("event_type"), F.col("id").alias("cluster_id"), F.timestamp_micros("to_us").alias("event_time"),
+        (F.col("lat") / F.col("n")).alias("centroid_lat"), (F.col("lon") / F.col("n")).alias("centroid_lon"),
+        F.timestamp_micros("from_us").alias("start_time"), F.col("n").alias("n_points"), "dwell_s"
+    )
