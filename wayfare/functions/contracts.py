@@ -1,10 +1,12 @@
-"""Column contracts: names that an operator needs, with aliases. Checks read the schema and start no job."""
+"""Column contracts: names that an operator needs, with aliases. Checks read the schema and start no job; ``row_report`` reads
+the rows."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 class InputError(ValueError):
@@ -49,3 +51,31 @@ def canonicalize(df: DataFrame, contract: Contract) -> DataFrame:
 
 def optional_missing(df: DataFrame, columns: list[str]) -> list[str]:
     return [c for c in columns if c not in df.columns]
+
+
+#: What values must be readable as, by the end of a column's name.
+KINDS = {"datetime": "timestamp", "_ts": "timestamp", "latitude": "double", "longitude": "double", "_4326": "double", "_m": "double", "_s": "double", "lat": "double", "lon": "double", "_ms": "long"}
+
+
+def _unreadable(column: str) -> Column:
+    kind = next((k for end, k in KINDS.items() if column.endswith(end)), None)
+    return F.col(column).isNotNull() & F.col(column).cast("string").try_cast(kind).isNull() if kind else F.lit(False)
+
+
+def row_report(df: DataFrame, contract: Contract) -> DataFrame:
+    """A row for each column of a contract: whether it is required and there (under its own name or an alias), the table's
+    rows, those without a value (all, if the column is absent), and those whose value is not of its kind. One pass."""
+    rows = canonicalize(df, contract)
+    names = [*contract.required, *contract.optional]
+    held = [c for c in names if c in rows.columns]
+    counts = rows.agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in held],
+        *[F.count_if(_unreadable(c)).alias(f"bad_{c}") for c in held]
+    )
+    report = [
+        F.struct(
+            F.lit(c).alias("column"), F.lit(c in contract.required).alias("required"), F.lit(c in held).alias("present"), F.col("n").alias("n_rows"),
+            F.col(f"null_{c}" if c in held else "n").alias("n_null"), (F.col(f"bad_{c}") if c in held else F.lit(0).cast("long")).alias("n_unreadable")
+        ) for c in names
+    ]
+    return counts.select(F.explode(F.array(*report)).alias("r")).select("r.*")

@@ -103,18 +103,24 @@ def departures_by_hour(metrics: DataFrame) -> DataFrame:
     return counts.withColumn("cumulative", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("hour")))
 
 
-def night_intervals(start: str, end: str, spark, from_hour: int = 20, to_hour: int = 7, hours: float = 48.0) -> DataFrame:
-    """Night stretches between two times, as hours since the first, clipped at ``hours``."""
-    days = spark.range(1).select(F.explode(F.sequence(F.date_sub(F.to_date(F.lit(start)), 1), F.to_date(F.lit(end)))).alias("d"))
+def nights(spans: DataFrame, keys: list[str], from_hour: int = 20, to_hour: int = 7, hours: float = 48.0) -> DataFrame:
+    """Night stretches between the times ``start`` and ``end`` of each row, as hours since the start, clipped at ``hours``."""
+    start, end = F.col("start").cast("timestamp_ntz"), F.col("end").cast("timestamp_ntz")
+    days = spans.select(*keys, start.alias("_s"), F.explode(F.sequence(F.date_sub(F.to_date(start), 1), F.to_date(end))).alias("d"))
     at = lambda d, h: d.cast("timestamp_ntz") + F.expr(f"INTERVAL {h} HOURS")
-    since = lambda t: seconds_between(F.lit(start).cast("timestamp_ntz"), t) / 3600.0
+    since = lambda t: seconds_between(F.col("_s"), t) / 3600.0
     rows = days.select(
-        F.greatest(since(at(F.col("d"), from_hour)), F.lit(0.0)).alias("from_hour"),
+        *keys, F.greatest(since(at(F.col("d"), from_hour)), F.lit(0.0)).alias("from_hour"),
         F.least(since(at(F.date_add("d", 1), to_hour)), F.lit(float(hours))).alias("to_hour")
     )
     return rows.where("from_hour < to_hour")
 
 
+def night_intervals(start: str, end: str, spark, from_hour: int = 20, to_hour: int = 7, hours: float = 48.0) -> DataFrame:
+    """The same between two times."""
+    return nights(spark.range(1).select(F.lit(start).alias("start"), F.lit(end).alias("end")), [], from_hour, to_hour, hours)
+
+
 def alert_offsets(zones: DataFrame, reference: str) -> DataFrame:
     """Hours from the reference to the first warning and the first order."""
     first = lambda kind: F.min(F.when(F.col("most_extreme_status").contains(kind), F.col("datetime").try_cast("timestamp_ntz")))

@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clock, contracts, geo, text
+from ..functions import sql as functions
 from ..operators import behavior, clustering, departure, destination, homes, intervals, quantiles, reports, residents, routes, spatial, trip_chain
 from ..operators import zones as zoning
 from ..sources import readers, vector
 from ..streaming import clusters
 from ..storage import new_folder, write_file
+from . import files
 from . import fixtures as fx
 from . import oracle as sql
 
@@ -156,6 +158,39 @@ def route_default(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def route_strategy(spark: SparkSession, sf: str) -> DataFrame:
+    """Route candidates by a strategy of the caller: a detour factor by length."""
+
+    def detour(legs: DataFrame, network: float) -> DataFrame:
+        length = F.col("displacement_m") * F.when(F.col("displacement_m") > 10_000, network).otherwise(1.5)
+        return legs.withColumns({"route_status": F.lit("ok_detour"), "route_length_m": length})
+
+    found = routes.infer_route_candidates(routes.build_trip_legs(chain(spark, sf)), 1.25, "detour", detour)
+    return found.select(F.col("user_id").alias("ID"), "from_seq", "to_seq", "strategy", "route_status", r6("route_length_m", digits=2))
+
+
+@query
+def sql_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """The registered functions in SQL text."""
+    functions.register(spark)
+    return spark.sql(
+        """SELECT event_id, round(haversine_m(latitude, longitude, 34, -118), 3) AS meters, round(mercator_x(longitude), 3) AS x,
+          round(mercator_y(latitude), 3) AS y, in_night(hour(datetime), 20, 7) AS is_night, land_use(CASE event_id % 4 WHEN 0 THEN 'City PARK' WHEN 1 THEN 'Motel'
+            WHEN 2 THEN 'parking lot' END) AS land_use FROM {pings}""", pings=fx.pings(spark, sf)
+    )
+
+
+@query
+def contract_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """What contracts say of the rows: columns by name, rows without a value, values that are no number or time."""
+    rows = fx.table(spark, sf, "events").select(
+        F.when(F.col("user_id") % 9 > 0, F.col("user_id")).alias("ID"), F.when(F.col("event_id") % 5 > 0, F.col("ts").cast("string")).otherwise("soon").alias("datetime"),
+        F.when(F.col("event_id") % 7 > 0, F.lit("34.5")).otherwise("north").alias("LAT"), F.lit(None).cast("string").alias("LONG")
+    )
+    return contracts.row_report(rows, contracts.PINGS)
+
+
 @query
 def destinations_chain(spark: SparkSession, sf: str) -> DataFrame:
     found = destination.infer_destinations(chain(spark, sf), fx.homes(spark, sf))
@@ -528,6 +563,19 @@ def alert_offsets(spark: SparkSession, sf: str) -> DataFrame:
     return reports.alert_offsets(fx.zones(spark, sf), "2024-01-07 12:00:00")
 
 
+@query
+def alert_offsets_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Hours to the first warning and the first order of zones made of events."""
+    return reports.alert_offsets(fx.view(spark, sf, fx.SNAPSHOTS, "events"), "2024-01-07 12:00:00").select(r6("warning_hours"), r6("order_hours"))
+
+
+@query
+def night_intervals_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Nights between each user's first and last event."""
+    spans = fx.table(spark, sf, "events").groupBy("user_id").agg(F.min("ts").alias("start"), F.max("ts").alias("end"))
+    return reports.nights(spans, ["user_id"], hours=200.0).select("user_id", r6("from_hour"), r6("to_hour"))
+
+
 @query
 def night_intervals(spark: SparkSession, sf: str) -> DataFrame:
     return reports.night_intervals("2024-01-08 03:00:00", "2024-01-11 00:00:00", spark, hours=72.0).select(r6("from_hour"), r6("to_hour"))
@@ -720,6 +768,52 @@ def source_parcels(spark: SparkSession, sf: str) -> DataFrame:
     return vector.read_parcels(spark, f"{path}/new.geojson").select("UseType", *_box())
 
 
+def lots(spark: SparkSession, sf: str) -> DataFrame:
+    """The parts' rectangles with their type as land use."""
+    return fx.view(spark, sf, fx.LOTS, "part").join(fx.table(spark, sf, "part").select(F.col("p_partkey").alias("lot"), F.col("p_type").alias("UseType")), "lot")
+
+
+def _parcels(spark: SparkSession, sf: str, write, suffix: str) -> DataFrame:
+    path = new_folder(spark, "lots")
+    files.write_files(lots(spark, sf).select("UseType", *files.BOX), path, write, 4, "UseType")
+    return vector.read_parcels(spark, f"{path}/*{suffix}").select("UseType", *_box())
+
+
+@query
+def source_parcels_shp(spark: SparkSession, sf: str) -> DataFrame:
+    """Parcels from shapefiles of the parts' rectangles."""
+    return _parcels(spark, sf, files.shapefile, ".shp")
+
+
+@query
+def source_parcels_gpkg(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from GeoPackages."""
+    return _parcels(spark, sf, files.geopackage, ".gpkg")
+
+
+@query
+def source_parcels_geojson(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from GeoJSON."""
+    return _parcels(spark, sf, files.geojson, ".geojson")
+
+
+@query
+def source_geojson_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """One GeoJSON file of the parts' rectangles, read in pieces of 20,000 bytes; only features that touch a box."""
+    path = new_folder(spark, "pieces")
+    files.write_files(lots(spark, sf).select("lot", "UseType", *files.BOX), path, files.geojson, 1, "UseType")
+    return readers.read_geojson(spark, path, ["lot", "UseType"], split=20_000, box=(0.2, 0.2, 0.7, 0.7)).select(F.col("lot").cast("long").alias("lot"), "UseType", *_box())
+
+
+@query
+def source_zone_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """Snapshots of zones in GeoJSON files, an event each: the latest of each zone and status."""
+    path = new_folder(spark, "snapshots")
+    rows = fx.view(spark, sf, fx.SNAPSHOTS, "events")
+    files.write_files(rows, path, files.geojson, 5, "datetime")
+    return readers.read_fire_timeline(spark, path).select("zoneId", "most_extreme_status", "incident_name", "datetime", *_box())
+
+
 @query
 def source_roads(spark: SparkSession, sf: str) -> DataFrame:
     """Roads from GeoJSON lines, one single and one of several parts."""

@@ -53,6 +53,11 @@ CROWD = """SELECT event_id, CASE WHEN event_id % 10 < 9 THEN 5e-1 + (event_id %
 LOTS = """SELECT p_partkey AS lot, xmin, ymin, xmin + (p_partkey % 13 + 1) * 1e-3 + CASE WHEN p_partkey % 50 = 0 THEN 6e-1 ELSE 0e0 END AS xmax,
   ymin + (p_partkey % 7 + 1) * 1e-3 AS ymax FROM (SELECT p_partkey, (p_partkey * 7907 % 9973) / 9973e0 AS xmin, (p_partkey * 6007 % 9949) / 9949e0 AS ymin FROM {part}) AS p"""
 
+#: A zone for each event: the users' zones over time, with status, fire and rectangle.
+SNAPSHOTS = """SELECT CAST(user_id AS STRING) AS zoneId, CASE event_id % 3 WHEN 0 THEN 'Evacuation Order' WHEN 1 THEN 'Evacuation Warning' ELSE 'Normal' END
+  AS most_extreme_status, concat('fire ', CAST(event_id AS STRING)) AS incident_name, substring(CAST(ts AS STRING), 1, 19) AS datetime,
+  user_id * 1e-2 AS xmin, 34e0 + (event_id % 100) * 1e-2 AS ymin, user_id * 1e-2 + 5e-3 AS xmax, 34e0 + (event_id % 100) * 1e-2 + 5e-3 AS ymax FROM {events}"""
+
 #: Roads as segments (x1, y1, x2, y2): two parallels and a meridian.
 ROADS = [(-118.6, 34.1402, -118.0, 34.1402), (-118.6, 34.2601, -118.0, 34.2601), (-118.3003, 33.9, -118.3003, 34.6)]
 

@@ -356,6 +356,11 @@ def _reports() -> dict[str, str]:
             f"CAST(g2 AS BIGINT) AS to_seq, {_t('te', 'depart_ts')}, {_t('ts2', 'arrive_ts')}, round({_h('cy', 'cx', 'y2', 'x2')}, "
             f"2) AS displacement_m FROM lg WHERE g2 IS NOT NULL"
         ),
+        "route_strategy": (
+            f"{CHAIN}, lg AS (SELECT ID, g, lead(g) OVER w AS g2, cy, cx, lead(cy) OVER w AS y2, lead(cx) OVER w AS x2 FROM chain WINDOW w AS "
+            f"(PARTITION BY ID ORDER BY g)), d AS (SELECT *, {_h('cy', 'cx', 'y2', 'x2')} AS m FROM lg WHERE g2 IS NOT NULL) SELECT ID, CAST(g AS BIGINT) AS "
+            f"from_seq, CAST(g2 AS BIGINT) AS to_seq, 'detour' AS strategy, 'ok_detour' AS route_status, round(m * CASE WHEN m > 10000 THEN 125e-2 ELSE 15e-1 END, 2) AS route_length_m FROM d"
+        ),
         "route_default": (
             f"{CHAIN}, lg AS (SELECT ID, g, lead(g) OVER (PARTITION BY ID ORDER BY g) AS g2 FROM chain) SELECT ID, "
             f"CAST(g AS BIGINT) AS from_seq, CAST(g2 AS BIGINT) AS to_seq, 'unspecified' AS strategy, 'unresolved_strategy' AS route_status, "
@@ -564,6 +569,31 @@ def _reports() -> dict[str, str]:
             f"round(max(abs(a.cum / CAST(a.n AS DOUBLE) - b.cum / CAST(b.n AS DOUBLE))), 6) AS d FROM f a JOIN f b ON a.v = b.v AND a.g < b.g "
             f"GROUP BY 1, 2, 3, 4"
         ),
+        **{
+            f"source_parcels_{kind}": f"SELECT p_type AS UseType, round(xmin, 6) AS xmin, round(ymin, 6) AS ymin, round(xmax, 6) AS xmax, round(ymax, 6) AS ymax "
+            f"FROM ({fx.LOTS.format(part='part')}) JOIN part ON p_partkey = lot" for kind in ("shp", "gpkg", "geojson")
+        },
+        "source_geojson_pieces": f"""SELECT lot, p_type AS UseType, round(xmin, 6) AS xmin, round(ymin, 6) AS ymin, round(xmax, 6) AS xmax, round(ymax, 6) AS ymax
+          FROM ({fx.LOTS.format(part='part')}) JOIN part ON p_partkey = lot WHERE xmin <= 7e-1 AND xmax >= 2e-1 AND ymin <= 7e-1 AND ymax >= 2e-1""",
+        "source_zone_snapshots": f"""SELECT zoneId, most_extreme_status, incident_name, datetime, round(xmin, 6) AS xmin, round(ymin, 6) AS ymin,
+          round(xmax, 6) AS xmax, round(ymax, 6) AS ymax FROM (SELECT *, row_number() OVER (PARTITION BY zoneId, most_extreme_status
+          ORDER BY datetime DESC, incident_name) AS q FROM ({fx.SNAPSHOTS.format(events='events')})) WHERE q = 1""",
+        "alert_offsets_events": f"""SELECT round(epoch(min(CASE WHEN contains(most_extreme_status, 'Evacuation Warning') THEN CAST(datetime AS TIMESTAMP) END)
+          - TIMESTAMP '2024-01-07 12:00:00') / 3600, 6) AS warning_hours, round(epoch(min(CASE WHEN contains(most_extreme_status, 'Evacuation Order')
+          THEN CAST(datetime AS TIMESTAMP) END) - TIMESTAMP '2024-01-07 12:00:00') / 3600, 6) AS order_hours FROM ({fx.SNAPSHOTS.format(events='events')})""",
+        "night_intervals_events": """WITH s AS (SELECT user_id, min(ts) AS s, max(ts) AS e FROM events GROUP BY user_id), d AS (SELECT user_id, s,
+          unnest(generate_series(date_trunc('day', s) - INTERVAL 1 DAY, date_trunc('day', e), INTERVAL 1 DAY)) AS d FROM s)
+          SELECT user_id, round(f, 6) AS from_hour, round(t, 6) AS to_hour FROM (SELECT user_id, greatest(epoch(d + INTERVAL 20 HOUR - s) / 3600e0, 0e0) AS f,
+            least(epoch(d + INTERVAL 31 HOUR - s) / 3600e0, 200e0) AS t FROM d) WHERE f < t""",
+        "contract_rows": """WITH r AS (SELECT CASE WHEN user_id % 9 > 0 THEN user_id END AS id, event_id AS e FROM events)
+          SELECT 'ID' AS "column", true AS required, true AS present, count(*) AS n_rows, count(*) FILTER (WHERE id IS NULL) AS n_null, CAST(0 AS BIGINT) AS n_unreadable FROM r
+          UNION ALL SELECT 'datetime', true, true, count(*), 0, count(*) FILTER (WHERE e % 5 = 0) FROM r
+          UNION ALL SELECT 'latitude', false, true, count(*), 0, count(*) FILTER (WHERE e % 7 = 0) FROM r
+          UNION ALL SELECT 'longitude', false, true, count(*), count(*), 0 FROM r
+          UNION ALL SELECT unnest(['timestamp_ms', 'TIMESTAMP']), false, false, count(*), count(*), 0 FROM r""",
+        "sql_functions": f"""SELECT event_id, round({_h('latitude', 'longitude', '34e0', '-118e0')}, 3) AS meters, round({_x('longitude')}, 3) AS x,
+          round({_y('latitude')}, 3) AS y, hour(datetime) >= 20 OR hour(datetime) < 7 AS is_night, {_type("CASE event_id % 4 WHEN 0 THEN 'City PARK' WHEN 1 THEN 'Motel' WHEN 2 THEN 'parking lot' END")}
+          AS land_use FROM ({P})""",
         "alert_offsets": (
             f"SELECT epoch(min(CASE WHEN contains(most_extreme_status, 'Evacuation Warning') THEN CAST(datetime AS TIMESTAMP) END) - TIMESTAMP "
             f"'2024-01-07 12:00:00') / 3600 AS warning_hours, epoch(min(CASE WHEN contains(most_extreme_status, "
