@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock, contracts, geo, text
 from ..functions import sql as functions
-from ..operators import behavior, clustering, departure, destination, homes, intervals, quantiles, reports, residents, routes, spatial, trip_chain
+from ..operators import behavior, clustering, departure, destination, homes, intervals, overlay, quantiles, reports, residents, routes, spatial, trip_chain
 from ..operators import zones as zoning
 from ..sources import readers, vector
 from ..streaming import clusters
@@ -532,6 +532,21 @@ def od_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("ID", "dest_order", *[r6(c) for c in ("home_lat_4326", "home_lon_4326", "dest_lat", "dest_lon")])
 
 
+@query
+def od_map_counties(spark: SparkSession, sf: str) -> DataFrame:
+    """Tracts that a map's box touches, dissolved by county: area, area in the box, and edges of the border."""
+    box = (-118.4305, 34.0205, -118.2105, 34.2655)
+    tracts = fx.view(spark, sf, fx.TRACTS, "customer").select("county", geo.rectangle(*(F.col(c) for c in ("xmin", "ymin", "xmax", "ymax"))).alias("geometry"))
+    shapes = overlay.dissolve(overlay.in_box(tracts, box), "county")
+    rings = F.flatten("geometry")
+    signed = F.abs(F.aggregate(F.transform(rings, overlay.ring_area), F.lit(0.0), lambda s, a: s + a))
+    inside = overlay.in_box(tracts, box).groupBy("county").agg(F.sum(overlay.area(overlay.clip(F.col("geometry"), box))).alias("inside"))
+    return shapes.join(inside, "county").select(
+        "county", F.round(signed * 1e4, 4).alias("area"), F.round(F.col("inside") * 1e4, 4).alias("area_in_box"),
+        F.aggregate(rings, F.lit(0).cast("long"), lambda n, r: n + F.size(r) - 1).alias("edges")
+    )
+
+
 @query
 def od_extent(spark: SparkSession, sf: str) -> DataFrame:
     rows = fx.pings(spark, sf).join(fx.homes(spark, sf), "ID").select(

@@ -58,6 +58,10 @@ SNAPSHOTS = """SELECT CAST(user_id AS STRING) AS zoneId, CASE event_id % 3 WHEN
   AS most_extreme_status, concat('fire ', CAST(event_id AS STRING)) AS incident_name, substring(CAST(ts AS STRING), 1, 19) AS datetime,
   user_id * 1e-2 AS xmin, 34e0 + (event_id % 100) * 1e-2 AS ymin, user_id * 1e-2 + 5e-3 AS xmax, 34e0 + (event_id % 100) * 1e-2 + 5e-3 AS ymax FROM {events}"""
 
+#: Squares of a grid, some in each customer's nation.
+TRACTS = """SELECT DISTINCT county, -118.5e0 + i * 1e-2 AS xmin, 34e0 + j * 1e-2 AS ymin, -118.5e0 + (i + 1) * 1e-2 AS xmax, 34e0 + (j + 1) * 1e-2 AS ymax, i, j
+  FROM (SELECT c_nationkey % 5 AS county, c_custkey % 40 AS i, c_custkey * 7 % 37 AS j FROM {customer}) AS c"""
+
 #: Roads as segments (x1, y1, x2, y2): two parallels and a meridian.
 ROADS = [(-118.6, 34.1402, -118.0, 34.1402), (-118.6, 34.2601, -118.0, 34.2601), (-118.3003, 33.9, -118.3003, 34.6)]
 

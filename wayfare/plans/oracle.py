@@ -557,6 +557,11 @@ def _reports() -> dict[str, str]:
             f"SELECT coalesce(ZoneType, 'All') AS ZoneType, coalesce(Category, 'All') AS Category, count(*) AS n FROM ({C}) "
             f"GROUP BY CUBE (ZoneType, Category)"
         ),
+        "od_map_counties": f"""WITH t AS (SELECT * FROM ({fx.TRACTS.format(customer='customer')}) WHERE xmax > -118.4305e0 AND xmin < -118.2105e0 AND ymax > 34.0205e0 AND ymin < 34.2655e0),
+          n AS (SELECT a.county, count(*) AS n FROM t a JOIN t b ON a.county = b.county AND abs(a.i - b.i) + abs(a.j - b.j) = 1 GROUP BY a.county)
+          SELECT t.county, round(CAST(count(*) AS DOUBLE), 4) AS area, round(sum((least(xmax, -118.2105e0) - greatest(xmin, -118.4305e0))
+            * (least(ymax, 34.2655e0) - greatest(ymin, 34.0205e0))) * 1e4, 4) AS area_in_box, 4 * count(*) - coalesce(any_value(n.n), 0) AS edges
+          FROM t LEFT JOIN n ON n.county = t.county GROUP BY t.county""",
         "od_extent": (
             f"WITH pv AS ({P}), hm AS ({HOMES}), q AS (SELECT home_lat_4326 AS a, home_lon_4326 AS o FROM pv JOIN hm USING (ID) UNION ALL "
             f"SELECT latitude, longitude FROM pv JOIN hm USING (ID)), b AS (SELECT quantile_cont(a, 0.005) AS a0, quantile_cont(a, 0.995) AS a1, "
