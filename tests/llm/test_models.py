@@ -639,7 +639,7 @@ def test_registered_queries_and_stages():
     from wayfare.llm import queries
 
     numbers = sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.queries())
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "suffix_dedup", "decontamination", "mixing"]
 
 
@@ -763,6 +763,7 @@ def test_registered_queries_cover_their_tables(spark):
             "pages", "page_id url text n_chars"
         ),
         "op9": ("documents", "doc_id held_out score predicted"), "op10": ("documents", "doc_id n_shingles component_id kept"),
+        "op11": ("documents", "doc_id fingerprint component_id"),
     }
     for name, run in queries.queries().items():
         if name.split("_")[0] in expected:
