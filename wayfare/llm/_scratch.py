@@ -28,17 +28,17 @@ def release_memory() -> None:
         trim(0)
 
 
-_task = -1
+_stage = -1
 
 
 def start_of_task() -> None:
-    """For Python functions of plans: gives back what tasks before left in this worker, once at the start of each task.
-    Workers are used again and again, and an executor's memory is that of all of them."""
-    global _task
+    """For Python functions of plans: gives back what stages before left in this worker, once for each stage. Workers are used
+    again and again, and an executor's memory is that of all of them."""
+    global _stage
     context = TaskContext.get()
-    own = context.taskAttemptId() if context else _task  # none outside a task
-    if own != _task:
-        _task = own
+    own = context.stageId() if context else _stage  # none outside a task
+    if own != _stage:
+        _stage = own
         release_memory()
 
 
