@@ -281,14 +281,14 @@ def test_pages_without_article(wrap):
     assert extraction.main_texts(sources, extraction.model()) == wanted
 
 
-@pytest.mark.parametrize("tag", ["button", "object", "canvas", "svg", "select", "head"])
+@pytest.mark.parametrize("tag", ["button", "object", "canvas", "svg", "select", "head", "noscript", "iframe", "title", "textarea"])
 def test_unclosed_silent_elements_keep_the_page(tag):
     text = "A long sentence of the article, with words enough. " * 12
     (found,) = extraction.main_texts([f"<html><body><{tag}>x<article><p>{text}</p></article></body></html>"], extraction.model())
     assert text.strip() in found
 
 
-@pytest.mark.parametrize("part", ["<div>|</section>", "<i>|</b>", "<button>|", "<a|", "<td>|<tr>", "<p><i>|<div></p>", "<svg>|<svg></svg>"])
+@pytest.mark.parametrize("part", ["<div>|</section>", "<i>|</b>", "<button>|", "<noscript>|", "<a|", "<td>|<tr>", "<p><i>|<div></p>", "<svg>|<svg></svg>"])
 def test_hostile_pages_take_linear_time(part):
     import time
 

@@ -147,12 +147,13 @@ class Page:
     """Nodes in page order (parents first) and pieces of text: (node, text, inside a link).
 
     Tags are read in time that grows with the page, whatever is left open or closed without having been opened. An
-    element whose content is skipped but that is never closed loses its tag only."""
+    element whose content is skipped but that is never closed loses its tag only; but an unclosed script or style takes the
+    rest of the page, as in browsers."""
 
     def __init__(self, source: str):
         self.tag, self.attrs, self.parent, self.depth, self.mark = ["html"], [""], [-1], [0], [None]
         self.pieces: list[tuple[int, str, bool]] = []
-        stack, closing_of = _Open(), {}
+        stack, closing_of, unclosed = _Open(), {}, set()
         at, end = 0, len(source)
         tags = source.rfind(">") + 1  # no tag ends behind it
         for m in iter(lambda: TOKEN.search(source, at, tags), None):
@@ -172,8 +173,13 @@ class Page:
                 continue
             if name in SILENT and not rest.endswith("/"):
                 if name in RAW:
-                    stop = re.compile(rf"</{name}\s*>", re.I).search(source, at)
-                    at = stop.end() if stop else end
+                    stop = None if name in unclosed else re.compile(rf"</{name}\s*>", re.I).search(source, at)
+                    if stop:
+                        at = stop.end()
+                    elif name in ("script", "style"):
+                        at = end
+                    else:
+                        unclosed.add(name)  # looked for once
                 elif name == "head":
                     at = self._after_head(source, at)
                 else:
