@@ -137,6 +137,26 @@ def test_ks(spark):
     assert reports.ks_p_value(0.0, 5, 5) == 1.0 and reports.ks_p_value(0.2, 500, 500) < 1e-6
 
 
+@pytest.mark.parametrize("bins", [2, 16, 128])
+def test_ks_of_many_groups(spark, bins):
+    """Every pair of 40 groups against running shares over all values; ties, a shared point mass, groups of one value."""
+    import random
+
+    r = random.Random(bins)
+    groups = {f"g{k:02}": [round(r.gauss(k % 5, 1 + k % 3), 1 + k % 3) for _ in range(r.randint(2, 120))] + [1.0] * (k % 4) for k in range(40)}
+    groups |= {"same": [3.0, 3.0, 3.0], "far": [1e9, 1e9 + 1], "low": [-1e300, -5e-324, 0.0], "one": [2.0]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("g00", None), (None, 1.0)]
+    r.shuffle(rows)
+    found = {(x.group_a, x.group_b): (x.n_a, x.n_b, x.d) for x in reports.ks_statistics(spark.createDataFrame(rows, "g string, v double").repartition(3), "g", "v", bins).collect()}
+    known = sorted(g for g, vs in groups.items() if len(vs) > 1)
+    assert len(found) == len(known) * (len(known) - 1) // 2
+    for (a, b), (n_a, n_b, d) in found.items():
+        x, y = groups[a], groups[b]
+        expected = max(abs(sum(u <= v for u in x) / len(x) - sum(u <= v for u in y) / len(y)) for v in {*x, *y})
+        assert (n_a, n_b) == (len(x), len(y)) and d == pytest.approx(expected, abs=1e-12), (a, b)
+    assert reports.ks_statistics(spark.createDataFrame([], "g string, v double"), "g", "v").collect() == []
+
+
 def test_geojson(spark, tmp_path):
     feature = lambda t, geometry, **p: {
         "type": "Feature", "properties": {"zoneId": "z", "most_extreme_status": "Evacuation Order", "datetime": t, **p}, "geometry": geometry

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import seconds_between
 from ..functions.geo import bing_corner, bing_tile
+from ..storage import kept
 from .behavior import EVACUATED
 from .clustering import duration_s
 from .quantiles import with_quantiles
@@ -353,31 +354,57 @@ def od_extent(pairs: DataFrame, zoom_percentile: float = 99.5) -> DataFrame:
     )
 
 
-def ks_statistics(rows: DataFrame, group: str, value: str = "eu_distance_km", width: float = 1.0) -> DataFrame:
+def _bin_of(v: Column, edges: list[float]) -> Column:
+    """The number of edges below a value, by a tree of comparisons."""
+
+    def tree(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(v <= edges[middle], tree(low, middle)).otherwise(tree(middle + 1, high))
+
+    return tree(0, len(edges))
+
+
+def ks_statistics(rows: DataFrame, group: str, value: str = "eu_distance_km", bins: int = 128) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic of every pair of groups with two values or more each.
 
-    Distinct values are counted once for each group; for every pair, running shares of both groups are compared at each
-    value of either. They run within bins of ``width``; what lies in bins before comes from the bins' counts, so no task
-    sorts more than a bin. The work grows with groups times distinct values."""
-    known = rows.where(F.col(group).isNotNull() & F.col(value).isNotNull())
-    counts = known.groupBy(F.col(group).alias("g"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    One pass counts distinct values by group; they fall into bins of about equal numbers of values. Running shares at the bins'
+    borders bound a pair's statistic from below, and the gap within each bin from above; only the bins that can raise it, and
+    in which both groups have values, are looked at value by value. So a pair takes a few bins' values, not all of both
+    groups; a row for each pair of groups is the result's size. A task sorts a pair's values of one bin."""
+    v = F.col(value).cast("double")
+    known = rows.where(F.col(group).isNotNull() & v.isNotNull()).select(F.col(group).alias("g"), v.alias("v"))
+    counts = kept(known.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c")), "ks")
     sizes = counts.groupBy("g").agg(F.sum("c").alias("n")).where("n >= 2")
-    first, second = (sizes.select(F.col("g").alias(f"group_{k}"), F.col("n").alias(f"n_{k}")) for k in "ab")
+    shares = [k / bins for k in range(1, bins)]
+    edges = counts.agg(F.percentile_approx("v", F.array(*[F.lit(q) for q in shares]), 10 * bins)).first()[0] or []
+    edges = sorted(set(edges))
+    counts = counts.withColumn("bin", _bin_of(F.col("v"), edges))
+    held = counts.groupBy("g", "bin").agg(F.sum("c").alias("c")).groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("m"))
+    every = F.sequence(F.lit(0), F.lit(len(edges)))
+    so_far = F.aggregate(every, F.array(F.lit(0).cast("long")), lambda a, b: F.concat(a, F.array(F.element_at(a, -1) + F.coalesce(F.try_element_at("m", b), F.lit(0)))))
+    groups = sizes.join(held, "g").select("g", "n", so_far.alias("cum"))  # a row of ``bins`` numbers for each group
+    first, second = (groups.select(F.col("g").alias(f"group_{k}"), F.col("n").alias(f"n_{k}"), F.col("cum").alias(f"cum_{k}")) for k in "ab")
     pairs = first.join(second, F.col("group_a") < F.col("group_b"))
+    at = lambda k, b: F.get(F.col(f"cum_{k}"), b) / F.col(f"n_{k}")
+    pairs = pairs.withColumn("least", F.array_max(F.transform(every, lambda b: F.abs(at("a", b + 1) - at("b", b + 1)))))
+    grows = lambda k, b: F.get(F.col(f"cum_{k}"), b + 1) > F.get(F.col(f"cum_{k}"), b)
+    most = lambda b: F.greatest(at("a", b + 1) - at("b", b), at("b", b + 1) - at("a", b))
     pair = ["group_a", "group_b", "n_a", "n_b"]
+    open_bins = pairs.select(*pair, "least", "cum_a", "cum_b", F.explode(F.filter(every, lambda b: grows("a", b) & grows("b", b) & (most(b) > F.col("least")))).alias("bin"))
+    open_bins = open_bins.select(*pair, "bin", *[F.get(f"cum_{k}", F.col("bin")).alias(f"before_{k}") for k in "ab"])
 
     def side(key: str, a: int, b: int) -> DataFrame:
-        return pairs.join(counts, F.col(key) == F.col("g")).select(*pair, "v", (F.col("c") * a).alias("ca"), (F.col("c") * b).alias("cb"))
+        own = counts.select(F.col("g").alias(key), "bin", "v", (F.col("c") * a).alias("c_a"), (F.col("c") * b).alias("c_b"))
+        return open_bins.join(own, [key, "bin"]).select(*pair, "bin", "before_a", "before_b", "v", "c_a", "c_b")
 
-    both = side("group_a", 1, 0).unionByName(side("group_b", 0, 1)).groupBy(*pair, "v").agg(F.sum("ca").alias("ca"), F.sum("cb").alias("cb"))
-    both = both.withColumn("bin", F.floor(F.col("v") / width))
-    earlier = Window.partitionBy("group_a", "group_b").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = both.groupBy("group_a", "group_b", "bin").agg(F.sum("ca").alias("ca"), F.sum("cb").alias("cb"))
-    bins = bins.select("group_a", "group_b", "bin", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("ca", "cb")])
+    both = side("group_a", 1, 0).unionByName(side("group_b", 0, 1))
+    both = both.groupBy(*pair, "bin", "before_a", "before_b", "v").agg(F.sum("c_a").alias("c_a"), F.sum("c_b").alias("c_b"))
     run = Window.partitionBy("group_a", "group_b", "bin").orderBy("v")
-    so_far = [(F.col(f"c{k}_before") + F.sum(f"c{k}").over(run)) / F.col(f"n_{k}") for k in "ab"]
-    compared = both.join(bins, ["group_a", "group_b", "bin"]).withColumn("gap", F.abs(so_far[0] - so_far[1]))
-    return compared.groupBy(*pair).agg(F.max("gap").alias("d"))
+    share = [(F.col(f"before_{k}") + F.sum(f"c_{k}").over(run)) / F.col(f"n_{k}") for k in "ab"]
+    inner = both.withColumn("gap", F.abs(share[0] - share[1])).groupBy("group_a", "group_b").agg(F.max("gap").alias("gap"))
+    return pairs.join(inner, ["group_a", "group_b"], "left").select(*pair, F.greatest("least", F.coalesce("gap", F.lit(0.0))).alias("d"))
 
 
 #: The larger group's rows up to which p-values are exact.
