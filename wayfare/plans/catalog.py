@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock, contracts, geo, text
 from ..functions import sql as functions
-from ..operators import behavior, clustering, departure, destination, homes, intervals, overlay, quantiles, reports, residents, routes, spatial, trip_chain
+from ..operators import asof, behavior, clustering, departure, destination, homes, intervals, overlay, quantiles, reports, residents, routes, spatial, trip_chain
 from ..operators import zones as zoning
 from ..sources import readers, vector
 from ..streaming import clusters
@@ -191,6 +191,14 @@ def contract_rows(spark: SparkSession, sf: str) -> DataFrame:
     return contracts.row_report(rows, contracts.PINGS)
 
 
+@query
+def pings_as_of_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Each ping with the customer's last order before it, not older than two days."""
+    orders = fx.view(spark, sf, fx.ORDER_TIMES, "orders")
+    found = asof.as_of(fx.pings(spark, sf), orders, "ID", "datetime", ["o_orderkey", "ordered"], "o_custkey", "ordered", ["o_orderkey"], tolerance_s=172_800.0)
+    return found.where("o_orderkey is not null").select("event_id", "o_orderkey", at("ordered"))
+
+
 @query
 def destinations_chain(spark: SparkSession, sf: str) -> DataFrame:
     found = destination.infer_destinations(chain(spark, sf), fx.homes(spark, sf))

@@ -62,6 +62,10 @@ SNAPSHOTS = """SELECT CAST(user_id AS STRING) AS zoneId, CASE event_id % 3 WHEN
 TRACTS = """SELECT DISTINCT county, -118.5e0 + i * 1e-2 AS xmin, 34e0 + j * 1e-2 AS ymin, -118.5e0 + (i + 1) * 1e-2 AS xmax, 34e0 + (j + 1) * 1e-2 AS ymax, i, j
   FROM (SELECT c_nationkey % 5 AS county, c_custkey % 40 AS i, c_custkey * 7 % 37 AS j FROM {customer}) AS c"""
 
+#: Orders within the month of the events, at full minutes.
+ORDER_TIMES = """SELECT o_custkey, o_orderkey, TIMESTAMP '2024-01-01 00:00:00' + CAST(o_orderkey * 7919 % 43200 AS INT) * INTERVAL '1' MINUTE AS ordered
+  FROM {orders}"""
+
 #: Roads as segments (x1, y1, x2, y2): two parallels and a meridian.
 ROADS = [(-118.6, 34.1402, -118.0, 34.1402), (-118.6, 34.2601, -118.0, 34.2601), (-118.3003, 33.9, -118.3003, 34.6)]
 

@@ -356,6 +356,10 @@ def _reports() -> dict[str, str]:
             f"CAST(g2 AS BIGINT) AS to_seq, {_t('te', 'depart_ts')}, {_t('ts2', 'arrive_ts')}, round({_h('cy', 'cx', 'y2', 'x2')}, "
             f"2) AS displacement_m FROM lg WHERE g2 IS NOT NULL"
         ),
+        "pings_as_of_orders": f"""WITH p AS ({P}), o AS ({fx.ORDER_TIMES.format(orders='orders')}), j AS (SELECT event_id, o_orderkey, ordered,
+            row_number() OVER (PARTITION BY event_id ORDER BY ordered DESC, o_orderkey DESC) AS q FROM p JOIN o ON o_custkey = ID AND ordered <= datetime
+            AND ordered >= datetime - INTERVAL 2 DAY)
+          SELECT event_id, o_orderkey, {_t('ordered', 'ordered')} FROM j WHERE q = 1""",
         "route_strategy": (
             f"{CHAIN}, lg AS (SELECT ID, g, lead(g) OVER w AS g2, cy, cx, lead(cy) OVER w AS y2, lead(cx) OVER w AS x2 FROM chain WINDOW w AS "
             f"(PARTITION BY ID ORDER BY g)), d AS (SELECT *, {_h('cy', 'cx', 'y2', 'x2')} AS m FROM lg WHERE g2 IS NOT NULL) SELECT ID, CAST(g AS BIGINT) AS "
