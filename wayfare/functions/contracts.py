@@ -54,7 +54,10 @@ def optional_missing(df: DataFrame, columns: list[str]) -> list[str]:
 
 
 #: What values must be readable as, by the end of a column's name.
-KINDS = {"datetime": "timestamp", "_ts": "timestamp", "latitude": "double", "longitude": "double", "_4326": "double", "_m": "double", "_s": "double", "lat": "double", "lon": "double", "_ms": "long"}
+KINDS = {
+    "datetime": "timestamp", "_ts": "timestamp", "_ms": "long", "latitude": "double", "longitude": "double", "_4326": "double", "_m": "double",
+    "_s": "double", "lat": "double", "lon": "double"
+}
 
 
 def _unreadable(column: str) -> Column:

@@ -344,7 +344,8 @@ def od_extent(pairs: DataFrame, zoom_percentile: float = 99.5) -> DataFrame:
         pairs.select(F.col("dest_lat").alias("lat"), F.col("dest_lon").alias("lon"))
     )
     hi, lo = zoom_percentile / 100, 1 - zoom_percentile / 100
-    both = points.select(F.explode(F.array(F.struct(F.lit("a").alias("axis"), F.col("lat").alias("v")), F.struct(F.lit("o").alias("axis"), F.col("lon").alias("v")))).alias("e"))
+    of = lambda axis, c: F.struct(F.lit(axis).alias("axis"), F.col(c).alias("v"))
+    both = points.select(F.explode(F.array(of("a", "lat"), of("o", "lon"))).alias("e"))
     axes = with_quantiles(both.select("e.*"), "v", ["axis"], [lo, hi])
     box = axes.agg(*[F.max(F.when(F.col("axis") == c, F.col("p"))).alias(c) for c in ("a", "o")])
     pad = lambda c: F.greatest(F.lit(0.2), (F.col(c)[1] - F.col(c)[0]) * 0.12)
@@ -383,7 +384,8 @@ def ks_statistics(rows: DataFrame, group: str, value: str = "eu_distance_km", bi
     counts = counts.withColumn("bin", _bin_of(F.col("v"), edges))
     held = counts.groupBy("g", "bin").agg(F.sum("c").alias("c")).groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("m"))
     every = F.sequence(F.lit(0), F.lit(len(edges)))
-    so_far = F.aggregate(every, F.array(F.lit(0).cast("long")), lambda a, b: F.concat(a, F.array(F.element_at(a, -1) + F.coalesce(F.try_element_at("m", b), F.lit(0)))))
+    more = lambda a, b: F.concat(a, F.array(F.element_at(a, -1) + F.coalesce(F.try_element_at("m", b), F.lit(0))))
+    so_far = F.aggregate(every, F.array(F.lit(0).cast("long")), more)
     groups = sizes.join(held, "g").select("g", "n", so_far.alias("cum"))  # a row of ``bins`` numbers for each group
     first, second = (groups.select(F.col("g").alias(f"group_{k}"), F.col("n").alias(f"n_{k}"), F.col("cum").alias(f"cum_{k}")) for k in "ab")
     pairs = first.join(second, F.col("group_a") < F.col("group_b"))
@@ -392,7 +394,8 @@ def ks_statistics(rows: DataFrame, group: str, value: str = "eu_distance_km", bi
     grows = lambda k, b: F.get(F.col(f"cum_{k}"), b + 1) > F.get(F.col(f"cum_{k}"), b)
     most = lambda b: F.greatest(at("a", b + 1) - at("b", b), at("b", b + 1) - at("a", b))
     pair = ["group_a", "group_b", "n_a", "n_b"]
-    open_bins = pairs.select(*pair, "least", "cum_a", "cum_b", F.explode(F.filter(every, lambda b: grows("a", b) & grows("b", b) & (most(b) > F.col("least")))).alias("bin"))
+    wanted = F.filter(every, lambda b: grows("a", b) & grows("b", b) & (most(b) > F.col("least")))
+    open_bins = pairs.select(*pair, "cum_a", "cum_b", F.explode(wanted).alias("bin"))
     open_bins = open_bins.select(*pair, "bin", *[F.get(f"cum_{k}", F.col("bin")).alias(f"before_{k}") for k in "ab"])
 
     def side(key: str, a: int, b: int) -> DataFrame:

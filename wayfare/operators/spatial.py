@@ -276,13 +276,18 @@ class QuadTree:
         # The four cells of a box can lead to one leaf, by the same of both ways.
         once = lambda df: df.select("_u", *units.columns, "level", "cell", "parts").where(self._touches()).dropDuplicates(["_u", "level", "cell"])
         met = once(met).unionByName(once(rows.join(F.broadcast(below), ["_l", "_c"])))
-        return met.select(*units.columns, F.col("level").alias("_level"), F.col("cell").alias("_leaf"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_part"))
+        parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_part")
+        return met.select(*units.columns, F.col("level").alias("_level"), F.col("cell").alias("_leaf"), parts)
 
     def _touches(self) -> Column:
         """Whether a unit's widened box touches the leaf's box."""
         squeezed = lambda c: sum((F.shiftleft(F.shiftright(c, 2 * k).bitwiseAND(1), k) for k in range(DEPTH)), F.lit(0))
         i, j, cells = squeezed(F.col("cell")), squeezed(F.shiftright("cell", 1)), F.pow(F.lit(2.0), F.col("level"))
-        near = lambda k, base, size, low, high: (F.col(low) - self.reach <= base + (k + 1.001) * size / cells) & (F.col(high) + self.reach >= base + (k - 0.001) * size / cells)
+
+        def near(k: Column, base: Column, size: Column, low: str, high: str) -> Column:
+            begins, ends = base + (k - 0.001) * size / cells, base + (k + 1.001) * size / cells
+            return (F.col(low) - self.reach <= ends) & (F.col(high) + self.reach >= begins)
+
         return near(i, F.lit(self.x), F.lit(self.width), "_x1", "_x2") & near(j, F.lit(self.y), F.lit(self.height), "_y1", "_y2")
 
 

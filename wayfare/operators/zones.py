@@ -89,12 +89,20 @@ def _labelled(homes: DataFrame, zones: Column, buffer_distance: float) -> DataFr
 
     def decide(p: Column) -> Column:
         held = F.filter(zones, lambda z: F.when(near_box(p, z["box"], 0.0), geo.intersects(p["x"], p["y"], z["geometry"])).otherwise(False))
-        ranked = lambda z: F.struct((-z["_priority"]).alias("p"), *order(z, "OrderStart", "zoneId", "incident_name"), *[z[c].alias(c) for c in ("_priority", *LABELS)])
+
+        def ranked(z: Column) -> Column:
+            values = [z[c].alias(c) for c in ("_priority", *LABELS)]
+            return F.struct((-z["_priority"]).alias("p"), *order(z, "OrderStart", "zoneId", "incident_name"), *values)
+
         return F.array_min(F.transform(held, ranked))
 
     def approach(p: Column) -> Column:
         close = F.filter(zones, lambda z: (z["_priority"] > 0) & near_box(p, z["flat_box"], buffer_distance))
-        ranked = lambda z: F.struct(geo.distance(p["x"], p["y"], z["flat"]).alias("d"), *order(z, "zoneId", "OrderStart", "incident_name"), z["incident_name"].alias("incident_name"))
+
+        def ranked(z: Column) -> Column:
+            far = geo.distance(p["x"], p["y"], z["flat"]).alias("d")
+            return F.struct(far, *order(z, "zoneId", "OrderStart", "incident_name"), z["incident_name"].alias("incident_name"))
+
         return F.array_min(F.filter(F.transform(close, ranked), lambda z: z["d"] <= buffer_distance))
 
     known = lon.isNotNull() & lat.isNotNull()
