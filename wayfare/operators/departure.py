@@ -9,6 +9,7 @@ from ..functions.clock import delay_hours, local_clock, micros, resolve_tz
 from ..functions.geo import haversine_m
 from .clustering import ClusterConfig, cluster_array, duration_s, epoch_micros, merge_array, sorted_pings
 from .intervals import islands, selected_island, stay_bounds
+from .trip_chain import first_rows
 
 __all__ = ["delay_hours", "find_origin", "infer_departures", "infer_from_trip_chain"]
 
@@ -123,7 +124,10 @@ def infer_departures(
         return infer_from_trip_chain(trip_chain, away_radius, own, local_tz).withColumnRenamed("user_id", user)
     rows = pings
     if homes is not None and "distance_to_home" not in rows.columns:
-        known = homes.select(F.col("ID").alias(user), "home_lat_4326", "home_lon_4326").dropDuplicates([user])
+        known = first_rows(
+            homes.select(F.col("ID").alias(user), "home_lat_4326", "home_lon_4326"), [user],
+            [F.col("home_lat_4326").asc_nulls_last(), F.col("home_lon_4326").asc_nulls_last()]
+        )
         rows = rows.join(known, user).withColumn(
             "distance_to_home", haversine_m(F.col("home_lat_4326"), F.col("home_lon_4326"), F.col("latitude"), F.col("longitude"))
         )

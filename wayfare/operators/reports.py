@@ -332,7 +332,9 @@ def crosstab(records: DataFrame, rows: str, columns: str) -> DataFrame:
 
 def od_pairs(destinations: DataFrame, homes: DataFrame, max_trips: int = 500, seed: int = 42) -> DataFrame:
     """Home-destination lines: at most ``max_trips``, chosen by a hash, the same in every run."""
-    known = homes.select("ID", "home_lat_4326", "home_lon_4326").dropDuplicates(["ID"])
+    known = first_rows(
+        homes.select("ID", "home_lat_4326", "home_lon_4326"), ["ID"], [F.col("home_lat_4326").asc_nulls_last(), F.col("home_lon_4326").asc_nulls_last()]
+    )
     rows = destinations.join(known, "ID").select("ID", "dest_order", "home_lat_4326", "home_lon_4326", "dest_lat", "dest_lon").na.drop()
     mixed = F.md5(F.concat_ws("/", F.col("ID").cast("string"), F.col("dest_order").cast("string"), F.lit(str(seed))))
     return rows.orderBy(mixed, "ID", "dest_order").limit(max_trips)
