@@ -54,3 +54,14 @@ def test_dissolved_cells_have_their_area_and_border(spark):
     inside = overlay.dissolve(df, "key").where("key = 'a'").crossJoin(places).where(geo.inside(F.col("x"), F.col("y"), F.col("geometry")))
     assert inside.count() == sum(k == "a" for _, _, k in cells)
     assert overlay.dissolve(df.limit(0), "key").collect() == []
+
+
+def test_symmetric_difference(spark):
+    square, hole = ring([(0, 0), (4, 0), (4, 4), (0, 4)]), ring([(1, 1), (2, 1), (2, 2), (1, 2)])
+    pairs = [([[square, hole]], [[ring([(1.5, 1.5), (6, 1.5), (6, 3), (1.5, 3)])]]), ([[square]], [[square]]), ([[square]], None), ([], [[hole], [ring([(5, 5), (6, 5), (6, 6)])]])]
+    df = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], f"id long, a {geo.GEOMETRY}, b {geo.GEOMETRY}")
+    places = spark.createDataFrame([(i / 4 + 0.1, j / 4 + 0.07) for i in range(28) for j in range(28)], "x double, y double")
+    inside = lambda g: F.coalesce(geo.inside(F.col("x"), F.col("y"), g), F.lit(False))
+    rows = df.crossJoin(places).withColumn("c", overlay.symmetric_difference(F.col("a"), F.col("b")))
+    assert rows.where(inside(F.col("c")) != (inside(F.col("a")) != inside(F.col("b")))).count() == 0
+    assert rows.where(inside(F.col("c"))).count() > 100 and rows.where("id = 1").where(inside(F.col("c"))).count() == 0

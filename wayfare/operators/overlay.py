@@ -57,6 +57,14 @@ def clip(geometry: Column, box: tuple[float, float, float, float]) -> Column:
     return F.transform(whole, lambda p: F.filter(p, lambda r: F.size(r) > 3))
 
 
+def symmetric_difference(a: Column, b: Column) -> Column:
+    """What lies in exactly one of two geometries, as one polygon whose rings count even-odd: a point is in it if the rings of
+    both around it are odd in number. Polygons of one geometry must not overlap each other. Edges that both have cancel in
+    every test of a point; rings are not split where they cross, so ``area`` does not hold for it."""
+    rings = lambda g: F.coalesce(F.flatten(g), F.array().cast(f"array<array<{POINT}>>"))
+    return F.array(F.concat(rings(a), rings(b)))
+
+
 def in_box(shapes: DataFrame, box: tuple[float, float, float, float], geometry: str = "geometry") -> DataFrame:
     """The shapes of which something lies in a box, whole."""
     return shapes.where(F.size(clip(F.col(geometry), box)) > 0)

@@ -555,6 +555,14 @@ def od_map_counties(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def changed_areas(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a place lies in exactly one of two rectangles of an event: the symmetric difference of the areas."""
+    rows = fx.view(spark, sf, fx.CHANGES, "events")
+    a, b = (geo.rectangle(F.col(f"{k}x"), F.col(f"{k}y"), F.col(f"{k}x") + 0.5, F.col(f"{k}y") + 0.4) for k in "ab")
+    return rows.select("event_id", geo.inside(F.col("x"), F.col("y"), overlay.symmetric_difference(a, b)).alias("changed"))
+
+
 @query
 def od_extent(spark: SparkSession, sf: str) -> DataFrame:
     rows = fx.pings(spark, sf).join(fx.homes(spark, sf), "ID").select(

@@ -66,6 +66,10 @@ TRACTS = """SELECT DISTINCT county, -118.5e0 + i * 1e-2 AS xmin, 34e0 + j * 1e-2
 ORDER_TIMES = """SELECT o_custkey, o_orderkey, TIMESTAMP '2024-01-01 00:00:00' + CAST(o_orderkey * 7919 % 43200 AS INT) * INTERVAL '1' MINUTE AS ordered
   FROM {orders}"""
 
+#: A place and the corners of two rectangles for each event, none on a border of the other.
+CHANGES = """SELECT event_id, (event_id % 101) / 101e0 AS x, (event_id * 7 % 103) / 103e0 AS y, (event_id % 10) / 20e0 + 7e-4 AS ax, (event_id % 9) / 18e0 + 7e-4 AS ay,
+  (event_id % 7) / 14e0 + 1e-3 AS bx, (event_id % 8) / 16e0 + 1e-3 AS by FROM {events}"""
+
 #: Roads as segments (x1, y1, x2, y2): two parallels and a meridian.
 ROADS = [(-118.6, 34.1402, -118.0, 34.1402), (-118.6, 34.2601, -118.0, 34.2601), (-118.3003, 33.9, -118.3003, 34.6)]
 

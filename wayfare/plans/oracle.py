@@ -561,6 +561,8 @@ def _reports() -> dict[str, str]:
             f"SELECT coalesce(ZoneType, 'All') AS ZoneType, coalesce(Category, 'All') AS Category, count(*) AS n FROM ({C}) "
             f"GROUP BY CUBE (ZoneType, Category)"
         ),
+        "changed_areas": f"""SELECT event_id, (x > ax AND x < ax + 5e-1 AND y > ay AND y < ay + 4e-1) <> (x > bx AND x < bx + 5e-1 AND y > b_y AND y < b_y + 4e-1) AS changed
+          FROM (SELECT * FROM ({fx.CHANGES.format(events='events').replace(' AS by', ' AS b_y')}))""",
         "od_map_counties": f"""WITH t AS (SELECT * FROM ({fx.TRACTS.format(customer='customer')}) WHERE xmax > -118.4305e0 AND xmin < -118.2105e0 AND ymax > 34.0205e0 AND ymin < 34.2655e0),
           n AS (SELECT a.county, count(*) AS n FROM t a JOIN t b ON a.county = b.county AND abs(a.i - b.i) + abs(a.j - b.j) = 1 GROUP BY a.county)
           SELECT t.county, round(CAST(count(*) AS DOUBLE), 4) AS area, round(sum((least(xmax, -118.2105e0) - greatest(xmin, -118.4305e0))
