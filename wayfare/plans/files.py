@@ -7,10 +7,10 @@ import struct
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyarrow import fs
 from pyspark.sql import DataFrame
 
 from ..shipping import ship
+from ..sources.geojson import open_path
 
 BOX = ["xmin", "ymin", "xmax", "ymax"]
 
@@ -63,7 +63,7 @@ def write_files(rows: DataFrame, folder: str, write: Callable[[pd.DataFrame], di
 
         whole = [b for b in batches if len(b)]
         if whole:
-            system, path = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+            system, path = open_path(folder)
             system.create_dir(path, recursive=True)
             for kind, data in write(pd.concat(whole)).items():
                 with system.open_output_stream(f"{path}/part-{TaskContext.get().partitionId()}.{kind}") as out:

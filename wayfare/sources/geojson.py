@@ -32,7 +32,9 @@ _COMPARE = {LessThan: "lt", LessThanOrEqual: "le", GreaterThan: "gt", GreaterTha
 
 
 def open_path(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if "://" in path or re.match(r"\w+:/", path) else f"file://{path}")
+    """The file system of a path or URI, and the path in it."""
+    local = re.sub(r"^file:/+", "/", path)
+    return fs.FileSystem.from_uri(path) if "://" in local else (fs.LocalFileSystem(), local)
 
 
 @dataclass
