@@ -164,3 +164,48 @@ def test_labels_by_joins_equal_labels_by_constant(spark, monkeypatch, edges):
     monkeypatch.setattr(spatial, "PLAN_SHAPES", 0)
     monkeypatch.setattr(spatial, "FEW_EDGES", edges)
     assert found() == expected
+
+
+def test_near_gives_a_row_for_a_point_and_a_shape(spark):
+    r = random.Random(12)
+    rows = shapes(r) + [(100 + k, [[ring([(x, y), (x, y + h), (x + w, y + h), (x + w, y)])]]) for k in range(30) for x, y, w, h in [[r.uniform(0, 20) for _ in range(4)]]]
+    rows = [s for s in rows if s[1]]
+    df = spark.createDataFrame(rows, SHAPE)
+    boxes, others = spatial.rectangles(df, ["shape"])
+    assert boxes.count() == 30 and others.count() == len(rows) - 30
+    points = [(k, r.uniform(-2, 30), r.uniform(-2, 30)) for k in range(150)] + [(200, 1.5, 1.5), (201, 4.0, 2.0), (202, None, 1.0)]
+    places = spark.createDataFrame(points, "p long, _x double, _y double")
+    for few in (None, False):
+        found = [(x.p, x.shape, round(x._d, 6)) for x in spatial.near(places, df, ["shape"], 0.7, few=few).collect()]
+        inside = {(x.p, x.shape) for x in spatial.meet(places, spatial.strips(df, ["shape"])).where(spatial.holds(border=True)).collect()}
+        expected = set()
+        for p, x, y in points:
+            for s, polygons in rows if x is not None else []:
+                edges = [(a, b) for polygon in polygons for line in polygon for a, b in zip(line, line[1:], strict=False)]
+                d = 0.0 if (p, s) in inside else min(to_edge(x, y, a, b) for a, b in edges)
+                if d <= 0.7:
+                    expected.add((p, s, round(d, 6)))
+        assert len(found) == len(set(found)) and set(found) == expected
+
+
+def to_edge(x, y, a, b):
+    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+    t = min(max(((x - a["x"]) * dx + (y - a["y"]) * dy) / ((dx * dx + dy * dy) or 1.0), 0.0), 1.0)
+    return math.hypot(x - a["x"] - t * dx, y - a["y"] - t * dy)
+
+
+def test_points_of_one_place_are_met_once_and_pairs_with_rectangles_not_shuffled(spark):
+    lots = [(k, [[ring([(k % 20, 0), (k % 20, 5), (k % 20 + 6, 5), (k % 20 + 6, 0)])]]) for k in range(400)]
+    df = spark.createDataFrame(lots, SHAPE)
+    points = spark.createDataFrame([(k, 10.5 + k % 3, 2.0) for k in range(300)] + [(300, None, 2.0)], "p long, _x double, _y double")
+    seen = []
+
+    def count(places):
+        seen.append(places.count())
+        met = spatial.near(places, df, ["shape"], 0.25, few=False)
+        assert met._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[0].count("Exchange") == 0
+        return met.groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("n"))
+
+    found = {x.p: x.n for x in spatial.by_place(points, count).collect()}
+    assert seen == [3] and set(found) == set(range(300))
+    assert all(found[p] == sum(k % 20 - 0.25 <= 10.5 + p % 3 <= k % 20 + 6.25 for k in range(400)) for p in found)

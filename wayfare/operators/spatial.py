@@ -6,15 +6,21 @@ it are odd in number. A perimeter of 100,000 vertices thus costs a point the edg
 more, instead of all.
 ``runs`` serve distances: some consecutive edges each. A shape of any size is many small rows, none is replicated whole.
 
+``rectangles`` are one unit each and serve both: a row for a point and a shape, so that pairs need no grouping and no shuffle.
+
 **Few units** are broadcast (their number and edges are counted first), filed in cells as large as their box: cell sizes
 are powers of four for width and height apart, so a unit lies in a few cells and a point looks into one cell of each size
 in use. **Many units** meet the points in the leaves of a quad tree: points and units are counted in 4^``DEPTH`` cells, and
 a cell is split while its points, or its pairs of points and units, are more than a task should have. What is still too
-many in the finest cell is dealt over parts, by row and not by place, and its units are replicated to each part.
+many in the finest cell is dealt over parts, by row and not by place, and its units are replicated to each part. **Few
+points** are broadcast to many units, filed like few units.
+
+**Places.** Points of one place meet the same shapes: ``by_place`` finds them once for each place.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +31,8 @@ from ..storage import kept
 
 #: Units and edges that are broadcast, at most: some 60 MB, as each lies in up to six cells.
 FEW_UNITS, FEW_EDGES = 50_000, 250_000
+#: Points that are broadcast to many units, at most, times the cell sizes of the units.
+FEW_POINTS = 250_000
 #: Edges of a strip that a polygon's strips aim at, and of a run.
 STRIP_EDGES, RUN = 8, 16
 #: Levels of the quad tree; leaves for each shuffle partition, and pairs of points and units of a leaf, that it aims at.
@@ -148,6 +156,44 @@ def holds(border: bool, x: str = "_x", y: str = "_y") -> Column:
     return own & ((odd | F.exists("edges", touched)) if border else (odd & ~F.exists("edges", touched)))
 
 
+def rectangles(shapes: DataFrame, keep: list[str], geometry: str = "geometry") -> tuple[DataFrame, DataFrame]:
+    """Units of the shapes that are a rectangle along the axes, one each: the kept columns, a box and no edges. And the other
+    shapes."""
+    ring = F.flatten(F.flatten(geometry))
+    p = [F.get(ring, F.lit(k)) for k in range(5)]
+    flat = lambda a, b, name: a[name] == b[name]
+    turns = lambda one, two: flat(p[0], p[1], one) & flat(p[1], p[2], two) & flat(p[2], p[3], one) & flat(p[3], p[4], two)
+    closed = (F.size(geometry) == 1) & (F.size(F.flatten(geometry)) == 1) & (F.size(ring) == 5) & flat(p[0], p[4], "x") & flat(p[0], p[4], "y")
+    solid = (p[0]["x"] != p[2]["x"]) & (p[0]["y"] != p[2]["y"])
+    simple = F.coalesce(closed & solid & (turns("x", "y") | turns("y", "x")), F.lit(False))
+    box = [f(p[0][c], p[2][c]).alias(f"_{c}{k}") for k, f in (("1", F.least), ("2", F.greatest)) for c in ("x", "y")]
+    units = shapes.where(simple).select(*keep, *box, F.array().cast("array<struct<ax:double,ay:double,bx:double,by:double>>").alias("edges"))
+    return units, shapes.where(~simple)
+
+
+def near(
+    points: DataFrame, shapes: DataFrame, keep: list[str], reach: float, geometry: str = "geometry", x: str = "_x", y: str = "_y", few: bool | None = None
+) -> DataFrame:
+    """Points with each shape (told apart by the kept columns) at most ``reach`` away: a row for a point and a shape, with
+    the distance (_d), 0 inside and on the border. Points are told apart by their columns. Pairs with rectangles are found
+    by one task each, by compiled code, and need no shuffle; those with other shapes are grouped over the shape's units."""
+    units, others = rectangles(shapes, keep, geometry)
+    beyond = lambda v, low, high: F.greatest(F.col(low) - F.col(v), F.col(v) - F.col(high), F.lit(0.0))
+    found = meet(points, units, reach, x, y, few).withColumn("_d", F.hypot(beyond(x, "_x1", "_x2"), beyond(y, "_y1", "_y2"))).where(F.col("_d") <= reach)
+    found = found.select(*points.columns, *keep, "_d")
+    if others.isEmpty():
+        return found
+    held = meet(points, strips(others, keep, geometry), 0.0, x, y, few).where(holds(True, x, y)).select(*points.columns, *keep, F.lit(0.0).alias("_d"))
+    edges = within(meet(points, runs(others, keep, F.flatten(geometry)), reach, x, y, few), reach, x, y).select(*points.columns, *keep, "_d")
+    return found.unionByName(held.unionByName(edges).groupBy(*points.columns, *keep).agg(F.min("_d").alias("_d")))
+
+
+def by_place(points: DataFrame, find: Callable[[DataFrame], DataFrame], x: str = "_x", y: str = "_y") -> DataFrame:
+    """Points with what ``find`` returns for their place: it gets the distinct places (x, y) and returns rows with them."""
+    places = kept(points.select(x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull()).distinct(), "places")
+    return points.join(find(places), [x, y])
+
+
 @dataclass(frozen=True)
 class Measured:
     """Units, their edges, the cell sizes of their boxes (exponents of four), and the box of all."""
@@ -180,15 +226,20 @@ def _inside_box(reach: float, x: str, y: str) -> Column:
 
 def meet(points: DataFrame, units: DataFrame, reach: float = 0.0, x: str = "_x", y: str = "_y", few: bool | None = None) -> DataFrame:
     """Points with the units whose box, widened by ``reach``, holds them: columns of both. A point without coordinates
-    meets none. ``few``: whether units are broadcast, by default if they are few enough."""
+    meets none. ``few``: whether units are broadcast, by default if they are few enough; if they are not, points are if
+    these are few."""
     found = measure(units, reach)
     if not found.units:
         return points.join(units, F.lit(False))
-    return (_by_size if (found.few if few is None else few) else _by_leaf)(points, units, reach, x, y, found)
+    if found.few if few is None else few:
+        return _by_size(points, units, reach, x, y, found)
+    if few is None and points.count() * len(found.sizes) <= FEW_POINTS:
+        return _by_size(points, units, reach, x, y, found, few_points=True)
+    return _by_leaf(points, units, reach, x, y, found)
 
 
-def _by_size(points: DataFrame, units: DataFrame, reach: float, x: str, y: str, found: Measured) -> DataFrame:
-    """Few units: broadcast in cells of their own size."""
+def _by_size(points: DataFrame, units: DataFrame, reach: float, x: str, y: str, found: Measured, few_points: bool = False) -> DataFrame:
+    """Few units, or few points: broadcast in cells of the units' own sizes."""
     step = lambda size: F.pow(F.lit(4.0), size)
     span = lambda low, high, size: F.explode(F.sequence(F.floor((low - reach) / step(size)), F.floor((high + reach) / step(size))))
     filed = units.withColumns({"_sx": _size("_x1", "_x2", reach), "_sy": _size("_y1", "_y2", reach)})
@@ -202,7 +253,8 @@ def _by_size(points: DataFrame, units: DataFrame, reach: float, x: str, y: str,
     key = ["_sx", "_sy", "_i", "_j"]
     looked = points.withColumn("_cell", F.explode(F.array(*cells)) if len(cells) > 1 else cells[0])
     looked = looked.select(*points.columns, *[f"_cell.{c}" for c in key])
-    return looked.join(F.broadcast(filed), key).where(_inside_box(reach, x, y)).drop(*key)
+    both = F.broadcast(looked).join(filed, key) if few_points else looked.join(F.broadcast(filed), key)
+    return both.where(_inside_box(reach, x, y)).drop(*key)
 
 
 def _spread(c: Column) -> Column:
