@@ -63,3 +63,24 @@ def test_pieces_give_the_rows_of_the_whole_file(spark, tmp_path, split):
     assert boxed.count() == near.count() > 0
     plan = boxed._jdf.queryExecution().executedPlan().toString()
     assert "<=" not in plan.split("BatchScan")[0], plan  # the box is applied where features are read
+
+
+@pytest.mark.parametrize("block", [50, 1 << 20])
+def test_whole_files_are_cut_at_features_or_refused(monkeypatch, block):
+    monkeypatch.setattr(geojson, "BLOCK", block)
+    for seed, indent in ((1, None), (2, 2)):
+        expected, data = collection(seed, indent)
+        for split in (1, 700, 10**9):
+            crs, pieces = geojson.cut(io.BytesIO(data), len(data), split)
+            assert crs == "EPSG:4326" and [json.loads(v) for a, b in pieces for v in geojson.values(data[a:b])] == expected
+        for bad in (data[: len(data) // 2], data[:-1], data.replace(b'"Feature"', b'"Feature', 1), data.replace(b'"geometry"', b'NaN, "geometry"'), b"", b"[]", b"{not json"):
+            with pytest.raises(ValueError):
+                geojson.cut(io.BytesIO(bad), len(bad))
+    text = b'{"x": {"features": [1]}, "y": "\\"features\\": [", "features" : [ ] }'
+    assert geojson.cut(io.BytesIO(text), len(text)) == (None, [])
+
+
+def test_no_feature_parses_the_whole_file_again(spark, tmp_path):
+    (tmp_path / "a.geojson").write_bytes(collection(6)[1])
+    plan = readers.read_geojson(spark, str(tmp_path / "*.geojson"), ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "$.crs" not in plan and "$.features" not in plan

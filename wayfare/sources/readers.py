@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.contracts import InputError
 from ..functions.text import number
-from .geojson import read_features
+from .geojson import read_collections, read_features
 
 TIMES = ["DepartureDate", "ReturnDate", "OrderStart", "OrderEnd", "FireStart"]
 
@@ -69,15 +69,11 @@ def read_geojson(
     box: tuple[float, float, float, float] | None = None
 ) -> DataFrame:
     """Features of GeoJSON files with some properties as strings; coordinates in EPSG:3857 (named by the file's crs) are
-    turned into degrees. A file is read whole, and drops out if it cannot be parsed. With ``split`` (bytes) one large file,
+    turned into degrees. A file that cannot be parsed as a whole drops out. With ``split`` (bytes) one large file,
     or a folder's, is read in pieces of that size, see ``geojson``; ``box`` then leaves out features that do not touch it
     (in the file's coordinates)."""
-    if split:
-        rows = read_features(spark, path, split, box).select(F.col("crs").alias("_crs"), F.col("feature").alias("f"))
-    else:
-        text = spark.read.text(path, wholetext=True)
-        features = F.from_json(F.get_json_object("value", "$.features"), "array<string>")
-        rows = text.select(F.get_json_object("value", "$.crs.properties.name").alias("_crs"), F.explode(features).alias("f"))
+    found = read_features(spark, path, split, box) if split else read_collections(spark, path)
+    rows = found.select(F.col("crs").alias("_crs"), F.col("feature").alias("f"))
     shape = geojson_lines(F.col("f")) if lines else geojson_geometry(F.col("f"))
     back = lambda p: F.struct(geo.mercator_lon(p["x"]).alias("x"), geo.mercator_lat(p["y"]).alias("y"))
     degrees = F.transform(shape, lambda r: F.transform(r, back)) if lines else F.transform(
