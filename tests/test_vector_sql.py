@@ -91,3 +91,45 @@ def test_sql_functions(spark):
     assert spark.sql(
         "SELECT in_night(23, 20, 7), in_night(8, 20, 7), hours_between(TIMESTAMP'2025-01-01 00:00:00', TIMESTAMP'2025-01-01 01:30:00')"
     ).first()[:] == (True, False, 1.5)
+
+
+def test_shapefile_in_pieces(spark, tmp_path, monkeypatch):
+    import io
+
+    rings = [[(x + k, y) for x, y in RING] for k in range(50)]
+    data, table = shp([shape(5, [r]) if k % 9 else struct.pack("<i", 0) for k, r in enumerate(rings)]), dbf([f"type {k}" for k in range(50)])
+    monkeypatch.setattr(vector, "BLOCK", 64)
+    whole = list(vector.read_shp(data))
+    for split in (1, 500, 10**9):
+        pieces = list(vector.cut_shp(io.BytesIO(data), len(data), split))
+        found = [(g, row["UseType"]) for a, b, first in pieces for g, row in zip(vector.read_shp(data[a:b], 0), vector.read_dbf(io.BytesIO(table), first), strict=False)]
+        assert found == [(g, f"type {k}") for k, g in enumerate(whole)] and len(pieces) == {1: 50, 500: len(pieces), 10**9: 1}[split]
+
+
+def test_files_are_written_as_rows_come(tmp_path):
+    import io
+
+    import pandas as pd
+
+    from wayfare.plans import files
+
+    made, open_now = {}, []
+
+    def out(kind):
+        made[kind] = io.BytesIO()
+        made[kind].close = lambda: None
+        return made[kind]
+
+    def tables():
+        for k in range(5):
+            open_now.append(sum(len(f.getvalue()) for f in made.values()))
+            yield pd.DataFrame({"UseType": [f"t{k}"] * 40, "xmin": 0.0 + k, "ymin": 0.0, "xmax": 1.0 + k, "ymax": 1.0})
+
+    files.geojson(tables(), out)
+    assert open_now[-1] > 3 * open_now[1] > 0  # before the last rows came, the first ones were written
+    open_now.clear()
+    made.clear()
+    files.shapefile(tables(), out)
+    assert open_now[-1] > 3 * open_now[1] > 0
+    rows = list(vector.read_dbf(io.BytesIO(made["dbf"].getvalue())))
+    assert [r["UseType"] for r in rows] == [f"t{k}" for k in range(5) for _ in range(40)] and len(list(vector.read_shp(made["shp"].getvalue()))) == 200
