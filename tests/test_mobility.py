@@ -308,3 +308,37 @@ def test_resident_local_delay(spark):
     assert not math.isnan(row.DelayHours)
     empty = residents.infer_metrics(stops.where("false"), {"Palisades": "2025-01-07 10:00:00"}, local_tz="America/Los_Angeles")
     assert empty.count() == 0
+
+
+def test_streamed_rows_need_no_data_frame_and_no_list_of_timers():
+    from pyspark.sql import Row
+
+    from wayfare.operators.clustering import ClusterConfig
+    from wayfare.streaming.clusters import ClusterProcessor
+
+    class Store:
+        held, timers = None, set()
+
+        def getValueState(self, name, schema):  # noqa: N802
+            return self
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.add(at)
+
+        def deleteTimer(self, at):  # noqa: N802
+            self.timers.remove(at)
+
+    store, processor = Store(), ClusterProcessor(ClusterConfig(radius_m=100.0, min_dwell_s=1.0, max_gap_s=60.0))
+    processor.init(store)
+    row = lambda s, lat: Row(user_id="u", us=s * 1_000_000, latitude=lat, longitude=5.0)
+    kinds = lambda rows: [e.event_type for e in processor.handleInputRows(("u",), iter(rows), None)]
+    assert kinds([row(20, 1.0), row(10, 1.0), row(15, None), row(16, float("nan"))]) == ["cluster_started", "cluster_updated"] and store.timers == {80_001}
+    assert kinds([row(5, 1.0)]) == [] and store.timers == {80_001}  # late
+    assert kinds([row(30, 2.0)]) == ["cluster_closed", "cluster_started"] and store.timers == {90_001}
+    assert [e.event_type for e in processor.handleExpiredTimer(("u",), None, None)] == [] and store.held[1] == 0

@@ -1,6 +1,7 @@
 """Stay clusters over a stream: the batch state machine, with its state in the state store.
 
-State of a user: the open cluster as sums, not as a list of pings, and its number. Within a micro-batch pings are sorted;
+Rows go through Python one by one, not as a data frame for each user: most of these would hold a few pings, and cost
+more than the clusters. State of a user: the open cluster as sums, not as a list of pings, and its number. Within a micro-batch pings are sorted;
 pings older than the open cluster's last one are late and left out. A cluster is closed by a break, or by a timer when the
 watermark passes its end by ``max_gap_s``, so a stream that falls silent still closes its clusters. At the end of the
 input, ``close_open_clusters`` gives the clusters that are still open.
@@ -11,9 +12,8 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -21,6 +21,9 @@ from ..operators.clustering import ClusterConfig
 from ..shipping import ship
 
 EVENTS = "user_id string, event_type string, cluster_id long, event_time timestamp, centroid_lat double, centroid_lon double, start_time timestamp, n_points long, dwell_s double"
+#: The same with times in microseconds.
+_RAW = EVENTS.replace("timestamp", "long")
+_ROW = Row(*[c.split()[0] for c in EVENTS.split(", ")])
 STATE = "id long, n long, lat double, lon double, from_us long, to_us long"
 
 
@@ -63,18 +66,6 @@ def distance_m(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
     return 2 * 6_371_000.0 * atan2(sqrt(a), sqrt(1 - a))
 
 
-def _frame(user: str, events: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(
-        events, columns=["event_type", "cluster_id", "event_time", "centroid_lat", "centroid_lon", "start_time", "n_points", "dwell_s"]
-    )
-    for c in ("event_time", "start_time"):
-        out[c] = pd.to_datetime(out[c], unit="us")
-    for c in ("n_points", "cluster_id"):
-        out[c] = out[c].astype("Int64")
-    out.insert(0, "user_id", str(user))
-    return out
-
-
 class ClusterProcessor(StatefulProcessor):
     def __init__(self, config: ClusterConfig):
         self.config = config
@@ -83,31 +74,36 @@ class ClusterProcessor(StatefulProcessor):
         self.handle = handle
         self.open = handle.getValueState("open", STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        engine = Engine(self.config, tuple(self.open.get()) if self.open.exists() else None)
-        pings = pd.concat(list(rows)).dropna(subset=["datetime", "latitude", "longitude"]).sort_values(["datetime", "latitude", "longitude"])
-        at = pings["datetime"].astype("datetime64[us]").astype("int64") if len(pings) else []
-        events: list[tuple] = []
-        for t, lat, lon in zip(at, pings["latitude"], pings["longitude"], strict=True):
-            if engine.n and t < engine.end:
-                continue
-            events.extend(engine.update(int(t), float(lat), float(lon)))
+    def _timer(self, engine: Engine) -> int | None:
+        gap = self.config.max_gap_s
+        return engine.end // 1000 + int(gap * 1000) + 1 if gap is not None and engine.n else None
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.open.get()
+        engine = Engine(self.config, tuple(held) if held else None)
+        before = self._timer(engine)
+        pings = sorted((r.us, r.latitude, r.longitude) for r in rows if None not in (r.us, r.latitude, r.longitude) and r.latitude == r.latitude and r.longitude == r.longitude)
+        for at, lat, lon in pings:
+            if not (engine.n and at < engine.end):
+                for event in engine.update(at, lat, lon):
+                    yield _ROW(key[0], *event)
         self.open.update(engine.state())
-        if self.config.max_gap_s is not None and engine.n:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(engine.end // 1000 + int(self.config.max_gap_s * 1000) + 1)
-        if events:
-            yield _frame(key[0], events)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.open.exists():
+        after = self._timer(engine)
+        if after != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if after is not None:
+                self.handle.registerTimer(after)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.open.get()
+        if not held:
             return
-        engine = Engine(self.config, tuple(self.open.get()))
+        engine = Engine(self.config, tuple(held))
         events = list(engine.flush())
         self.open.update(engine.state())
-        if events:
-            yield _frame(key[0], events)
+        for event in events:
+            yield _ROW(key[0], *event)
 
     def close(self) -> None:
         pass
@@ -121,9 +117,13 @@ def stream_cluster_events(pings: DataFrame, config: ClusterConfig | None = None,
     # The stream's own driver process does not see shipped files: the state machine travels by value.
     for module in (__name__, ClusterConfig.__module__):
         cloudpickle.register_pickle_by_value(sys.modules[module])
-    rows = pings.select("user_id", "datetime", "latitude", "longitude").withWatermark("datetime", watermark)
+    text = F.col("user_id").cast("string").alias("user_id")
+    rows = pings.select(text, "datetime", F.col("latitude").cast("double"), F.col("longitude").cast("double")).withWatermark("datetime", watermark)
+    rows = rows.withColumn("us", F.unix_micros("datetime"))
     mode = "EventTime" if config.max_gap_s is not None else "None"
-    return rows.groupBy("user_id").transformWithStateInPandas(ClusterProcessor(config), outputStructType=EVENTS, outputMode="Append", timeMode=mode)
+    found = rows.groupBy("user_id").transformWithState(ClusterProcessor(config), outputStructType=_RAW, outputMode="Append", timeMode=mode)
+    times = {c: F.timestamp_micros(c) for c in ("event_time", "start_time")}
+    return found.withColumns(times)
 
 
 def close_open_clusters(spark: SparkSession, checkpoint: str, config: ClusterConfig | None = None) -> DataFrame:
