@@ -599,6 +599,108 @@ def test_gradient_lowers_the_loss():
     assert net.log_probability(context, target).mean() > before + 1
 
 
+def _plain_step(net, context, target, rate):
+    """A step of the network, class by class."""
+    def softmax(x):
+        x = np.exp(x - x.max(1, keepdims=True))
+        return x / x.sum(1, keepdims=True)
+
+    order = np.argsort(target, kind="stable")
+    context, target = context[order].astype(np.int64), target[order].astype(np.int64)
+    rows, used = np.arange(len(target)), context + np.arange(4) * (scoring.PAD + 1)
+    h, cls = np.tanh(net.embed[used].sum(1) + net.hidden), target // scoring.MEMBERS
+    p = softmax(h @ net.classes + net.class_bias)
+    p[rows, cls] -= 1
+    back = p @ net.classes.T
+    for c in np.unique(cls):
+        here = np.flatnonzero(cls == c)
+        here = slice(here[0], here[-1] + 1)
+        q = softmax(h[here] @ net.members[c] + net.member_bias[c])
+        q[rows[: len(q)], target[here] % scoring.MEMBERS] -= 1
+        back[here] += q @ net.members[c].T
+        each = np.float32(rate / np.sqrt(len(q)))
+        net.members[c] -= each * (h[here].T @ q)
+        net.member_bias[c] -= each * q.sum(0)
+    whole = np.float32(rate / np.sqrt(len(rows)))
+    net.classes -= whole * (h.T @ p)
+    net.class_bias -= whole * p.sum(0)
+    back *= 1 - h * h
+    net.hidden -= whole * back.sum(0)
+    flat = used.ravel()
+    order = np.argsort(flat, kind="stable")
+    first = np.flatnonzero(np.diff(flat[order], prepend=-1))
+    times = np.diff(np.append(first, len(flat)))
+    moved = np.add.reduceat(back[order // 4], first)
+    net.embed[flat[order][first]] -= moved * (np.float32(rate) / np.sqrt(times).astype(np.float32))[:, None]
+
+
+def _plain_logs(net, context, target):
+    """Logarithms of probabilities by a network on the grid, all words' scores at once."""
+    def log_sum(x):
+        top = x.max(1)
+        return top + np.log(np.exp(x - top[:, None]).sum(1))
+
+    context, target = context.astype(np.int64), target.astype(np.int64)
+    h, rows = np.tanh(net.embed[context + np.arange(4) * (scoring.PAD + 1)].sum(1) + net.hidden), np.arange(len(target))
+    h, cls = np.rint(h.astype(float) * scoring.GRID) / scoring.GRID, target // scoring.MEMBERS
+    first, second = (h @ net.classes + net.class_bias).astype(np.float32), np.empty((len(target), scoring.MEMBERS), np.float32)
+    for c in np.unique(cls):
+        second[cls == c] = h[cls == c] @ net.members[c] + net.member_bias[c]
+    return first[rows, cls] - log_sum(first) + second[rows, target % scoring.MEMBERS] - log_sum(second)
+
+
+def _steps(words, seed, size=scoring.BATCH):
+    """Contexts and targets with few frequent ids, as in texts; two in five words have shared ids."""
+    rng = np.random.default_rng(seed)
+    p = 1 / (np.arange(scoring.WORDS) + 2.7)
+    p = np.concatenate([0.6 * p / p.sum(), np.full(scoring.BUCKETS, 0.4 / scoring.BUCKETS)])
+    line = rng.choice(scoring.PAD, words + 4, p=p / p.sum()).astype(np.uint16)
+    at = rng.permutation(np.arange(2, words + 2))
+    return [(scoring._context(line, at[i : i + size]), line[at[i : i + size]]) for i in range(0, words, size)]
+
+
+@pytest.mark.parametrize(("words", "scale"), [(1, 1), (9, 1), (5000, 1), (3000, 300)])
+def test_network_step_is_that_of_each_class(words, scale):
+    net = scoring.Network.start(np.arange(scoring.PAD, dtype=float))
+    net.members *= scale  # at 300, scores too far from zero for plain powers
+    plain = scoring.Network(net.flat.copy())
+    for context, target in _steps(words, words):
+        net.step(context, target, scoring.RATE)
+        _plain_step(plain, context, target, scoring.RATE)
+    assert np.isfinite(net.flat).all()
+    assert np.abs(net.flat - plain.flat).max() < (1e-4 if scale == 1 else 2e-2)
+
+
+@pytest.mark.parametrize("scale", [1, 10, 300])
+def test_scores_are_those_of_whole_blocks(scale):
+    net = scoring.Network.start(np.arange(scoring.PAD, dtype=float))
+    net.members *= scale
+    net = net.on_grid()
+    for words in (1, 700, 9000):
+        for context, target in _steps(words, words, 8192):
+            assert np.abs(net.log_probability(context, target) - _plain_logs(net, context, target)).max() < 2e-5 * scale
+
+
+def test_training_and_scoring_take_less_time_than_class_by_class():
+    import time
+
+    net = scoring.Network.start(np.ones(scoring.PAD))
+    on_grid = net.on_grid()
+    kinds = {
+        "step": (_steps(20 * scoring.BATCH, 1), lambda *a: net.step(*a, scoring.RATE)),
+        "plain step": (_steps(20 * scoring.BATCH, 1), lambda *a: _plain_step(net, *a, scoring.RATE)),
+        "score": (_steps(65536, 1, 32768), on_grid.log_probability), "plain score": (_steps(65536, 1, 32768), lambda *a: _plain_logs(on_grid, *a))
+    }
+    best = dict.fromkeys(kinds, 1e9)
+    for _ in range(7):
+        for kind, (steps, run) in kinds.items():
+            began = time.thread_time()
+            for context, target in steps:
+                run(context, target)
+            best[kind] = min(best[kind], time.thread_time() - began)
+    assert best["step"] < 0.5 * best["plain step"] and best["score"] < 0.65 * best["plain score"], best
+
+
 def test_texts_stand_apart_in_a_line():
     texts = [np.arange(5), np.zeros(0, np.int64), np.arange(3000) % 700]
     column = __import__("pyarrow").array([t.astype(np.uint16).tobytes() for t in texts])

@@ -27,7 +27,7 @@ result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,15 +51,14 @@ PAD = WORDS + BUCKETS
 
 
 class Network:
-    """Parameters as one flat float32 vector with named views."""
+    """Parameters as one flat float32 vector with named views; a layer's biases are the last row of its weights, met by a
+    hidden value that is always 1."""
 
     SHAPES = {
         "embed": (len(PLACES) * (PAD + 1), DIM),
         "hidden": (DIM,),
-        "classes": (DIM, CLASSES),
-        "class_bias": (CLASSES,),
-        "members": (CLASSES, DIM, MEMBERS),
-        "member_bias": (CLASSES, MEMBERS),
+        "first": (DIM + 1, CLASSES),
+        "second": (CLASSES, DIM + 1, MEMBERS),
     }
     SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 
@@ -69,12 +68,19 @@ class Network:
             n = int(np.prod(shape))
             setattr(self, name, flat[at : at + n].reshape(shape))
             at += n
+        self._name()
+        self.plain = False
+
+    def _name(self) -> None:
+        self.classes, self.class_bias = self.first[:DIM], self.first[DIM]
+        self.members, self.member_bias = self.second[:, :DIM], self.second[:, DIM]
 
     @classmethod
     def start(cls, counts: np.ndarray, seed: int = 3) -> Network:
         """Small random weights; biases from the corpus counts of the ids."""
         net = cls((np.random.default_rng(seed).standard_normal(cls.SIZE) * 0.1).astype(np.float32))
         by = (counts + 1.0).reshape(CLASSES, MEMBERS)
+        net.members[:] = net.second.ravel()[: net.members.size].reshape(net.members.shape).copy()
         net.hidden[:] = 0
         net.class_bias[:] = np.log(by.sum(1) / by.sum())
         net.member_bias[:] = np.log(by / by.sum(1, keepdims=True))
@@ -82,85 +88,174 @@ class Network:
 
     def on_grid(self) -> Network:
         """The network with its output layers in whole numbers of 1 / ``GRID``, as float64. With hidden values on the grid,
-        too, a sum of ``DIM`` products needs 52 bits at most: no order, block or processor rounds it differently."""
+        too, a sum of ``DIM + 1`` products needs 52 bits at most: no order, block or processor rounds it differently."""
         net = Network(self.flat)
-        for name in ("classes", "class_bias", "members", "member_bias"):
+        for name in ("first", "second"):
             setattr(net, name, np.clip(np.rint(getattr(self, name).astype(np.float64) * GRID), -LIMIT * GRID, LIMIT * GRID) / GRID)
+        net._name()
+        # No score of the network is further from zero, as hidden values are within 1.
+        net.plain = bool(max(np.abs(net.first).sum(0).max(), np.abs(net.second).sum(1).max()) < PLAIN)
         return net
 
-    def forward(self, context: np.ndarray) -> np.ndarray:
-        h = self.embed[context[:, 0]] + self.hidden
+    @staticmethod
+    def rows(context: np.ndarray) -> np.ndarray:
+        """The rows of ``embed`` that contexts use, a line for each place."""
+        return context.T.astype(np.uint16) + STARTS[:, None]
+
+    def forward(self, rows: np.ndarray) -> np.ndarray:
+        """Hidden values of contexts, given by their ``rows``."""
+        found = self.embed.take(rows.ravel(), axis=0).reshape(len(PLACES), -1, DIM)  # several times faster than by an index
+        h = found[0]
+        h += self.hidden
         for k in range(1, len(PLACES)):
-            h += self.embed[context[:, k] + k * (PAD + 1)]
+            h += found[k]
         return np.tanh(h, out=h)
 
-    def _members(self, h: np.ndarray, cls: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-        """Scores of the members of each row's class; rows are sorted by class, ``cuts`` are the classes' first rows."""
-        out = np.empty((len(h), MEMBERS), h.dtype)
-        for c in np.flatnonzero(np.diff(cuts)):
-            np.matmul(h[cuts[c] : cuts[c + 1]], self.members[c], out=out[cuts[c] : cuts[c + 1]])
-        out += self.member_bias[cls]
-        return out
-
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log P(target | context) for each row, of a network ``on_grid``: the same in any block of rows."""
         order = np.argsort(target.astype(np.uint16), kind="stable")
-        h, cls, rows = self.forward(context[order]), target[order] // MEMBERS, np.arange(len(order))
-        h = np.rint(h.astype(np.float64) * GRID) / GRID
-        cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
-        first = (h @ self.classes + self.class_bias).astype(np.float32)  # exact, then rounded once
-        logs = first[rows, cls] - _log_sum(first)
-        second = self._members(h, cls, cuts).astype(np.float32)
-        logs += second[rows, target[order] % MEMBERS] - _log_sum(second)
+        target = target.take(order).astype(np.int64)
+        hidden = self.forward(self.rows(context.take(order, axis=0)))
+        cls, member = target // MEMBERS, target % MEMBERS
+        h, logs, room = np.ones((len(order), DIM + 1)), np.empty(len(order), np.float32), _Room(self)
+        for i in range(0, len(h), PIECE):
+            here = slice(i, min(i + PIECE, len(h)))
+            h[here, :DIM] = np.rint(np.multiply(hidden[here], GRID, dtype=np.float64)) / GRID
+            logs[here] = room.log_shares(h[here], self.first, cls[here])
+        cuts = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+        for c in range(CLASSES):
+            for i in range(cuts[c], cuts[c + 1], PIECE):
+                here = slice(i, min(i + PIECE, cuts[c + 1]))
+                logs[here] += room.log_shares(h[here], self.second[c], member[here])
         out = np.empty(len(order))
         out[order] = logs
         return out
 
     def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One step of stochastic gradient descent on the negative log-probability. A row of a table that n words of the
-        batch use moves by their summed gradient over the square root of n."""
+        batch use moves by their summed gradient over the square root of n.
+
+        Softmax values are never divided by their sums: what meets them in products, which is shorter, is."""
         order = np.argsort(target.astype(np.uint16), kind="stable")
-        context, target = context[order], target[order]
+        used, target = self.rows(context.take(order, axis=0)), target.take(order).astype(np.int64)
         n, rows = len(target), np.arange(len(target))
-        h, cls = self.forward(context), target // MEMBERS
-        cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
-        present = np.flatnonzero(np.diff(cuts))
-        p = _softmax(h @ self.classes + self.class_bias)
-        p[rows, cls] -= 1
+        cls, own = target // MEMBERS, rows * MEMBERS + target % MEMBERS
+        hidden = self.forward(used)
+        h = np.ones((n + 1, DIM + 1), np.float32)
+        h[:n, :DIM] = hidden
+        h[n] = 0
+        # Classes.
+        p = np.empty((n, CLASSES), np.float32)
+        part = _less_own(p, rows * CLASSES + cls, lambda: np.matmul(h[:n], self.first, out=p))[:, None]
         back = p @ self.classes.T
-        q = _softmax(self._members(h, cls, cuts))
-        q[rows, target % MEMBERS] -= 1
-        each = np.float32(rate) / np.sqrt(np.diff(cuts)[present]).astype(np.float32)
-        for c, step in zip(present, each, strict=True):
-            here = slice(cuts[c], cuts[c + 1])
-            back[here] += q[here] @ self.members[c].T
-            self.members[c] -= step * (h[here].T @ q[here])
-        self.member_bias[present] -= each[:, None] * np.add.reduceat(q, cuts[present])
-        whole = np.float32(rate / np.sqrt(n))
-        self.classes -= whole * (h.T @ p)
-        self.class_bias -= whole * p.sum(0)
-        back *= 1 - h * h
-        self.hidden -= whole * back.sum(0)
-        used = (context + np.arange(len(PLACES)) * (PAD + 1)).ravel().astype(np.uint16)  # sorted by digits
-        order = np.argsort(used, kind="stable")
-        used = used[order]
-        first = np.flatnonzero(np.concatenate([[True], used[1:] != used[:-1]]))
-        times = np.diff(np.append(first, len(used)))
-        moved = np.add.reduceat(back[order // len(PLACES)], first)
-        moved *= (np.float32(rate) / np.sqrt(times).astype(np.float32))[:, None]
-        self.embed[used[first]] -= moved
-
-
-def _log_sum(x: np.ndarray) -> np.ndarray:
-    top = x.max(1)
-    return top + np.log(np.exp(x - top[:, None]).sum(1))
-
-
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
-    return x
+        back *= part
+        self.first -= (h[:n] * (part * np.float32(rate / np.sqrt(n)))).T @ p
+        # Members; rows are sorted by class, ``cuts`` are the classes' first rows. Classes of few rows are multiplied in a tile
+        # for each, filled up with the row after the last, which has no hidden values.
+        cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
+        count = np.diff(cuts)
+        few, inside = count <= TILE, np.arange(TILE)
+        filled = (inside < count[:, None]) & few[:, None]
+        slots = np.where(filled, cuts[:-1, None] + inside, n).ravel()
+        more = [(c, cuts[c], cuts[c + 1]) for c in np.flatnonzero(~few).tolist()]
+        q, below = np.empty((n + 1, MEMBERS), np.float32), np.empty((n + 1, DIM), np.float32)
+
+        def scores() -> None:
+            tiles = h.take(slots, axis=0).reshape(CLASSES, TILE, DIM + 1) @ self.second
+            np.put(q.view(LINE).ravel(), slots, tiles.view(LINE).ravel())
+            for c, i, j in more:
+                np.dot(h[i:j], self.second[c], out=q[i:j])
+
+        part = _less_own(q[:n], own, scores)
+        factor = part * (np.float32(rate) / np.sqrt(np.maximum(count, 1)).astype(np.float32)).take(cls)
+        shared = np.zeros((n + 1, DIM + 1), np.float32)
+        np.multiply(h[:n], factor[:, None], out=shared[:n])
+        q[n] = 0
+        tiles = q.view(LINE).ravel().take(slots).view(np.float32).reshape(CLASSES, TILE, MEMBERS)
+        np.put(below.view(ROW).ravel(), slots, (tiles @ self.members.transpose(0, 2, 1)).view(ROW).ravel())
+        for c, i, j in more:
+            np.dot(q[i:j], self.members[c].T, out=below[i:j])
+        self.second -= shared.take(slots, axis=0).reshape(CLASSES, TILE, DIM + 1).transpose(0, 2, 1) @ tiles
+        for c, i, j in more:
+            self.second[c] -= np.dot(shared[i:j].T, q[i:j])
+        below = below[:n]
+        below *= part[:, None]
+        back += below
+        hidden *= hidden
+        np.subtract(1, hidden, out=hidden)
+        back *= hidden
+        back *= np.float32(rate)
+        self.hidden -= back.sum(0) / np.float32(np.sqrt(n))
+        # Embeddings: most rows are used once or twice, only the others are summed in runs.
+        used = used.ravel()
+        order = np.argsort(used, kind="stable")  # by digits
+        used, of = used.take(order), order % n
+        new = np.ones(len(used) + 1, bool)
+        np.not_equal(used[1:], used[:-1], out=new[1:-1])
+        ends = np.flatnonzero(new)
+        first, times = ends[:-1], np.diff(ends)
+        moved = back.take(of.take(first), axis=0)
+        twice, often = np.flatnonzero(times == 2), np.flatnonzero(times > 2)
+        if len(twice):
+            moved[twice] = (moved.take(twice, axis=0) + back.take(of.take(first.take(twice) + 1), axis=0)) * np.float32(2**-0.5)
+        if len(often):
+            many, start = times.take(often), first.take(often)
+            sums = np.add.reduceat(back.take(of.take(_runs(start, start + many)), axis=0), np.cumsum(many) - many)
+            sums /= np.sqrt(many).astype(np.float32)[:, None]
+            moved[often] = sums
+        used = used.take(first).astype(np.int64)
+        np.subtract(self.embed.take(used, axis=0), moved, out=moved)
+        np.put(self.embed.view(ROW).ravel(), used, moved.view(ROW).ravel())
+
+
+#: A row of a table of embeddings, or of scores, as one value; the first row of each place's table.
+ROW, LINE, STARTS = np.dtype((np.void, 4 * DIM)), np.dtype((np.void, 4 * MEMBERS)), (np.arange(len(PLACES)) * (PAD + 1)).astype(np.uint16)
+#: Rows of a tile of a training step, and rows that are scored together: their scores stay in a core's cache.
+TILE, PIECE = 20, 256
+#: Words that are sorted by class and scored by one call.
+TOGETHER = 32768
+#: Scores within this are raised to powers as they are, others less the row's largest.
+PLAIN = 60.0
+ONES = np.ones(max(CLASSES, MEMBERS), np.float32)
+
+
+class _Room:
+    """Arrays for the scores of ``PIECE`` rows."""
+
+    def __init__(self, net: Network):
+        self.plain, self.exact, self.x = net.plain, np.empty(PIECE * MEMBERS), np.empty(PIECE * MEMBERS, np.float32)
+        self.starts = {k: np.arange(0, PIECE * k, k) for k in (CLASSES, MEMBERS)}
+
+    def log_shares(self, h: np.ndarray, layer: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Logarithms of the softmax at each row's own column. Scores are exact, and rounded once to float32."""
+        n, size = len(h), layer.shape[1]
+        exact, x = self.exact[: n * size].reshape(n, size), self.x[: n * size].reshape(n, size)
+        np.matmul(h, layer, out=exact)
+        np.copyto(x, exact, casting="same_kind")
+        mine = self.x.take(self.starts[size][:n] + own)
+        if not self.plain:
+            top = x.max(1)
+            x -= top[:, None]
+            mine -= top
+        np.exp(x, out=x)
+        mine -= np.log(np.einsum("ij->i", x))
+        return mine
+
+
+def _less_own(x: np.ndarray, own: np.ndarray, scores: Callable) -> np.ndarray:
+    """Fills ``x`` by a call of ``scores`` and turns it into powers of e, less the row's sum at its own place (given in the
+    flat array). Returns one over the rows' sums, by which the softmax's gradient is to be multiplied."""
+    scores()
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+        sums = x @ ONES[: x.shape[1]]
+    if not (sums.min() > 1e-25 and sums.max() < 1e25):  # far scores: less the row's largest
+        scores()
+        x -= x.max(1, keepdims=True)
+        np.exp(x, out=x)
+        sums = x @ ONES[: x.shape[1]]
+    x.ravel()[own] -= sums
+    return np.divide(1, sums, out=sums)
 
 
 class Vocabulary:
@@ -214,34 +309,43 @@ def padded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Texts of ids (binary, two bytes each) in one line, two pads before and after each: the line, the places of all
     words in it, and the number of words of each text."""
     off, data = offsets_and_bytes(column)
-    ids = np.frombuffer(data[int(off[0]) : int(off[-1])].tobytes(), np.uint16).astype(np.int64)
+    ids = np.frombuffer(data[int(off[0]) : int(off[-1])].tobytes(), np.uint16)
     n = np.diff(off) // 2
     first = np.cumsum(n + 2) - n
-    line = np.full(int((n + 2).sum()) + 2, PAD, np.int64)
+    line = np.full(int((n + 2).sum()) + 2, PAD, np.uint16)
     at = _runs(first, first + n)
     line[at] = ids
     return line, at, n
 
 
 def _context(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return np.stack([ids[at + k] for k in PLACES], axis=1)
+    return ids.take(at[:, None] + np.array(PLACES))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of a task's word hashes."""
-    held, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    held, size = [], 0
     for batch in small_batches(batches):
         found = [w for _, w in hashed_words(batch.column("text"))]
-        new, n = np.unique(np.concatenate(found), return_counts=True)
-        both, at = np.unique(np.concatenate([held, new]), return_inverse=True)
-        held, counts = both, np.bincount(at, np.concatenate([counts, n]), len(both)).astype(np.int64)
-        if len(held) > HELD:
-            yield from _emitted(held, counts)
-            held, counts = held[:0], counts[:0]
-    yield from _emitted(held, counts)
+        held.append(np.unique(np.concatenate(found), return_counts=True))
+        size += len(held[-1][0])
+        if size > HELD:
+            held = [_merged(held)]
+            size = len(held[0][0])
+            if size > HELD // 2:
+                yield from _emitted(*held[0])
+                held, size = [], 0
+    if held:
+        yield from _emitted(*_merged(held))
+
+
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    words, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    both, at = np.unique(words, return_inverse=True)
+    return both, np.bincount(at, n, len(both)).astype(np.int64)
 
 
-#: Different words that a task counts before it sends them on.
+#: Words that a task holds counts of before it merges them; if half as many are different, it sends them on.
 HELD = 2_000_000
 
 
@@ -405,16 +509,17 @@ def score(rows: DataFrame, net: Network, counts: DataFrame, mass: np.ndarray, sc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, whole = held.value
-        own = Network(flat).on_grid()
+        own, shared = Network(flat).on_grid(), np.where(np.arange(PAD) < WORDS, 0.0, whole)
         for batch in small_batches(batches, "ids", 1 << 20):
             line, at, n = padded(batch.column("ids"))
-            owner, total = np.repeat(np.arange(len(n)), n), np.zeros(len(n), np.int64)
-            for i in range(0, len(at), 8192):
-                here = at[i : i + 8192]
-                logs = own.log_probability(_context(line, here), line[here]) - np.where(
-                    line[here] >= WORDS, whole[np.minimum(line[here], PAD - 1)], 0.0
-                )
-                np.add.at(total, owner[i : i + 8192], np.rint(logs * UNIT).astype(np.int64))
+            logs = np.zeros(len(at) + 1, np.int64)
+            for i in range(0, len(at), TOGETHER):
+                here = at[i : i + TOGETHER]
+                own_ids = line.take(here)
+                logs[i + 1 : i + 1 + len(here)] = np.rint((own.log_probability(_context(line, here), own_ids) - shared.take(own_ids)) * UNIT)
+            ends = np.cumsum(n)
+            logs = np.cumsum(logs)  # whole numbers: a text's sum is a difference
+            total = logs[ends] - logs[ends - n]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("doc_id"), batch.column("n"), pa.array(total + batch.column("share").to_numpy())], ["row", "doc_id", "n", "total"]
             )
